@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .shard import op1_shard_kk
 
 OP2_SQL = r"""
 WITH d AS (
@@ -28,7 +29,10 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": op2_decontaminate}
+    return {
+        "op1_shard_kk": op1_shard_kk,
+        "op2_decontaminate": op2_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
