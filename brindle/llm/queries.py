@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .langid import op10_langid_profiles
 from .shard import op1_shard_kk
+from .tokens_orc import op9_tokens_orc
 
 OP2_SQL = r"""
 WITH d AS (
@@ -32,6 +34,8 @@ def queries() -> dict:
     return {
         "op1_shard_kk": op1_shard_kk,
         "op2_decontaminate": op2_decontaminate,
+        "op9_tokens_orc": op9_tokens_orc,
+        "op10_langid_profiles": op10_langid_profiles,
     }
 
 
