@@ -6,6 +6,7 @@ from .decontaminate import op2_decontaminate
 from .langid import op10_langid_profiles
 from .shard import op1_shard_kk
 from .tokens_orc import op9_tokens_orc
+from .warc import op6_warc_zstd
 
 OP2_SQL = r"""
 WITH d AS (
@@ -29,15 +30,25 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS first FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT p.*, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1000
+"""
+
 
 def queries() -> dict:
     return {
         "op1_shard_kk": op1_shard_kk,
         "op2_decontaminate": op2_decontaminate,
+        "op6_warc_zstd": op6_warc_zstd,
         "op9_tokens_orc": op9_tokens_orc,
         "op10_langid_profiles": op10_langid_profiles,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL}
+    return {"op2_decontaminate": OP2_SQL, "op6_warc_zstd": OP6_SQL}
