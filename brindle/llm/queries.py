@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op2_decontaminate
 from .langid import op10_langid_profiles
 from .neardup import op7_neardup_probminhash
+from .quality import op5_quality_weak
 from .shard import op1_shard_kk
 from .tokens_orc import op9_tokens_orc
 from .warc import op6_warc_zstd
@@ -45,6 +46,7 @@ def queries() -> dict:
     return {
         "op1_shard_kk": op1_shard_kk,
         "op2_decontaminate": op2_decontaminate,
+        "op5_quality_weak": op5_quality_weak,
         "op6_warc_zstd": op6_warc_zstd,
         "op7_neardup_probminhash": op7_neardup_probminhash,
         "op9_tokens_orc": op9_tokens_orc,
