@@ -6,6 +6,7 @@ from .decontaminate import op2_decontaminate
 from .langid import op10_langid_profiles
 from .neardup import op7_neardup_probminhash
 from .quality import op5_quality_weak
+from .sentencepiece import op8_sentencepiece_unigram
 from .shard import op1_shard_kk
 from .tokens_orc import op9_tokens_orc
 from .warc import op6_warc_zstd
@@ -49,6 +50,7 @@ def queries() -> dict:
         "op5_quality_weak": op5_quality_weak,
         "op6_warc_zstd": op6_warc_zstd,
         "op7_neardup_probminhash": op7_neardup_probminhash,
+        "op8_sentencepiece_unigram": op8_sentencepiece_unigram,
         "op9_tokens_orc": op9_tokens_orc,
         "op10_langid_profiles": op10_langid_profiles,
     }
