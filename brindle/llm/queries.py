@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op2_decontaminate
+from .htmltext import op3_html_template
 from .langid import op10_langid_profiles
 from .neardup import op7_neardup_probminhash
 from .quality import op5_quality_weak
@@ -50,6 +51,7 @@ def queries() -> dict:
         "pipeline": corpus_pipeline.run,
         "op1_shard_kk": op1_shard_kk,
         "op2_decontaminate": op2_decontaminate,
+        "op3_html_template": op3_html_template,
         "op5_quality_weak": op5_quality_weak,
         "op6_warc_zstd": op6_warc_zstd,
         "op7_neardup_probminhash": op7_neardup_probminhash,
