@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op4_ann_lists
 from .decontaminate import op2_decontaminate
 from .htmltext import op3_html_template
 from .langid import op10_langid_profiles
@@ -52,6 +53,7 @@ def queries() -> dict:
         "op1_shard_kk": op1_shard_kk,
         "op2_decontaminate": op2_decontaminate,
         "op3_html_template": op3_html_template,
+        "op4_ann_lists": op4_ann_lists,
         "op5_quality_weak": op5_quality_weak,
         "op6_warc_zstd": op6_warc_zstd,
         "op7_neardup_probminhash": op7_neardup_probminhash,
