@@ -6,15 +6,16 @@ the ids as run-length integers, keeps min and max of every 10,000 rows and, for
 a reader opens stripes in parallel and skips those whose index excludes an id.
 
 The tokenizer splits words before it merges bytes, and it always splits between a character that is not
-white space and a single blank or newline. So a text without other white space is cut there, every piece
-is encoded once by the library and remembered, and the ids of the pieces are joined; any other text goes
-to the library as a whole. Both give the ids of the whole text.
+white space and a single blank or newline, and after letters. So a text without other white space is cut
+there, every piece is encoded once by the library and remembered, and the ids of the pieces are joined; any
+other text goes to the library as a whole. Both give the ids of the whole text.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import read_table, shared_dir
 
 END = 0
-ODD_SPACE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-#: Pieces that a worker remembers; beyond, it forgets all and goes on.
-REMEMBERED = 400_000
+#: White space other than a newline at the start.
+ODD_SPACE = re.compile(r"(?!^\n)\s")
+HEAD = re.compile(r"[ \n][^\W\d_]*")
+#: Pieces, and parts of pieces, that a worker remembers; beyond, it forgets those not met since it last had so many.
+REMEMBERED = 150_000
 STRIPE_BYTES = 16 << 20
 
 ORC_OPTIONS = {
@@ -45,7 +48,10 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        # Pieces, and their heads (a blank or newline and the letters after it); the second dict of each is the older generation.
+        self.pieces: tuple[dict[str, bytes | None], dict] = ({}, {})
+        self.parts: tuple[dict[str, bytes], dict] = ({}, {})
+        self.newline = len(self._ids(["\n"])[0])
 
     @classmethod
     def at(cls, path: str) -> PieceEncoder:
@@ -55,34 +61,61 @@ class PieceEncoder:
         return cls._open[path]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember new pieces; one that holds other white space, or none but a newline, is remembered as None."""
+        (pieces, old), (parts, old_parts) = self.pieces, self.parts
+        cut: dict[str, tuple[str, str]] = {}
+        todo: set[str] = set()
+        for p in new:
+            if p in old:
+                pieces[p] = old[p]
+            elif not p or ODD_SPACE.search(p) or p == "\n":
+                pieces[p] = None
+            else:
+                # After letters the tokenizer always splits, so head and tail are encoded by themselves.
+                whole = p if p[0] == "\n" else " " + p
+                end = HEAD.match(whole).end()
+                head, tail = (whole[:end], whole[end:]) if end > 1 else (whole, "")
+                cut[p] = (head, tail)
+                for x in (head, tail):
+                    if x and x not in parts:
+                        if x in old_parts:
+                            parts[x] = old_parts[x]
+                        else:
+                            todo.add(x)
+        order = list(todo)
+        for at in range(0, len(order), 20_000):
+            part = order[at : at + 20_000]
+            parts.update(zip(part, self._ids(part), strict=True))
+        parts[""] = b""
+        for p, (head, tail) in cut.items():
+            pieces[p] = parts[head] + parts[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, out = self.known, []
-        cut: list[list[str] | None] = []
+        if len(self.pieces[0]) > REMEMBERED:
+            self.pieces = ({}, self.pieces[0])
+        if len(self.parts[0]) > REMEMBERED:
+            self.parts = ({}, self.parts[0])
+        out = []
+        # A piece is a word (with the blank before it left out), or a newline with the word after it.
+        cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else None for t in texts]
         new: set[str] = set()
-        for text in texts:
-            if not text or ODD_SPACE.search(text):
-                cut.append(None)
-                continue
-            # A piece is a word with the blank before it, or a newline with the word after it.
-            first, *rest = text.replace("\n", " \n").split(" ")
-            pieces = ["\n" + first, *rest]
-            cut.append(pieces)
-            new.update(x for x in pieces if x not in known)
+        for pieces in cut:
+            if pieces:
+                new.update(set(pieces).difference(self.pieces[0]))
         if new:
-            todo = list(new)
-            for at in range(0, len(todo), 20_000):
-                part = todo[at : at + 20_000]
-                known.update(zip(part, self._ids([x if x[0] == "\n" else " " + x for x in part]), strict=True))
-        skip = len(known["\n"]) if "\n" in known else len(self._ids(["\n"])[0])
+            self._learn(new)
+        known = self.pieces[0]
         for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
-                out.append(self._ids([text])[0] if text else b"")
-            else:
-                out.append(b"".join(map(known.__getitem__, pieces))[skip:])
-        if len(known) > REMEMBERED:
-            known.clear()
+            if not text:
+                out.append(b"")
+                continue
+            try:
+                out.append(b"".join(map(known.__getitem__, pieces))[self.newline :])
+            except TypeError:  # a piece remembered as None
+                out.append(self._ids([text])[0])
         return out
 
 
