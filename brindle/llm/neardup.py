@@ -8,11 +8,13 @@ anything: generation stops at a time limit that nearly always suffices and goes
 still empty.
 
 Equal word sequences are one node from the start. Nodes whose signatures agree in a whole band share a
-bucket. Each bucket first pairs its smallest node with the others; of the pairs, those whose exact
-similarity reaches the threshold are links, and linked nodes form components. Only bucket members that
-then still lie in another component than their bucket's smallest node are paired with the bucket's
-members of other components, verified, and merged. So a group of near copies costs a pair for each
-copy, and every pair of a bucket is either connected or has been compared.
+bucket. Each bucket first pairs its centre, the node that meets most others in all its buckets, with its
+other nodes; of the pairs, those whose exact similarity reaches the threshold are links, and linked nodes
+form components. Only bucket members that then still lie in another component than their bucket's centre
+are compared with the bucket's members of other components: in small buckets pair by pair, in large ones
+by signature, in blocks of bounded size within a task, which gives out only pairs whose estimate leaves the
+threshold possible. These are verified exactly and merged. So a group of near copies costs a pair or two
+for each copy, and every two nodes that meet in a bucket are connected or have been compared.
 
 A node is 64 bits of a digest of the words: of n different documents, some two share a node with
 probability n**2 / 2**65.
@@ -36,6 +38,11 @@ ROWS = 6
 #: Expected number of empty slots at the time limit is exp(-SLACK).
 SLACK = 4.0
 BATCH_WORDS = 100_000
+#: Buckets of more members are compared by signature, in blocks of at most about BLOCK by BLOCK nodes.
+SMALL = 48
+BLOCK = 1024
+#: Pairs whose estimate is this many standard errors below the threshold can't reach it.
+ERRORS = 4.5
 REMEMBERED = 400_000
 
 _U = np.uint64
@@ -146,7 +153,10 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node, keys for every row; node and keys are null where there are no words."""
+    """doc_id, text_hash, node, keys, sig for every row; the last three are null where there are no words.
+
+    sig has the lowest byte of every slot's shingle.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,15 +173,17 @@ def _sketches(docs: DataFrame) -> DataFrame:
                         sets.append(shingles(words))
                         n += len(words)
                     at += 1
-                keys = [None] * len(nodes)
+                keys, sigs = [None] * len(nodes), [None] * len(nodes)
                 if sets:
-                    for i, k in zip(where, band_keys(signatures(sets)), strict=True):
-                        keys[i] = k
+                    slots = signatures(sets)
+                    for i, k, sig in zip(where, band_keys(slots), slots.astype(np.uint8), strict=True):
+                        keys[i], sigs[i] = k, sig.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, at - begin), hashes.slice(begin, at - begin), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "keys"]
+                    [ids.slice(begin, at - begin), hashes.slice(begin, at - begin), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                    names=["doc_id", "text_hash", "node", "keys", "sig"],
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sketch, "doc_id long, text_hash long, node long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sketch, "doc_id long, text_hash long, node long, keys array<long>, sig binary")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -250,7 +262,52 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _alike(pairs_of: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the same block, of different parts, whose signatures leave the similarity possible.
+
+    Both tables have key, i, j, node, part, apart and sig; a block is a (key, i, j).
+    """
+    slots = BANDS * ROWS
+    least = similarity - ERRORS * float(np.sqrt(similarity * (1 - similarity) / slots))
+
+    def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        (a, p, s), (b, q, t) = (
+            (x.column("node").to_numpy(), x.column("part").to_numpy(), np.frombuffer(b"".join(x.column("sig").to_pylist()), np.uint8).reshape(len(x), slots)) for x in (left, right)
+        )
+        also = right.column("apart").to_numpy()
+        out = []
+        for at in range(0, len(a), 64):
+            same = np.zeros((len(a[at : at + 64]), len(b)), np.float32)
+            for k in range(0, slots, 24):
+                same += (s[at : at + 64, None, k : k + 24] == t[None, :, k : k + 24]).sum(2, dtype=np.uint8)
+            # One slot in 256 agrees by chance.
+            estimate = (same / slots - 1 / 256) / (1 - 1 / 256)
+            x, y = np.nonzero((estimate >= least) & (p[at : at + 64, None] != q[None, :]) & (~also[None, :] | (a[at : at + 64, None] < b[None, :])))
+            out.append(np.stack([a[at + x], b[y]]))
+        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": both.min(0) if both.size else both[0], "b": both.max(0) if both.size else both[1]})
+
+    # Both come from one table: new names for the columns of one keep them apart.
+    members = members.select(*[F.col(c).alias(c) for c in members.columns])
+    return pairs_of.groupBy("key", "i", "j").cogroup(members.groupBy("key", "i", "j")).applyInArrow(compare, "a long, b long")
+
+
+def _open_pairs(placed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of one bucket that lie in different parts, one of them apart from the bucket's centre."""
+    small, large = placed.filter(F.col("n") <= SMALL), placed.filter(F.col("n") > SMALL)
+    x = small.filter("apart").select("key", F.col("node").alias("x"), F.col("part").alias("x_part"))
+    y = small.filter("node <> centre").select("key", F.col("node").alias("y"), F.col("part").alias("y_part"), F.col("apart").alias("y_apart"))
+    few = x.join(y, "key").filter("x_part <> y_part AND (x < y OR NOT y_apart)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    large = large.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")}).join(nodes.select("node", "sig"), "node")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = large.filter("apart").select("key", F.col("own").alias("i"), every.alias("j"), "node", "part", "apart", "sig")
+    right = large.filter("node <> centre").join(large.filter("apart").select("key").distinct(), "key", "left_semi").select("key", every.alias("i"), F.col("own").alias("j"), "node", "part", "apart", "sig")
+    return few.union(_alike(left, right, similarity)).distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the nodes that have a near copy, and the staged rows (doc_id, text_hash, node).
 
     docs needs doc_id (long) and text. Null texts and texts without a word have a null node: they are
@@ -258,12 +315,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """
     rows = staged(_sketches(docs), "sketches")
     nodes = staged(
-        rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "keys")).alias("r")).select("node", "r.doc_id", "r.text_hash", "r.keys"), "nodes"
+        rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "keys", "sig")).alias("r")).select("node", "r.doc_id", "r.text_hash", "r.keys", "r.sig"), "nodes"
     )
     members = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = staged(members.join(buckets, "key"), "buckets")
-    pairs = staged(shared.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    buckets = members.groupBy("key").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
+    shared = staged(members.join(buckets, "key"), "shared")
+    ranked = shared.join(shared.groupBy("node").agg(F.sum("n").alias("met")), "node")
+    centres = ranked.groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("centre"))
+    shared = staged(shared.join(centres, "key"), "buckets")
+    pairs = staged(shared.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "pairs")
 
     candidates = shared.select("node").distinct()
     wanted = nodes.join(candidates, "node", "left_semi").select("doc_id", "text_hash")
@@ -274,23 +334,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     links = staged(_verify(pairs, sets, similarity), "verified")
     found = staged(components(links), "components")
-    while True:
-        # Members that their bucket's smallest node has not drawn into its component.
-        part = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"{s}_part"))
-        placed = shared.join(part("node"), "node", "left").join(part("least"), "least", "left").select(
-            "key", "node", "least", F.coalesce("node_part", "node").alias("part"), F.coalesce("least_part", "least").alias("least_part")
-        )
-        placed = staged(placed, "placed")
-        apart = placed.filter("part <> least_part")
-        x, y = apart.select("key", F.col("node").alias("x"), F.col("part").alias("x_part")), placed.filter("node <> least").select("key", F.col("node").alias("y"), F.col("part").alias("y_part"), (F.col("part") != F.col("least_part")).alias("y_apart"))
-        open_pairs = x.join(y, "key").filter("x_part <> y_part AND (x < y OR NOT y_apart)")
-        again = staged(open_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        more = staged(_verify(again, sets, similarity), "verified")
-        if more.isEmpty():
-            return found, rows
-        # Every pair of a bucket has now been compared or joined, so one more pass of components ends it.
-        links = links.union(more)
-        return staged(components(links), "components"), rows
+    part = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"{s}_part"))
+    placed = shared.join(part("node"), "node", "left").join(part("centre"), "centre", "left")
+    placed = placed.select("key", "n", "node", "centre", F.coalesce("node_part", "node").alias("part"), F.coalesce("centre_part", "centre").alias("centre_part"))
+    placed = staged(placed.withColumn("apart", F.col("part") != F.col("centre_part")), "placed")
+    again = staged(_open_pairs(placed, nodes, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = staged(_verify(again, sets, similarity), "verified")
+    if not more.isEmpty():
+        found = staged(components(links.union(more)), "components")
+    return found, rows
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
