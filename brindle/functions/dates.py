@@ -48,7 +48,7 @@ def ago_seconds(c: Column, now: int) -> Column:
 
 def months(spark: SparkSession, first: str, last: str) -> DataFrame:
     """One row a month, both ends included: month (its first day)."""
-    return spark.range(1).select(F.explode(F.expr(f"sequence(date_trunc('month', date'{first}'), date_trunc('month', date'{last}'), interval 1 month)")).cast("date").alias("month"))
+    return spark.range(1).select(F.explode(F.expr(f"sequence(trunc(date'{first}', 'month'), trunc(date'{last}', 'month'), interval 1 month)")).alias("month"))
 
 
 def days(spark: SparkSession, first: str, n: int) -> DataFrame:

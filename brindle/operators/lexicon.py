@@ -48,7 +48,8 @@ def stopword_language(text: Column) -> Column:
     """The language with most frequent words in the text; ties to the first name, `und` if there is none."""
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\s]", " "), r"(?U)\s+"), lambda t: t != "")
     names = sorted(LANGUAGE_WORDS)
-    hits = F.array(*[F.size(F.filter(words, lambda t, k=k: t.isin(*LANGUAGE_WORDS[k]))) for k in names])
+    known = lambda k: lambda t: t.isin(*LANGUAGE_WORDS[k])
+    hits = F.array(*[F.size(F.filter(words, known(k))) for k in names])
     best = F.array_max(hits)
     return F.when(best <= 0, "und").otherwise(F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position(hits, best).cast("int")))
 

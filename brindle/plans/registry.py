@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import series_queries, text_queries
+
 
 def queries() -> dict:
-    return {}
+    return text_queries.Q | series_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return text_queries.SQL | series_queries.SQL
