@@ -257,6 +257,9 @@ def remove_contamination(
     Documents of which the spans cover max_coverage of the words or more go; the others keep all their
     columns, and length_col, if they have it, counts the characters of the new text. Null texts stay.
     """
+    columns = docs.columns
+    own = {c: f"__own_{c}" for c in ("n_words", "spans", "items") if c in columns}
+    docs = docs.withColumnsRenamed(own)
     df = find_spans(docs, benchmark, text_col, window=window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +276,7 @@ def remove_contamination(
 
     fields = [f for f in df.schema.fields if f.name in docs.columns]
     names = [f.name for f in fields]
-    out = df.mapInArrow(cut, T.StructType(fields)).select(*docs.columns)
+    out = df.mapInArrow(cut, T.StructType(fields)).withColumnsRenamed({v: k for k, v in own.items()}).select(*columns)
     if length_col in out.columns:
         kind = dict(out.dtypes)[length_col]
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(kind))

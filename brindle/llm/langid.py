@@ -23,6 +23,7 @@ PROFILE = 400
 SAMPLE = 2_000
 UNDETERMINED = "und"
 PIECE = 1 << 20
+BLANK = 1
 #: Below this score a document is not in any of the learned languages.
 MIN_SCORE = 0.05
 
@@ -33,25 +34,25 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(text: str, grams: int = GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (21 bits a character) of the n-grams of the whole text, ascending, and their counts."""
+    """Codes (21 bits a character, a blank being BLANK) of the n-grams of the whole text, ascending, and their counts."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    tail = np.zeros(1, np.int64)
+    tail = np.full(1, BLANK)
     for at in range(0, len(text), PIECE):
         c = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        c = np.where(_letters()[c], c, 0)
-        c = np.concatenate([tail, c, np.zeros(int(at + PIECE >= len(text)), np.int64)])
+        c = np.where(_letters()[c], c, BLANK)
+        c = np.concatenate([tail, c, np.full(int(at + PIECE >= len(text)), BLANK)])
         keep = np.ones(len(c), bool)
-        keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
+        keep[1:] = (c[1:] != BLANK) | (c[:-1] != BLANK)
         c = c[keep]
         new = len(tail)
-        codes = [c[new:][c[new:] != 0]]
+        codes = [c[new:][c[new:] != BLANK]]
         g = c
         for n in range(2, grams + 1):
             g = (g[:-1] << 21) | c[n - 1 :]
             # Of blanks inside, only "x_y" would join two words: it is left out.
             part = g[max(0, new - n + 1) :]
             if n > 2:
-                part = part[(part >> 21) & ((1 << 21 * (n - 2)) - 1) != 0]
+                part = part[(part >> 21) & ((1 << 21 * (n - 2)) - 1) != BLANK]
             codes.append(part)
         tail = c[-(grams - 1) :]
         flat = np.sort(np.concatenate(codes))

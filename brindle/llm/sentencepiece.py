@@ -209,7 +209,7 @@ class Unigram:
         for p in new:
             if p in old:
                 known[p] = old[p]
-            elif not p or (p[0] != "\n" and MARK in p):
+            elif not p or MARK in p:
                 known[p] = None
             else:
                 todo.append(p)

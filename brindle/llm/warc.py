@@ -101,7 +101,7 @@ class ArchiveWriter:
     def _begin(self) -> None:
         import zstandard
 
-        held, self.held = self.held, None
+        held, self.held, self.held_bytes = self.held, None, 0
         trained = build_dictionary(held)
         options = {"level": LEVEL, "write_checksum": True, "write_content_size": True}
         if trained:
@@ -193,7 +193,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                         n += 1
                     refers = (r["first"],) if r["first"] is not None and r["first"] != r["id"] else None
                     archive.add(make_record(r["id"], r["url"], r["payload"], r["sha1"], refers))
-                    if archive.written >= archive_bytes:
+                    if archive.written + archive.held_bytes >= archive_bytes:
                         yield done(archive)
                         archive = None
         if archive is not None:
