@@ -7,7 +7,7 @@ import pytest
 ROOT = str(Path(__file__).resolve().parents[1])
 for p in (ROOT, str(Path(__file__).parent)):
     sys.path.insert(0, p)
-os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, str(Path(__file__).parent), os.environ.get("PYTHONPATH", "")])
 
 SF = "/root/testdata/sf0.01"
 SF_SMALL = "/root/testdata/sf0.001"
