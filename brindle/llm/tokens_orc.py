@@ -31,6 +31,8 @@ HEAD = re.compile(r"[ \n][^\W\d_]*")
 #: Pieces, and parts of pieces, that a worker remembers; beyond, it forgets those not met since it last had so many.
 REMEMBERED = 150_000
 STRIPE_BYTES = 16 << 20
+#: before: the ids before the row in its file; n: its own number of ids.
+SCHEMA = "doc_id long, file int, before long, n long, ids array<int>"
 
 ORC_OPTIONS = {
     "compression": "zstd", "orc.stripe.size": str(STRIPE_BYTES), "orc.row.index.stride": "10000", "orc.create.index": "true",
@@ -38,6 +40,33 @@ ORC_OPTIONS = {
 }
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next free one from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+class _Remembered(dict):
+    """Makes what is missing; when it is full, what was not met since the last time goes."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str):
+        value = self[key] = self.old[key] if key in self.old else self.make(key)
+        return value
+
+    def rotate(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian int32 bytes."""
 
@@ -48,10 +77,10 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # Pieces, and their heads (a blank or newline and the letters after it); the second dict of each is the older generation.
-        self.pieces: tuple[dict[str, bytes | None], dict] = ({}, {})
-        self.parts: tuple[dict[str, bytes], dict] = ({}, {})
-        self.newline = len(self._ids(["\n"])[0])
+        self.newline = self._ids("\n")
+        self.pieces = _Remembered(self._piece, REMEMBERED)
+        self.heads = _Remembered(self._head, 2 * REMEMBERED)
+        self.tails = _Remembered(self._ids, REMEMBERED // 4)
 
     @classmethod
     def at(cls, path: str) -> PieceEncoder:
@@ -60,67 +89,46 @@ class PieceEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Remember new pieces; one that holds other white space, or none but a newline, is remembered as None."""
-        (pieces, old), (parts, old_parts) = self.pieces, self.parts
-        cut: dict[str, tuple[str, str]] = {}
-        todo: set[str] = set()
-        for p in new:
-            if p in old:
-                pieces[p] = old[p]
-            elif not p or ODD_SPACE.search(p) or p == "\n":
-                pieces[p] = None
-            else:
-                # After letters the tokenizer always splits, so head and tail are encoded by themselves.
-                whole = p if p[0] == "\n" else " " + p
-                end = HEAD.match(whole).end()
-                head, tail = (whole[:end], whole[end:]) if end > 1 else (whole, "")
-                cut[p] = (head, tail)
-                for x in (head, tail):
-                    if x and x not in parts:
-                        if x in old_parts:
-                            parts[x] = old_parts[x]
-                        else:
-                            todo.add(x)
-        order = list(todo)
-        for at in range(0, len(order), 20_000):
-            part = order[at : at + 20_000]
-            parts.update(zip(part, self._ids(part), strict=True))
-        parts[""] = b""
-        for p, (head, tail) in cut.items():
-            pieces[p] = parts[head] + parts[tail]
+    def _ids(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _head(self, head: str) -> bytes:
+        """Ids of a blank or newline and letters: to the tokenizer one word, or a newline and a word, so its model alone will do."""
+        word = head if head[0] == " " else head[1:]
+        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LETTERS))]
+        return (self.newline if head[0] == "\n" else b"") + array("i", ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes | None:
+        """Ids of a piece; None if it holds other white space, or nothing."""
+        if not piece or ODD_SPACE.search(piece) or piece == "\n":
+            return None
+        whole = piece if piece[0] == "\n" else " " + piece
+        end = HEAD.match(whole).end()
+        if end < 2:  # no letters first: the library splits it
+            return self.tails[whole]
+        # After letters the tokenizer always splits, so head and tail are encoded by themselves.
+        head = self.heads[whole[:end]]
+        return head if end == len(whole) else head + self.tails[whole[end:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.pieces[0]) > REMEMBERED:
-            self.pieces = ({}, self.pieces[0])
-        if len(self.parts[0]) > REMEMBERED:
-            self.parts = ({}, self.parts[0])
-        out = []
-        # A piece is a word (with the blank before it left out), or a newline with the word after it.
-        cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if t else None for t in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                new.update(set(pieces).difference(self.pieces[0]))
-        if new:
-            self._learn(new)
-        known = self.pieces[0]
-        for text, pieces in zip(texts, cut, strict=True):
+        for kept in (self.pieces, self.heads, self.tails):
+            kept.rotate()
+        known, skip, out = self.pieces.__getitem__, len(self.newline), []
+        for text in texts:
             if not text:
                 out.append(b"")
                 continue
+            # A piece is a word (with the blank before it left out), or a newline with the word after it.
+            pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
             try:
-                out.append(b"".join(map(known.__getitem__, pieces))[self.newline :])
-            except TypeError:  # a piece remembered as None
-                out.append(self._ids([text])[0])
+                out.append(b"".join(map(known, pieces))[skip:])
+            except TypeError:  # a piece that is None
+                out.append(self._ids(text))
         return out
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END) -> DataFrame:
-    """doc_id long, file int, before long (ids before it in its file), ids array<int>, sorted by id in each partition.
+    """Rows of SCHEMA, sorted by id in each partition.
 
     Null ids come first; rows of equal id are in the order of their text (null first). Null and empty
     texts have the end id only.
@@ -145,12 +153,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, flat])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.full(len(n), file, np.int32)), pa.array(before + ends - n), pa.ListArray.from_arrays(offsets, values)],
-                    names=["doc_id", "file", "before", "ids"],
+                    [part.column("doc_id"), pa.array(np.full(len(n), file, np.int32)), pa.array(before + ends - n), pa.array(n), pa.ListArray.from_arrays(offsets, values)],
+                    names=["doc_id", "file", "before", "n", "ids"],
                 )
                 before += int(ends[-1])
 
-    return ordered.mapInArrow(encode, "doc_id long, file int, before long, ids array<int>")
+    return ordered.mapInArrow(encode, SCHEMA)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, **columns) -> None:
@@ -159,8 +167,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, **columns) ->
 
 def read_tokens(spark, path: str) -> DataFrame:
     """doc_id, ids, start: the number of ids of all documents before it, over all files."""
-    rows = spark.read.schema("doc_id long, file int, before long, ids array<int>").orc(path)
-    files = rows.groupBy("file").agg(F.sum(F.size("ids").cast("long")).alias("n"), F.max(F.col("before") + F.size("ids")).alias("end")).collect()
+    rows = spark.read.schema(SCHEMA).orc(path)
+    files = rows.groupBy("file").agg(F.sum("n").alias("n"), F.max(F.col("before") + F.col("n")).alias("end")).collect()
     base, total = [], 0
     for file, n, end in sorted(tuple(r) for r in files):
         if n != end:
