@@ -23,14 +23,15 @@ from .common import read_table, staged
 
 K = 20
 #: Vectors (in expectation) that the centroids are fitted on, and of these the ones that fit the ratio.
-SAMPLE = 16_384
-PROBES = 512
-TARGET = 0.985
-LIST_ROWS = 128
+SAMPLE = 8_192
+PROBES = 256
+TARGET = 0.95
+LIST_ROWS = 256
+#: A vector goes to up to COPIES lists whose centroids are at most BORDER times as far as the nearest.
 COPIES = 4
-BORDER = 1.06
+BORDER = 1.015
 DEGREE = 16
-BUCKET_ROWS = 1024
+BUCKET_ROWS = 8192
 
 
 def centroids_of(x: np.ndarray, lists: int) -> np.ndarray:
@@ -77,7 +78,7 @@ class CentroidGraph:
         most = min(most, n)
         q = q.astype(np.float32)
         own = (q.astype(np.float64) ** 2).sum(1).astype(np.float32)
-        seen = np.zeros((len(q), n), bool)
+        seen, last = np.zeros((len(q), n), bool), np.zeros((len(q), n), np.int16)
         seen[:, self.entries] = True
         ids = np.broadcast_to(self.entries, (len(q), len(self.entries)))
         dist = self.norms[self.entries][None, :] - 2 * q @ self.c[self.entries].T
@@ -93,14 +94,11 @@ class CentroidGraph:
             done[rows, pick] = True
             nb = np.where(np.repeat(open_, self.edges.shape[1], axis=1), self.edges[ids[rows, pick]].reshape(len(q), -1), self.entries[0])
             fresh = ~seen[rows, nb]
-            # The same neighbour twice in a row counts once.
-            order = np.argsort(nb, axis=1, kind="stable")
-            sorted_nb = np.take_along_axis(nb, order, 1)
-            again = np.zeros(nb.shape, bool)
-            np.put_along_axis(again, order[:, 1:], sorted_nb[:, 1:] == sorted_nb[:, :-1], 1)
-            fresh &= ~again
+            # The same neighbour twice in a row counts once: the place that wrote last.
+            last[rows, nb] = np.arange(nb.shape[1], dtype=np.int16)
+            fresh &= last[rows, nb] == np.arange(nb.shape[1], dtype=np.int16)
             seen[rows, nb] = True
-            d = np.where(fresh, self.norms[nb] - 2 * np.einsum("bkd,bd->bk", self.c[nb], q), np.inf)
+            d = np.where(fresh, self.norms[nb] - 2 * np.matmul(self.c[nb], q[:, :, None])[:, :, 0], np.inf)
             ids, dist, done = np.concatenate([ids, nb], 1), np.concatenate([dist, d], 1), np.concatenate([done, ~fresh], 1)
         order = np.argsort(dist, axis=1, kind="stable")
         ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
@@ -138,19 +136,12 @@ class ListIndex:
         if lists > 1:
             self._fit_ratio(sample, target)
 
-    def places(self, x: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(row, list): the nearest list and, at borders, others that lie in other directions."""
-        points = lifted(x, self.largest)
-        ids, dist = self.graph.search(points, 2 * COPIES)
-        c = self.graph.c
-        for i in range(len(x)):
-            chosen: list[int] = []
-            for j, d in zip(ids[i].tolist(), dist[i].tolist(), strict=True):
-                if chosen and (d > BORDER * dist[i, 0] or len(chosen) == COPIES):
-                    break
-                if all(((c[j] - c[o]) ** 2).sum() > d * d for o in chosen):
-                    chosen.append(j)
-            yield from ((i, j) for j in chosen)
+    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and their lists: the nearest one and, for rows near a border, those beyond it."""
+        ids, dist = self.graph.search(lifted(x, self.largest), COPIES + 2)
+        near = dist[:, :COPIES] <= BORDER * dist[:, :1]
+        row, at = np.nonzero(near)
+        return row, ids[row, at]
 
     def looks(self, q: np.ndarray) -> list[np.ndarray]:
         """The lists that each query reads."""
@@ -169,7 +160,7 @@ class ListIndex:
         probes = np.unique(np.linspace(0, len(sample) - 1, PROBES).astype(np.int64))
         where: list[list[int]] = [[] for _ in sample]
         for at in range(0, len(sample), 1024):
-            for i, j in self.places(sample[at : at + 1024]):
+            for i, j in zip(*self.places(sample[at : at + 1024]), strict=True):
                 where[at + i].append(j)
         q, x = sample[probes].astype(np.float64), sample.astype(np.float64)
         score = q @ x.T
@@ -225,9 +216,8 @@ def search_lists(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                found = list(shared.value.places(_matrix(part.column("v"))))
-                i = pa.array([i for i, _ in found], pa.int64())
-                lists = np.array([j for _, j in found], np.int32)
+                i, lists = shared.value.places(_matrix(part.column("v")))
+                i, lists = pa.array(i), lists.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(lists % buckets), pa.array(lists), part.column("node").take(i), part.column("v").take(i)], names=["bucket", "list", "node", "v"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,19 +243,21 @@ def search_lists(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         wanted = queries.column("lists").combine_chunks()
         pair_q = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
         pair_l = wanted.flatten().to_numpy()
-        got_q, got_x = [], []
+        # Of each query the best so far: one list after the other is merged in, so memory holds one list's scores.
+        hold = k + 8
+        top, where = np.full((len(q), hold), -np.inf), np.full((len(q), hold), -1)
         for one in np.unique(pair_l):
             mine, who = np.flatnonzero(of == one), pair_q[pair_l == one]
             for at in range(0, len(who), 4096) if len(mine) else ():
                 some = who[at : at + 4096]
-                score = q[some] @ x[mine].T
-                take = min(k + 8, len(mine))
-                top = np.argpartition(-score, take - 1, axis=1)[:, :take]
-                got_q.append(np.repeat(some, take))
-                got_x.append(mine[top].ravel())
-        if not got_q:
+                score = np.concatenate([top[some], q[some] @ x[mine].T], axis=1)
+                from_ = np.concatenate([where[some], np.broadcast_to(mine, (len(some), len(mine)))], axis=1)
+                keep = np.argpartition(-score, hold - 1, axis=1)[:, :hold]
+                top[some], where[some] = np.take_along_axis(score, keep, 1), np.take_along_axis(from_, keep, 1)
+        got_q, slot = np.nonzero(where >= 0)
+        if not len(got_q):
             return schema.empty_table()
-        got_q, got_x = np.concatenate(got_q), np.concatenate(got_x)
+        got_x = where[got_q, slot]
         score = np.concatenate([(q[got_q[i : i + 65536]] * x[got_x[i : i + 65536]]).sum(1) for i in range(0, len(got_q), 65536)])
         order = np.lexsort((node[got_x], -score, got_q))
         got_q, got_x, score = got_q[order], got_x[order], score[order]
