@@ -177,12 +177,14 @@ def find_spans(
     strings, sorted. Columns of docs named like the three new ones are replaced.
     """
     sc = docs.sparkSession.sparkContext
-    parts = list(sc.broadcast(ItemAutomaton(p, window)) for p in _parts(benchmark, item_col, item_text_col, part_words))
+    parts = _parts(benchmark, item_col, item_text_col, part_words)
     docs = docs.drop("n_words", "spans", "items")
-    # One schema for both kinds of pass: with no item at all, an automaton of nothing matches nothing.
-    df = _scan(docs, parts[0] if parts else sc.broadcast(ItemAutomaton([], window)), text_col, carry_text or len(parts) > 1)
-    for more in parts[1:]:
-        df = _scan(staged(df, "spans"), more, text_col, True, merge=True)
+    # Without any item, an automaton of nothing matches nothing. One automaton is built and held at a time.
+    now, more = next(parts, []), next(parts, None)
+    df = _scan(docs, sc.broadcast(ItemAutomaton(now, window)), text_col, carry_text or more is not None)
+    while more is not None:
+        df = _scan(staged(df, "spans"), sc.broadcast(ItemAutomaton(more, window)), text_col, True, merge=True)
+        more = next(parts, None)
     return df if carry_text or text_col not in df.columns else df.drop(text_col)
 
 

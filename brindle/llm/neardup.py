@@ -346,31 +346,34 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, text_hash for every row: class_id is the smallest doc_id of the row's class.
+    """doc_id, text_hash, class_id, class_size, kept for every row.
 
-    Rows without words are alone, with their own doc_id. In a class, null ids count only if all are null.
+    class_id is the smallest doc_id of the row's class (null if all are null). kept marks the row of that
+    id, of several the one of the smallest text_hash; repeated rows are marked alike. Rows without words
+    are alone, with their own doc_id, and kept.
     """
     found, rows = near_duplicates(docs, similarity)
     named = rows.select("doc_id", "text_hash", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = staged(named, "named")
-    least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    least = named.filter("component IS NOT NULL").groupBy("component").agg(first, F.count("*").alias("class_size"))
+    alone = F.col("component").isNull()
     return named.join(least, "component", "left").select(
-        "doc_id", "text_hash", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
+        "doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the near copies: of each class the row of the smallest doc_id stays, whole.
+    """docs without the near copies: of each class the kept row stays, whole, once if it is repeated.
 
-    Of repeated rows of that id one stays; rows without words all stay.
+    Rows without words all stay.
     """
-    at = F.xxhash64("text")
-    found = classes(docs, similarity)
-    first = found.filter("class_size = 1 OR doc_id <=> class_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("class_size").alias("__size"))
+    first = classes(docs, similarity).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("class_size").alias("__size"))
     first = staged(first.groupBy("__id", "__hash").agg(F.max("__size").alias("__size")), "kept")
-    out = docs.withColumn("__at", at).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__hash")))
+    out = docs.withColumn("__at", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__hash")))
     single = out.filter("__size = 1").select(*docs.columns)
-    # Only here can a row of the kept id and text stand twice.
+    # Only here can the kept row stand twice.
     several = out.filter("__size > 1").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
     return single.unionByName(several)
 
