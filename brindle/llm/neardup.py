@@ -10,11 +10,12 @@ still empty.
 Equal word sequences are one node from the start. Nodes whose signatures agree in a whole band share a
 bucket. Each bucket first pairs its centre, the node that meets most others in all its buckets, with its
 other nodes; of the pairs, those whose exact similarity reaches the threshold are links, and linked nodes
-form components. Only bucket members that then still lie in another component than their bucket's centre
-are compared with the bucket's members of other components: in small buckets pair by pair, in large ones
-by signature, in blocks of bounded size within a task, which gives out only pairs whose estimate leaves the
-threshold possible. These are verified exactly and merged. So a group of near copies costs a pair or two
-for each copy, and every two nodes that meet in a bucket are connected or have been compared.
+form components. A second centre does the same among the members that then still lie in another component
+than their bucket's centre. Those that remain are compared with the bucket's members of other components:
+in small buckets pair by pair; in large ones in blocks of bounded size within a task, by signature first and
+exactly where the estimate leaves the threshold possible, so that a task gives out links only. So a group of
+near copies costs a few pairs for each copy, and every two nodes that meet in a bucket are connected or have
+been compared.
 
 A node is 64 bits of a digest of the words: of n different documents, some two share a node with
 probability n**2 / 2**65.
@@ -263,48 +264,72 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _alike(pairs_of: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of the same block, of different parts, whose signatures leave the similarity possible.
+    """Links (a, b) of different parts within a block: pairs whose signatures leave the similarity possible are compared exactly.
 
-    Both tables have key, i, j, node, part, apart and sig; a block is a (key, i, j).
+    Both tables have key, i, j, node, part, apart, sig, keys, hashes and counts; a block is a (key, i, j).
+    A pair that meets in several buckets is compared in the first of their common keys only.
     """
     slots = BANDS * ROWS
     least = similarity - ERRORS * float(np.sqrt(similarity * (1 - similarity) / slots))
 
+    def sides(table: pa.Table):
+        node, part, apart = (table.column(c).to_numpy() for c in ("node", "part", "apart"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), slots)
+        h, n = (table.column(c).combine_chunks() for c in ("hashes", "counts"))
+        at, h, n = h.offsets.to_numpy(), h.values.to_numpy().view(_U), n.values.to_numpy()
+        sets = [(h[x:y], n[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+        return node, part, apart, sig, table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(table), BANDS), sets
+
     def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        (a, p, s), (b, q, t) = (
-            (x.column("node").to_numpy(), x.column("part").to_numpy(), np.frombuffer(b"".join(x.column("sig").to_pylist()), np.uint8).reshape(len(x), slots)) for x in (left, right)
-        )
-        also = right.column("apart").to_numpy()
-        out = []
-        for at in range(0, len(a), 64):
-            same = np.zeros((len(a[at : at + 64]), len(b)), np.float32)
-            for k in range(0, slots, 24):
-                same += (s[at : at + 64, None, k : k + 24] == t[None, :, k : k + 24]).sum(2, dtype=np.uint8)
-            # One slot in 256 agrees by chance.
-            estimate = (same / slots - 1 / 256) / (1 - 1 / 256)
-            x, y = np.nonzero((estimate >= least) & (p[at : at + 64, None] != q[None, :]) & (~also[None, :] | (a[at : at + 64, None] < b[None, :])))
-            out.append(np.stack([a[at + x], b[y]]))
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": both.min(0) if both.size else both[0], "b": both.max(0) if both.size else both[1]})
+        found = []
+        if len(left) and len(right):
+            (a, p, _, s, ka, sa), (b, q, also, t, kb, sb) = sides(left), sides(right)
+            for at in range(0, len(a), 64):
+                same = np.zeros((len(a[at : at + 64]), len(b)), np.float32)
+                for k in range(0, slots, 24):
+                    same += (s[at : at + 64, None, k : k + 24] == t[None, :, k : k + 24]).sum(2, dtype=np.uint8)
+                # One slot in 256 agrees by chance.
+                estimate = (same / slots - 1 / 256) / (1 - 1 / 256)
+                x, y = np.nonzero((estimate >= least) & (p[at : at + 64, None] != q[None, :]) & (~also[None, :] | (a[at : at + 64, None] < b[None, :])))
+                x = x + at
+                if len(x):
+                    first = (ka[x] == kb[y]).argmax(axis=1)
+                    here = ka[x, first] == key[0].as_py()
+                    found += [(min(a[i], b[j]), max(a[i], b[j])) for i, j in zip(x[here], y[here], strict=True) if probability_jaccard(*sa[i], *sb[j]) >= similarity]
+        return pa.table({"a": pa.array([int(x) for x, _ in found], pa.int64()), "b": pa.array([int(y) for _, y in found], pa.int64())})
 
     # Both come from one table: new names for the columns of one keep them apart.
     members = members.select(*[F.col(c).alias(c) for c in members.columns])
     return pairs_of.groupBy("key", "i", "j").cogroup(members.groupBy("key", "i", "j")).applyInArrow(compare, "a long, b long")
 
 
-def _open_pairs(placed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of one bucket that lie in different parts, one of them apart from the bucket's centre."""
-    small, large = placed.filter(F.col("n") <= SMALL), placed.filter(F.col("n") > SMALL)
+def _open_pairs(placed: DataFrame) -> DataFrame:
+    """Pairs of one small bucket that lie in different parts, one of them apart from the bucket's centre."""
+    small = placed.filter(F.col("n") <= SMALL)
     x = small.filter("apart").select("key", F.col("node").alias("x"), F.col("part").alias("x_part"))
     y = small.filter("node <> centre").select("key", F.col("node").alias("y"), F.col("part").alias("y_part"), F.col("apart").alias("y_apart"))
-    few = x.join(y, "key").filter("x_part <> y_part AND (x < y OR NOT y_apart)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return x.join(y, "key").filter("x_part <> y_part AND (x < y OR NOT y_apart)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
 
+def _open_links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between different parts in large buckets, compared in blocks of bounded size."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = large.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")}).join(nodes.select("node", "sig"), "node")
+    large = placed.filter(F.col("n") > SMALL)
+    large = large.join(large.filter("apart").select("key").distinct(), "key", "left_semi")
+    large = large.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")}).join(nodes.select("node", "sig", "keys"), "node").join(sets, "node")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = large.filter("apart").select("key", F.col("own").alias("i"), every.alias("j"), "node", "part", "apart", "sig")
-    right = large.filter("node <> centre").join(large.filter("apart").select("key").distinct(), "key", "left_semi").select("key", every.alias("i"), F.col("own").alias("j"), "node", "part", "apart", "sig")
-    return few.union(_alike(left, right, similarity)).distinct()
+    rest = ("node", "part", "apart", "sig", "keys", "hashes", "counts")
+    left = large.filter("apart").select("key", F.col("own").alias("i"), every.alias("j"), *rest)
+    right = large.filter("node <> centre").select("key", every.alias("i"), F.col("own").alias("j"), *rest)
+    return _alike(left, right, similarity)
+
+
+def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Bucket members with their part, the centre's part, and whether these differ."""
+    part = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"{s}_part"))
+    out = shared.join(part("node"), "node", "left").join(part("centre"), "centre", "left")
+    out = out.select("key", "n", "node", "met", "centre", F.coalesce("node_part", "node").alias("part"), F.coalesce("centre_part", "centre").alias("centre_part"))
+    return staged(out.withColumn("apart", F.col("part") != F.col("centre_part")), "placed")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -321,9 +346,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     buckets = members.groupBy("key").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
     shared = staged(members.join(buckets, "key"), "shared")
     ranked = shared.join(shared.groupBy("node").agg(F.sum("n").alias("met")), "node")
-    centres = ranked.groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("centre"))
-    shared = staged(shared.join(centres, "key"), "buckets")
-    pairs = staged(shared.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "pairs")
+    central = F.max_by("node", F.struct("met", "node")).alias("centre")
+    shared = staged(ranked.join(ranked.groupBy("key").agg(central), "key"), "buckets")
+    star = lambda df: df.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    pairs = staged(star(shared), "pairs")
 
     candidates = shared.select("node").distinct()
     wanted = nodes.join(candidates, "node", "left_semi").select("doc_id", "text_hash")
@@ -331,15 +357,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
         wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")), "left_semi"
     )
     sets = staged(_shingle_sets(texts), "sets")
+    n, different = sets.agg(F.count("*"), F.countDistinct("node")).first()
+    if n != different:  # repeated rows
+        sets = staged(sets.groupBy("node").agg(F.min(F.struct("hashes", "counts")).alias("s")).select("node", "s.hashes", "s.counts"), "sets")
 
     links = staged(_verify(pairs, sets, similarity), "verified")
     found = staged(components(links), "components")
-    part = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"{s}_part"))
-    placed = shared.join(part("node"), "node", "left").join(part("centre"), "centre", "left")
-    placed = placed.select("key", "n", "node", "centre", F.coalesce("node_part", "node").alias("part"), F.coalesce("centre_part", "centre").alias("centre_part"))
-    placed = staged(placed.withColumn("apart", F.col("part") != F.col("centre_part")), "placed")
-    again = staged(_open_pairs(placed, nodes, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = staged(_verify(again, sets, similarity), "verified")
+    placed = _placed(shared, found)
+    # Of what is apart, a second centre draws most of the rest together.
+    apart = placed.filter("apart").select("key", "node", "met")
+    second = star(apart.join(apart.groupBy("key").agg(central), "key"))
+    second = staged(second.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    links, pairs = links.union(staged(_verify(second, sets, similarity), "verified")), pairs.union(second)
+    found = staged(components(links), "components")
+    placed = _placed(shared, found)
+    again = staged(_open_pairs(placed).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _verify(again, sets, similarity).union(_open_links(placed, nodes, sets, similarity))
+    more = staged(more, "verified")
     if not more.isEmpty():
         found = staged(components(links.union(more)), "components")
     return found, rows
