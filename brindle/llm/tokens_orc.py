@@ -13,23 +13,21 @@ other text goes to the library as a whole. Both give the ids of the whole text.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import regex
+from pyspark.sql import DataFrame, functions as F
 
 from .common import read_table, shared_dir
 
 END = 0
-#: White space other than a newline at the start.
-ODD_SPACE = re.compile(r"(?!^\n)\s")
-HEAD = re.compile(r"[ \n][^\W\d_]*")
+HEAD = regex.compile(r"[ \n]\p{L}*")
 #: Pieces, and parts of pieces, that a worker remembers; beyond, it forgets those not met since it last had so many.
-REMEMBERED = 150_000
+REMEMBERED = 240_000
 STRIPE_BYTES = 16 << 20
 #: before: the ids before the row in its file; n: its own number of ids.
 SCHEMA = "doc_id long, file int, before long, n long, ids array<int>"
@@ -100,15 +98,18 @@ class PieceEncoder:
 
     def _piece(self, piece: str) -> bytes | None:
         """Ids of a piece; None if it holds other white space, or nothing."""
-        if not piece or ODD_SPACE.search(piece) or piece == "\n":
+        line = piece[:1] == "\n"
+        word = piece[1:] if line else piece
+        if word.isalpha():
+            return self.heads[piece if line else " " + piece]
+        if word.split() != [word]:
             return None
-        whole = piece if piece[0] == "\n" else " " + piece
+        whole = piece if line else " " + piece
         end = HEAD.match(whole).end()
         if end < 2:  # no letters first: the library splits it
             return self.tails[whole]
         # After letters the tokenizer always splits, so head and tail are encoded by themselves.
-        head = self.heads[whole[:end]]
-        return head if end == len(whole) else head + self.tails[whole[end:]]
+        return self.heads[whole[:end]] + self.tails[whole[end:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         for kept in (self.pieces, self.heads, self.tails):
