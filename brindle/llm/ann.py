@@ -244,7 +244,8 @@ def search_lists(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         pair_q = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
         pair_l = wanted.flatten().to_numpy()
         # Of each query the best so far: one list after the other is merged in, so memory holds one list's scores.
-        hold = k + 8
+        # A vector may come COPIES times.
+        hold = COPIES * (k + 1) + 8
         top, where = np.full((len(q), hold), -np.inf), np.full((len(q), hold), -1)
         for one in np.unique(pair_l):
             mine, who = np.flatnonzero(of == one), pair_q[pair_l == one]
