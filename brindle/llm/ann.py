@@ -128,7 +128,7 @@ class ListIndex:
     """Where rows go and where queries look."""
 
     def __init__(self, sample: np.ndarray, largest: float, rows: int, target: float = TARGET):
-        self.largest = largest
+        self.largest, self.copies, self.border = largest, COPIES, BORDER
         lists = 1 << max(0, int(np.log2(max(1, min(rows / LIST_ROWS, len(sample) / 8)))))
         x = lifted(sample, largest)
         self.graph = CentroidGraph(centroids_of(x, lists))
@@ -138,8 +138,8 @@ class ListIndex:
 
     def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and their lists: the nearest one and, for rows near a border, those beyond it."""
-        ids, dist = self.graph.search(lifted(x, self.largest), COPIES + 2)
-        near = dist[:, :COPIES] <= BORDER * dist[:, :1]
+        ids, dist = self.graph.search(lifted(x, self.largest), self.copies + 2)
+        near = dist[:, : self.copies] <= self.border * dist[:, :1]
         row, at = np.nonzero(near)
         return row, ids[row, at]
 
@@ -210,7 +210,7 @@ def search_lists(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     sample = _matrix(drawn.column("v").combine_chunks()) if len(drawn) else _matrix(nodes.limit(1).toArrow().column("v").combine_chunks())
     index = ListIndex(sample, float(np.sqrt(largest)), total)
     shared = spark.sparkContext.broadcast(index)
-    buckets = max(1, int(total * 1.5 / BUCKET_ROWS))
+    buckets, copies = max(1, int(total * 1.5 / BUCKET_ROWS)), index.copies
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -244,8 +244,8 @@ def search_lists(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
         pair_q = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
         pair_l = wanted.flatten().to_numpy()
         # Of each query the best so far: one list after the other is merged in, so memory holds one list's scores.
-        # A vector may come COPIES times.
-        hold = COPIES * (k + 1) + 8
+        # A vector may come as often as it was placed.
+        hold = copies * (k + 1) + 8
         top, where = np.full((len(q), hold), -np.inf), np.full((len(q), hold), -1)
         for one in np.unique(pair_l):
             mine, who = np.flatnonzero(of == one), pair_q[pair_l == one]

@@ -180,6 +180,18 @@ def test_recall_and_scores(spark):
         assert list(part["rank"]) == list(range(1, len(part) + 1)) and part.score.is_monotonic_decreasing
 
 
+def test_recall_with_border_copies(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BORDER", 1.2)
+    monkeypatch.setattr(ann, "LIST_ROWS", 64)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = ann.search_lists(df, lambda i: i % 50 == 0).toPandas()
+    want = ann.brute_force(np.arange(2000), x, np.arange(0, 2000, 50))
+    assert (rows.groupby("query_id").size() == ann.K).all()
+    assert len(want.merge(rows, left_on=["query_id", "vec_id"], right_on=["query_id", "id"])) >= 0.9 * len(want)
+
+
 def test_vectors_that_take_no_part_and_ties(spark):
     v = [[1.0, 0.0], [1.0, 0.0], [0.5, 0.5], None, [0.0, 0.0], [float("nan"), 1.0], [None, 1.0], [float("inf"), 1.0], [1.0], [0.0, 3.0]]
     rows = [(i, x) for i, x in enumerate(v)] + [(0, v[0]), (None, [1.0, 1.0])]
