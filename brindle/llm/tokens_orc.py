@@ -27,7 +27,7 @@ from .common import read_table, shared_dir
 END = 0
 HEAD = regex.compile(r"[ \n]\p{L}*")
 #: Pieces, and parts of pieces, that a worker remembers; beyond, it forgets those not met since it last had so many.
-REMEMBERED = 240_000
+REMEMBERED = 200_000
 STRIPE_BYTES = 16 << 20
 #: before: the ids before the row in its file; n: its own number of ids.
 SCHEMA = "doc_id long, file int, before long, n long, ids array<int>"
