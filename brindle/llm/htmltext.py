@@ -1,11 +1,13 @@
 """Main text of web pages by site template removal.
 
 Pages are parsed into elements; every element that may be template gets a hash of its subtree (tags and
-text, not attributes). Spark counts on how many pages of a host each hash occurs, with map-side combine.
-Subtrees that recur on many pages of their host are deleted, and so are elements that say themselves what
-they are (navigation, footers, forms, scripts, adverts, comments). If a page marks its article (article,
-main or role=main), the text is that of the article; prose inside it is never template, however often it
-recurs. What remains is joined block by block.
+text, not attributes). Spark counts on how many different pages of a host each hash occurs, with map-side
+combine; pages of the same text, their templates included, are one page. Subtrees that recur on many pages
+of their host are deleted, and so are elements that say themselves what they are (navigation, footers,
+forms, scripts, adverts, comments). Lines go whole or not at all, and a page keeps its prose where nothing
+else is left of it. If a page marks its article (article, main or role=main), the text is that of the
+article; prose inside it is never template, however often it recurs, nor is what holds the article. What
+remains is joined block by block.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import read_table, staged
 
-#: A subtree is template if it occurs on at least so many pages of its host, and on this share of them.
+#: A subtree is template if it occurs on at least so many different pages of its host, and on this share of all.
 #: The share bounds the templates of a host by the elements of an average page over it.
-MIN_PAGES = 3
+MIN_PAGES = 5
 MIN_SHARE = 0.005
 #: Share of an element's text that is in links for it to be a list of links.
 LINK_SHARE = 0.5
@@ -34,6 +36,8 @@ BLOCK = frozenset(
     "main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th tr tbody thead tfoot figcaption caption".split())
+# What stands in these is part of their text.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption".split())
 OWN_KIND = frozenset("nav footer aside form button dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 WORDS = frozenset(
@@ -52,10 +56,12 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "kind", "root", "parts", "chars", "linked", "hash", "events", "inside")
+    __slots__ = ("tag", "kind", "root", "parts", "chars", "linked", "hash", "events", "inside", "up", "in_line", "words", "holds_root")
 
-    def __init__(self, tag: str, kind: bool, root: bool, inside: bool, events: int):
-        self.tag, self.kind, self.root, self.inside, self.events = tag, kind, root, inside, events
+    def __init__(self, tag: str, kind: bool, root: bool, inside: bool, events: int, up: Element | None = None):
+        self.tag, self.kind, self.root, self.inside, self.events, self.up = tag, kind, root, inside, events, up
+        self.in_line = up is not None and (up.in_line or up.tag in LINES)
+        self.words = self.holds_root = False
         self.parts: list[bytes] = []
         self.chars = self.linked = 0
         self.hash = 0
@@ -99,6 +105,7 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
     def close() -> None:
         e = stack.pop()
         up = stack[-1]
+        up.holds_root |= e.root or e.holds_root
         if e.chars:
             e.hash = xxhash.xxh3_64_intdigest(e.tag.encode() + b"\0" + b"\0".join(e.parts)) - (1 << 63)
             up.parts.append(e.hash.to_bytes(8, "little", signed=True))
@@ -120,6 +127,7 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
             top = stack[-1]
             top.parts.append(solid.encode("utf-8", "surrogatepass"))
             top.chars += len(solid)
+            top.words = top.words or any(map(str.isalnum, solid))
 
     def close_to(names, bounds) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -170,7 +178,7 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
             events.append(("b",))
         in_root = stack[-1].inside
         kind, root = own_kind(tag, attributes, in_root)
-        e = Element(tag, kind, root and not kind, in_root or (root and not kind), len(events))
+        e = Element(tag, kind, root and not kind, in_root or (root and not kind), len(events), stack[-1])
         stack.append(e)
         events.append(("o", e))
     while len(stack) > 1:
@@ -179,24 +187,33 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
 
 
 def may_be_template(e: Element) -> bool:
-    """Outside the article, everything; in it, only lists of links that are no prose elements."""
+    """Outside the article, blocks and what stands in a line without bare words; in it, only lists of links that are no prose elements."""
+    if e.root or e.holds_root or e.tag in ("html", "body"):
+        return False
     if not e.inside:
-        return True
-    return not e.root and e.tag not in PROSE and e.linked >= LINK_SHARE * e.chars
+        return not e.in_line and (e.tag in BLOCK or ((not e.up.tag or e.up.tag in BLOCK) and not e.up.words))
+    return e.tag not in PROSE and e.linked >= LINK_SHARE * e.chars
 
 
-def template_hashes(html: str | None) -> set[int]:
-    return {e.hash for e in parse(html)[1] if may_be_template(e) and e.tag not in ("html", "body")} if html else set()
+def page_hashes(html: str | None) -> tuple[int, set[int]]:
+    """A hash of the text as it is with all templates, and those of the subtrees that may be template."""
+    import xxhash
+
+    events, closed = parse(html or "")
+    whole = xxhash.xxh3_64_intdigest("\n".join(_blocks(events, closed, frozenset())).encode("utf-8", "surrogatepass")) - (1 << 63)
+    return whole, {e.hash for e in closed if may_be_template(e)}
 
 
 def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """Blocks of the main text, one a line."""
-    if not html:
-        return ""
-    events, closed = parse(html)
-    gone = {id(e) for e in closed if e.kind or (e.hash in templates and may_be_template(e) and e.tag not in ("html", "body"))}
+    """Blocks of the main text, one a line. Templates that are no lists of links stay where nothing else would."""
+    return "\n".join(_blocks(*parse(html), templates)) if html else ""
+
+
+def _blocks(events: list[tuple], closed: list[Element], templates: frozenset[int] | set[int]) -> list[str]:
+    found = [e for e in closed if e.hash in templates and may_be_template(e)] if templates else []
 
-    def collect(marked: bool) -> list[str]:
+    def collect(marked: bool, templates: list[Element]) -> list[str]:
+        gone = {id(e) for e in templates}
         blocks, now, out, inside = [], [], 0, 0
         for event in events:
             kind = event[0]
@@ -216,27 +233,31 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
         blocks.append(" ".join("".join(now).split()))
         return [b for b in blocks if b]
 
-    blocks = collect(True) if any(e.root for e in closed) else []
-    return "\n".join(blocks or collect(False))
+    blocks = []
+    if any(e.root for e in closed):
+        blocks = collect(True, found) or (collect(True, []) if found else [])
+    blocks = blocks or collect(False, found)
+    return blocks or (collect(False, [e for e in found if e.linked >= LINK_SHARE * e.chars]) if found else [])
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hashes: the subtrees that recur on many pages of the host. pages has host and html."""
+    """host, hashes: the subtrees that recur on many different pages of the host. pages has host and html."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                hosts, found = [], []
+                hosts, found, texts = [], [], []
                 for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    mine = template_hashes(html)
+                    whole, mine = page_hashes(html)
                     hosts += [host] * len(mine)
                     found += mine
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "hash"])
+                    texts += [whole] * len(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(texts, pa.int64())], names=["host", "hash", "whole"])
 
     known = pages.filter("host IS NOT NULL").select("host", "html")
     total = known.groupBy("host").agg(F.count("*").alias("pages"))
-    often = known.mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    often = known.mapInArrow(hashes, "host string, hash long, whole long").groupBy("host", "hash").agg(F.count_distinct("whole").alias("n")).filter(F.col("n") >= min_pages)
     often = often.join(total, "host").filter(F.col("n") >= min_share * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
@@ -245,7 +266,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
     """All columns of pages but the html, and text_col.
 
     Null and empty html give an empty text, as does a page without text. Pages without a host (null or
-    odd url) have no templates. Repeated pages count as pages of their host. A column of pages named
+    odd url) have no templates. Pages of the same text count once. A column of pages named
     like text_col is replaced.
     """
     host = F.lower(F.regexp_extract(url_col, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1))

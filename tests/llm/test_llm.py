@@ -165,6 +165,23 @@ def test_articles_keep_recurring_prose(spark):
     assert all(r.text == f"Common line.\nOwn {r.page_id}." for r in out)
 
 
+def texts_of(spark, bodies):
+    rows = [(i, f"https://a.example/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return [r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_copies_and_shared_prose_keep_their_text(spark):
+    copy = "<nav>{}</nav><div><p>The same body.</p><p>In two parts.</p></div>"
+    assert texts_of(spark, [copy.format(i) for i in range(8)]) == ["The same body.\nIn two parts."] * 8
+    assert texts_of(spark, [f"<div><p>Shared by three.</p></div><p>Own {i}.</p>" for i in range(3)]) == [f"Shared by three.\nOwn {i}." for i in range(3)]
+    # Eight different pages, of which one has nothing but what it shares; its menu still goes.
+    box, menu = "<div><p>Seen on all.</p></div>", "<div><a href=/>Home</a></div>"
+    assert texts_of(spark, [f"{menu}{box}<p>Own {i}.</p>" for i in range(7)] + [menu + box])[6:] == ["Own 6.", "Seen on all."]
+    # Words in a line stay, and so does an article in a box that recurs.
+    assert texts_of(spark, [f"<p>{i} is <em>not</em> so</p><div>nor <b>is</b> {i}</div>" for i in range(8)]) == [f"{i} is not so\nnor is {i}" for i in range(8)]
+    assert texts_of(spark, [f"<p>{i}</p><div><article><p>Same.</p></article></div>" for i in range(8)]) == ["Same."] * 8
+
+
 # 4. Nearest neighbours
 
 
