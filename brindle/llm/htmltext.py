@@ -27,6 +27,8 @@ MIN_PAGES = 5
 MIN_SHARE = 0.005
 #: Share of an element's text that is in links for it to be a list of links.
 LINK_SHARE = 0.5
+#: Links that a list within an article has at least, if it may be template.
+LINKS = 3
 
 # Names of the HTML standard and usual words in class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +40,9 @@ BLOCK = frozenset(
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th tr tbody thead tfoot figcaption caption".split())
 # What stands in these is part of their text.
 LINES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# What a list of links within an article may be.
+LISTS = frozenset("ul ol div section".split())
 OWN_KIND = frozenset("nav footer aside form button dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 WORDS = frozenset(
@@ -56,12 +61,14 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "kind", "root", "parts", "chars", "linked", "hash", "events", "inside", "up", "in_line", "words", "holds_root")
+    __slots__ = ("tag", "kind", "root", "parts", "chars", "linked", "hash", "events", "inside", "up", "in_line", "in_prose", "words", "holds_root", "holds_prose", "links")
 
     def __init__(self, tag: str, kind: bool, root: bool, inside: bool, events: int, up: Element | None = None):
         self.tag, self.kind, self.root, self.inside, self.events, self.up = tag, kind, root, inside, events, up
         self.in_line = up is not None and (up.in_line or up.tag in LINES)
-        self.words = self.holds_root = False
+        self.in_prose = up is not None and (up.in_prose or up.tag in PROSE)
+        self.words = self.holds_root = self.holds_prose = False
+        self.links = 0
         self.parts: list[bytes] = []
         self.chars = self.linked = 0
         self.hash = 0
@@ -111,6 +118,8 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
             up.parts.append(e.hash.to_bytes(8, "little", signed=True))
             up.chars += e.chars
             up.linked += e.chars if e.tag == "a" else e.linked
+            up.links += 1 if e.tag == "a" else e.links
+            up.holds_prose |= e.holds_prose or (e.tag in PROSE and e.tag not in HEADINGS) or (e.tag in LISTS and e.words)
             closed.append(e)
         events.append(("c", e))
         if e.tag in BLOCK:
@@ -187,12 +196,12 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
 
 
 def may_be_template(e: Element) -> bool:
-    """Outside the article, blocks and what stands in a line without bare words; in it, only lists of links that are no prose elements."""
+    """Outside the article, blocks and what stands in a line without bare words; in it, only whole lists of links, neither in prose nor with prose."""
     if e.root or e.holds_root or e.tag in ("html", "body"):
         return False
     if not e.inside:
         return not e.in_line and (e.tag in BLOCK or ((not e.up.tag or e.up.tag in BLOCK) and not e.up.words))
-    return e.tag not in PROSE and e.linked >= LINK_SHARE * e.chars
+    return e.tag in LISTS and not (e.in_prose or e.holds_prose or e.words) and e.links >= LINKS and e.linked >= LINK_SHARE * e.chars
 
 
 def page_hashes(html: str | None) -> tuple[int, set[int]]:

@@ -182,6 +182,15 @@ def test_copies_and_shared_prose_keep_their_text(spark):
     assert texts_of(spark, [f"<p>{i}</p><div><article><p>Same.</p></article></div>" for i in range(8)]) == ["Same."] * 8
 
 
+def test_articles_keep_their_links(spark):
+    menu = "<ul><li><a href=/a>Older</a></li><li><a href=/b>Newer</a></li><li><a href=/c>All</a></li></ul>"
+    page = (
+        "<article><p>Own {}<sup><a href=#1>[1]</a></sup> by <em><a href=/r>Reuters</a></em>.</p><ol><li><a href=/p>Python</a></li><li>Own {} too</li></ol>"
+        "<div><a href=/s>Source</a></div><div>See <a>one</a>, <a>two</a>, <a>three</a></div><div><p><a>Said A</a> <a>and B</a> <a>and C</a>.</p></div><table><tr><td>" + menu + "</td></tr></table>" + menu + "</article>"
+    )
+    assert texts_of(spark, [page.format(i, i) for i in range(8)]) == [f"Own {i}[1] by Reuters.\nPython\nOwn {i} too\nSource\nSee one, two, three\nSaid A and B and C.\nOlder\nNewer\nAll" for i in range(8)]
+
+
 # 4. Nearest neighbours
 
 
