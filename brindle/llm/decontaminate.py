@@ -174,7 +174,8 @@ def find_spans(
 
     Null and empty texts have no words and no spans; an item without words never occurs; repeated rows
     are kept as they are. spans are disjoint ranges of word positions, ascending; items are item ids as
-    strings, sorted. Columns of docs named like the three new ones are replaced.
+    strings, sorted. All items of null id are one item without a name: its words count, it stands first as
+    a null and is left out of digests. Columns of docs named like the three new ones are replaced.
     """
     sc = docs.sparkSession.sparkContext
     parts = _parts(benchmark, item_col, item_text_col, part_words)
@@ -206,7 +207,7 @@ def _scan(df: DataFrame, automaton, text_col: str, carry_text: bool, merge: bool
                         i = i.union(part.column("items")[k].as_py())
                     counts.append(n)
                     spans.append([{"first": x, "last": y} for x, y in s])
-                    items.append(sorted(i))
+                    items.append(sorted(i, key=lambda x: (x is not None, x or "")))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(x) for x in names), pa.array(counts, pa.int64()), pa.array(spans, _PA_SPANS), pa.array(items, pa.list_(pa.string()))],
                     names=[*names, *added.names],

@@ -129,6 +129,20 @@ def test_removal(spark):
     assert decontaminate.find_spans(documents(spark, ODD), bench.limit(0)).filter(F.size("spans") > 0).count() == 0
 
 
+def test_items_of_null_id(spark, tmp_path):
+    from oracle import same
+
+    texts = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcd"]
+    docs = [texts[0], " ".join(texts[:2]), " ".join([texts[3], texts[1], texts[2]]), "none of them", None]
+    documents(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    bench = spark.createDataFrame([(None, texts[0]), (5, texts[1]), (None, texts[2]), (10, texts[3])], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert same(decontaminate.op2_decontaminate(spark, str(tmp_path)), queries.OP2_SQL, str(tmp_path)) == 5
+    for part_words in (1_000_000, 1):
+        found = decontaminate.find_spans(documents(spark, docs), bench, part_words=part_words).orderBy("doc_id").collect()
+        assert [r["items"] for r in found] == [[None], [None, "5"], [None, "10", "5"], [], []]
+
+
 # 3. HTML
 
 
