@@ -13,7 +13,7 @@ remains is joined block by block.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -21,10 +21,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import read_table, staged
 
-#: A subtree is template if it occurs on at least so many different pages of its host, and on this share of all.
-#: The share bounds the templates of a host by the elements of an average page over it.
+#: A subtree is template if it occurs on at least so many different pages of its host, however large the host.
 MIN_PAGES = 5
-MIN_SHARE = 0.005
 #: Share of an element's text that is in links for it to be a list of links.
 LINK_SHARE = 0.5
 #: Links that a list within an article has at least, if it may be template.
@@ -204,13 +202,15 @@ def may_be_template(e: Element) -> bool:
     return e.tag in LISTS and not (e.in_prose or e.holds_prose or e.words) and e.links >= LINKS and e.linked >= LINK_SHARE * e.chars
 
 
-def page_hashes(html: str | None) -> tuple[int, set[int]]:
-    """A hash of the text as it is with all templates, and those of the subtrees that may be template."""
+def page_hashes(html: str | None) -> tuple[int, set[int], set[int]]:
+    """A hash of the text as it is with all templates, those of the subtrees that may be template, and those of them that can change the text."""
     import xxhash
 
     events, closed = parse(html or "")
     whole = xxhash.xxh3_64_intdigest("\n".join(_blocks(events, closed, frozenset())).encode("utf-8", "surrogatepass")) - (1 << 63)
-    return whole, {e.hash for e in closed if may_be_template(e)}
+    may = [e for e in closed if may_be_template(e)]
+    marked = any(e.root for e in closed) and bool(_collect(events, True, ()))
+    return whole, {e.hash for e in may}, {e.hash for e in may if e.inside or not marked}
 
 
 def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -218,57 +218,64 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
     return "\n".join(_blocks(*parse(html), templates)) if html else ""
 
 
-def _blocks(events: list[tuple], closed: list[Element], templates: frozenset[int] | set[int]) -> list[str]:
-    found = [e for e in closed if e.hash in templates and may_be_template(e)] if templates else []
+def _collect(events: list[tuple], marked: bool, templates: Iterable[Element]) -> list[str]:
+    """The blocks outside templates and boilerplate, if marked only those within the article."""
+    gone = {id(e) for e in templates}
+    blocks, now, out, inside = [], [], 0, 0
+    for event in events:
+        kind = event[0]
+        if kind == "t":
+            if not out and (inside or not marked):
+                now.append(event[1])
+        elif kind == "b":
+            if now:
+                blocks.append(" ".join("".join(now).split()))
+                now = []
+        elif kind == "o":
+            out += id(event[1]) in gone or event[1].kind
+            inside += event[1].root
+        else:
+            out -= id(event[1]) in gone or event[1].kind
+            inside -= event[1].root
+    blocks.append(" ".join("".join(now).split()))
+    return [b for b in blocks if b]
 
-    def collect(marked: bool, templates: list[Element]) -> list[str]:
-        gone = {id(e) for e in templates}
-        blocks, now, out, inside = [], [], 0, 0
-        for event in events:
-            kind = event[0]
-            if kind == "t":
-                if not out and (inside or not marked):
-                    now.append(event[1])
-            elif kind == "b":
-                if now:
-                    blocks.append(" ".join("".join(now).split()))
-                    now = []
-            elif kind == "o":
-                out += id(event[1]) in gone or event[1].kind
-                inside += event[1].root
-            else:
-                out -= id(event[1]) in gone or event[1].kind
-                inside -= event[1].root
-        blocks.append(" ".join("".join(now).split()))
-        return [b for b in blocks if b]
 
+def _blocks(events: list[tuple], closed: list[Element], templates: frozenset[int] | set[int]) -> list[str]:
+    found = [e for e in closed if e.hash in templates and may_be_template(e)] if templates else []
     blocks = []
     if any(e.root for e in closed):
-        blocks = collect(True, found) or (collect(True, []) if found else [])
-    blocks = blocks or collect(False, found)
-    return blocks or (collect(False, [e for e in found if e.linked >= LINK_SHARE * e.chars]) if found else [])
+        blocks = _collect(events, True, found) or (_collect(events, True, ()) if found else [])
+    blocks = blocks or _collect(events, False, found)
+    return blocks or (_collect(events, False, [e for e in found if e.linked >= LINK_SHARE * e.chars]) if found else [])
+
 
+def page_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, page, hashes: the subtrees of a page that recur on many different pages of the host.
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hashes: the subtrees that recur on many different pages of the host. pages has host and html."""
+    pages has host, page (a key of the html) and html. Only pages whose text templates can change are in
+    the result. Nothing is collected by host: what a row holds is bounded by the elements of its page.
+    """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                hosts, found, texts = [], [], []
-                for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    whole, mine = page_hashes(html)
+                hosts, keys, found, texts = [], [], [], []
+                for host, key, html in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    whole, mine, used = page_hashes(html)
                     hosts += [host] * len(mine)
+                    keys += [key if h in used else None for h in mine]
                     found += mine
                     texts += [whole] * len(mine)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(texts, pa.int64())], names=["host", "hash", "whole"])
+                columns = [pa.array(hosts, pa.string()), pa.array(keys, pa.binary()), pa.array(found, pa.int64()), pa.array(texts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "hash", "whole"])
 
-    known = pages.filter("host IS NOT NULL").select("host", "html")
-    total = known.groupBy("host").agg(F.count("*").alias("pages"))
-    often = known.mapInArrow(hashes, "host string, hash long, whole long").groupBy("host", "hash").agg(F.count_distinct("whole").alias("n")).filter(F.col("n") >= min_pages)
-    often = often.join(total, "host").filter(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    known = pages.filter("host IS NOT NULL AND html IS NOT NULL").select("host", "page", "html")
+    rows = staged(known.mapInArrow(hashes, "host string, page binary, hash long, whole long"), "subtrees")
+    often = rows.groupBy("host", "hash").agg(F.count_distinct("whole").alias("n")).filter(F.col("n") >= min_pages).select("host", "hash")
+    used = rows.filter("page IS NOT NULL").select("host", "page", "hash").distinct()
+    return used.join(often, ["host", "hash"]).groupBy("host", "page").agg(F.collect_list("hash").alias("hashes"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -280,25 +287,18 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
     """
     host = F.lower(F.regexp_extract(url_col, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1))
     pages = pages.drop(text_col)
-    keyed = pages.withColumn("__host", F.when(host != "", host))
-    found = staged(site_templates(keyed.select(F.col("__host").alias("host"), F.col(html_col).alias("html"))), "templates")
-    # The table is written, so Spark knows its size and broadcasts it if it is small; else it joins by host.
-    ready = keyed.join(found.select(F.col("host").alias("__host"), F.col("hashes").alias("__hashes")), "__host", "left")
+    keyed = pages.withColumn("__host", F.when(host != "", host)).withColumn("__page", F.unhex(F.md5(F.col(html_col).cast("binary"))))
+    found = staged(page_templates(keyed.select(F.col("__host").alias("host"), F.col("__page").alias("page"), F.col(html_col).alias("html"))), "templates")
+    # The table is written, so Spark knows its size and broadcasts it if it is small; else it joins by page.
+    ready = keyed.join(found.select(F.col("host").alias("__host"), F.col("page").alias("__page"), F.col("hashes").alias("__hashes")), ["__host", "__page"], "left")
     names = [c for c in pages.columns if c != html_col]
     schema = T.StructType([*(f for f in pages.schema.fields if f.name != html_col), T.StructField(text_col, T.StringType())])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, frozenset[int]] = {}
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                out = []
-                for k, (host, html) in enumerate(zip(part.column("__host").to_pylist(), part.column(html_col).to_pylist(), strict=True)):
-                    if host is not None and host not in sets:
-                        if len(sets) >= 256:
-                            sets.clear()
-                        sets[host] = frozenset(part.column("__hashes")[k].as_py() or ())
-                    out.append(main_text(html, sets[host] if host is not None else frozenset()))
+                out = [main_text(html, frozenset(hashes or ())) for html, hashes in zip(part.column(html_col).to_pylist(), part.column("__hashes").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(out, pa.string())], names=[*names, text_col])
 
     return ready.mapInArrow(texts, schema)

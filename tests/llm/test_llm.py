@@ -205,6 +205,13 @@ def test_articles_keep_their_links(spark):
     assert texts_of(spark, [page.format(i, i) for i in range(8)]) == [f"Own {i}[1] by Reuters.\nPython\nOwn {i} too\nSource\nSee one, two, three\nSaid A and B and C.\nOlder\nNewer\nAll" for i in range(8)]
 
 
+def test_templates_of_a_part_of_a_large_host(spark):
+    # A notice on 6 of 1,300 pages of the host: more than the fixed number, less than 0.5 % of them.
+    notice = "<div><p>Notice of one section.</p></div>"
+    out = texts_of(spark, [(notice if i < 6 else "") + f"<p>Own {i}.</p>" for i in range(1300)])
+    assert out == [f"Own {i}." for i in range(1300)]
+
+
 # 4. Nearest neighbours
 
 
