@@ -212,6 +212,13 @@ def test_templates_of_a_part_of_a_large_host(spark):
     assert out == [f"Own {i}." for i in range(1300)]
 
 
+def test_templates_change_no_given_page(spark):
+    # What the README says of the given tables.
+    for row in read_table(spark, SF_SMALL, "pages").collect():
+        whole, may, used = htmltext.page_hashes(row.html)
+        assert may and not used and htmltext.main_text(row.html, may) == htmltext.main_text(row.html) != ""
+
+
 # 4. Nearest neighbours
 
 
