@@ -540,6 +540,23 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()}.isdisjoint({0, 1, 2, 6})
 
 
+UNLEARNED = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+]
+
+
+def test_unlearned_languages_of_latin_letters_go(spark):
+    docs = read_table(spark, SF, "documents")
+    more = documents(spark, UNLEARNED).withColumns({"doc_id": F.col("doc_id") - 100, "lang": F.lit(None).cast("string")}).select(*docs.columns)
+    kept = {r.doc_id for r in langid.reject_unidentified(docs.unionByName(more)).collect()}
+    assert kept.isdisjoint(range(-100, 0))
+    # Of the learned languages, nothing that has a letter goes.
+    assert kept == {r.doc_id for r in langid.identify(docs).filter("lang_pred <> 'und'").collect()}
+
+
 # The pipeline
 
 
