@@ -21,6 +21,11 @@ def test_rows(spark, name):
     assert df.count() > 0 and df.columns
 
 
+def test_number_mask_reads_documents(spark):
+    out = QUERIES["number_mask_documents"](spark, SF_SMALL)
+    assert out.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count() and out.filter("text LIKE '%<NUM>%'").count() > 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
