@@ -159,20 +159,26 @@ def folder_completeness(spark, sf):
     return J.completeness(spine, table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month")), "month")
 
 
-PANEL = """q AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS date, round_even(sum(o_totalprice), 2) AS revenue, count(*) AS shares, count(*) FILTER (WHERE o_orderstatus = 'F') AS debt, count(*) FILTER (WHERE o_orderstatus = 'Z') AS equity FROM orders GROUP BY 1)"""
+PANEL = """q AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS date, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS revenue, count(*) AS shares, count(*) FILTER (WHERE o_orderstatus = 'F') AS debt, count(*) FILTER (WHERE o_orderstatus = 'Z') AS equity FROM orders GROUP BY 1)"""
 
 
-@query(f"""WITH {PANEL}, t AS (SELECT *, CASE WHEN count(revenue) OVER w >= 2 THEN sum(revenue) OVER w END AS ttm FROM q WINDOW w AS (ORDER BY date ROWS 3 PRECEDING))
-SELECT date, round_even(revenue * shares / nullif(ttm, 0), 6) AS p_s, round_even(ttm / nullif(shares, 0), 4) AS eps, debt / nullif(CAST(equity AS DOUBLE), 0) AS debt_equity, round_even(revenue * shares + debt - equity, 2) AS ev FROM t""")
+def half_even(cents: str, by: str, places: int) -> str:
+    """SQL of a number of cents over a whole number, to so many places, ties to the even digit: in whole numbers, as DuckDB divides decimals as doubles."""
+    n, d = f"(({cents}) * {10 ** (places - 2)}::HUGEINT)", f"nullif(CAST({by} AS HUGEINT), 0)"
+    return f"CAST({n} // {d} + CASE WHEN 2 * ({n} % {d}) > {d} OR (2 * ({n} % {d}) = {d} AND ({n} // {d}) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / {10 ** places}"
+
+
+@query(f"""WITH {PANEL}, c AS (SELECT *, CAST(revenue * 100 AS HUGEINT) AS cents FROM q), t AS (SELECT *, CASE WHEN count(cents) OVER w >= 2 THEN CAST(sum(cents) OVER w AS HUGEINT) END AS ttm FROM c WINDOW w AS (ORDER BY date ROWS 3 PRECEDING))
+SELECT date, {half_even('cents * shares * 100', 'ttm', 6)} AS p_s, {half_even('ttm', 'shares', 4)} AS eps, debt / nullif(CAST(equity AS DOUBLE), 0) AS debt_equity, CAST(cents * shares + (debt - equity) * 100 AS DOUBLE) / 100 AS ev FROM t""")
 def panel_ratios(spark, sf):
-    """W5, M3, M4; a zero denominator gives null."""
+    """W5, M3, M4 in decimals; a zero denominator gives null."""
     q = table(spark, sf, "orders").groupBy(F.last_day(F.to_date("o_orderdate")).alias("date")).agg(
-        F.bround(F.sum("o_totalprice"), 2).alias("revenue"), F.count("*").alias("shares"), F.count_if(F.col("o_orderstatus") == "F").alias("debt"), F.count_if(F.col("o_orderstatus") == "Z").alias("equity")
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("revenue"), F.count("*").alias("shares"), F.count_if(F.col("o_orderstatus") == "F").alias("debt"), F.count_if(F.col("o_orderstatus") == "Z").alias("equity")
     )
-    q = q.withColumn("ttm", W.trailing_sum("revenue", "date"))
-    cap = F.col("revenue") * F.col("shares")
-    return q.select("date", F.bround(M.ratio(cap, F.col("ttm")), 6).alias("p_s"), F.bround(M.ratio(F.col("ttm"), F.col("shares").cast("double")), 4).alias("eps"),
-                    M.ratio(F.col("debt").cast("double"), F.col("equity").cast("double")).alias("debt_equity"), F.bround(M.enterprise_value(cap, F.col("debt"), F.col("equity")), 2).alias("ev"))
+    q = q.withColumn("ttm", W.trailing_sum("revenue", "date").cast("decimal(20,2)"))
+    shares, cap = F.col("shares").cast("decimal(8,0)"), F.col("revenue").cast("decimal(18,2)") * F.col("shares").cast("decimal(8,0)")
+    return q.select("date", F.bround(M.ratio(cap, F.col("ttm")), 6).cast("double").alias("p_s"), F.bround(M.ratio(F.col("ttm"), shares), 4).cast("double").alias("eps"),
+                    M.ratio(F.col("debt").cast("double"), F.col("equity").cast("double")).alias("debt_equity"), M.enterprise_value(cap, F.col("debt"), F.col("equity")).cast("double").alias("ev"))
 
 
 @query(f"""WITH {DAILY}, s AS (SELECT date, value, row_number() OVER (ORDER BY date) AS t FROM daily), e AS (SELECT date AS event_day, t FROM s WHERE day(date) IN (10, 20))
