@@ -70,20 +70,30 @@ def as_text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("nan"))
 
 
+def once(c: Column, f) -> Column:
+    """f of c, which is computed once however often f uses it: its column is a lambda's variable."""
+    return F.transform(F.array(c), f)[0]
+
+
+def only_if(pattern: str, f):
+    """f for the texts that match the pattern, which is cheaper to look for than what f does."""
+    return lambda c: once(c, lambda x: F.when(x.rlike(pattern), f(x)).otherwise(x))
+
+
 def mask_urls(c: Column) -> Column:
-    return F.regexp_replace(c, URL, "<URL>")
+    return only_if("(?i)http|www", lambda x: F.regexp_replace(x, URL, "<URL>"))(c)
 
 
 def mask_emails(c: Column) -> Column:
-    return F.regexp_replace(c, EMAIL, "<EMAIL>")
+    return only_if("@", lambda x: F.regexp_replace(x, EMAIL, "<EMAIL>"))(c)
 
 
 def mask_phones(c: Column) -> Column:
-    return F.regexp_replace(c, PHONE, "<PHONE>")
+    return only_if(r"(?U)\d{2}", lambda x: F.regexp_replace(x, PHONE, "<PHONE>"))(c)
 
 
 def mask_mentions(c: Column) -> Column:
-    return F.regexp_replace(c, MENTION, "<USER>")
+    return only_if("@", lambda x: F.regexp_replace(x, MENTION, "<USER>"))(c)
 
 
 def mask_numbers(c: Column) -> Column:
@@ -92,8 +102,9 @@ def mask_numbers(c: Column) -> Column:
 
 def split_hashtags(c: Column) -> Column:
     """Drop # and split the tag where a small letter meets a capital; text outside tags stays as it is."""
-    spaced = F.regexp_replace(c, r"(?U)(?<=#\w{0,256}[a-z])(?=[A-Z]\w*)", " ")
-    return F.regexp_replace(spaced, HASHTAG, "$1")
+    tag = lambda p: F.regexp_replace(p, r"(?U)\G(\w*?[a-z])(?=[A-Z])", "$1 ")
+    part = lambda p, i: F.when(i == 0, p).when(p.rlike(r"(?U)^\w"), tag(p)).otherwise(F.concat(F.lit("#"), p))
+    return F.array_join(F.transform(F.split(c, "#", -1), part), "")
 
 
 def mask_entities(c: Column, numbers: bool = False) -> Column:
@@ -111,9 +122,13 @@ def remove_boilerplate(c: Column, patterns: Sequence[str] = BOILERPLATE) -> Colu
     """Each pattern out, whatever its case; white space collapses only if there are patterns."""
     if not patterns:
         return c
-    for p in patterns:
-        c = F.regexp_replace(c, f"(?iu){p}", "")
-    return collapse(c)
+
+    def out(x: Column) -> Column:
+        for p in patterns:
+            x = F.regexp_replace(x, f"(?iu){p}", "")
+        return x
+
+    return collapse(only_if("(?iu)" + "|".join(f"(?:{p})" for p in patterns), out)(c))
 
 
 def is_bot_post(c: Column) -> Column:
@@ -124,24 +139,24 @@ def replace_emoticons(c: Column) -> Column:
     """Single pass, longest key first: the text is cut at every key, and keys are looked up."""
     pattern = "|".join(re.escape(k) for k in sorted(EMOTICONS, key=len, reverse=True))
     table = F.create_map(*[F.lit(x) for kv in EMOTICONS.items() for x in kv])
-    found = F.regexp_extract_all(c, F.lit(f"({pattern})"))
-    rest = F.split(c, pattern, -1)
-    pieces = F.zip_with(rest, F.transform(found, lambda k: table[k]), lambda r, k: F.concat(r, F.coalesce(k, F.lit(""))))
-    return F.concat_ws("", pieces)
 
+    def replaced(x: Column) -> Column:
+        found = F.regexp_extract_all(x, F.lit(f"({pattern})"))
+        pieces = F.zip_with(F.split(x, pattern, -1), F.transform(found, lambda k: table[k]), lambda r, k: F.concat(r, F.coalesce(k, F.lit(""))))
+        return F.array_join(pieces, "")
 
-def negation_scope(c: Column, window: int = 3) -> Column:
-    """A cue and the next `window` tokens joined by _; scopes don't overlap, the scan goes on after each."""
-    cue = lambda t: F.regexp_replace(F.lower(t), r"[.,;:!?]+$", "").isin(*NEGATIONS) | F.regexp_replace(F.lower(t), r"[.,;:!?]+$", "").endswith("n't")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("left"))
+    return only_if(pattern, replaced)(c)
 
-    def step(acc, t):
-        joined = F.concat(F.slice(acc["done"], 1, F.size(acc["done"]) - 1), F.array(F.concat(F.element_at(acc["done"], -1), F.lit("_"), t)))
-        inside = F.struct(joined.alias("done"), (acc["left"] - 1).alias("left"))
-        outside = F.struct(F.concat(acc["done"], F.array(t)).alias("done"), F.when(cue(t), F.lit(window)).otherwise(F.lit(0)).alias("left"))
-        return F.when(acc["left"] > 0, inside).otherwise(outside)
 
-    return F.aggregate(tokens(c), start, step, lambda acc: F.concat_ws(" ", acc["done"]))
+def negation_scope(c: Column, window: int = 3) -> Column:
+    """A cue and the next `window` tokens joined by _; scopes don't overlap, the scan goes on after each.
+
+    Scopes are put between two noncharacters of Unicode (U+FDD0, U+FDD1), which no text should hold.
+    """
+    words = "|".join(re.escape(w) for w in NEGATIONS)
+    cue = rf"(?<![^ ])(?i:(?:{words}|[^ ]*n't)[.,;:!?]*)(?![^ ])(?: [^ ]+){{0,{window}}}"
+    marked = F.regexp_replace(collapse(c), cue, "\ufdd0$0\ufdd1")
+    return F.array_join(F.transform(F.split(marked, "[\ufdd0\ufdd1]", -1), lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(" "), F.lit("_"))).otherwise(p)), "")
 
 
 def remove_stopwords(c: Column, words: Sequence[str] = tuple(STOPWORDS), keep: Sequence[str] = NEGATIONS) -> Column:

@@ -111,7 +111,16 @@ def negation_scope(spark, sf):
     return literals(spark, NEGATED).select("id", X.negation_scope(F.col("text")).alias("text"))
 
 
-@query()
+def negation_sql(text: str, window: int = 3) -> str:
+    """Scopes between marks, then blanks within marks to _. Blanks are doubled first, so that each token has its own on both sides."""
+    words = "|".join(w.replace("'", "''") for w in X.NEGATIONS)
+    padded = f"' ' || replace(trim({_re(text, S_ + '+', ' ')}), ' ', '  ') || ' '"
+    marked = _re(padded, rf" ((?i:(?:{words}|[^ ]*n''t)[.,;:!?]*)(?:  [^ ]+){{0,{window}}}) ", " \x01\\1\x02 ")
+    inside = f"list_transform(regexp_split_to_array({marked}, '[\x01\x02]'), lambda p, i: CASE WHEN i % 2 = 0 THEN replace(p, '  ', '_') ELSE p END)"
+    return f"trim(replace(array_to_string({inside}, ''), '  ', ' '))"
+
+
+@query(f"SELECT doc_id, {negation_sql('text')} AS text FROM documents")
 def negation_scope_documents(spark, sf):
     """F13 on all documents."""
     return table(spark, sf, "documents").select("doc_id", X.negation_scope(F.col("text")).alias("text"))
@@ -296,7 +305,26 @@ def lang_detect(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "lang", L.stopword_language(F.col("text")).alias("lang_pred"))
 
 
-@query()
+def emoticons_sql(text: str) -> str:
+    """Keys between marks in one pass, longest first, then each mark's key by its name."""
+    keys = sorted(X.EMOTICONS, key=len, reverse=True)
+    quoted = lambda k: k.replace("'", "''")
+    pattern = "|".join("".join(f"\\{c}" if c in "()" else c for c in quoted(k)) for k in keys)
+    out = _re(text, f"({pattern})", "\x03\\1\x04")
+    for k in keys:
+        out = f"replace({out}, '\x03{quoted(k)}\x04', '{X.EMOTICONS[k]}')"
+    return out
+
+
+BOILERPLATE_SQL = "text"
+for _p in X.BOILERPLATE:
+    BOILERPLATE_SQL = _re(BOILERPLATE_SQL, f"(?i){_p}", "")
+BOILERPLATE_SQL = f"trim({_re(BOILERPLATE_SQL, S_ + '+', ' ')})"
+# The steps after NFKC, which SQL has not: the documents hold nothing that NFKC or the mending of encodings changes.
+CLEAN_SQL = negation_sql(emoticons_sql(PUNCT_SQL.replace("(text,", f"({BOILERPLATE_SQL},", 1)))
+
+
+@query(f"SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN '' ELSE {CLEAN_SQL} END AS text_clean FROM documents")
 def unicode_clean(spark, sf):
     """F1, F2-F13, F16 on all documents, through one Arrow UDF for NFKC."""
     return table(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text"), window=3).alias("text_clean"))
