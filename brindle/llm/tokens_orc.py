@@ -5,29 +5,37 @@ come in ascending order; each row holds its ids and the number of ids before it
 the ids as run-length integers, keeps min and max of every 10,000 rows and, for doc_id, a Bloom filter;
 a reader opens stripes in parallel and skips those whose index excludes an id.
 
-The tokenizer splits words before it merges bytes, and it always splits between a character that is not
-white space and a single blank or newline, and after letters. So a text without other white space is cut
-there, every piece is encoded once by the library and remembered, and the ids of the pieces are joined; any
-other text goes to the library as a whole. Both give the ids of the whole text.
+All ids come from the library's encoding of texts, by a tokenizer as its file has it. The tokenizer of the
+given file always splits words before a single blank that is followed by anything but white space, so the
+texts of a batch are cut there, each distinct piece is encoded once, and the ids of the pieces are joined.
+Texts with other blanks (before white space or at the end), texts with an added token of the tokenizer, and
+all texts of tokenizers that split words otherwise are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import read_table, shared_dir
 
 END = 0
-HEAD = regex.compile(r"[ \n]\p{L}*")
-#: Pieces, and parts of pieces, that a worker remembers; beyond, it forgets those not met since it last had so many.
-REMEMBERED = 200_000
+#: Bytes of text that are encoded at a time, and pieces in one text that the library gets.
+CHUNK_BYTES = 8 << 20
+JOINED = 2_000
+#: Bytes of pieces and their ids that a worker keeps from one chunk to the next.
+KEPT_BYTES = 16 << 20
+#: Bytes of text for each file on average, at most.
+FILE_BYTES = 256 << 20
+# A blank before white space (by any library's list of it) or at the end.
+LONE_BLANK = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
 STRIPE_BYTES = 16 << 20
 #: before: the ids before the row in its file; n: its own number of ids.
 SCHEMA = "doc_id long, file int, before long, n long, ids array<int>"
@@ -38,123 +46,147 @@ ORC_OPTIONS = {
 }
 
 
-def _byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next free one from U+0100."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+class TextEncoder:
+    """Ids of whole texts, many at a time."""
 
-
-BYTE_LETTERS = _byte_letters()
-
-
-class _Remembered(dict):
-    """Makes what is missing; when it is full, what was not met since the last time goes."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key: str):
-        value = self[key] = self.old[key] if key in self.old else self.make(key)
-        return value
-
-    def rotate(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-
-
-class PieceEncoder:
-    """Ids of whole texts as little-endian int32 bytes."""
-
-    _open: dict[str, PieceEncoder] = {}
+    _open: dict[str, TextEncoder] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.newline = self._ids("\n")
-        self.pieces = _Remembered(self._piece, REMEMBERED)
-        self.heads = _Remembered(self._head, 2 * REMEMBERED)
-        self.tails = _Remembered(self._ids, REMEMBERED // 4)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # Whether an id's token begins with a blank, which a byte-level vocabulary shows as U+0120.
+        self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.blank[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut = self._splits_at_blanks()
+        self.known: tuple[pa.Array, np.ndarray, np.ndarray] = (pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+    def _splits_at_blanks(self) -> bool:
+        described = json.loads(self.tokenizer.to_str())
+        split = described["pre_tokenizer"] or {}
+        return described["normalizer"] is None and described["truncation"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", False) and not split["add_prefix_space"]
 
     @classmethod
-    def at(cls, path: str) -> PieceEncoder:
-        """The worker's own encoder, with what it remembers from earlier tasks."""
+    def at(cls, path: str) -> TextEncoder:
+        """The worker's own encoder."""
         if path not in cls._open:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _ids(self, text: str) -> bytes:
-        return array("i", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
-    def _head(self, head: str) -> bytes:
-        """Ids of a blank or newline and letters: to the tokenizer one word, or a newline and a word, so its model alone will do."""
-        word = head if head[0] == " " else head[1:]
-        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_LETTERS))]
-        return (self.newline if head[0] == "\n" else b"") + array("i", ids).tobytes()
-
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of a piece; None if it holds other white space, or nothing."""
-        line = piece[:1] == "\n"
-        word = piece[1:] if line else piece
-        if word.isalpha():
-            return self.heads[piece if line else " " + piece]
-        if word.split() != [word]:
-            return None
-        whole = piece if line else " " + piece
-        end = HEAD.match(whole).end()
-        if end < 2:  # no letters first: the library splits it
-            return self.tails[whole]
-        # After letters the tokenizer always splits, so head and tail are encoded by themselves.
-        return self.heads[whole[:end]] + self.tails[whole[end:]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        for kept in (self.pieces, self.heads, self.tails):
-            kept.rotate()
-        known, skip, out = self.pieces.__getitem__, len(self.newline), []
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            # A piece is a word (with the blank before it left out), or a newline with the word after it.
-            pieces = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-            try:
-                out.append(b"".join(map(known, pieces))[skip:])
-            except TypeError:  # a piece that is None
-                out.append(self._ids(text))
-        return out
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a blank and each piece, one after the other, and how many each has."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for at in range(0, len(pieces), JOINED):
+            part = pieces.slice(at, JOINED)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
+            found = self._library([" " + joined])[0]
+            begins = np.flatnonzero(self.blank[found])
+            if len(begins) != len(part) or begins[0]:
+                raise ValueError("the tokenizer does not split words at blanks")
+            ids.append(found)
+            sizes.append(np.diff(np.append(begins, len(found))).astype(np.int32))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, how many each of them has, and which of them are the given distinct ones."""
+        known, ids, sizes = self.known
+        at = pc.index_in(pieces, value_set=known)
+        missing = at.is_null()
+        new = pieces.filter(missing)
+        rows, missing = pc.fill_null(at, 0).to_numpy().astype(np.int64), missing.to_numpy(zero_copy_only=False)
+        rows[missing] = len(known) + np.arange(len(new))
+        more_ids, more_sizes = self._new_pieces(new)
+        ids, sizes = np.concatenate([ids, more_ids]), np.concatenate([sizes, more_sizes])
+        if known.nbytes + new.nbytes + ids.nbytes + sizes.nbytes <= KEPT_BYTES:
+            self.known = (pa.concat_arrays([known, new]), ids, sizes)
+        elif new.nbytes + more_ids.nbytes + more_sizes.nbytes <= KEPT_BYTES:
+            self.known = (new, more_ids, more_sizes)
+        return ids, sizes, rows
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id after it, and how many each has."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self.cut:
+            odd = pc.match_substring_regex(texts, LONE_BLANK)
+            for token in self.added:
+                odd = pc.or_(odd, pc.match_substring(texts, token))
+        else:
+            odd = pa.array(np.ones(len(texts), bool))
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets, flat = offsets - offsets[0], lists.flatten()
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1]] = True
+        rest = flat.filter(pa.array(~first)).dictionary_encode()
+        # The first piece has no blank before it; an odd text is one whole piece.
+        heads = pc.if_else(odd, texts, flat.take(pa.array(offsets[:-1]))).dictionary_encode()
+        ids, counts, rows = self._pieces(rest.dictionary)
+        whole = self._library(heads.dictionary.to_pylist())
+        table = np.concatenate([ids, *whole, np.array([end_id], np.int32)])
+        sizes = np.concatenate([counts, np.array([len(x) for x in whole], np.int64), np.ones(1, np.int64)])
+        starts = np.cumsum(sizes) - sizes
+        # Piece numbers of the texts in order, the end after each text.
+        docs = len(texts)
+        what = np.empty(len(flat) + docs, np.int64)
+        place = np.arange(len(flat)) + np.repeat(np.arange(docs), np.diff(offsets))
+        piece = np.empty(len(flat), np.int64)
+        piece[~first] = rows[rest.indices.to_numpy()]
+        piece[first] = len(counts) + heads.indices.to_numpy()
+        what[place] = piece
+        ends = offsets[1:] + np.arange(docs)
+        what[ends] = len(sizes) - 1
+        n = sizes[what]
+        before = np.cumsum(n) - n
+        out = table[np.repeat(starts[what] - before, n) + np.arange(int(n.sum()))]
+        stop = (before + n)[ends]
+        return out, np.diff(np.append(0, stop))
+
+
+def _chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of parts of at most `most` bytes; a longer text is one of its own."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    end, at = np.cumsum(size), 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most, side="right")))
+        yield at, stop - at
+        at = stop
+
+
+def file_count(docs: DataFrame, text_col: str) -> int:
+    """By the bytes of all texts, and at least as many as the session shuffles into."""
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END) -> DataFrame:
     """Rows of SCHEMA, sorted by id in each partition.
 
     Null ids come first; rows of equal id are in the order of their text (null first). Null and empty
-    texts have the end id only.
+    texts have the end id only. A text is encoded at once, however long, which takes some twelve times its
+    bytes of memory. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The text is part of the range, so that repeated ids can't crowd one file.
-    ordered = rows.withColumn("__h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "__h").sortWithinPartitions("doc_id", "__h", "text").drop("__h")
-    end = np.array([end_id], "<i4").tobytes()
+    ordered = rows.withColumn("__h", F.xxhash64("text")).repartitionByRange(file_count(rows, "text"), "doc_id", "__h").sortWithinPartitions("doc_id", "__h", "text").drop("__h")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, file, before = PieceEncoder.at(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, file, before = TextEncoder.at(tokenizer_path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [x + end for x in encoder.encode(part.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for at, rows in _chunks(b.column("text")):
+                part = b.slice(at, rows)
+                ids, n = encoder.encode(part.column("text"), end_id)
                 ends = np.cumsum(n)
-                flat = pa.py_buffer(b"".join(ids))
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, flat])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.full(len(n), file, np.int32)), pa.array(before + ends - n), pa.array(n), pa.ListArray.from_arrays(offsets, values)],
+                    [part.column("doc_id"), pa.array(np.full(rows, file, np.int32)), pa.array(before + ends - n), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(ids))],
                     names=["doc_id", "file", "before", "n", "ids"],
                 )
                 before += int(ends[-1])
