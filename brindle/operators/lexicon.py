@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brindle.functions.text import label_name, word_tokens
+from brindle.functions.text import label_name, once, word_tokens
 from brindle.sources.files import EMOTIONS
 
 #: A synthetic lexicon of words of the test documents; a real one comes from read_lexicon.
@@ -16,6 +16,8 @@ SYNTHETIC = {
     "that": ("sadness", "negative"), "for": ("joy", "positive"), "with": ("trust", "positive"), "idiot": ("anger", "disgust", "negative"),
     "pathetic": ("disgust", "negative"), "de": ("trust", "positive"), "la": ("joy", "positive"), "der": ("anticipation",), "die": ("fear", "negative"), "un": ("surprise",),
 }
+#: Words of a lexicon that go into the row expression at most.
+MOST_WORDS = 30_000
 HF_CLASSES = ("very_negative", "negative", "neutral", "positive", "very_positive")
 #: Frequent words by language.
 LANGUAGE_WORDS = {
@@ -26,16 +28,30 @@ LANGUAGE_WORDS = {
 }
 
 
-def emotion_counts(df: DataFrame, lexicon: DataFrame, id_: str, text: str, prefix: str = "nrc_") -> DataFrame:
+def emotion_counts(df: DataFrame, lexicon: DataFrame, text: str, prefix: str = "nrc_", most_words: int = MOST_WORDS) -> DataFrame:
     """df with a count for each emotion, net_sentiment and dominant_emotion; rows without a hit count 0.
 
-    Each occurrence of a word counts. The lexicon is folded into one array of words by emotion when it is
-    small enough to broadcast, by Spark's own measure; tokens meet it by an equi-join.
+    Each occurrence of a word counts, each row by itself. Up to `most_words` words the lexicon becomes sets
+    in the row's expression, and nothing is shuffled; a larger one is joined to the words of each distinct
+    text, and the counts to the rows by the text's digest.
     """
-    tokens = df.select(id_, F.explode(word_tokens(F.col(text))).alias("word")).groupBy(id_, "word").agg(F.count("*").alias("n"))
-    hits = tokens.join(lexicon, "word").groupBy(id_).agg(*[F.sum(F.when(F.col("emotion") == e, F.col("n")).otherwise(0)).alias(prefix + e) for e in EMOTIONS])
-    out = df.join(hits, id_, "left").withColumns({prefix + e: F.coalesce(prefix + e, F.lit(0)).cast("long") for e in EMOTIONS})
-    return out.withColumns({prefix + "net_sentiment": F.col(prefix + "positive") - F.col(prefix + "negative"), prefix + "dominant_emotion": dominant([prefix + e for e in EMOTIONS], EMOTIONS)})
+    words = lexicon.groupBy("word").agg(F.collect_set("emotion").alias("emotions"))
+    known = words.limit(most_words + 1).collect()
+    names = [prefix + e for e in EMOTIONS]
+    if len(known) <= most_words:
+        of = {e: [r.word for r in known if e in r.emotions] for e in EMOTIONS}
+        count = lambda hits, e: F.size(F.filter(hits, lambda t: t.isin(of[e]))) if of[e] else F.lit(0)
+        hits = F.filter(word_tokens(F.col(text)), lambda t: t.isin([r.word for r in known])) if known else F.array().cast("array<string>")
+        counted = df.withColumn("__n", once(hits, lambda h: F.struct(*[count(h, e).alias(e) for e in EMOTIONS])))
+        value = lambda e: F.when(F.col(text).isNull(), 0).otherwise(F.col("__n")[e])
+    else:
+        texts = df.filter(F.col(text).isNotNull()).select(F.md5(text).alias("__k"), text).dropDuplicates(["__k"])
+        tokens = texts.select("__k", F.explode(word_tokens(F.col(text))).alias("word")).groupBy("__k", "word").agg(F.count("*").alias("n"))
+        found = tokens.join(lexicon.distinct(), "word").groupBy("__k").agg(F.struct(*[F.sum(F.when(F.col("emotion") == e, F.col("n")).otherwise(0)).alias(e) for e in EMOTIONS]).alias("__n"))
+        counted = df.withColumn("__k", F.md5(text)).join(found, "__k", "left").drop("__k")
+        value = lambda e: F.coalesce(F.col("__n")[e], F.lit(0))
+    out = counted.withColumns({prefix + e: value(e).cast("long") for e in EMOTIONS}).drop("__n")
+    return out.withColumns({prefix + "net_sentiment": F.col(prefix + "positive") - F.col(prefix + "negative"), prefix + "dominant_emotion": dominant(names, EMOTIONS)})
 
 
 def dominant(columns, names) -> Column:

@@ -203,7 +203,7 @@ SCORES_SQL = (
 
 
 def _scored(spark, sf) -> DataFrame:
-    return L.emotion_counts(table(spark, sf, "documents").select("doc_id", "source", "text"), S.lexicon_of(spark, L.SYNTHETIC), "doc_id", "text").drop("text")
+    return L.emotion_counts(table(spark, sf, "documents").select("doc_id", "source", "text"), S.lexicon_of(spark, L.SYNTHETIC), "text").drop("text")
 
 
 @query(SCORES_SQL + "SELECT * FROM dom")

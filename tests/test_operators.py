@@ -72,11 +72,21 @@ def test_language(spark):
 def test_dominant_emotion_rules(spark):
     lex = S.lexicon_of(spark, {"a": ["joy"], "b": ["trust"], "p": ["positive"]})
     df = texts(spark, ["x", "a b", "p p a", None])
-    rows = {r.id: r for r in L.emotion_counts(df, lex, "id", "text").collect()}
+    rows = {r.id: r for r in L.emotion_counts(df, lex, "text").collect()}
     assert [rows[i].nrc_dominant_emotion for i in range(4)] == ["anger", "joy", "positive", "anger"]
     assert rows[2].nrc_positive == 2 and rows[2].nrc_net_sentiment == 2 and len(rows) == 4
 
 
+@pytest.mark.parametrize("most_words", [30_000, 0])
+def test_emotions_of_repeated_and_null_ids(spark, most_words):
+    lex = S.lexicon_of(spark, {"good": ["joy", "positive"], "bad": ["fear", "negative"]})
+    rows = [(1, "good good"), (1, "bad"), (None, "good"), (None, None), (2, ""), (1, "bad")]
+    out = L.emotion_counts(spark.createDataFrame(rows, "id long, text string"), lex, "text", most_words=most_words).collect()
+    key = lambda r: (r.id is None, r.id, r.text or "", r.nrc_joy, r.nrc_fear, r.nrc_net_sentiment, r.nrc_dominant_emotion)
+    want = [(False, 1, "good good", 2, 0, 2, "joy"), (False, 1, "bad", 0, 1, -1, "fear"), (False, 1, "bad", 0, 1, -1, "fear"), (False, 2, "", 0, 0, 0, "anger"), (True, None, "good", 1, 0, 1, "joy"), (True, None, "", 0, 0, 0, "anger")]
+    assert sorted(map(str, map(key, out))) == sorted(map(str, want))
+
+
 def test_class_scores_fall_back(spark):
     def scorer(batch):
         if any(t == "bad" for t in batch):
