@@ -53,13 +53,15 @@ ABOUT = frozenset("has with no without".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",)}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+# Where a tag may end, or a quoted value begins in which it can't.
+STOP = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>]|$)", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "kind", "root", "parts", "chars", "linked", "hash", "events", "inside", "up", "in_line", "in_prose", "words", "holds_root", "holds_prose", "links")
+    __slots__ = ("tag", "kind", "root", "parts", "chars", "linked", "hash", "events", "inside", "up", "in_line", "in_prose", "words", "holds_root", "holds_prose", "links", "block", "closer")
 
     def __init__(self, tag: str, kind: bool, root: bool, inside: bool, events: int, up: Element | None = None):
         self.tag, self.kind, self.root, self.inside, self.events, self.up = tag, kind, root, inside, events, up
@@ -95,24 +97,51 @@ def own_kind(tag: str, attributes: str, in_root: bool) -> tuple[bool, bool]:
     return False, main
 
 
+class Scanner:
+    """Finds the ends of tags in time that follows the page's length, however broken the page."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+
+    def tag_end(self, at: int) -> int:
+        """Where the `>` of a tag is whose attributes begin at `at`: outside quoted values, or the first one if a quote is not closed; -1 without any."""
+        html, last, first = self.html, self.last, at
+        while at <= last[">"]:
+            m = STOP.search(html, at)
+            if not m[1]:
+                return m.start()
+            if m.end() > last[m[1]]:
+                break
+            at = html.find(m[1], m.end()) + 1
+        return html.find(">", first) if first <= last[">"] else -1
+
+
 def parse(html: str) -> tuple[list[tuple], list[Element]]:
     """Events in page order and closed elements.
 
     Events: ("t", text), ("b",) for the border of a block, ("o", element) and ("c", element). The text of
-    raw elements (scripts, styles, titles, ...) is left out.
+    raw elements (scripts, styles, titles, ...) is left out. A `<` that begins no tag is text, and so is the
+    rest of a page from a tag on that no `>` ends; comments and raw elements that are not closed reach to the
+    end of the page.
     """
     import xxhash
 
     events: list[tuple] = []
     closed: list[Element] = []
-    stack: list[Element] = [Element("", False, False, False, 0)]
+    root = Element("", False, False, False, 0)
+    root.block = root.closer = 0
+    stack: list[Element] = [root]
+    # The places in the stack of the open elements of each tag.
+    places: dict[str, list[int]] = {}
 
     def close() -> None:
         e = stack.pop()
+        places[e.tag].pop()
         up = stack[-1]
         up.holds_root |= e.root or e.holds_root
         if e.chars:
-            e.hash = xxhash.xxh3_64_intdigest(e.tag.encode() + b"\0" + b"\0".join(e.parts)) - (1 << 63)
+            e.hash = xxhash.xxh3_64_intdigest(e.tag.encode("utf-8", "surrogatepass") + b"\0" + b"\0".join(e.parts)) - (1 << 63)
             up.parts.append(e.hash.to_bytes(8, "little", signed=True))
             up.chars += e.chars
             up.linked += e.chars if e.tag == "a" else e.linked
@@ -136,35 +165,44 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
             top.chars += len(solid)
             top.words = top.words or any(map(str.isalnum, solid))
 
-    def close_to(names, bounds) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                while len(stack) > i:
-                    close()
-                return
-            if stack[i].tag in bounds:
-                return
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close_from(place: int, bound: int) -> None:
+        """Close all from a place in the stack on, unless a boundary lies above it."""
+        if place > bound:
+            while len(stack) > place:
+                close()
 
-    at = 0
+    scanner, at, begin = Scanner(html), 0, 0
     while True:
-        m = TAG.search(html, at)
-        if not m:
-            text(html[at:])
+        found = html.find("<", at)
+        if found < 0:
+            text(html[begin:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if html.startswith("<!--", found):
+            text(html[begin:found])
+            end = html.find("-->", found + 4)
+            at = begin = end + 3 if end >= 0 else len(html)
+            continue
+        m = NAME.match(html, found + 1)
+        end = scanner.tag_end(m.end()) if m else html.find(">", found) if html[found + 1 : found + 2] in ("!", "?") and found < scanner.last[">"] else -1
+        if end < 0:
+            at = found + 1
+            continue
+        text(html[begin:found])
+        at = begin = end + 1
+        if not m:
             continue
-        tag, attributes = tag.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
+        tag, attributes = m[2].lower(), html[m.end() : end]
+        if m[1]:
             if tag in BLOCK:
-                if any(e.tag == tag for e in stack):
-                    close_to((tag,), ())
+                if places.get(tag):
+                    close_from(places[tag][-1], 0)
                 else:
                     events.append(("b",))
             elif tag not in VOID:
-                close_to((tag,), BLOCK)
+                close_from(innermost((tag,)), stack[-1].closer)
             continue
         if tag == "br":
             events.append(("t", " "))
@@ -175,17 +213,21 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
             continue
         if tag in RAW:
             if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                over = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(html, at)
+                at = begin = over.end() if over else len(html)
             continue
         if tag in BLOCK:
-            close_to(("p",), BLOCK - {"p"})
+            close_from(innermost(("p",)), stack[-1].block)
             if tag in CLOSES:
-                close_to(CLOSES[tag], BOUNDS[tag])
+                close_from(min((places[t][-1] for t in CLOSES[tag] if places.get(t) and places[t][-1] > innermost(BOUNDS[tag])), default=0), 0)
             events.append(("b",))
         in_root = stack[-1].inside
-        kind, root = own_kind(tag, attributes, in_root)
-        e = Element(tag, kind, root and not kind, in_root or (root and not kind), len(events), stack[-1])
+        kind, main = own_kind(tag, attributes, in_root)
+        e = Element(tag, kind, main and not kind, in_root or (main and not kind), len(events), stack[-1])
+        # The innermost block but p, and block, at or below it in the stack.
+        e.block = len(stack) if tag in BLOCK and tag != "p" else stack[-1].block
+        e.closer = len(stack) if tag in BLOCK else stack[-1].closer
+        places.setdefault(tag, []).append(len(stack))
         stack.append(e)
         events.append(("o", e))
     while len(stack) > 1:
