@@ -5,8 +5,9 @@ combine. Each task then takes the groups of its partition in blocks of at most `
 differencing on them: every group starts as a partial partition of k subsets (itself and k-1 empty
 ones); the two partial partitions of the largest spread are combined, the largest subset of one with
 the smallest of the other, until one is left. What a block leaves is again a partial partition, of k
-sums, and the driver goes on differencing with these (k sums for `block` groups), which fixes the shard
-of every (block, subset). Texts, groups and rows never reach the driver.
+sums. Tasks go on differencing with these, many blocks at a time, until at most `most` are left; the driver
+differences those, which fixes the shard of every (block, subset). What the driver gets does not grow with
+the table; texts, groups and rows never reach it.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T, Window
 
 from .common import read_table, staged, utf8_size
 
 BLOCK = 1 << 15
+#: Partial partitions that the driver gets at most, and that a task combines (in expectation).
+MOST = 4096
 
 
 def differencing(parts: Sequence[Sequence[int]]) -> list[list[int]]:
@@ -69,7 +72,7 @@ def block_partition(sizes: Sequence[int], k: int) -> tuple[list[int], list[int]]
     return subset, sums
 
 
-def shard_by_bytes(df: DataFrame, group_key, size, shards: int = 16, block: int = BLOCK) -> DataFrame:
+def shard_by_bytes(df: DataFrame, group_key, size, shards: int = 16, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """df with `shard` (int) and `slot` (long, gapless from 0 in each shard).
 
     group_key and size are columns: rows of equal non-null group_key share a shard, and so do the rows
@@ -113,20 +116,45 @@ def shard_by_bytes(df: DataFrame, group_key, size, shards: int = 16, block: int
     grouped = staged(
         groups.sortWithinPartitions(F.desc("__bytes"), "__group").mapInArrow(by_block, "__group string, __bytes long, __block long, __subset int"), "groups"
     )
-    # k sums a block of up to 32,768 groups: what the driver gets is a fixed small share of the groups.
-    sums: dict[int, list[int]] = {}
-    for row in grouped.groupBy("__block", "__subset").agg(F.sum("__bytes").alias("n")).collect():
-        sums.setdefault(row[0], [0] * shards)[row[1]] = row[2]
-    names = sorted(sums)
-    places = differencing([sums[b] for b in names])
-    where = spark.createDataFrame(
-        [(b, j, s) for b, to in zip(names, places, strict=True) for j, s in enumerate(to)], "__block long, __subset int, shard int"
-    )
+    where = _subset_shards(grouped.select("__block", F.array(*[F.when(F.col("__subset") == j, F.col("__bytes")).otherwise(0) for j in range(shards)]).alias("__sums")), shards, most)
+    where = where.select("__block", F.posexplode("__shards").alias("__subset", "shard"))
     # A third of the rows may be of one group: this is a plain equi-join, of which Spark splits large partitions.
     placed = keyed.join(grouped.select("__group", "__block", "__subset"), "__group").join(where, ["__block", "__subset"])
     return number_rows(placed.drop("__group", "__size", "__block", "__subset"), shards)
 
 
+def _subset_shards(sums: DataFrame, k: int, most: int) -> DataFrame:
+    """__block, __shards: the shard of each of the k subsets of each block, from rows (__block, __sums) that add up by block."""
+    spark, levels = sums.sparkSession, []
+
+    def added(rows: DataFrame) -> DataFrame:
+        total = rows.groupBy("__block").agg(*[F.sum(F.col("__sums")[j]).alias(f"s{j}") for j in range(k)])
+        return staged(total.select("__block", F.array(*[F.col(f"s{j}") for j in range(k)]).alias("__sums")), "sums")
+
+    def combined(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__block")
+        places = differencing(table.column("__sums").to_pylist())
+        return table.append_column("__to", pa.array(places, pa.list_(pa.int32()))).select(["__block", "__parent", "__sums", "__to"])
+
+    def went(j: int):
+        """The sum of what went to the subset j."""
+        return F.aggregate(F.zip_with("__sums", "__to", lambda s, t: F.when(t == j, s).otherwise(F.lit(0))), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    left = added(sums)
+    while (n := left.count()) > most:
+        parent = F.pmod(F.xxhash64("__block"), F.lit(-(-n // most)))
+        level = staged(left.withColumn("__parent", parent).groupBy("__parent").applyInArrow(combined, "__block long, __parent long, __sums array<long>, __to array<int>"), "level")
+        levels.append(level)
+        new = F.array(*[went(j) for j in range(k)])
+        left = added(level.select(F.col("__parent").alias("__block"), new.alias("__sums")))
+    rows = sorted(left.collect())
+    where = spark.createDataFrame([(r[0], to) for r, to in zip(rows, differencing([r[1] for r in rows]), strict=True)], "__block long, __shards array<int>")
+    for level in reversed(levels):
+        up = where.select(F.col("__block").alias("__parent"), F.col("__shards").alias("__up"))
+        where = level.join(up, "__parent").select("__block", F.transform("__to", lambda t: F.col("__up")[t]).alias("__shards"))
+    return where
+
+
 def number_rows(df: DataFrame, shards: int) -> DataFrame:
     """Add slot, the row's number in its shard: each task counts its own rows, then the tasks' counts are added up."""
     schema = T.StructType([*df.schema.fields, T.StructField("__task", T.IntegerType()), T.StructField("__at", T.LongType())])
@@ -146,11 +174,8 @@ def number_rows(df: DataFrame, shards: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(shard), task, np.int32)), pa.array(at)], names=[*names, "__task", "__at"])
 
     counted = staged(df.mapInArrow(count, schema), "counted")
-    base, total = [], [0] * shards
-    for task, shard, n in sorted(tuple(r) for r in counted.groupBy("__task", "shard").count().collect()):
-        base.append((task, shard, total[shard]))
-        total[shard] += n
-    bases = df.sparkSession.createDataFrame(base, "__task int, shard int, __base long")
+    before = Window.partitionBy("shard").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = staged(counted.groupBy("__task", "shard").count().select("__task", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base")), "bases")
     return counted.join(bases, ["__task", "shard"]).withColumn("slot", F.col("__base") + F.col("__at")).drop("__task", "__at", "__base")
 
 

@@ -22,9 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 
-from .common import read_table, shared_dir
+from .common import byte_chunks, read_table, shared_dir, staged
 
 END = 0
 #: Bytes of text that are encoded at a time, and pieces in one text that the library gets.
@@ -148,16 +148,6 @@ class TextEncoder:
         return out, np.diff(np.append(0, stop))
 
 
-def _chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of parts of at most `most` bytes; a longer text is one of its own."""
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    end, at = np.cumsum(size), 0
-    while at < len(size):
-        stop = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + most, side="right")))
-        yield at, stop - at
-        at = stop
-
-
 def file_count(docs: DataFrame, text_col: str) -> int:
     """By the bytes of all texts, and at least as many as the session shuffles into."""
     size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
@@ -180,7 +170,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
         encoder, file, before = TextEncoder.at(tokenizer_path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for at, rows in _chunks(b.column("text")):
+            for at, rows in byte_chunks(b.column("text"), CHUNK_BYTES):
                 part = b.slice(at, rows)
                 ids, n = encoder.encode(part.column("text"), end_id)
                 ends = np.cumsum(n)
@@ -201,15 +191,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, **columns) ->
 def read_tokens(spark, path: str) -> DataFrame:
     """doc_id, ids, start: the number of ids of all documents before it, over all files."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    files = rows.groupBy("file").agg(F.sum("n").alias("n"), F.max(F.col("before") + F.col("n")).alias("end")).collect()
-    base, total = [], 0
-    for file, n, end in sorted(tuple(r) for r in files):
-        if n != end:
-            raise ValueError(f"file {file} holds {n} ids, its rows count {end}")
-        base.append((file, total))
-        total += n
-    bases = spark.createDataFrame(base, "file int, base long")
-    return rows.join(F.broadcast(bases), "file").select("doc_id", "ids", (F.col("base") + F.col("before")).alias("start"))
+    files = staged(rows.groupBy("file").agg(F.sum("n").alias("n"), F.max(F.col("before") + F.col("n")).alias("end")), "files")
+    wrong = files.filter("n <> end").first()
+    if wrong:
+        raise ValueError(f"file {wrong[0]} holds {wrong[1]} ids, its rows count {wrong[2]}")
+    # One row a file, not of documents.
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    return rows.join(bases, "file").select("doc_id", "ids", (F.col("base") + F.col("before")).alias("start"))
 
 
 def digests(tokens: DataFrame) -> DataFrame:
