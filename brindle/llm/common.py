@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -33,18 +34,48 @@ def _workers_find_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (tests on one machine), a temporary folder is made and set.
+    Where that setting is absent, a temporary folder is made and set if all runs on this machine; else
+    executors would not see each other's files, which is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = Path(tempfile.mkdtemp(prefix="brindle-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+class _Scratch(threading.local):
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scratch = _Scratch()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are staged within are deleted at the end, but those staged to be kept.
+
+    Those belong to the scratch around this one, if there is one.
+    """
+    _scratch.open.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.open.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}-{name}"
+    level = len(_scratch.open) - 1 - keep
+    if level >= 0:
+        _scratch.open[level].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,17 +8,17 @@ anything: generation stops at a time limit that nearly always suffices and goes
 still empty.
 
 Equal word sequences are one node from the start. Nodes whose signatures agree in a whole band share a
-bucket. Each bucket first pairs its centre, the node that meets most others in all its buckets, with its
-other nodes; of the pairs, those whose exact similarity reaches the threshold are links, and linked nodes
-form components. A second centre does the same among the members that then still lie in another component
-than their bucket's centre. Those that remain are compared with the bucket's members of other components:
-in small buckets pair by pair; in large ones in blocks of bounded size within a task, by signature first and
-exactly where the estimate leaves the threshold possible, so that a task gives out links only. So a group of
-near copies costs a few pairs for each copy, and every two nodes that meet in a bucket are connected or have
-been compared.
-
-A node is 64 bits of a digest of the words: of n different documents, some two share a node with
-probability n**2 / 2**65.
+bucket. A pair that shares one is a link if the estimate from its signatures leaves the similarity possible
+and the exact similarity reaches the threshold; this holds for all buckets, whatever their size. First each
+bucket (each block of a large one) gives the maximum spanning forest of its estimates, and a large one pairs
+its first node with all others; these pairs are compared exactly, and linked nodes form components. Then the
+members of a bucket that lie outside its main component are compared, by signature, with all its members in
+other components, in blocks of bounded size; of those that have a pair which the estimate leaves possible,
+the shingles come to the block too, and such pairs are compared exactly there, so that it gives out links only.
+So a group of near copies costs a few pairs for each copy, and every two nodes that meet in a bucket are
+connected or have been compared.
+
+A node stands for 128 bits of a digest of the words.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read_table, staged, word_chunks
+from .common import arrow_rows, read_table, scratch, staged, word_chunks
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -39,12 +39,16 @@ ROWS = 6
 #: Expected number of empty slots at the time limit is exp(-SLACK).
 SLACK = 4.0
 BATCH_WORDS = 100_000
-#: Buckets of more members are compared by signature, in blocks of at most about BLOCK by BLOCK nodes.
-SMALL = 48
+#: Buckets are compared by signature in blocks of about BLOCK by BLOCK nodes at most.
 BLOCK = 1024
-#: Pairs whose estimate is this many standard errors below the threshold can't reach it.
+BLOCK_SHINGLES = 1 << 21
+#: Pairs whose estimate is this many standard errors below the threshold are left out: of pairs at the
+#: threshold 3 in a million, of nearer ones fewer.
 ERRORS = 4.5
-REMEMBERED = 400_000
+#: Words that a task remembers.
+REMEMBERED = 150_000
+#: Rows in a batch to Python: of texts, and of pairs with the shingles of both sides.
+TEXTS, PAIRS = 1_000, 250
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -58,26 +62,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
+    """Hashes of words, remembered as long as the object lives: a task."""
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
+    def of(self, text: str | None) -> np.ndarray:
+        """One hash for each word of the text."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = [np.fromiter(map(self.__getitem__, words), _U, len(words)) for words in word_chunks(text)]
+        return np.concatenate([np.zeros(0, _U), *found])
 
-_hashes = _WordHashes()
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    found = [np.fromiter(map(_hashes.__getitem__, words), _U, len(words)) for words in word_chunks(text)]
-    return np.concatenate(found) if len(found) != 1 else found[0]
 
-
-def node_of(words: np.ndarray) -> int:
-    return int.from_bytes(hashlib.md5(words.tobytes()).digest()[:8], "little", signed=True)
+def digest_of(words: np.ndarray) -> tuple[int, int]:
+    raw = hashlib.md5(words.tobytes()).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 def shingles(words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -154,89 +158,109 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node, keys, sig for every row; the last three are null where there are no words.
+    """doc_id, text_hash, h1, h2 (digest of the words), size (shingles), keys, sig for every row; all from h1 on are null where there are no words.
 
     sig has the lowest byte of every slot's shingle.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for b in batches:
             ids, hashes, texts = b.column("doc_id"), b.column("text_hash"), b.column("text")
             at = 0
             while at < b.num_rows:
-                begin, n, sets, nodes, where = at, 0, [], [], []
+                begin, n, sets, digests, where = at, 0, [], [], []
                 while at < b.num_rows and n < BATCH_WORDS:
-                    text = texts[at].as_py()
-                    words = word_hashes(text) if text else ()
-                    nodes.append(node_of(words) if len(words) else None)
+                    words = known.of(texts[at].as_py())
+                    digests.append(digest_of(words) if len(words) else (None, None))
                     if len(words):
                         where.append(at - begin)
                         sets.append(shingles(words))
                         n += len(words)
                     at += 1
-                keys, sigs = [None] * len(nodes), [None] * len(nodes)
+                keys, sigs, sizes = ([None] * len(digests) for _ in range(3))
                 if sets:
                     slots = signatures(sets)
-                    for i, k, sig in zip(where, band_keys(slots), slots.astype(np.uint8), strict=True):
-                        keys[i], sigs[i] = k, sig.tobytes()
+                    for i, k, sig, (h, _) in zip(where, band_keys(slots), slots.astype(np.uint8), sets, strict=True):
+                        keys[i], sigs[i], sizes[i] = k, sig.tobytes(), len(h)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, at - begin), hashes.slice(begin, at - begin), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "text_hash", "node", "keys", "sig"],
+                    [ids.slice(begin, at - begin), hashes.slice(begin, at - begin), *(pa.array(x, pa.int64()) for x in zip(*digests, strict=True)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                    names=["doc_id", "text_hash", "h1", "h2", "size", "keys", "sig"],
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sketch, "doc_id long, text_hash long, node long, keys array<long>, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sketch, "doc_id long, text_hash long, h1 long, h2 long, size long, keys array<long>, sig binary")
 
 
-def _shingle_sets(docs: DataFrame) -> DataFrame:
-    """node, hashes, counts of every row of docs that has words."""
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """node, sig, hashes, counts of rows (node, sig, text); counts is null where every shingle occurs once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                nodes, hashes, counts = [], [], []
-                for text in b.column("text").slice(at, 256).to_pylist():
-                    words = word_hashes(text) if text else ()
-                    if len(words):
-                        h, n = shingles(words)
-                        nodes.append(node_of(words))
-                        hashes.append(h.view(np.int64))
-                        counts.append(n.astype(np.int32))
+                part, hashes, counts = b.slice(at, 256), [], []
+                for text in part.column("text").to_pylist():
+                    h, n = shingles(known.of(text))
+                    hashes.append(h.view(np.int64))
+                    counts.append(None if int(n.sum()) == len(n) else n.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["node", "hashes", "counts"]
+                    [part.column("node"), part.column("sig"), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["node", "sig", "hashes", "counts"]
                 )
 
-    return docs.select("text").mapInArrow(sets, "node long, hashes array<long>, counts array<int>")
+    return texts.select("node", "sig", "text").mapInArrow(sets, "node long, sig binary, hashes array<long>, counts array<int>")
+
+
+def least_estimate(similarity: float) -> float:
+    """The estimate below which a pair is left out."""
+    return similarity - ERRORS * float(np.sqrt(similarity * (1 - similarity) / (BANDS * ROWS)))
+
+
+def _matrix(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(len(sigs), BANDS * ROWS)
+
+
+def _estimate(same: np.ndarray) -> np.ndarray:
+    """Similarity by the number of slots that agree; one in 256 agrees by chance."""
+    return (same / (BANDS * ROWS) - 1 / 256) / (1 - 1 / 256)
+
+
+def _similarities(hashes: pa.Array, counts: pa.Array, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """The exact similarity of the sets at x and y, or 0 where a bound shows that it is below `similarity`; no counts are all ones."""
+    at, h = hashes.offsets.to_numpy(), hashes.values.to_numpy().view(_U)
+    plain, out = counts.is_null().to_numpy(zero_copy_only=False), np.zeros(len(x))
+    weights = lambda i, n: np.ones(n, np.int32) if plain[i] else counts[i].values.to_numpy()
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        a, b = h[at[i] : at[i + 1]], h[at[j] : at[j + 1]]
+        if plain[i] and plain[j]:
+            # Equal weights bound the similarity by the ratio of the numbers of shingles.
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                out[k] = both / (len(a) + len(b) - both)
+        else:
+            out[k] = probability_jaccard(a, weights(i, len(a)), b, weights(j, len(b)))
+    return out
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose exact probability Jaccard similarity is at least `similarity`.
+    """The links among the pairs (a, b).
 
     b is joined first: a may be the smallest node of many pairs, and by then its rows are wide, so that
     Spark splits them.
     """
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"h{s}"), F.col("counts").alias(f"c{s}"))
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("sig").alias(f"s{s}"), F.col("hashes").alias(f"h{s}"), F.col("counts").alias(f"c{s}"))
+    least = least_estimate(similarity)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {}
-            for c in ("ha", "ca", "hb", "cb"):
-                x = batch.column(c)
-                cols[c] = (x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False))
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                (a, x, b, y) = (v[o[i] : o[i + 1]] for o, v in (cols[c] for c in ("ha", "ca", "hb", "cb")))
-                n, m = x.sum(), y.sum()
-                # Equal weights up to scale bound the similarity by the ratio of the numbers of distinct shingles.
-                keep[i] = min(len(a), len(b)) >= similarity * max(len(a), len(b)) * min(1.0, _flat(x, n) * _flat(y, m)) and probability_jaccard(a.view(_U), x, b.view(_U), y) >= similarity
+            n, keep = batch.num_rows, _estimate((_matrix(batch.column("sa")) == _matrix(batch.column("sb"))).sum(1)) >= least
+            near = np.flatnonzero(keep)
+            hashes, counts = (pa.concat_arrays([batch.column(f"{c}a"), batch.column(f"{c}b")]) for c in "hc")
+            keep[near] = _similarities(hashes, counts, near, near + n, similarity) >= similarity
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    wide = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "ca", "hb", "cb")
-    return wide.mapInArrow(check, "a long, b long")
-
-
-def _flat(counts: np.ndarray, total: int) -> float:
-    """1 if all counts are one, else 0: the quick bound holds for plain sets only."""
-    return float(total == len(counts))
+    wide = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "ha", "ca", "sb", "hb", "cb")
+    with arrow_rows(pairs.sparkSession, PAIRS):
+        return staged(wide.mapInArrow(check, "a long, b long"), "verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,9 +268,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder. Rounds grow with the logarithm of the longest chain.
     """
-    spark = links.sparkSession
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -254,129 +276,220 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         edges = staged(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        # Done when every node but the smallest ones has one edge, to a smallest one.
+        ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select(F.col("v").alias("u"), F.lit(0), F.lit(1)).distinct())
+        if ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in")).filter("out > 1 OR (out > 0 AND in > 0)").isEmpty():
             break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _alike(pairs_of: DataFrame, members: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of different parts within a block: pairs whose signatures leave the similarity possible are compared exactly.
-
-    Both tables have key, i, j, node, part, apart, sig, keys, hashes and counts; a block is a (key, i, j).
-    A pair that meets in several buckets is compared in the first of their common keys only.
+def _forest(p: np.ndarray, q: np.ndarray, weight: np.ndarray) -> list[int]:
+    """Of edges between the parts p and q: a maximum spanning forest, ties to the first edge."""
+    order = np.argsort(-weight, kind="stable")
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    left, chosen = len(np.union1d(p, q)) - 1, []
+    for i in order.tolist():
+        x, y = root(int(p[i])), root(int(q[i]))
+        if x != y:
+            up[x] = y
+            chosen.append(i)
+            left -= 1
+            if not left:
+                break
+    return chosen
+
+
+def _near(left: pa.Table, right: pa.Table, least: float, band: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both tables that are of different parts and whose estimate is `least` or more, and the estimate; with a band, only pairs that share no earlier one."""
+    (a, p), (b, q) = ((t.column("node").to_numpy(), t.column("part").to_numpy()) for t in (left, right))
+    also = right.column("apart").to_numpy(zero_copy_only=False)
+    s, t = (_matrix(x.column("sig").combine_chunks()) for x in (left, right))
+    found: list[tuple[np.ndarray, ...]] = []
+    for at in range(0, len(a), 64):
+        x = s[at : at + 64]
+        same = np.zeros((len(x), len(b)), np.int16)
+        # A pair of two rows that are both outside the main part is met twice.
+        open_ = (p[at : at + 64, None] != q[None, :]) & (~also[None, :] | (a[at : at + 64, None] < b[None, :]))
+        for k in range(0, BANDS, 8):
+            agree = x[:, None, k * ROWS : (k + 8) * ROWS] == t[None, :, k * ROWS : (k + 8) * ROWS]
+            same += agree.sum(2, dtype=np.uint8)
+            if band is not None and k < band:
+                open_ &= ~agree[:, :, : (band - k) * ROWS].reshape(len(x), len(b), -1, ROWS).all(3).any(2)
+        estimate = _estimate(same)
+        i, j = np.nonzero(open_ & (estimate >= least))
+        found.append((i + at, j, estimate[i, j]))
+    i, j, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j, weight
+
+
+def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Pairs, the smaller node first."""
+    return pa.RecordBatch.from_arrays([pa.array([min(x, y) for x, y in found], pa.int64()), pa.array([max(x, y) for x, y in found], pa.int64())], names=["a", "b"])
+
+
+def _blocks_in(batches: Iterator[pa.RecordBatch], twos: bool = False) -> Iterator[tuple[pa.Table, np.ndarray | None]]:
+    """Block after block of rows that are sorted by (key, i, j), one in memory at a time.
+
+    If asked, blocks of two rows within a batch, most of all, come together: the batch, and where they begin.
+    """
+    held: list[pa.Table] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        at = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), len(t)]
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        if twos and len(spans) > 2:
+            # The first and the last block of a batch may go on in others.
+            yield t, np.array([x for x, y in spans[1:-1] if y - x == 2], np.int64)
+            spans = [spans[0], *(s for s in spans[1:-1] if s[1] - s[0] != 2), spans[-1]]
+        for x, y in spans:
+            name = tuple(at[:, x].tolist())
+            if held and name != last:
+                yield pa.concat_tables(held), None
+                held = []
+            held.append(t.slice(x, y - x))
+            last = name
+    if held:
+        yield pa.concat_tables(held), None
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _blocks(n: str, shingles: str | None = None) -> Column:
+    by_nodes = F.ceil(F.col(n) / BLOCK)
+    return (F.greatest(by_nodes, F.ceil(F.col(shingles) / BLOCK_SHINGLES)) if shingles else by_nodes).cast("int")
+
+
+def _own(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
+
+
+def _every(blocks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), blocks - 1))
+
+
+def _first_pairs(shared: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that connect what is near in each block of each bucket, and of buckets of several blocks the first node with all others."""
+    least = least_estimate(similarity)
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for t, twos in _blocks_in(batches, True):
+            node = t.column("node").to_numpy()
+            if twos is not None:
+                sig = t.column("sig").combine_chunks()
+                first, second = (_matrix(sig.take(pa.array(x))) for x in (twos, twos + 1))
+                near = twos[_estimate((first == second).sum(1)) >= least]
+                found += zip(node[near].tolist(), node[near + 1].tolist(), strict=True)
+            else:
+                i, j, weight = _near(t, t, least)
+                found += ((int(node[i[k]]), int(node[j[k]])) for k in _forest(node[i], node[j], weight)) if len(i) else ()
+            if len(found) > 10_000:
+                yield _pair_batch(found)
+                found = []
+        yield _pair_batch(found)
+
+    rows = shared.join(nodes.select("node", "sig"), "node")
+    rows = rows.select("key", _own(_blocks("n")).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("part"), F.lit(True).alias("apart"), "sig")
+    stars = shared.filter((F.col("n") > BLOCK) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return _by_block(rows).mapInArrow(forests, "a long, b long").union(stars).distinct()
+
+
+def _open_links(shared: DataFrame, found: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between different components among the nodes of one bucket.
+
+    Members outside the bucket's largest component are cut into blocks by `i`, all members by `j`, of at most
+    about BLOCK nodes and BLOCK_SHINGLES shingles.
     """
-    slots = BANDS * ROWS
-    least = similarity - ERRORS * float(np.sqrt(similarity * (1 - similarity) / slots))
-
-    def sides(table: pa.Table):
-        node, part, apart = (table.column(c).to_numpy() for c in ("node", "part", "apart"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), slots)
-        h, n = (table.column(c).combine_chunks() for c in ("hashes", "counts"))
-        at, h, n = h.offsets.to_numpy(), h.values.to_numpy().view(_U), n.values.to_numpy()
-        sets = [(h[x:y], n[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
-        return node, part, apart, sig, table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(table), BANDS), sets
-
-    def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if len(left) and len(right):
-            (a, p, _, s, ka, sa), (b, q, also, t, kb, sb) = sides(left), sides(right)
-            for at in range(0, len(a), 64):
-                same = np.zeros((len(a[at : at + 64]), len(b)), np.float32)
-                for k in range(0, slots, 24):
-                    same += (s[at : at + 64, None, k : k + 24] == t[None, :, k : k + 24]).sum(2, dtype=np.uint8)
-                # One slot in 256 agrees by chance.
-                estimate = (same / slots - 1 / 256) / (1 - 1 / 256)
-                x, y = np.nonzero((estimate >= least) & (p[at : at + 64, None] != q[None, :]) & (~also[None, :] | (a[at : at + 64, None] < b[None, :])))
-                x = x + at
-                if len(x):
-                    first = (ka[x] == kb[y]).argmax(axis=1)
-                    here = ka[x, first] == key[0].as_py()
-                    found += [(min(a[i], b[j]), max(a[i], b[j])) for i, j in zip(x[here], y[here], strict=True) if probability_jaccard(*sa[i], *sb[j]) >= similarity]
-        return pa.table({"a": pa.array([int(x) for x, _ in found], pa.int64()), "b": pa.array([int(y) for _, y in found], pa.int64())})
-
-    # Both come from one table: new names for the columns of one keep them apart.
-    members = members.select(*[F.col(c).alias(c) for c in members.columns])
-    return pairs_of.groupBy("key", "i", "j").cogroup(members.groupBy("key", "i", "j")).applyInArrow(compare, "a long, b long")
-
-
-def _open_pairs(placed: DataFrame) -> DataFrame:
-    """Pairs of one small bucket that lie in different parts, one of them apart from the bucket's centre."""
-    small = placed.filter(F.col("n") <= SMALL)
-    x = small.filter("apart").select("key", F.col("node").alias("x"), F.col("part").alias("x_part"))
-    y = small.filter("node <> centre").select("key", F.col("node").alias("y"), F.col("part").alias("y_part"), F.col("apart").alias("y_apart"))
-    return x.join(y, "key").filter("x_part <> y_part AND (x < y OR NOT y_apart)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _open_links(placed: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between different parts in large buckets, compared in blocks of bounded size."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    large = placed.filter(F.col("n") > SMALL)
-    large = large.join(large.filter("apart").select("key").distinct(), "key", "left_semi")
-    large = large.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks).cast("int")}).join(nodes.select("node", "sig", "keys"), "node").join(sets, "node")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rest = ("node", "part", "apart", "sig", "keys", "hashes", "counts")
-    left = large.filter("apart").select("key", F.col("own").alias("i"), every.alias("j"), *rest)
-    right = large.filter("node <> centre").select("key", every.alias("i"), F.col("own").alias("j"), *rest)
-    return _alike(left, right, similarity)
-
-
-def _placed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Bucket members with their part, the centre's part, and whether these differ."""
-    part = lambda s: found.select(F.col("node").alias(s), F.col("component").alias(f"{s}_part"))
-    out = shared.join(part("node"), "node", "left").join(part("centre"), "centre", "left")
-    out = out.select("key", "n", "node", "met", "centre", F.coalesce("node_part", "node").alias("part"), F.coalesce("centre_part", "centre").alias("centre_part"))
-    return staged(out.withColumn("apart", F.col("part") != F.col("centre_part")), "placed")
+    least = least_estimate(similarity)
+    placed = shared.select("key", "band", "node").join(found, "node", "left").withColumn("part", F.coalesce("component", "node")).join(nodes.select("node", "sig", "size"), "node")
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("c"), F.sum("size").alias("w"))
+    main = sizes.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("n"), F.sum("w").alias("w"), F.max("c").alias("main_n"), F.max_by("w", F.struct("c", "part")).alias("main_w"), F.count("*").alias("parts"))
+    main = main.filter("parts > 1").select(
+        "key", "main", _blocks("n", "w").alias("columns"), F.greatest(F.ceil((F.col("n") - F.col("main_n")) / BLOCK), F.ceil((F.col("w") - F.col("main_w")) / BLOCK_SHINGLES)).cast("int").alias("rows")
+    )
+    members = placed.join(main, "key").withColumn("apart", F.col("part") != F.col("main"))
+    rest = ("key", "band", "node", "part", "apart", "sig")
+    left = members.filter("apart").select(F.lit(0).alias("side"), _own(F.col("rows")).alias("i"), _every(F.col("columns")).alias("j"), *rest)
+    right = members.select(F.lit(1).alias("side"), _every(F.col("rows")).alias("i"), _own(F.col("columns")).alias("j"), *rest)
+
+    def sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        side = t.column("side").to_numpy()
+        return np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that have a pair which the estimate leaves possible."""
+        for t, _ in _blocks_in(batches):
+            left, right = sides(t)
+            i, j, _ = _near(t.take(pa.array(left)), t.take(pa.array(right)), least, t.column("band")[0].as_py()) if len(left) and len(right) else ([], [], [])
+            if len(i):
+                yield from t.take(pa.array(np.union1d(left[i], right[j]))).combine_chunks().to_batches()
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in _blocks_in(batches):
+            left, right = sides(t)
+            i, j, _ = _near(t.take(pa.array(left)), t.take(pa.array(right)), least, t.column("band")[0].as_py())
+            x, y = left[i], right[j]
+            exact = _similarities(t.column("hashes").combine_chunks(), t.column("counts").combine_chunks(), x, y, similarity)
+            x, y, exact = x[exact >= similarity], y[exact >= similarity], exact[exact >= similarity]
+            if len(x):
+                node, part = t.column("node").to_numpy(), t.column("part").to_numpy()
+                yield _pair_batch([(int(node[x[k]]), int(node[y[k]])) for k in _forest(part[x], part[y], exact)])
+
+    both = left.unionByName(right)
+    some = staged(_by_block(both).mapInArrow(open_rows, both.schema), "open")
+    with arrow_rows(shared.sparkSession, PAIRS):
+        return staged(_by_block(some.join(sets.select("node", "hashes", "counts"), "node")).mapInArrow(links, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of the nodes that have a near copy, and the staged rows (doc_id, text_hash, node).
+    """(node, component) of the nodes that have a near copy, and (doc_id, text_hash, node) of all rows.
 
     docs needs doc_id (long) and text. Null texts and texts without a word have a null node: they are
-    near copies of nothing. Repeated rows share a node.
+    near copies of nothing. Repeated rows share a node. A text of any length is one row; its shingles are in
+    memory at once.
     """
-    rows = staged(_sketches(docs), "sketches")
-    nodes = staged(
-        rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "keys", "sig")).alias("r")).select("node", "r.doc_id", "r.text_hash", "r.keys", "r.sig"), "nodes"
-    )
-    members = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").cast("int").alias("n")).filter("n > 1")
+    spark = docs.sparkSession
+    with arrow_rows(spark, TEXTS):
+        rows = staged(_sketches(docs), "sketches")
+    one = F.min(F.struct("doc_id", "text_hash", "size", "keys", "sig")).alias("r")
+    nodes = rows.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(one).select("h1", "h2", F.monotonically_increasing_id().alias("node"), "r.*")
+    # Written before it is used, so the numbers stay.
+    nodes = staged(nodes, "nodes")
+    named = rows.select("doc_id", "text_hash", "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"], "left").select("doc_id", "text_hash", "node")
+    members = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    buckets = members.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.min("node").alias("first")).filter("n > 1")
     shared = staged(members.join(buckets, "key"), "shared")
-    ranked = shared.join(shared.groupBy("node").agg(F.sum("n").alias("met")), "node")
-    central = F.max_by("node", F.struct("met", "node")).alias("centre")
-    shared = staged(ranked.join(ranked.groupBy("key").agg(central), "key"), "buckets")
-    star = lambda df: df.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    pairs = staged(star(shared), "pairs")
-
-    candidates = shared.select("node").distinct()
-    wanted = nodes.join(candidates, "node", "left_semi").select("doc_id", "text_hash")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).alias("d").join(
-        wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")), "left_semi"
-    )
-    sets = staged(_shingle_sets(texts), "sets")
+    pairs = staged(_first_pairs(shared, nodes, similarity), "pairs")
+
+    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "sig", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    with arrow_rows(spark, TEXTS):
+        sets = staged(_shingle_sets(texts), "sets")
     n, different = sets.agg(F.count("*"), F.countDistinct("node")).first()
     if n != different:  # repeated rows
-        sets = staged(sets.groupBy("node").agg(F.min(F.struct("hashes", "counts")).alias("s")).select("node", "s.hashes", "s.counts"), "sets")
+        sets = staged(sets.groupBy("node").agg(F.min(F.struct("sig", "hashes", "counts")).alias("s")).select("node", "s.*"), "sets")
 
-    links = staged(_verify(pairs, sets, similarity), "verified")
-    found = staged(components(links), "components")
-    placed = _placed(shared, found)
-    # Of what is apart, a second centre draws most of the rest together.
-    apart = placed.filter("apart").select("key", "node", "met")
-    second = star(apart.join(apart.groupBy("key").agg(central), "key"))
-    second = staged(second.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links, pairs = links.union(staged(_verify(second, sets, similarity), "verified")), pairs.union(second)
+    links = _verify(pairs, sets, similarity)
     found = staged(components(links), "components")
-    placed = _placed(shared, found)
-    again = staged(_open_pairs(placed).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = _verify(again, sets, similarity).union(_open_links(placed, nodes, sets, similarity))
-    more = staged(more, "verified")
+    more = _open_links(shared, found, nodes, sets, similarity)
     if not more.isEmpty():
         found = staged(components(links.union(more)), "components")
-    return found, rows
+    return found, named
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -386,11 +499,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     id, of several the one of the smallest text_hash; repeated rows are marked alike. Rows without words
     are alone, with their own doc_id, and kept.
     """
-    found, rows = near_duplicates(docs, similarity)
-    named = rows.select("doc_id", "text_hash", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = staged(named, "named")
+    with scratch(docs.sparkSession):
+        found, rows = near_duplicates(docs, similarity)
+        named = staged(rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "named", keep=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    least = named.filter("component IS NOT NULL").groupBy("component").agg(first, F.count("*").alias("class_size"))
+    # Written first: Spark splits the rows of a large component only where both sides of the join come as they are.
+    least = staged(named.filter("component IS NOT NULL").groupBy("component").agg(first, F.count("*").alias("class_size")), "classes")
     alone = F.col("component").isNull()
     return named.join(least, "component", "left").select(
         "doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
@@ -403,8 +517,9 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Rows without words all stay.
     """
-    first = classes(docs, similarity).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("class_size").alias("__size"))
-    first = staged(first.groupBy("__id", "__hash").agg(F.max("__size").alias("__size")), "kept")
+    with scratch(docs.sparkSession):
+        first = classes(docs, similarity).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("class_size").alias("__size"))
+        first = staged(first.groupBy("__id", "__hash").agg(F.max("__size").alias("__size")), "kept", keep=True)
     out = docs.withColumn("__at", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__hash")))
     single = out.filter("__size = 1").select(*docs.columns)
     # Only here can the kept row stand twice.
