@@ -12,7 +12,9 @@ all). Models with log probabilities keep them.
 
 No piece of more than one character but a run of markers has a marker anywhere except in front, and none
 has a newline, so the best segmentation of a text joins those of its parts between these places; parts
-are segmented once, many at a time, and remembered.
+are segmented once, many at a time, and remembered. For the same reason a part is cut at every place that
+no piece reaches across, so text without blanks goes fast too; very long texts are segmented in windows that
+end at such places. A run of one letter that no place parts is one window, however long.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .common import read_table
 MARK = "▁"
 UNKNOWN_COST = 10.0
 REMEMBERED = 150_000
+#: Characters that are segmented at a time.
+WINDOW = 1 << 18
 
 
 class DoubleArray:
@@ -122,6 +126,7 @@ class Unigram:
         self.byte_set = np.zeros(len(pieces), bool)
         self.byte_set[list(byte_ids.values())] = True
         inner = [p for p in pieces if len(p) > 1]
+        self.longest = max(map(len, pieces), default=1)
         # Where these do not hold for a model, its texts are not cut at that place.
         self.cut_marks = not any(MARK in p.lstrip(MARK) or (p.startswith(MARK + MARK) and p.strip(MARK)) for p in inner)
         self.cut_lines = self.cut_marks and not any("\n" in p for p in inner)
@@ -156,13 +161,18 @@ class Unigram:
         for n, start, piece in self.trie.matches(self.trie.codes(points), room):
             found.append((start, np.full(len(start), n), piece.astype(np.int64), self.scores[piece]))
         start, size, piece, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        # The best path goes through every place that no piece reaches across: parts are cut there.
+        own = part[np.flatnonzero(fresh := self._uncovered(start, size, len(points)) | (offset == 0))]
+        begins = np.flatnonzero(fresh)
+        ends, part = np.append(begins[1:], len(points)), np.cumsum(fresh) - 1
+        offset = np.arange(len(points)) - begins[part]
         order = np.argsort(offset[start], kind="stable")
         start, size, piece, score = start[order], size[order], piece[order], score[order]
         bound = np.searchsorted(offset[start], np.arange(int(offset.max()) + 2))
         # State k + part is the place after k characters; a part of n characters has n + 1 places.
         place = start + part[start]
-        best = np.full(len(points) + len(parts), -np.inf)
-        best[begins + np.arange(len(parts))] = 0.0
+        best = np.full(len(points) + len(own), -np.inf)
+        best[begins + np.arange(len(own))] = 0.0
         back, took = np.zeros(len(best), np.int64), np.full(len(best), -1, np.int64)
         for lo, hi in zip(bound[:-1], bound[1:], strict=True):
             a = place[lo:hi]
@@ -177,8 +187,8 @@ class Unigram:
             ok = total > best[b]
             best[b[ok]], back[b[ok]], took[b[ok]] = total[ok], a[ok], what[ok]
         on = np.zeros(len(best), bool)
-        first = begins + np.arange(len(parts))
-        at = ends + np.arange(len(parts))
+        first = begins + np.arange(len(own))
+        at = ends + np.arange(len(own))
         while len(at):
             on[at] = True
             at = back[at]
@@ -186,8 +196,8 @@ class Unigram:
             at, first = at[more], first[more]
         where = np.flatnonzero(on)
         ids = took[where]
-        owner = np.searchsorted(ends + np.arange(len(parts)), where)
-        counts = np.bincount(owner, minlength=len(parts))
+        owner = np.searchsorted(ends + np.arange(len(own)), where)
+        counts = np.bincount(own[owner], minlength=len(parts))
         if (ids < 0).any():
             # Characters without a piece: spelled out in bytes.
             flat, grown = [], np.zeros(len(parts), np.int64)
@@ -198,12 +208,39 @@ class Unigram:
                     raw = chr(int(points[w - o - 1])).encode("utf-8", "surrogatepass")
                     new = [self.byte_ids[x] for x in raw] if len(self.byte_ids) == 256 else [self.unknown_id]
                 flat += new
-                grown[o] += len(new)
+                grown[own[o]] += len(new)
             ids, counts = np.array(flat, np.int64), grown
         data = ids.astype("<i4").tobytes()
         stop = (np.cumsum(counts) * 4).tolist()
         return [data[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
 
+    @staticmethod
+    def _uncovered(start: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+        """Of n places: whether no match (start, size) reaches across."""
+        cover = np.bincount(start + 1, minlength=n + 2) - np.bincount(start + size, minlength=n + 2)
+        return np.cumsum(cover)[:n] == 0
+
+    def _windows(self, part: str) -> Iterator[str]:
+        """A part cut at places that no piece reaches across, into windows of about WINDOW characters."""
+        at = 0
+        while len(part) - at > WINDOW:
+            size = WINDOW
+            while True:
+                window = part[at : at + size]
+                points = np.frombuffer(window.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                found = [(s, np.full(len(s), n)) for n, s, _ in self.trie.matches(self.trie.codes(points), len(points) - np.arange(len(points)))]
+                start, length = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+                # Near the window's end, pieces may reach on.
+                cuts = np.flatnonzero(self._uncovered(start, length, len(points))[: max(0, len(points) - self.longest)])
+                if at + size >= len(part) or (len(cuts) and cuts[-1]):
+                    break
+                size *= 2
+            if at + size >= len(part) and not (len(cuts) and cuts[-1]):
+                break
+            yield part[at : at + int(cuts[-1])]
+            at += int(cuts[-1])
+        yield part[at:]
+
     def _learn(self, new: set[str]) -> None:
         (known, old), todo = self.known, []
         for p in new:
@@ -221,7 +258,15 @@ class Unigram:
         """A text with runs of blanks or markers, cut where it may be."""
         text = MARK + text.replace(" ", MARK)
         parts = re.findall(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if self.cut_lines else f"{MARK}+[^{MARK}]*", text) if self.cut_marks else [text]
-        return b"".join(self.segment(parts))
+        out, held, chars = [], [], 0
+        for part in parts:
+            for piece in self._windows(part) if len(part) > WINDOW else (part,):
+                if held and chars + len(piece) > WINDOW:
+                    out += self.segment(held)
+                    held, chars = [], 0
+                held.append(piece)
+                chars += len(piece)
+        return b"".join(out + (self.segment(held) if held else []))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian int32; none for null and empty texts."""
