@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
-from .common import read_table, staged
+from .common import read_table, scratch, staged
 
 K = 20
 #: Vectors (in expectation) that the centroids are fitted on: one in SAMPLE_SHARE, within these bounds. A list needs eight of them.
@@ -242,9 +242,10 @@ def search_lists(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: st
     give fewer rows.
     """
     spark = df.sparkSession
-    rows = staged(valid_vectors(df, id_col, vector_col), "vectors")
-    lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())
-    found = [_search(rows.filter(F.size("v") == n) if len(lengths) > 1 else rows, is_query, k) for n in lengths]
+    with scratch(spark):
+        rows = staged(valid_vectors(df, id_col, vector_col), "vectors")
+        lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())
+        found = [staged(_search(rows.filter(F.size("v") == n) if len(lengths) > 1 else rows, is_query, k), "found", keep=True) for n in lengths]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
     each = reduce(DataFrame.union, found).groupBy("query_id", "id", "node").agg(F.max("score").alias("score"))
@@ -348,7 +349,6 @@ def _search(rows: DataFrame, is_query, k: int) -> DataFrame:
     hits = found.withColumn("r", best).filter(F.col("r") <= k + 1).select("query", "node", "score").distinct()
     hits = hits.join(nodes.select("node", "ids"), "node").select("query", "score", "node", F.explode("ids").alias("id"))
     lists = hits.groupBy("query").agg(F.collect_list(F.struct("score", "id", "node")).alias("f")).select("query", F.slice(F.array_sort("f", _by_score("id")), 1, k + 1).alias("f"))
-    lists = staged(lists, "neighbours")
     own = asked.join(lists, asked["node"] == lists["query"]).select("id", F.slice(F.filter("f", lambda e: e["id"] != F.col("id")), 1, k).alias("f"))
     return own.select(F.col("id").alias("query_id"), F.explode("f").alias("e")).select("query_id", F.col("e.id").alias("id"), F.col("e.node").alias("node"), F.col("e.score").alias("score"))
 

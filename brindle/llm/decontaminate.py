@@ -49,7 +49,8 @@ class ItemAutomaton:
                 short.setdefault(last, []).append((len(words), item))
         order = sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True)
         for s in order:
-            if self.link[s] > 0:
+            # Shorter strings than a window are never asked for.
+            if self.length[self.link[s]] >= window:
                 owners[self.link[s]] |= owners[s]
         # The state of the last `window` words is the ancestor whose strings include that length.
         self.owned: list[frozenset[str] | None] = [None] * len(self.link)

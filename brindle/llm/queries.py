@@ -46,10 +46,7 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_shard_kk": op1_shard_kk,
         "op2_decontaminate": op2_decontaminate,
         "op3_html_template": op3_html_template,

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T, Window
 
-from .common import read_table, staged, utf8_size
+from .common import read_table, scratch, staged, utf8_size
 
 BLOCK = 1 << 15
 #: Partial partitions that the driver gets at most, and that a task combines (in expectation).
@@ -82,45 +82,46 @@ def shard_by_bytes(df: DataFrame, group_key, size, shards: int = 16, block: int
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    keyed = staged(df.withColumns({"__group": F.coalesce(group_key.cast("string"), F.lit("~")), "__size": size.cast("long")}), "sized")
-    groups = keyed.groupBy("__group").agg(F.sum("__size").alias("__bytes"))
-
-    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, n = TaskContext.get().partitionId(), 0
-
-        def blocks():
-            held, rows = [], 0
-            for b in batches:
-                while b.num_rows:
-                    held.append(b.slice(0, block - rows))
-                    b = b.slice(held[-1].num_rows)
-                    rows += held[-1].num_rows
-                    if rows == block:
-                        yield held
-                        held, rows = [], 0
-            if held:
-                yield held
-
-        for held in blocks():
-            table = pa.Table.from_batches(held)
-            sizes = table.column("__bytes").to_pylist()
-            subset, _ = block_partition(sizes, shards)
-            yield pa.RecordBatch.from_arrays(
-                [table.column("__group").combine_chunks(), table.column("__bytes").combine_chunks(), pa.array([(task << 24) + n] * len(sizes), pa.int64()), pa.array(subset, pa.int32())],
-                names=["__group", "__bytes", "__block", "__subset"],
-            )
-            n += 1
-
-    grouped = staged(
-        groups.sortWithinPartitions(F.desc("__bytes"), "__group").mapInArrow(by_block, "__group string, __bytes long, __block long, __subset int"), "groups"
-    )
-    where = _subset_shards(grouped.select("__block", F.array(*[F.when(F.col("__subset") == j, F.col("__bytes")).otherwise(0) for j in range(shards)]).alias("__sums")), shards, most)
-    where = where.select("__block", F.posexplode("__shards").alias("__subset", "shard"))
-    # A third of the rows may be of one group: this is a plain equi-join, of which Spark splits large partitions.
-    placed = keyed.join(grouped.select("__group", "__block", "__subset"), "__group").join(where, ["__block", "__subset"])
-    return number_rows(placed.drop("__group", "__size", "__block", "__subset"), shards)
+    with scratch(spark):
+        keyed = staged(df.withColumns({"__group": F.coalesce(group_key.cast("string"), F.lit("~")), "__size": size.cast("long")}), "sized")
+        groups = keyed.groupBy("__group").agg(F.sum("__size").alias("__bytes"))
+
+        def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            task, n = TaskContext.get().partitionId(), 0
+
+            def blocks():
+                held, rows = [], 0
+                for b in batches:
+                    while b.num_rows:
+                        held.append(b.slice(0, block - rows))
+                        b = b.slice(held[-1].num_rows)
+                        rows += held[-1].num_rows
+                        if rows == block:
+                            yield held
+                            held, rows = [], 0
+                if held:
+                    yield held
+
+            for held in blocks():
+                table = pa.Table.from_batches(held)
+                sizes = table.column("__bytes").to_pylist()
+                subset, _ = block_partition(sizes, shards)
+                yield pa.RecordBatch.from_arrays(
+                    [table.column("__group").combine_chunks(), table.column("__bytes").combine_chunks(), pa.array([(task << 24) + n] * len(sizes), pa.int64()), pa.array(subset, pa.int32())],
+                    names=["__group", "__bytes", "__block", "__subset"],
+                )
+                n += 1
+
+        grouped = staged(
+            groups.sortWithinPartitions(F.desc("__bytes"), "__group").mapInArrow(by_block, "__group string, __bytes long, __block long, __subset int"), "groups"
+        )
+        where = _subset_shards(grouped.select("__block", F.array(*[F.when(F.col("__subset") == j, F.col("__bytes")).otherwise(0) for j in range(shards)]).alias("__sums")), shards, most)
+        where = where.select("__block", F.posexplode("__shards").alias("__subset", "shard"))
+        # A third of the rows may be of one group: this is a plain equi-join, of which Spark splits large partitions.
+        placed = keyed.join(grouped.select("__group", "__block", "__subset"), "__group").join(where, ["__block", "__subset"])
+        return number_rows(placed.drop("__group", "__size", "__block", "__subset"), shards)
 
 
 def _subset_shards(sums: DataFrame, k: int, most: int) -> DataFrame:
@@ -173,9 +174,9 @@ def number_rows(df: DataFrame, shards: int) -> DataFrame:
                 seen[s] += len(mine)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(shard), task, np.int32)), pa.array(at)], names=[*names, "__task", "__at"])
 
-    counted = staged(df.mapInArrow(count, schema), "counted")
+    counted = staged(df.mapInArrow(count, schema), "counted", keep=True)
     before = Window.partitionBy("shard").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = staged(counted.groupBy("__task", "shard").count().select("__task", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base")), "bases")
+    bases = staged(counted.groupBy("__task", "shard").count().select("__task", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base")), "bases", keep=True)
     return counted.join(bases, ["__task", "shard"]).withColumn("slot", F.col("__base") + F.col("__at")).drop("__task", "__at", "__base")
 
 

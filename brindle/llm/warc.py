@@ -73,11 +73,23 @@ def build_dictionary(records: list[bytes]):
         return None
 
 
+def filesystem(uri: str):
+    """(file system, path) of a folder or file; the schemes of Hadoop's own S3 clients mean the same store as s3.
+
+    A store that Arrow does not know is an error that names it.
+    """
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    try:
+        return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else uri)
+    except (ValueError, NotImplementedError) as e:
+        raise ValueError(f"archives can't be kept under {scheme}: ({e}); give a folder that Arrow reaches too") from e
+
+
 class ArchiveWriter:
     def __init__(self, folder: str, name: str, train_bytes: int = TRAIN_BYTES):
-        from pyarrow import fs
-
-        self.fs, path = fs.FileSystem.from_uri(folder)
+        self.fs, path = filesystem(folder)
         self.fs.create_dir(path, recursive=True)
         self.uri, self.out = f"{folder}/{name}", self.fs.open_output_stream(f"{path}/{name}", compression=None)
         self.held: list[bytes] | None = []
@@ -122,9 +134,8 @@ class ArchiveWriter:
 def read_archive(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of every record, one record in memory at a time."""
     import zstandard
-    from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = filesystem(uri)
     with store.open_input_stream(path, compression=None) as f:
         data = f.read(8)
         options = {}

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import ann, decontaminate, htmltext, langid, neardup, quality, queries, sentencepiece, shard, tokens_orc, warc
-from brindle.llm.common import read_table, word_chunks
+from brindle.llm.common import byte_chunks, read_table, word_chunks
 from conftest import SF, SF_SMALL
 from oracle import same
 
@@ -58,6 +58,35 @@ def test_differencing_balances_and_places_everything():
     assert shard.differencing([]) == [] and shard.differencing([(1, 2)]) == [[0, 1]]
 
 
+def brute_differencing(sizes, k):
+    """Sums of k-way differencing, by looking for the two largest spreads each time."""
+    parts = [tuple(sorted([s] + [0] * (k - 1))) for s in sizes]
+    while len(parts) > 1:
+        at = sorted(range(len(parts)), key=lambda i: parts[i][0] - parts[i][-1])[:2]
+        x, y = (parts[i] for i in at)
+        parts = [p for i, p in enumerate(parts) if i not in at] + [tuple(sorted(a + b for a, b in zip(x, reversed(y), strict=True)))]
+    return parts[0]
+
+
+def test_differencing_against_brute_force():
+    rng = random.Random(7)
+    for _ in range(60):
+        # Sizes that are all different, so that no tie of spreads can be taken another way.
+        sizes, k = rng.sample(range(1, 10_000), rng.randint(1, 40)), rng.randint(2, 6)
+        assert tuple(sorted(shard.block_partition(sizes, k)[1])) == brute_differencing(sizes, k)
+
+
+def test_levels_of_differencing_balance(spark):
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 3000) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "id long, size long")
+    for most in (4096, 5):
+        rows = shard.shard_by_bytes(df, F.col("id"), F.col("size"), shards=4, block=16, most=most).collect()
+        sums = [sum(sizes[r.id] for r in rows if r.shard == j) for j in range(4)]
+        assert sorted(r.id for r in rows) == list(range(2000)) and max(sums) - min(sums) <= 0.002 * sum(sizes)
+        assert all(sorted(r.slot for r in rows if r.shard == j) == list(range(sum(r.shard == j for r in rows))) for j in range(4))
+
+
 def test_shards_keep_groups_and_number_rows(spark):
     rows = queries.queries()["op1_shard_kk"](spark, SF).toPandas()
     docs = {r.doc_id: r.text for r in read_table(spark, SF, "documents").collect()}
@@ -212,6 +241,68 @@ def test_templates_of_a_part_of_a_large_host(spark):
     assert out == [f"Own {i}." for i in range(1300)]
 
 
+BROKEN = {
+    "unclosed tags": "<a " * 330_000, "unclosed quotes": "<a x='" * 170_000, "one end for all": "<a x='" * 170_000 + ">", "both quotes": "<a x='><b y=\">" * 70_000,
+    "open divisions": "<div>" * 4_000 + "<p></p>" * 100_000, "stray ends": "<div>" * 150_000 + "</p>" * 50_000, "comments": "<!--" * 250_000, "angles": "<" * 1_000_000,
+    "declarations": "<!" * 500_000, "raw": "<script>" * 120_000, "blanks": "<a =" + " " * 900_000 + ">x",
+}
+
+
+@pytest.mark.parametrize("name", sorted(BROKEN))
+def test_broken_pages_take_linear_time(name):
+    import time
+
+    began = time.process_time()
+    htmltext.main_text(BROKEN[name])
+    assert time.process_time() - began < 2.0  # under one second each on an idle core
+
+
+def test_broken_and_very_long_pages_keep_their_text():
+    assert htmltext.main_text("a < b <c d") == "a < b <c d"
+    assert htmltext.main_text("<p>one<p title='x>two</p>") == "one\ntwo"
+    assert htmltext.main_text("x<!-- never closed <p>y") == "x"
+    assert htmltext.main_text("<table><tr><td>1<td>2<tr><td>3</table>") == "1\n2\n3"
+    long = "".join(f"<p>Line {i} of it.</p>" for i in range(60_000))
+    assert htmltext.main_text(f"<nav>m</nav><article>{long}</article>") == "\n".join(f"Line {i} of it." for i in range(60_000))
+
+
+def random_tree(rng, depth=0):
+    """A tree of blocks: (tag, children), texts as leaves."""
+    kids = [random_tree(rng, depth + 1) if depth < 3 and rng.random() < 0.5 else ("p", [f"word {rng.randrange(6)}"]) for _ in range(rng.randint(1, 3))]
+    return (rng.choice(["div", "section", "table"][:2]), kids)
+
+
+def written(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>{''.join(map(written, tree[1]))}</{tree[0]}>"
+
+
+def test_counted_subtrees_against_brute_force(spark):
+    rng = random.Random(12)
+    trees = {(h, i): ("div", [random_tree(rng) for _ in range(2)] + [("p", [f"own {h} {i}"])]) for h in range(3) for i in range((4, 9, 30)[h])}
+
+    def subtrees(t):
+        return set() if isinstance(t, str) else {written(t)}.union(*map(subtrees, t[1]))
+
+    seen: dict = {}
+    for (h, i), t in trees.items():
+        for x in subtrees(t):
+            seen.setdefault((h, x), set()).add(i)
+
+    def left(t, h):
+        if isinstance(t, str):
+            return [t]
+        return [] if len(seen[h, written(t)]) >= htmltext.MIN_PAGES else [b for k in t[1] for b in left(k, h)]
+
+    rows = [(100 * h + i, f"https://h{h}.example/{i}", written(t)) for (h, i), t in trees.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    assert out == {100 * h + i: "\n".join(left(t, h)) for (h, i), t in trees.items()}
+    # Without the counted templates the result is another one; a host of fewer pages than a template needs has none.
+    alone = {i: htmltext.main_text(html) for i, _, html in rows}
+    changed = [i for i in out if out[i] != alone[i]]
+    assert len(changed) > 25 and all(i >= 100 for i in changed)
+
+
 def test_templates_change_no_given_page(spark):
     # What the README says of the given tables.
     for row in read_table(spark, SF_SMALL, "pages").collect():
@@ -249,7 +340,7 @@ def test_recall_with_border_copies(spark, monkeypatch):
 def test_vectors_that_take_no_part_and_ties(spark):
     v = [[1.0, 0.0], [1.0, 0.0], [0.5, 0.5], None, [0.0, 0.0], [float("nan"), 1.0], [None, 1.0], [float("inf"), 1.0], [1.0], [0.0, 3.0]]
     rows = [(i, x) for i, x in enumerate(v)] + [(0, v[0]), (None, [1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "node": F.lit(2), "v": F.lit("x")})
     out = sorted(tuple(r) for r in ann.search_lists(df, lambda i: i.isin(0, 3, 9)).collect())
     assert out == [(0, 1, 1, 1.0), (0, 2, 2, 0.5), (0, 3, 9, 0.0), (9, 1, 2, 1.5), (9, 2, 0, 0.0), (9, 3, 1, 0.0)]
     assert ann.search_lists(df.filter("vec_id = 3"), lambda i: i == 3).count() == 0
@@ -258,20 +349,155 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert [r.id for r in got] == list(range(20))
 
 
+def test_doubles_lengths_and_repeated_ids(spark):
+    tiny = 1e-12
+    rows = [(0, [1.0, 1.0]), (1, [1.0 + tiny, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0 + 2 * tiny]), (4, [9.0, 9.0, 9.0]), (5, [1.0, 0.0, 0.0]), (6, [2.0, 0.0, 0.0]), (0, [0.0, 5.0]), (7, []), (4, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = sorted(tuple(r) for r in ann.search_lists(df, lambda i: i.isin(0, 4)).collect())
+    # 0 has two vectors: the best score of each candidate counts. Scores keep what a float would lose.
+    assert [r[:3] for r in out] == [(0, 1, 3), (0, 2, 1), (0, 3, 2), (4, 1, 6), (4, 2, 5)]
+    assert [r[3] for r in out] == [5 * (1.0 + 2 * tiny), 1.0 + tiny, 1.0, 18.0, 9.0]
+
+
+def clustered(rng, n, centres=None, d=16):
+    """Vectors of equal length in clusters of about fifty."""
+    c = rng.normal(size=(n // 50, d))
+    x = c[rng.integers(0, len(c), n)] + 0.15 * rng.normal(size=(n, d))
+    return (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+
+
+def test_lists_are_bounded_and_work_grows_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 64)
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 512)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 64)
+    monkeypatch.setattr(ann, "LEAST_SAMPLE", 1024)
+    monkeypatch.setattr(ann, "SAMPLE_SHARE", 4)
+    work, rng = [], np.random.default_rng(3)
+    for n in (4_000, 20_000):
+        x = clustered(rng, n)
+        index = ann.ListIndex(x[:: 4], 1.0 + 1e-6, n)
+        row, at = index.places(x)
+        sizes = np.bincount(at, minlength=len(index.graph.c))
+        buckets = ann.Buckets(dict(enumerate(sizes.tolist())), len(sizes), 512)
+        held = np.bincount(buckets.of(at, row))
+        assert held.max() <= 1.3 * 512 and sizes.max() <= 16 * np.median(sizes)
+        read = [buckets.read(found) for found in index.looks(x[::20])]
+        assert all(len(np.unique(np.stack(r, 1), axis=0)) == len(r[0]) for r in read)
+        work.append(sum(sizes[found].sum() for found in index.looks(x[::20])))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        rows = ann.search_lists(df, lambda i: i % 200 == 0).toPandas()
+        want = ann.brute_force(np.arange(n), x, np.arange(0, n, 200))
+        assert (rows.groupby("query_id").size() == ann.K).all()
+        assert len(want.merge(rows, left_on=["query_id", "vec_id"], right_on=["query_id", "id"])) >= 0.9 * len(want)
+    assert work[1] < work[0] * 5**1.3
+
+
+def test_long_lists_are_cut():
+    buckets = ann.Buckets({0: 10, 1: 95, 2: 1000, 3: 5}, 5, 100)
+    assert buckets.first.tolist() == [0, 1, 2, 12, 12] and buckets.parts.tolist() == [1, 1, 10, 1, 1]
+    of = buckets.of(np.full(5000, 2), np.arange(5000))
+    assert set(of.tolist()) == set(range(2, 12)) and np.bincount(of - 2).max() < 700
+    by, lists = buckets.read(np.array([0, 2, 3]))
+    assert by.tolist() == [0, *range(2, 12), 12] and lists.tolist() == [0, *[2] * 10, 3]
+
+
 # 5. Quality
 
 
-def test_label_model_finds_accuracies():
-    rng, k = np.random.default_rng(1), len(quality.LABELLERS)
-    truth = rng.random(20_000) < 0.2
-    counts: dict[int, int] = {}
-    for bad in truth:
-        vote = [int(rng.random() < (0.5 if bad else 0.01)) for _ in range(k)]
-        p = quality.pattern(vote)
-        counts[p] = counts.get(p, 0) + 1
-    model = quality.LabelModel(counts)
-    assert abs(model.prior - 0.8) < 0.03 and np.allclose(model.rates[1], 0.5, atol=0.05) and np.allclose(model.rates[0], 0.01, atol=0.01)
-    assert quality.LabelModel({}).posterior([quality.NONE] * k) == 0.5
+def simulated(rng, n, bad, wrong, right):
+    """Vote rows of which a share `bad` are of bad documents."""
+    truth = rng.random(n) < bad
+    return (rng.random((n, len(quality.LABELLERS))) < np.where(truth, right, wrong)[:, None]).astype(int)
+
+
+def counted(found):
+    codes, n = np.unique(quality.pattern(found), return_counts=True)
+    return dict(zip(codes.tolist(), n.tolist(), strict=True))
+
+
+@pytest.mark.parametrize(("bad", "wrong", "right"), [(0.2, 0.01, 0.5), (0.3, 0.15, 0.8), (0.5, 0.25, 0.7), (0.1, 0.05, 0.95)])
+def test_label_model_finds_accuracies(bad, wrong, right):
+    model = quality.LabelModel(counted(simulated(np.random.default_rng(1), 20_000, bad, wrong, right)))
+    assert abs(model.prior - (1 - bad)) < 0.02
+    assert np.allclose(model.rates[0], wrong, atol=0.03) and np.allclose(model.rates[1], right, atol=0.05)
+    want = (1 - bad) * (1 - wrong) + bad * right
+    assert all(abs(x - want) < 0.03 for x in model.accuracies().values())
+
+
+def test_label_model_without_votes():
+    none = np.full((1, len(quality.LABELLERS)), quality.NONE)
+    assert quality.LabelModel({}).posteriors(none).tolist() == [0.5]
+    model = quality.LabelModel({int(quality.pattern(none)[0]): 7})
+    assert model.posteriors(none).tolist() == [model.prior]
+
+
+def test_label_model_against_brute_force():
+    # Expectation-maximisation document by document, vote by vote.
+    rng = np.random.default_rng(4)
+    found = simulated(rng, 120, 0.3, 0.1, 0.7)
+    found[rng.random(found.shape) < 0.2] = quality.NONE
+    found[0] = quality.NONE
+    post = [0.5 if all(v == quality.NONE for v in row) else 0.2 if quality.BAD in row else 0.9 for row in found]
+    for _ in range(500):
+        rows = [(row, g) for row, g in zip(found.tolist(), post, strict=True) if any(v != quality.NONE for v in row)]
+        prior = (sum(g for _, g in rows) + 1) / (len(rows) + 2)
+        rate = [[], []]
+        for j in range(len(quality.LABELLERS)):
+            for y, (a, b) in enumerate(quality.BEFORE):
+                cast = [(row[j] == quality.BAD, g if y == 0 else 1 - g) for row, g in rows if row[j] != quality.NONE]
+                rate[y].append((sum(w for is_bad, w in cast if is_bad) + a) / (sum(w for _, w in cast) + a + b))
+        post = []
+        for row in found.tolist():
+            like = [prior, 1 - prior]
+            for y in (0, 1):
+                for j, v in enumerate(row):
+                    like[y] *= 1.0 if v == quality.NONE else rate[y][j] if v == quality.BAD else 1 - rate[y][j]
+            post.append(like[0] / sum(like))
+    model = quality.LabelModel(counted(found))
+    assert abs(model.prior - prior) < 1e-6 and np.allclose(model.rates, rate, atol=1e-6)
+    assert np.allclose(model.posteriors(found), post, atol=1e-6)
+
+
+def plain_statistics(text):
+    """The statistics one by one, in plain Python."""
+    import re
+    from collections import Counter
+
+    w, raw = text.split(), text.encode()
+    n, used = len(w), Counter(w)
+    solid = sum(b not in (9, 10, 11, 12, 13, 32) for b in raw)
+    up, low = sum(65 <= b < 91 for b in raw), sum(97 <= b < 123 for b in raw)
+    lines = [x for x in (x.strip() for x in text.split("\n")) if x]
+    signs = [chr(b) for b in raw if 33 <= b < 127 and not chr(b).isalnum() and chr(b) not in ".,'-"]
+    of = lambda f: sum(c for x, c in used.items() if f(x)) / max(1, n)
+    return [
+        len(signs) / max(1, solid), up / max(1, up + low), max(used.values(), default=0) / max(1, n), 1 - len(set(zip(w, w[1:], strict=False))) / (n - 1) if n > 1 else 0.0,
+        1 - sum(len(set(w[i : i + 50])) for i in range(0, n, 50)) / n if n else 0.0, 1 - len(set(lines)) / len(lines) if lines else 0.0,
+        1 - sum(x[-1] in ".!?…\"”»:;。！？" for x in lines) / len(lines) if lines else 0.0, sum(map(len, w)) / max(1, n),
+        of(lambda x: not any(c.isalnum() for c in x)), of(lambda x: bool(re.search(r"[#$%&*+<=>@^_`{|}~\\/]", x))), of(lambda x: bool(re.search(r"([^\w\s.-])\1", x))),
+    ]
+
+
+def test_statistics_against_plain_python(spark):
+    import pyarrow as pa
+
+    texts = [t or "" for t in ODD] + ["\n\n x \n", "A.\nB!\nc", "##x $$ a_b ab__ é» ..", "\u00a0tab\tend"] + [r.text for r in read_table(spark, SF_SMALL, "documents").select("text").collect()]
+    found = quality.Described(pa.array(texts, pa.string()))
+    assert found.words.tolist() == [len(t.split()) for t in texts]
+    assert np.allclose(found.stats, [plain_statistics(t) for t in texts], atol=1e-12)
+    # One by one, the features are the same ones; null counts as empty, and no text gives nothing.
+    for i in (3, 5, 9, len(texts) - 1):
+        one = quality.Described(pa.array([texts[i]]))
+        mine = found.doc == i
+        pairs = lambda x, y: sorted(zip(x.tolist(), y.tolist(), strict=True))
+        assert pairs(found.index[mine], found.value[mine]) == pairs(one.index, one.value)
+    assert quality.Described(pa.array([None], pa.string())).words.tolist() == [0] and len(quality.Described(pa.array([], pa.string())).stats) == 0
+
+
+def test_shapes():
+    import pyarrow as pa
+
+    assert quality.shapes(pa.array(["Word", "USA", "a1b22", "$$$$!!", "日本", "don't", "x--", ""])).to_pylist() == ["Aa", "A", "a9a9", "$$!!", "x", "a'a", "a--", ""]
 
 
 def test_quality_against_labels(spark):
@@ -279,6 +505,16 @@ def test_quality_against_labels(spark):
     assert out[out.quality == 1].keep.mean() > 0.98 and out[out.quality == 0].keep.mean() < 0.1
 
 
+def test_sample_is_bounded_by_count(spark, monkeypatch):
+    # A row repeated very often is drawn once, and never more than the sample is.
+    docs = documents(spark, ["the same words again and again"] * 3000 + [f"text {i} of some words" for i in range(500)]).withColumn("doc_id", F.when(F.col("doc_id") < 3000, 1).otherwise(F.col("doc_id")))
+    sizes = []
+    monkeypatch.setattr(quality, "Scorer", lambda doc, index, value, labels: sizes.append(len(labels)))
+    quality.fit(docs, sample=100)
+    quality.fit(docs, sample=100_000)
+    assert sizes[0] <= 100 and sizes[1] == 501
+
+
 def test_quality_of_odd_rows(spark):
     docs = documents(spark, ODD, posterior="old")
     out = quality.score_documents(docs, *quality.fit(docs)).collect()
@@ -314,7 +550,7 @@ def test_archives_round_trip(spark, tmp_path):
 
 
 def brute_classes(texts, similarity=0.8):
-    sets = [neardup.shingles(h) if len(h := neardup.word_hashes(t) if t else np.zeros(0, np.uint64)) else None for t in texts]
+    sets = [neardup.shingles(h) if len(h := neardup.WordHashes().of(t)) else None for t in texts]
     up = list(range(len(texts)))
 
     def root(x):
@@ -362,21 +598,61 @@ def test_classes_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
-def test_large_buckets_are_compared_by_signature(spark, monkeypatch):
-    rng = random.Random(4)
-    base = [f"w{rng.randint(0, 5000)}" for _ in range(100)]
-    texts = []
-    for i in range(60):
+def edited(rng, n, most=9, words=100):
+    """Texts that are one base text with 0 to `most` words replaced."""
+    base, texts = [f"w{rng.randint(0, 5000)}" for _ in range(words)], []
+    for i in range(n):
         v = list(base)
-        for k in range(rng.randint(0, 9)):
-            v[rng.randrange(100)] = f"x{i}_{k}"
+        for k in range(rng.randint(0, most)):
+            v[rng.randrange(words)] = f"x{i}_{k}"
         texts.append(" ".join(v))
-    monkeypatch.setattr(neardup, "SMALL", 3)
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+    return texts
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_blocks_of_any_size_give_the_same_classes(spark, monkeypatch, block):
+    texts = edited(random.Random(4), 60)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     got = {r.doc_id: r.class_id for r in neardup.classes(documents(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def test_chain_of_edits_is_one_class(spark):
+    # Each text is near the next one only: no centre reaches them all.
+    words_ = [f"w{i}" for i in range(400)]
+    texts = [" ".join([f"y{i}" for i in range(6 * k)] + words_[6 * k :]) for k in range(40)]
+    got = {r.class_id for r in neardup.classes(documents(spark, texts)).collect()}
+    assert got == {0} == set(brute_classes(texts))
+
+
+def test_pairs_at_the_threshold_are_found():
+    # Recall of bands and estimate together, at similarities of 0.8 to 0.82.
+    rng, missed, n = np.random.default_rng(6), 0, 400
+    least = neardup.least_estimate(0.8)
+    for _ in range(n):
+        a = np.sort(rng.integers(0, 2**63, 1000).astype(np.uint64))
+        b = np.sort(np.concatenate([a[111:], rng.integers(0, 2**63, 111).astype(np.uint64)]))
+        one = np.ones(1000, int)
+        sig = neardup.signatures([(a, one), (b, one)])
+        low = sig.astype(np.uint8)
+        band = (neardup.band_keys(sig)[0] == neardup.band_keys(sig)[1]).any()
+        missed += not (band and neardup._estimate((low[0] == low[1]).sum()) >= least)
+    assert missed == 0
+
+
+def test_forest_of_a_block():
+    p, q, w = np.array([1, 1, 2, 4, 1]), np.array([2, 3, 3, 5, 2]), np.array([0.7, 0.9, 0.8, 0.71, 0.95])
+    assert sorted(neardup._forest(p, q, w)) == [1, 3, 4]
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randint(0, 900)}" for _ in range(300_000))
+    docs = documents(spark, [long, long + " end", long[: len(long) // 2], "a " * 200_000], node=1, sig="s", h1=2, component=3, key=4, band=5)
+    assert [r.class_id for r in neardup.classes(docs).orderBy("doc_id").collect()] == [0, 0, 2, 3]
+    assert neardup.keep_one(docs).columns == docs.columns
+
+
 def test_whole_table_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in read_table(spark, SF_SMALL, "documents").orderBy("doc_id").collect()]
     want = [docs[i][0] for i in brute_classes([t for _, t in docs])]
@@ -431,6 +707,26 @@ def test_segmentation_is_the_best_one(unigram):
             assert unigram.decode(ids) == text
 
 
+def test_long_texts_without_blanks(unigram, monkeypatch):
+    import time
+
+    import sentencepiece as lib
+
+    sp = lib.SentencePieceProcessor(model_file=sentencepiece.default_model())
+    pieces = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+    rng = random.Random(8)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = ["".join(rng.choice(signs) for _ in range(1500)), "".join(rng.choice("日本語文字的是不了人我在有他这") for _ in range(1500)), "a" * 700, "ab cd\n" * 300 + "  " + "xyz" * 200]
+    monkeypatch.setattr(sentencepiece, "WINDOW", 128)
+    for text in texts:
+        assert np.frombuffer(unigram.encode([text])[0], "<i4").tolist() == brute_ids(unigram, pieces, text)
+    monkeypatch.undo()
+    for text in (texts[0] * 200, texts[1] * 200):
+        began = time.process_time()
+        ids = unigram.encode([text])[0]
+        assert unigram.decode(ids) == text and time.process_time() - began < 6.0
+
+
 def test_trie_finds_all_words():
     words_ = {"a": 0, "ab": 1, "abc": 2, "b": 3, "bd": 4, "日": 5}
     trie = sentencepiece.DoubleArray(words_)
@@ -451,18 +747,42 @@ def test_documents_round_trip(spark):
 # 9. Token files
 
 
-def test_pieces_give_the_library_ids():
+def test_texts_get_the_ids_of_the_untouched_library():
     import public_tokenizers
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library, mine = Tokenizer.from_file(path), tokens_orc.PieceEncoder(path)
-    library.encode_special_tokens = True
+    library, mine = Tokenizer.from_file(path), tokens_orc.TextEncoder(path)
+    assert mine.cut
     rng = random.Random(1)
-    parts = ["a", "don't", "'s", " ", "  ", "\n", "\n\n", "\t", "é", "日本", "22", ".", "!!", "_", " ", "​", "<|endoftext|>", "²", "́", "\x1c", "\r\n", "🙂"]
-    texts = [None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
-    for text, ids in zip(texts, mine.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<i4").tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    parts = ["a", "don't", "'s", " ", " ", "  ", "\n", "\n\n", "\t", "é", "日本", "22", ".", "!!", "_", "\u2007", "\u200b", "\u3000", "<|endoftext|>", "²", "\u0301", "\x1c", "\x85", "\r\n", "🙂", " 's", " x"]
+    texts = [None, "", "a <|endoftext|> b"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 9] for t in texts]
+    for cut in (True, False):
+        mine.cut = cut
+        ids, n = mine.encode(pa.array(texts, pa.string()), 9)
+        for text, w, part in zip(texts, want, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert part.tolist() == w, repr(text)
+
+
+def test_chunks_hold_every_row():
+    import pyarrow as pa
+
+    texts = pa.array(["abc", None, "x" * 20, "", "yy", "z" * 8])
+    assert list(byte_chunks(texts, 8)) == [(0, 2), (2, 1), (3, 2), (5, 1)]
+    assert list(byte_chunks(texts.slice(0, 0), 8)) == []
+
+
+def test_very_long_text():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for text in ("some words, and more\n" * 100_000, "x" * 200_000, "ab  " * 50_000):
+        ids, _ = tokens_orc.TextEncoder.at(path).encode(pa.array([text]), 0)
+        assert ids[:-1].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
 def test_token_files(spark, tmp_path):
@@ -486,14 +806,67 @@ def test_token_files(spark, tmp_path):
     assert len(out) == 2 * len(ODD)
 
 
-def test_reads_by_id_prune_files(spark, tmp_path):
+def test_no_rows_give_no_tokens(spark, tmp_path):
+    import public_tokenizers
+
+    path = f"{tmp_path.as_uri()}/none"
+    tokens_orc.write_tokens(documents(spark, []), public_tokenizers.path("byte_bpe_50k.json"), path)
+    assert tokens_orc.digests(tokens_orc.read_tokens(spark, path)).count() == 0
+
+
+def test_repeated_ids_and_clashing_columns(spark, tmp_path):
+    import public_tokenizers
+
+    docs = documents(spark, ["b", "a", "a", None], __h=1, before=2, n=3, ids=4).withColumn("doc_id", F.lit(7).cast("long"))
+    path = f"{tmp_path.as_uri()}/same"
+    tokens_orc.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), path)
+    out = tokens_orc.read_tokens(spark, path).orderBy("start").collect()
+    assert [r.start for r in out] == [0, *np.cumsum([len(r.ids) for r in out])[:-1]] and sorted(len(r.ids) for r in out) == [1, 2, 2, 2]
+
+
+def test_footers_hold_bloom_filters_and_stripes_are_skipped(spark, tmp_path):
     import public_tokenizers
+    from py4j.java_gateway import get_field
 
+    rng, word = random.Random(3), "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(rng.choice(word) for _ in range(9)) for _ in range(120)) for _ in range(3000)]
+    # Even ids only, so that an odd id lies between the minimum and the maximum of a stripe; all so large that Java gets them as longs.
+    base = 1 << 40
+    docs = spark.createDataFrame([(base + 2 * i, t) for i, t in enumerate(texts * 4)], "doc_id long, text string").coalesce(1)
     path = f"{tmp_path.as_uri()}/t"
-    tokens_orc.write_tokens(read_table(spark, SF_SMALL, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
-    plan = spark.read.orc(path).filter("doc_id = 7")._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan
-    assert spark.read.orc(path).filter("doc_id = 7").count() == 1
+    rows = tokens_orc.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    rows.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").write.options(**tokens_orc.ORC_OPTIONS | {"orc.stripe.size": "400000"}).orc(path)
+    assert "EqualTo(doc_id,7)" in spark.read.orc(path).filter("doc_id = 7")._jdf.queryExecution().toString()
+    assert spark.read.orc(path).filter(f"doc_id = {base + 8}").count() == 1 and spark.read.orc(path).filter(f"doc_id = {base + 7}").count() == 0
+    jvm = spark._jvm
+    conf, orc = spark._jsc.hadoopConfiguration(), jvm.org.apache.orc
+    file = jvm.org.apache.hadoop.fs.Path(str(next(tmp_path.glob("t/*.orc"))))
+    reader = orc.OrcFile.createReader(file, orc.OrcFile.readerOptions(conf))
+    stripes = reader.getStripes()
+    assert stripes.size() > 2 and str(reader.getCompressionKind()) == "ZSTD"
+    names = reader.getSchema().getFieldNames()
+    column = list(names).index("doc_id") + 1
+    include = spark.sparkContext._gateway.new_array(jvm.boolean, reader.getSchema().getMaximumId() + 1)
+    flags = spark.sparkContext._gateway.new_array(jvm.boolean, reader.getSchema().getMaximumId() + 1)
+    include[0] = include[column] = flags[column] = True
+    for s in range(stripes.size()):
+        index = reader.rows().readRowIndex(s, include, flags)
+        assert index.getRowGroupIndex()[column].getEntryCount() > 0 and index.getBloomFilterIndex()[column].getBloomFilterCount() > 0
+
+    def read(value) -> int:
+        """Rows that come up for doc_id = value, by the file's metadata alone."""
+        sarg = jvm.org.apache.hadoop.hive.ql.io.sarg
+        predicate = sarg.SearchArgumentFactory.newBuilder().startAnd().equals("doc_id", getattr(sarg.PredicateLeaf, "Type").LONG, base + value).end().build()
+        columns = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 1)
+        columns[0] = "doc_id"
+        records, batch, n = reader.rows(reader.options().searchArgument(predicate, columns)), reader.getSchema().createRowBatch(), 0
+        while records.nextBatch(batch):
+            n += get_field(batch, "size")
+        return n
+
+    total = reader.getNumberOfRows()
+    assert 0 < read(12_000) <= total / 2  # by the minimum and maximum of each stripe
+    assert sum(read(i) == 0 for i in range(1, 2000, 20)) > 90  # by the Bloom filters: odd ids are in none
 
 
 # 10. Language
@@ -572,7 +945,7 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(out.collect(), out.schema)
     rows = docs.collect()
     assert 0 < len(rows) < len(first) and all(r.round_trip for r in rows)
-    assert len({neardup.node_of(neardup.word_hashes(r.text)) for r in rows}) == len(rows)
+    assert len({neardup.digest_of(neardup.WordHashes().of(r.text)) for r in rows}) == len(rows)
     bench = {str(r.item_id): r.text for r in read_table(spark, SF_SMALL, "benchmark").collect()}
     assert not any(brute_spans(r.text, bench)[1] for r in rows)
     for r in rows:
