@@ -66,7 +66,12 @@ def stream_result(spark: SparkSession, stream: DataFrame, schema, mode: str) ->
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='brindle-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
     out, last = f"{base.rstrip('/')}/{uuid.uuid4().hex}-stream", []
 
     def sink(df: DataFrame, batch: int) -> None:
