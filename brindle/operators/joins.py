@@ -7,26 +7,62 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 
+#: Blocks of the order that carrying a value forward is done in.
+BLOCKS = 256
+
+
+def _number(df: DataFrame, on: str) -> Column:
+    """An ordered column as a number, in its order."""
+    kind = dict(df.dtypes)[on]
+    if kind == "date":
+        return F.unix_date(on).cast("double")
+    return F.unix_micros(F.col(on).cast("timestamp")).cast("double") if kind.startswith("timestamp") else F.col(on).cast("double")
+
+
+def carried(df: DataFrame, value: str, on: str, then: Sequence[str] = (), by: Sequence[str] = (), blocks: int = BLOCKS) -> DataFrame:
+    """df with `value` replaced by its last non-null value up to the row, within `by`, in the order of `on` (date, time or number) and `then`.
+
+    The span of `on` is cut into blocks of equal length; within a block a window carries on, and what earlier
+    blocks end with is carried from block to block. So one key, or a table without one, is spread over many tasks.
+    """
+    x = _number(df, on)
+    low, high = df.agg(F.min(x), F.max(x)).first()
+    width = ((high - low) / blocks or 1.0) if low is not None else 1.0
+    block = F.coalesce(F.floor((x - F.lit(low or 0.0)) / width), F.lit(-1)).cast("int")
+    rows = df.withColumn("__b", block)
+    inner = Window.partitionBy(*by, "__b").orderBy(on, *then).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*by, "__b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(on, *then))).alias("__end"))
+    before = ends.withColumn("__before", F.last("__end", ignorenulls=True).over(earlier)).filter("__before IS NOT NULL")
+    before = before.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__block"), "__before")
+    same = F.col("__b") == F.col("__block")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    out = rows.withColumn(value, F.last(value, ignorenulls=True).over(inner)).join(before, same, "left")
+    return out.withColumn(value, F.coalesce(value, "__before")).select(*df.columns)
+
+
 def asof_backward(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], values: Sequence[str]) -> DataFrame:
     """left with the values of the last right row at or before it, within `by`; that row's nulls stay nulls.
 
-    One shuffle by `by`: both sides are put one after the other and the last right row is carried on. Of
-    right rows at the same place the values that sort last count.
+    Both sides are put one after the other and the last right row is carried on. Of right rows at the same
+    place the values that sort last count.
     """
     values = list(values)
     hold = F.struct(*values)
     l = left.select(*left.columns, F.lit(None).cast(right.select(hold.alias("h")).schema["h"].dataType).alias("__h"), F.lit(1).alias("__side"))
     r = right.select(*[c for c in (*by, on)], hold.alias("__h"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*by).orderBy(on, "__side", "__h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("__last", F.last("__h", ignorenulls=True).over(w))
-    return both.filter("__side = 1").select(*left.columns, *[F.col(f"__last.{v}").alias(v) for v in values])
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("__last", F.col("__h"))
+    out = carried(both, "__last", on, ["__side", "__h"], by)
+    return out.filter("__side = 1").select(*left.columns, *[F.col(f"__last.{v}").alias(v) for v in values])
 
 
 def exact_then_ffill(left: DataFrame, right: DataFrame, on: str, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """left join on equal keys, then the last non-null value is carried forward; keys without a left row are lost."""
-    w = Window.partitionBy(*by).orderBy(on).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = left.join(right.select(*by, on, *values), [*by, on], "left")
-    return out.withColumns({v: F.last(v, ignorenulls=True).over(w) for v in values})
+    for v in values:
+        out = carried(out, v, on, (), by)
+    return out
 
 
 def outer_align(a: DataFrame, b: DataFrame, on: str) -> DataFrame:

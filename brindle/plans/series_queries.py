@@ -97,8 +97,8 @@ def rolling(spark, sf):
 
 @query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS filled FROM events""")
 def ffill(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "events").select("event_id", "user_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("filled"))
+    ev = table(spark, sf, "events").withColumn("filled", F.when(F.col("event_type") == "purchase", F.col("value")))
+    return J.carried(ev, "filled", "ts", ["event_id"], ["user_id"]).select("event_id", "user_id", "filled")
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL)
@@ -190,13 +190,16 @@ def event_windows(spark, sf):
     return J.event_windows(d, events, "date", -1, 3).select("event_day", F.col("offset").cast("int").alias("offset"), "date", "value")
 
 
-@query()
+@query(f"""WITH each AS (SELECT event_type, CAST(ts AS DATE) AS date, avg(value) AS r FROM events GROUP BY ALL), market AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS m FROM events GROUP BY 1),
+s AS (SELECT event_type, date, r, m, row_number() OVER (PARTITION BY event_type ORDER BY date) AS t FROM each JOIN market USING (date)), e AS (SELECT event_type, date AS event_day, t AS mid FROM s WHERE day(date) IN (15, 20)),
+f AS (SELECT event_type, event_day, regr_slope(r, m) AS slope, regr_intercept(r, m) AS intercept FROM e JOIN s USING (event_type) WHERE t BETWEEN mid - 10 AND mid - 1 GROUP BY ALL)
+SELECT event_type, event_day, {s6('sum(r - intercept - slope * m)')} AS car FROM e JOIN f USING (event_type, event_day) JOIN s USING (event_type) WHERE t BETWEEN mid - 1 AND mid + 1 GROUP BY ALL""")
 def event_window_car(spark, sf):
     """Abnormal returns by event type against the mean of all."""
     ev = table(spark, sf, "events").withColumn("date", F.to_date("ts"))
     each, market = ev.groupBy("event_type", "date").agg(F.avg("value").alias("r")), ev.groupBy("date").agg(F.avg("value").alias("m"))
     events = each.filter(F.dayofmonth("date").isin(15, 20)).select("event_type", F.col("date").alias("event_day"))
-    return E.abnormal_returns(each, market, events, "event_type", "date", "r", "m")
+    return E.abnormal_returns(each, market, events, "event_type", "date", "r", "m").withColumn("car", r6(F.col("car"), "car"))
 
 
 @query(f"""WITH {DAILY}, p AS (SELECT value AS y, lag(value) OVER (ORDER BY date) AS x FROM daily) SELECT {s6('regr_slope(y, x)')} AS slope, {s6('regr_intercept(y, x)')} AS intercept, {s6('regr_r2(y, x)')} AS r2 FROM p""")
@@ -270,28 +273,85 @@ def _model(spark, sf) -> DataFrame:
 X = ["x1", "x2", "x3"]
 
 
-@query()
+def _model_sql() -> str:
+    """The panel m with, for each term, what the other terms leave of it (r_), the residual e and the leverage h."""
+    ctes = [
+        "m AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS y, avg(value) FILTER (WHERE event_type = 'purchase') AS x1, avg(value) FILTER (WHERE event_type = 'click') AS x2, "
+        "stddev_samp(value) AS x3, 1.0::DOUBLE AS one FROM events GROUP BY 1 HAVING y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL)"
+    ]
+    terms, at, kept = ["one", *X], "m", "date, y, x1, x2, x3, one"
+    for last in terms:
+        order = [*(t for t in terms if t != last), last]
+        for k, c in enumerate(order):
+            rest = " - ".join([c, *(f"o{i} * (sum({c} * o{i}) OVER () / sum(o{i} * o{i}) OVER ())" for i in range(k))])
+            ctes.append(f"{last}_{k} AS (SELECT *, {rest} AS o{k} FROM {at})")
+            at = f"{last}_{k}"
+        kept += f", r_{last}"
+        more = ""
+        if last == terms[-1]:
+            fit = " + ".join(f"o{i} * (sum(y * o{i}) OVER () / sum(o{i} * o{i}) OVER ())" for i in range(4))
+            more = f", {fit} AS fitted, " + " + ".join(f"o{i} * o{i} / sum(o{i} * o{i}) OVER ()" for i in range(4)) + " AS h, count(*) OVER () AS n"
+        ctes.append(f"{last}_r AS (SELECT * EXCLUDE (o0, o1, o2, o3), o3 AS r_{last}{more} FROM {at})")
+        at = f"{last}_r"
+    ctes.append(f"f AS (SELECT *, y - fitted AS e FROM {at})")
+    return ", ".join(ctes)
+
+
+MODEL = _model_sql()
+TERMS = {"(Intercept)": "r_one", "x1": "r_x1", "x2": "r_x2", "x3": "r_x3"}
+
+
+def _terms_sql(variances: dict[str, str]) -> str:
+    """The coefficient table, of the variance of each kind as SQL over f with r; p values by Simpson's rule on the t density in the angle."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{name}' AS term, '{kind}' AS se_type, sum(y * {r}) / sum({r} * {r}) AS b, sqrt({v.replace('RR', f'sum({r} * {r})').replace('R', r)}) AS se, count(*) - 4 AS df FROM f" for kind, v in variances.items() for name, r in TERMS.items()
+    )
+    return (
+        f"t AS ({rows}), g AS (SELECT *, b / se AS t, atan(abs(b / se) / sqrt(df)) / 2000 AS w FROM t), "
+        "p AS (SELECT term, se_type, 1 - 2 * exp(lgamma((any_value(df) + 1) / 2.0) - lgamma(any_value(df) / 2.0)) / sqrt(pi()) * any_value(w) / 3 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(i * w), df - 1)) AS p_value "
+        "FROM g, range(0, 2001) r(i) GROUP BY ALL) "
+        f"SELECT term, {s6('b')} AS estimate, {s6('se')} AS std_error, {s6('t')} AS statistic, {s6('p_value')} AS p_value, {s6('b - 1.96 * se')} AS low, {s6('b + 1.96 * se')} AS high, se_type FROM g JOIN p USING (term, se_type)"
+    )
+
+
+def _rounded(df: DataFrame, *same: str) -> DataFrame:
+    """Every double but those named to six places."""
+    return df.select(*[r6(F.col(c), c) if t == "double" and c not in same else F.col(c) for c, t in df.dtypes])
+
+
+OLS_VARIANCE = "sum(e * e) / (count(*) - 4) / RR"
+HC_VARIANCES = {
+    "HC1": "sum(R * R * e * e) * count(*) / (count(*) - 4) / (RR * RR)", "HC3": "sum(R * R * e * e / ((1 - h) * (1 - h))) / (RR * RR)",
+    "HC4": "sum(R * R * e * e / pow(1 - h, least(4.0, h * n / 4))) / (RR * RR)",
+}
+
+
+@query(f"WITH {MODEL}, {_terms_sql({'OLS': OLS_VARIANCE})}")
 def ols_multi(spark, sf):
     """E1, E2, E5, E18; a repeated regressor is dropped."""
     d = _model(spark, sf).withColumn("again", F.col("x1") * 2)
-    return E.coefficient_table(spark, E.ols(d, "y", [*X, "again"]))
+    return _rounded(E.coefficient_table(spark, E.ols(d, "y", [*X, "again"])))
 
 
-@query()
+@query(f"WITH {MODEL}, {_terms_sql(HC_VARIANCES)}")
 def hc_se(spark, sf):
     """E3."""
     d = _model(spark, sf)
     fit = E.ols(d, "y", X)
     out = [E.coefficient_table(spark, fit, E.robust_covariance(d, fit, k), k) for k in ("HC1", "HC3", "HC4")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return _rounded(out[0].unionByName(out[1]).unionByName(out[2]))
 
 
-@query()
+NW_COLUMNS = ", ".join(f"lag({r} * e, {k}) OVER (ORDER BY date) AS {r}_{k}" for r in TERMS.values() for k in range(1, 8))
+NW_VARIANCE = "(sum(R * R * e * e)" + "".join(f" + CASE WHEN {k} <= any_value(lags) THEN 2 * (1 - {k} / (any_value(lags) + 1.0)) * coalesce(sum(R * e * R_{k}), 0) ELSE 0 END" for k in range(1, 8)) + ") * count(*) / (count(*) - 4) / (RR * RR)"
+
+
+@query(f"WITH {MODEL.replace('f AS (', 'f0 AS (')}, f AS (SELECT *, greatest(1, CAST(floor(0.75 * pow(n, 1.0 / 3)) AS INTEGER)) AS lags, {NW_COLUMNS} FROM f0), {_terms_sql({'NW': NW_VARIANCE})}")
 def newey_west(spark, sf):
     """E4."""
     d = _model(spark, sf)
     fit = E.ols(d, "y", X)
-    return E.coefficient_table(spark, fit, E.newey_west(d, fit, "date"), "NW")
+    return _rounded(E.coefficient_table(spark, fit, E.newey_west(d, fit, "date"), "NW"))
 
 
 @query()
@@ -306,11 +366,22 @@ def diagnostics(spark, sf):
     return spark.createDataFrame([(a, float(b), c if c is None else float(c)) for a, b, c in out], "test string, statistic double, p_value double")
 
 
-@query()
+VIF_SQL = " UNION ALL ".join(f"SELECT '{x}' AS term, {s6(f'sum(({x} - a{i}) * ({x} - a{i})) / sum(r_{x} * r_{x})')} AS vif FROM f, a" for i, x in enumerate(X))
+
+
+@query(f"WITH {MODEL}, a AS (SELECT avg(x1) AS a0, avg(x2) AS a1, avg(x3) AS a2 FROM f) {VIF_SQL}")
+def variance_inflation(spark, sf):
+    """E6."""
+    return spark.createDataFrame(list(E.vif(_model(spark, sf), X).items()), "term string, vif double").select("term", r6(F.col("vif"), "vif"))
+
+
+@query(f"""WITH {MODEL}, s AS (SELECT *, sum(e * e) OVER () AS rss FROM f), i AS (SELECT *, e / sqrt(rss / (n - 4) * (1 - h)) AS rstandard, e / sqrt((rss - e * e / (1 - h)) / (n - 5) * (1 - h)) * sqrt(h / (1 - h)) AS dffits FROM s),
+c AS (SELECT *, rstandard * rstandard * h / (1 - h) / 4 AS cooks FROM i)
+SELECT date, {s6('fitted')} AS fitted, {s6('e')} AS e, {s6('h')} AS h, {s6('rstandard')} AS rstandard, {s6('sqrt(abs(rstandard))')} AS root_abs, {s6('cooks')} AS cooks, {s6('dffits')} AS dffits, cooks > 4.0 / n OR abs(dffits) > 2 * sqrt(4.0 / n) AS influential FROM c""")
 def influence(spark, sf):
     """E13, E14."""
     d = _model(spark, sf)
-    return E.influence(d, E.ols(d, "y", X)).select("date", "fitted", "e", "h", "rstandard", "root_abs", "cooks", "dffits", "influential")
+    return _rounded(E.influence(d, E.ols(d, "y", X)).select("date", "fitted", "e", "h", "rstandard", "root_abs", "cooks", "dffits", "influential"))
 
 
 @query()
