@@ -458,6 +458,43 @@ def date_parsing(spark, sf):
     return spark.createDataFrame(list(enumerate(DATES)), "id int, s string").select("id", T.parse_date(F.col("s")).alias("d"))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d FROM orders")
+def date_orders(spark, sf):
+    """T6 on all orders, whose dates are written in five ways or not at all."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    ways = [F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(d, "M/d/yyyy"), F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string"), F.date_format(d, "yyyyMMdd")]
+    text = F.lit("none")
+    for i, way in enumerate(ways):
+        text = F.when(k == i, way).otherwise(text)
+    return table(spark, sf, "orders").select("o_orderkey", T.parse_date(text).alias("d"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 1700000000 - CAST(l_quantity AS BIGINT) * CASE l_linenumber % 5 WHEN 0 THEN 86400 WHEN 1 THEN 3600 WHEN 2 THEN 60 WHEN 3 THEN 1 END AS epoch FROM lineitem WHERE l_linenumber % 5 < 4
+UNION ALL SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) FROM lineitem WHERE l_linenumber % 5 = 4""")
+def shorthand_lines(spark, sf):
+    """T3 on all order lines: quantities as days, hours, minutes, seconds or plain numbers."""
+    text = F.concat(F.col("l_quantity").cast("long").cast("string"), F.element_at(F.array(*[F.lit(x) for x in ("d", "h", "m", "s", "")]), (F.col("l_linenumber") % 5 + 1).cast("int")))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", T.ago_seconds(text, 1_700_000_000).alias("epoch"))
+
+
+@query("""SELECT event_type, round_even(avg(value), 6) AS mean, round_even(stddev_samp(value), 6) AS std, min(value) AS min, round_even(quantile_cont(value, 0.25), 6) AS q1, round_even(quantile_cont(value, 0.5), 6) AS median,
+round_even(quantile_cont(value, 0.75), 6) AS q3, max(value) AS max, count(value) AS n FROM events GROUP BY 1""")
+def describe_events(spark, sf):
+    """The eight figures of a description, for each kind of event."""
+    ev = table(spark, sf, "events")
+    out = A.summary(ev, "value", ["event_type"]).join(A.quartiles(ev, "event_type", "value"), "event_type")
+    return out.select("event_type", *[F.bround(c, 6).alias(c) for c in ("mean", "std")], "min", *[F.bround(c, 6).alias(c) for c in ("q1", "median", "q3")], "max", "n")
+
+
+@query(f"WITH {MODEL}, {_terms_sql({'HC3': HC_VARIANCES['HC3']})} ORDER BY p_value, term".replace("SELECT term, round_even", "SELECT * FROM (SELECT term, round_even", 1).replace(" ORDER BY", ") WHERE p_value < 0.9 ORDER BY"))
+def significant_terms(spark, sf):
+    """Terms below a p value, smallest first."""
+    d = _model(spark, sf)
+    fit = E.ols(d, "y", X)
+    out = _rounded(E.coefficient_table(spark, fit, E.robust_covariance(d, fit, "HC3"), "HC3"))
+    return out.filter("p_value < 0.9").orderBy("p_value", "term")
+
+
 AGO = ["30d", "12h", "5m", "10s", "1700000000", "soon"]
 
 

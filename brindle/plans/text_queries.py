@@ -126,6 +126,45 @@ def negation_scope_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.negation_scope(F.col("text")).alias("text"))
 
 
+@query(f"""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part), t AS (SELECT p_partkey, string_agg(upper(w[1]) || w[2:], '' ORDER BY i) AS tag FROM w GROUP BY 1)
+SELECT p_partkey, {_re('tag', '([a-z])([A-Z])', chr(92) + '1 ' + chr(92) + '2')} || ' of brandX' AS text FROM t""")
+def hashtag_parts(spark, sf):
+    """F7 on a tag made of every part's name."""
+    tag = F.array_join(F.transform(F.split("p_name", " "), F.initcap), "")
+    return table(spark, sf, "part").select("p_partkey", X.split_hashtags(F.concat(F.lit("#"), tag, F.lit(" of brandX"))).alias("text"))
+
+
+CALLS_SQL = "replace(replace(replace(text, '.', repeat('.', CAST(turn % 6 AS INTEGER))), ',', repeat('!', CAST(turn % 5 AS INTEGER))), ' de ', repeat('?', CAST(turn % 7 AS INTEGER)))"
+
+
+@query(f"SELECT conv_id, turn, {_re(_re(_re(CALLS_SQL, '!{4,}', '!!!'), r'\?{4,}', '???'), r'\.{4,}', '...')} AS text FROM conversations")
+def punct_conversations(spark, sf):
+    """F10 on all conversations, whose marks are repeated by the turn's number."""
+    c = F.col("text")
+    for mark, by, n in ((".", ".", 6), (",", "!", 5), (" de ", "?", 7)):
+        c = F.replace(c, F.lit(mark), F.repeat(F.lit(by), (F.col("turn") % n).cast("int")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.compress_punctuation(c).alias("text"))
+
+
+@query("""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT item_id, 'Beep BOOP ' || text FROM benchmark)
+SELECT doc_id, coalesce(regexp_matches(lower(text), 'i am a bot|i''m a bot|this action was performed automatically|beep boop'), false) AS bot FROM t""")
+def bot_documents(spark, sf):
+    """P3 on all documents, and on the benchmark's items with a bot's words before them."""
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    more = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("Beep BOOP "), F.col("text")))
+    return rows.union(more).select("doc_id", X.is_bot_post(F.col("text")).alias("bot"))
+
+
+FACES_SQL = "replace(replace(replace(text, ', ', ' :) '), '. ', ' :-( xD'), 'on ', '<3:''(')"
+
+
+def faces(c):
+    """The text with emoticons in place of some of its signs."""
+    for mark, face in ((", ", " :) "), (". ", " :-( xD"), ("on ", "<3:'(")):
+        c = F.replace(c, F.lit(mark), F.lit(face))
+    return c
+
+
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 TWEET_SQL = _re(_re(_re(_re(_re(_re("lower(coalesce(text, ''))", f"@{W}+", ""), rf"http{N_}+|www{N_}+", ""), "#", ""), r"[^\x00-\x7F]", ""), r"[!-/:-@\[-`{-~]", ""), r"\d+", "")
 TWEET_SQL = f"array_to_string(list_filter(string_split(trim({_re(TWEET_SQL, chr(92) + 's+', ' ')}), ' '), lambda w: w <> '' AND NOT list_contains({STOP_SQL}, w)), ' ')"
@@ -288,6 +327,18 @@ def company_detection(spark, sf):
     return literals(spark, COMPANY).select("id", F.concat_ws(",", P.companies(F.col("text"))).alias("companies"))
 
 
+COMPANY_SQL = "[" + ", ".join(f"CASE WHEN regexp_matches(text, '{_any_sql(names)}') THEN '{t}' END" for t, names in P.COMPANIES.items()) + "]"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_name || CASE p_partkey % 9 WHEN 0 THEN ' nvidia' WHEN 1 THEN ', AMD.' WHEN 2 THEN ' Advanced Micro Devices and Intel' WHEN 3 THEN ' tsmc/asml' WHEN 4 THEN ' intelligent' WHEN 5 THEN ' qcom' ELSE '' END AS text FROM part),
+c AS (SELECT p_partkey, list_filter({COMPANY_SQL}, lambda x: x IS NOT NULL) AS c FROM t) SELECT p_partkey, CASE WHEN len(c) = 0 THEN 'Other' ELSE array_to_string(c, ',') END AS companies FROM c""")
+def company_parts(spark, sf):
+    """P19 on all parts' names, with companies after some."""
+    names = [" nvidia", ", AMD.", " Advanced Micro Devices and Intel", " tsmc/asml", " intelligent", " qcom"]
+    after = F.coalesce(F.element_at(F.array(*[F.lit(n) for n in names], *[F.lit("")] * 3), (F.col("p_partkey") % 9 + 1).cast("int")), F.lit(""))
+    return table(spark, sf, "part").select("p_partkey", F.concat_ws(",", P.companies(F.concat("p_name", after))).alias("companies"))
+
+
 @query("SELECT doc_id, CASE WHEN " + " OR ".join(f"contains(lower(text), '{t.lower()}')" for t in X.POLICY_TERMS) + " THEN 1 ELSE 2 END AS tier FROM documents")
 def policy_tier(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(X.has_policy_context(F.col("text")), 1).otherwise(2).alias("tier"))
@@ -327,6 +378,12 @@ def emoticons_sql(text: str) -> str:
     return out
 
 
+@query(f"SELECT doc_id, {emoticons_sql(FACES_SQL)} AS text FROM documents")
+def emoticon_documents(spark, sf):
+    """F11 on all documents, with emoticons in place of some signs."""
+    return table(spark, sf, "documents").select("doc_id", X.replace_emoticons(faces(F.col("text"))).alias("text"))
+
+
 BOILERPLATE_SQL = "text"
 for _p in X.BOILERPLATE:
     BOILERPLATE_SQL = _re(BOILERPLATE_SQL, f"(?i){_p}", "")
