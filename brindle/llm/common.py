@@ -8,6 +8,7 @@ import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -34,19 +35,23 @@ def _workers_find_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent, a temporary folder is made and set if all runs on this machine; else
-    executors would not see each other's files, which is an error.
+    Where that setting is absent, a temporary folder is made if all runs on this machine; else executors
+    would not see each other's files, which is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = Path(tempfile.mkdtemp(prefix="brindle-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_dir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@cache
+def _own_dir() -> str:
+    return Path(tempfile.mkdtemp(prefix="brindle-")).as_uri()
+
+
 class _Scratch(threading.local):
     def __init__(self):
         self.open: list[list[str]] = []

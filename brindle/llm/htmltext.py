@@ -324,8 +324,9 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
     """All columns of pages but the html, and text_col.
 
     Null and empty html give an empty text, as does a page without text. Pages without a host (null or
-    odd url) have no templates. Pages of the same text count once. A column of pages named
-    like text_col is replaced.
+    odd url) have no templates. Pages of the same text count once; repeated rows are kept. A page of any
+    length is parsed at once, in time and memory in proportion. A column of pages named like text_col is
+    replaced.
     """
     host = F.lower(F.regexp_extract(url_col, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1))
     pages = pages.drop(text_col)

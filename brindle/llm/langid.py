@@ -124,7 +124,9 @@ def _sampled(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sam
     if not n:
         return None
     share = F.create_map(*[F.lit(x) for r in n for x in (r[0], min(1.0, sample / r[1]))])
-    return rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
+    drawn = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
+    # A row that is repeated very often is drawn once.
+    return drawn.select(id_col, text_col, lang_col).distinct()
 
 
 def _fit(rows: DataFrame, text_col: str, lang_col: str, size: int) -> Profiles:

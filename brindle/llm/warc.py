@@ -83,7 +83,7 @@ def filesystem(uri: str):
     scheme, _, rest = uri.partition(":")
     try:
         return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else uri)
-    except (ValueError, NotImplementedError) as e:
+    except (ValueError, NotImplementedError, OSError) as e:
         raise ValueError(f"archives can't be kept under {scheme}: ({e}); give a folder that Arrow reaches too") from e
 
 
@@ -179,7 +179,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Null html is an empty payload, a null url an empty target. Rows with the group's largest id are
     responses (all of them, if rows are repeated); null ids are the smallest. An empty table may give no
-    archive, or archives without records.
+    archive, or archives without records. A payload of any length is one record, which is held in memory whole
+    with its compressed form.
     """
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha1", F.sha1("payload"))

@@ -546,6 +546,21 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, warc.write_archives(df.limit(0), tmp_path.as_uri())).count() == 0
 
 
+def test_archives_of_repeated_rows_and_long_payloads(spark, tmp_path):
+    big, long = "<p>" + "long text " * 200, "".join(f"<p>{i} of it</p>" for i in range(300_000))
+    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (2, "http://a/2", big), (3, None, long), (4, None, long), (None, "u", big)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"id": F.lit(9), "sha1": F.lit("x"), "first": F.lit(0)})
+    out = warc.read_archives(spark, warc.write_archives(df, tmp_path.as_uri())).collect()
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in out) == [(0, "revisit", 2), (1, "revisit", 2), (2, "response", 0), (2, "response", 0), (3, "revisit", 4), (4, "response", 0)]
+    assert {(r.payload_bytes, r.payload_digest) for r in out} == {(len(x), hashlib.sha1(x.encode()).hexdigest()) for x in (big, long)}
+
+
+def test_archives_know_the_store_schemes(tmp_path):
+    assert warc.filesystem(tmp_path.as_uri())[1] == str(tmp_path)
+    with pytest.raises(ValueError, match="viewfs"):
+        warc.filesystem("viewfs://cluster/x")
+
+
 # 7. Near-duplicates
 
 
@@ -933,6 +948,36 @@ def test_unlearned_languages_of_latin_letters_go(spark):
 # The pipeline
 
 
+@pytest.mark.parametrize("kind", ["empty", "nulls", "odd"])
+def test_pipeline_of_odd_tables(spark, kind):
+    import corpus_pipeline
+
+    texts = {"empty": [], "nulls": [None] * 5, "odd": [*ODD, *ODD, "the cat and the dog went out " * 30, "a " * 100_000]}[kind]
+    names = {"key": 1, "node": 2, "sig": "s", "spans": 3, "component": 4, "words": 5, "lang_pred": "x", "quality_score": 6.0, "shard": 7}
+    docs = documents(spark, texts, **names)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF_SMALL)
+        assert name == "tokens" or out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert docs.count() == 0 or kind == "odd"
+
+
+def test_staged_tables_go_with_their_scratch(spark, tmp_path, monkeypatch):
+    import uuid
+
+    from brindle.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"{tmp_path.as_uri()}/{uuid.uuid4().hex}")
+    with common.scratch(spark):
+        with common.scratch(spark):
+            common.staged(spark.range(3), "inner")
+            kept = common.staged(spark.range(4), "outer", keep=True)
+        assert kept.count() == 4 and [p.name.split("-")[-1] for p in tmp_path.iterdir()] == ["outer"]
+    assert not list(tmp_path.iterdir())
+    assert len(neardup.classes(documents(spark, ODD)).collect()) == len(ODD)
+    assert sorted(p.name.split("-")[-1] for p in tmp_path.iterdir()) == ["classes", "named"]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
