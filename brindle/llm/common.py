@@ -21,6 +21,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's own reader whatever the store."""
+    small_batches(spark)
     _workers_find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,6 +86,17 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts in a batch to Python.
+TEXT_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends at most TEXT_ROWS rows in a batch to Python: rows hold whole texts, and a batch is in memory twice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """What is executed within sends at most `rows` rows in a batch to Python: for rows that may be large."""

@@ -12,12 +12,12 @@ what is broadcast has a fixed bound however large the benchmark grows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import read_table, staged, word_chunks
+from .common import WORD_BYTES, read_table, small_batches, staged, word_chunks
 
 WINDOW = 10
 PART_WORDS = 1_000_000
@@ -169,28 +169,31 @@ _PA_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 def find_spans(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    window: int = WINDOW, part_words: int = PART_WORDS, carry_text: bool = True,
+    window: int = WINDOW, part_words: int = PART_WORDS, carry_text: bool = True, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: T.StructType | None = None,
 ) -> DataFrame:
     """All columns of docs (without the text if not carry_text) and n_words, spans, items.
 
     Null and empty texts have no words and no spans; an item without words never occurs; repeated rows
     are kept as they are. spans are disjoint ranges of word positions, ascending; items are item ids as
     strings, sorted. All items of null id are one item without a name: its words count, it stands first as
-    a null and is left out of digests. Columns of docs named like the three new ones are replaced.
+    a null and is left out of digests. Columns of docs named like the three new ones are replaced. finish
+    makes rows of another schema of these, batch by batch.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     parts = _parts(benchmark, item_col, item_text_col, part_words)
     docs = docs.drop("n_words", "spans", "items")
     # Without any item, an automaton of nothing matches nothing. One automaton is built and held at a time.
     now, more = next(parts, []), next(parts, None)
-    df = _scan(docs, sc.broadcast(ItemAutomaton(now, window)), text_col, carry_text or more is not None)
+    merge = False
     while more is not None:
-        df = _scan(staged(df, "spans"), sc.broadcast(ItemAutomaton(more, window)), text_col, True, merge=True)
-        more = next(parts, None)
+        docs = staged(_scan(docs, sc.broadcast(ItemAutomaton(now, window)), text_col, True, merge), "spans")
+        now, more, merge = more, next(parts, None), True
+    df = _scan(docs, sc.broadcast(ItemAutomaton(now, window)), text_col, carry_text, merge, finish, schema)
     return df if carry_text or text_col not in df.columns else df.drop(text_col)
 
 
-def _scan(df: DataFrame, automaton, text_col: str, carry_text: bool, merge: bool = False) -> DataFrame:
+def _scan(df: DataFrame, automaton, text_col: str, carry_text: bool, merge: bool, finish=None, schema: T.StructType | None = None) -> DataFrame:
     added = T.StructType.fromJson(T._parse_datatype_string(f"n_words long, spans {_SPANS}, items array<string>").jsonValue())
     keep = [f for f in df.schema.fields if f.name not in added.names and (carry_text or f.name != text_col)]
     names = [f.name for f in keep]
@@ -209,12 +212,13 @@ def _scan(df: DataFrame, automaton, text_col: str, carry_text: bool, merge: bool
                     counts.append(n)
                     spans.append([{"first": x, "last": y} for x, y in s])
                     items.append(sorted(i, key=lambda x: (x is not None, x or "")))
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [*(part.column(x) for x in names), pa.array(counts, pa.int64()), pa.array(spans, _PA_SPANS), pa.array(items, pa.list_(pa.string()))],
                     names=[*names, *added.names],
                 )
+                yield finish(out) if finish else out
 
-    return df.mapInArrow(scan, T.StructType([*keep, *added.fields]))
+    return df.mapInArrow(scan, schema if finish else T.StructType([*keep, *added.fields]))
 
 
 def merged(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
@@ -230,8 +234,6 @@ def merged(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and what stands between those words."""
     data = text.encode("utf-8", "surrogatepass")
-    from .common import WORD_BYTES
-
     flat = data.translate(WORD_BYTES)
     out, kept, at, n, todo = [], 0, 0, 0, list(spans)
     size = len(flat)
@@ -264,23 +266,21 @@ def remove_contamination(
     columns = docs.columns
     own = {c: f"__own_{c}" for c in ("n_words", "spans", "items") if c in columns}
     docs = docs.withColumnsRenamed(own)
-    df = find_spans(docs, benchmark, text_col, window=window)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = names.index(text_col)
-        for b in batches:
-            texts, keep = [], []
-            for text, n, spans in zip(b.column(text_col).to_pylist(), b.column("n_words").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                hit = sum(s["last"] - s["first"] + 1 for s in spans)
-                keep.append(not spans or hit < max_coverage * n)
-                texts.append(cut_spans(text, [(s["first"], s["last"]) for s in spans]) if spans and keep[-1] else text)
-            cols = [b.column(x) for x in names]
-            cols[k] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
-
-    fields = [f for f in df.schema.fields if f.name in docs.columns]
+    fields = docs.schema.fields
     names = [f.name for f in fields]
-    out = df.mapInArrow(cut, T.StructType(fields)).withColumnsRenamed({v: k for k, v in own.items()}).select(*columns)
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts, keep = [], []
+        for text, n, spans in zip(b.column(text_col).to_pylist(), b.column("n_words").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            hit = sum(s["last"] - s["first"] + 1 for s in spans)
+            keep.append(not spans or hit < max_coverage * n)
+            texts.append(cut_spans(text, [(s["first"], s["last"]) for s in spans]) if spans and keep[-1] else text)
+        columns = [pa.array(texts, pa.string()) if x == text_col else b.column(x) for x in names]
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    # The scan cuts right away: one Python worker a task.
+    df = find_spans(docs, benchmark, text_col, window=window, finish=cut, schema=T.StructType(fields))
+    out = df.withColumnsRenamed({v: k for k, v in own.items()}).select(*columns)
     if length_col in out.columns:
         kind = dict(out.dtypes)[length_col]
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(kind))

@@ -19,7 +19,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import read_table, scratch, staged
+from .common import read_table, scratch, small_batches, staged
 
 #: A subtree is template if it occurs on at least so many different pages of its host, however large the host.
 MIN_PAGES = 5
@@ -331,6 +331,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
     host = F.lower(F.regexp_extract(url_col, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)", 1))
     pages = pages.drop(text_col)
     keyed = pages.withColumn("__host", F.when(host != "", host)).withColumn("__page", F.unhex(F.md5(F.col(html_col).cast("binary"))))
+    small_batches(pages.sparkSession)
     with scratch(pages.sparkSession):
         found = staged(page_templates(keyed.select(F.col("__host").alias("host"), F.col("__page").alias("page"), F.col(html_col).alias("html"))), "templates", keep=True)
     # The table is written, so Spark knows its size and broadcasts it if it is small; else it joins by page.

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 
-from .common import read_table
+from .common import read_table, small_batches
 
 GRAMS = 3
 PROFILE = 400
@@ -157,6 +157,7 @@ def predict_languages(docs: DataFrame, profiles: Profiles, text_col: str = "text
     Null, empty and letterless texts are `und` with score 0. Whole texts are read, in pieces of 2**20
     characters if they are longer.
     """
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(profiles)
     docs = docs.drop(pred_col, score_col)
     names = docs.columns

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import arrow_rows, read_table, scratch, staged, word_chunks
+from .common import arrow_rows, read_table, scratch, small_batches, staged, word_chunks
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -47,8 +47,8 @@ BLOCK_SHINGLES = 1 << 21
 ERRORS = 4.5
 #: Words that a task remembers.
 REMEMBERED = 150_000
-#: Rows in a batch to Python: of texts, and of pairs with the shingles of both sides.
-TEXTS, PAIRS = 1_000, 250
+#: Rows in a batch to Python that hold the shingles of a text or two.
+PAIRS = 250
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -464,8 +464,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     memory at once.
     """
     spark = docs.sparkSession
-    with arrow_rows(spark, TEXTS):
-        rows = staged(_sketches(docs), "sketches")
+    small_batches(spark)
+    rows = staged(_sketches(docs), "sketches")
     one = F.min(F.struct("doc_id", "text_hash", "size", "keys", "sig")).alias("r")
     nodes = rows.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(one).select("h1", "h2", F.monotonically_increasing_id().alias("node"), "r.*")
     # Written before it is used, so the numbers stay.
@@ -478,8 +478,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
 
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "sig", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    with arrow_rows(spark, TEXTS):
-        sets = staged(_shingle_sets(texts), "sets")
+    sets = staged(_shingle_sets(texts), "sets")
     n, different = sets.agg(F.count("*"), F.countDistinct("node")).first()
     if n != different:  # repeated rows
         sets = staged(sets.groupBy("node").agg(F.min(F.struct("sig", "hashes", "counts")).alias("s")).select("node", "s.*"), "sets")

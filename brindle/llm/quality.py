@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import arrow_rows, byte_chunks, read_table
+from .common import byte_chunks, read_table, small_batches
 
 DIMENSIONS = 1 << 16
 #: Documents that the scorer is fitted on at most, drawn by a hash of id and text.
@@ -27,10 +27,8 @@ THRESHOLD = 0.5
 FEW_WORDS = 20
 #: Words among which repetition counts as monotony.
 WINDOW = 50
-#: Texts in a batch to Python.
-BATCH = 1_000
 #: Bytes of text that are described at a time; a longer text is described by itself, in some thirty times its bytes.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _NAMES = ("symbols", "capitals", "top_word", "repeated_pairs", "monotony", "repeated_lines", "open_lines", "word_length", "bare_tokens", "marked_words", "symbol_runs")
 # Kinds of bytes (1 white space, 2 capital, 3 small letter, 4 symbol), ends of closed lines, signs of marked words.
@@ -283,8 +281,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
     # At most 3**11 patterns reach the driver.
-    with arrow_rows(docs.sparkSession, BATCH):
-        counts = docs.select(text_col).mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    small_batches(docs.sparkSession)
+    counts = docs.select(text_col).mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     counts = {r[0]: r[1] for r in counts}
     model = LabelModel(counts)
     total = sum(counts.values())
@@ -316,6 +314,7 @@ def score_documents(docs: DataFrame, model: LabelModel, scorer: Scorer, text_col
     Null texts are read as empty ones; a text without words gets the score 0. Columns of these names are
     replaced.
     """
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast((model, scorer))
     added = [T.StructField(prefix + n, t()) for n, t in (("n_bad_votes", T.IntegerType), ("n_good_votes", T.IntegerType), ("posterior", T.DoubleType), ("quality_score", T.DoubleType))]
     docs = docs.drop(*[f.name for f in added])

@@ -27,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import read_table
+from .common import read_table, small_batches
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Characters that are segmented at a time.
 WINDOW = 1 << 18
 
@@ -308,6 +308,7 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", p
     back as blanks, so such a text is false). Null and empty texts have no ids; null counts as a round
     trip. The model is read on the driver and broadcast; columns of these names are replaced.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Unigram.from_model(model_path))
     kinds = (("ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("n_byte_pieces", T.LongType()), ("ids_crc32", T.LongType()), ("round_trip", T.BooleanType()))
     added = [T.StructField(prefix + n, t) for n, t in kinds]

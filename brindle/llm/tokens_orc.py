@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, Window
 
-from .common import byte_chunks, read_table, shared_dir, staged
+from .common import byte_chunks, read_table, shared_dir, small_batches, staged
 
 END = 0
 #: Bytes of text that are encoded at a time, and pieces in one text that the library gets.
@@ -161,6 +161,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     texts have the end id only. A text is encoded at once, however long, which takes some twelve times its
     bytes of memory. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # The text is part of the range, so that repeated ids can't crowd one file.
     ordered = rows.withColumn("__h", F.xxhash64("text")).repartitionByRange(file_count(rows, "text"), "doc_id", "__h").sortWithinPartitions("doc_id", "__h", "text").drop("__h")
