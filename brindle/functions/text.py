@@ -263,14 +263,23 @@ def _names(text: str) -> str:
     return "".join(out)
 
 
+# Letters of two scripts in Latin ones.
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e io zh z i i k l m n o p r s t u f kh ts ch sh shch \" y ' e iu ia".split(), strict=True))
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d e z e th i k l m n x o p r s s t u ph kh ps o".split(), strict=True))
+LATIN = CYRILLIC | GREEK | {c.upper(): t.capitalize() for c, t in (CYRILLIC | GREEK).items() if c.upper() != c} | {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "þ": "th", "Þ": "Th"}
+_LATIN = str.maketrans(LATIN)
+
+
 def _fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).encode("ascii", "ignore").decode()
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text.translate(_LATIN)) if not unicodedata.combining(c)).translate(_LATIN)
+    return plain.encode("ascii", "ignore").decode()
 
 
 def normalize_unicode(emoji: bool = False, fold: bool = False):
     """Mend mojibake, NFKC, and if asked emoji names and ASCII folding, in one Arrow UDF; then collapse.
 
-    NFKC, names and folding have no SQL function. Folding drops what has no decomposition to ASCII.
+    NFKC, names and folding have no SQL function. Folding writes Cyrillic and Greek in Latin letters and drops what
+    has neither such letters nor a decomposition to ASCII.
     """
 
     @F.pandas_udf("string")

@@ -38,12 +38,14 @@ def near_dup_pairs(df: DataFrame, id_: str, text: str, threshold: float = 0.85)
 
     Prefix filtering: with tokens in order of rarity, two sets of similarity t share one of the first
     (1 - t) n + 1 tokens of each, so only rows that meet in such a token are compared. Equal sets are
-    compared once, through the smallest id of each.
+    compared once, through the smallest id of each. Sets of fewer than t / (1 - t) tokens are near none but
+    themselves, so short texts that share a frequent word are not compared.
     """
     sets = df.select(F.col(id_).alias("id"), F.array_sort(word_set(F.col(text))).alias("w"))
     groups = sets.groupBy("w").agg(F.min("id").alias("id"))
     freq = groups.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    ranked = groups.select("id", F.size("w").alias("size"), F.explode("w").alias("t")).join(freq, "t")
+    long = groups.filter(F.size("w") >= threshold / (1 - threshold) - 1e-9)
+    ranked = long.select("id", F.size("w").alias("size"), F.explode("w").alias("t")).join(freq, "t")
     at = F.row_number().over(Window.partitionBy("id").orderBy("n", "t"))
     head = ranked.withColumn("at", at).filter(F.col("at") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).filter("n > 1").select("t", "id", "size")
     a, b = head.alias("a"), head.alias("b")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -379,37 +379,130 @@ def arima_errors(df: DataFrame, y: str, x: Sequence[str], order: str, p: int = 2
     return fit, phi
 
 
-def garch_params(returns: np.ndarray) -> tuple[float, float, float]:
-    """omega, alpha, beta of a GARCH(1,1) with normal errors, by a coarse and then finer grid of the likelihood."""
-    r2 = (returns - returns.mean()) ** 2
-    var = r2.mean()
+def minimise(f: Callable[[np.ndarray], float], start: Sequence[float], step: float = 0.1, rounds: int = 2000, close: float = 1e-10) -> np.ndarray:
+    """Nelder and Mead's simplex from `start`; infinite values are walls."""
+    n = len(start)
+    points = [np.array(start, float)] + [np.array(start, float) + step * np.eye(n)[i] for i in range(n)]
+    values = [f(x) for x in points]
+    for _ in range(rounds):
+        order = np.argsort(values, kind="stable")
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        if abs(values[-1] - values[0]) < close and max(np.abs(x - points[0]).max() for x in points) < 1e-8:
+            break
+        middle = np.mean(points[:-1], axis=0)
+        away = middle - points[-1]
+        tried = middle + away
+        v = f(tried)
+        if v < values[0]:
+            further = middle + 2 * away
+            w = f(further)
+            points[-1], values[-1] = (further, w) if w < v else (tried, v)
+        elif v < values[-2]:
+            points[-1], values[-1] = tried, v
+        else:
+            inner = middle + (0.5 if v < values[-1] else -0.5) * away
+            w = f(inner)
+            if w < min(v, values[-1]):
+                points[-1], values[-1] = inner, w
+            else:
+                points = [points[0], *((x + points[0]) / 2 for x in points[1:])]
+                values = [values[0], *(f(x) for x in points[1:])]
+    return points[int(np.argmin(values))]
+
+
+def _whitened(phi: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, float] | None:
+    """Rows of z, a series with AR errors of unit innovations, as independent ones, and the log of the determinant; None if phi is not stationary."""
+    p = len(phi)
+    companion = np.vstack([phi, np.eye(p)[:-1]]) if p > 1 else phi.reshape(1, 1)
+    if np.abs(np.linalg.eigvals(companion)).max() >= 0.9999:
+        return None
+    # Autocovariances of the first p values: their state's covariance solves V = C V C' + E.
+    unit = np.zeros(p * p)
+    unit[0] = 1.0
+    v = np.linalg.solve(np.eye(p * p) - np.kron(companion, companion), unit).reshape(p, p)
+    root = np.linalg.cholesky(v)
+    late = z[p:] - sum(phi[l] * z[p - 1 - l : len(z) - 1 - l] for l in range(p))
+    return np.vstack([np.linalg.solve(root, z[:p]), late]), float(np.log(np.diag(root)).sum())
+
+
+def ar_regression(y: np.ndarray, x: np.ndarray, p: int, start: Sequence[float] | None = None) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Regression with AR(p) errors by exact maximum likelihood: coefficients (the constant first), phi, innovation variance, log likelihood."""
+    z, n = np.column_stack([np.ones(len(y)), x, y]), len(y)
+
+    def fitted(phi: np.ndarray):
+        white = _whitened(phi, z)
+        if white is None:
+            return None
+        beta, *_ = np.linalg.lstsq(white[0][:, :-1], white[0][:, -1], rcond=None)
+        rss = float(((white[0][:, -1] - white[0][:, :-1] @ beta) ** 2).sum())
+        return beta, rss, -n / 2 * (math.log(2 * math.pi * rss / n) + 1) - white[1]
+
+    loss = lambda phi: -found[2] if (found := fitted(phi)) else math.inf
+    phi = minimise(loss, np.zeros(p) if start is None else start)
+    beta, rss, likelihood = fitted(phi)
+    return beta, phi, rss / n, likelihood
+
+
+def arima_errors_ml(df: DataFrame, y: str, x: Sequence[str], order: str, p: int = 2, by: str | None = None) -> DataFrame:
+    """Regression with AR(p) errors of each series by exact maximum likelihood: by, term, estimate.
+
+    One series a group and task; rows with a null are left out. A series of too few rows gives nothing.
+    """
+    import pandas as pd
+
+    names = ["(Intercept)", *x, *(f"ar{i + 1}" for i in range(p)), "sigma2", "log_likelihood"]
+    key = by or "__all"
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(order).dropna(subset=[y, *x])
+        if len(rows) <= len(x) + 2 * p + 2:
+            return pd.DataFrame({key: pd.Series(dtype=object), "term": pd.Series(dtype=object), "estimate": pd.Series(dtype=float)})
+        beta, phi, sigma2, likelihood = ar_regression(rows[y].to_numpy(float), rows[list(x)].to_numpy(float), p)
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(names), "term": names, "estimate": [*beta, *phi, sigma2, likelihood]}).astype({key: object, "term": object})
 
-    def loss(a: float, b: float) -> float:
-        w, h, total = var * (1 - a - b), var, 0.0
-        for v in r2:
-            total += math.log(h) + v / h
-            h = w + a * v + b * h
-        return total
+    rows = df if by else df.withColumn(key, F.lit(0))
+    out = rows.select(key, order, y, *x).groupBy(key).applyInPandas(one, f"{key} {dict(rows.dtypes)[key]}, term string, estimate double")
+    return out if by else out.drop(key)
 
-    best, step = (0.05, 0.9), 0.1
-    while step > 0.005:
-        near = [(best[0] + i * step, best[1] + j * step) for i in (-2, -1, 0, 1, 2) for j in (-2, -1, 0, 1, 2)]
-        best = min((ab for ab in near if ab[0] >= 0 and ab[1] >= 0 and sum(ab) < 0.999), key=lambda ab: loss(*ab))
-        step /= 2
-    return var * (1 - sum(best)), best[0], best[1]
 
+def garch_likelihood(returns: np.ndarray, a: float, b: float, nu: float | None) -> float:
+    """Log likelihood of a GARCH(1,1) around the mean whose long-run variance is that of the returns; t errors of unit variance for a nu."""
+    e2 = (returns - returns.mean()) ** 2
+    var = h = e2.mean()
+    w, total = var * (1 - a - b), 0.0
+    front = -0.5 * math.log(2 * math.pi) if nu is None else math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
+    for v in e2:
+        total += front - 0.5 * math.log(h) - (v / h / 2 if nu is None else (nu + 1) / 2 * math.log1p(v / h / (nu - 2)))
+        h = w + a * v + b * h
+    return total
 
-def garch(df: DataFrame, by: str, order: str, returns: str) -> DataFrame:
-    """GARCH(1,1) of each series, one series a group: by, omega, alpha, beta."""
+
+def garch_params(returns: np.ndarray, student: bool = False) -> tuple[float, ...]:
+    """omega, alpha, beta (and nu, if asked for Student's t errors) of a GARCH(1,1) by maximum likelihood, omega by the variance of the returns."""
+
+    def loss(v: np.ndarray) -> float:
+        a, b, nu = v[0], v[1], math.exp(v[2]) + 2 if student else None
+        return math.inf if a < 0 or b < 0 or a + b >= 0.999 or (nu or 0) > 500 else -garch_likelihood(returns, a, b, nu)
+
+    starts = [(0.05, 0.9), (0.2, 0.5), (0.1, 0.0)]
+    found = min((minimise(loss, [*s, math.log(6.0)] if student else s, 0.05, 400, 1e-8) for s in starts), key=loss)
+    omega = float((returns - returns.mean()).var() * (1 - found[0] - found[1]))
+    return (omega, float(found[0]), float(found[1]), *((math.exp(found[2]) + 2,) if student else ()))
+
+
+def garch(df: DataFrame, by: str, order: str, returns: str, student: bool = True) -> DataFrame:
+    """GARCH(1,1) of each series, one series a group: by, omega, alpha, beta and, with Student's t errors, nu; null for fewer than eleven returns."""
     import pandas as pd
 
+    names = ["omega", "alpha", "beta", *(["nu"] if student else [])]
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.sort_values(order)[returns].dropna().to_numpy(float)
-        w, a, b = garch_params(r) if len(r) > 10 and r.std() > 0 else (float("nan"),) * 3
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "omega": [w], "alpha": [a], "beta": [b]})
+        found = garch_params(r, student) if len(r) > 10 and r.std() > 0 else (float("nan"),) * len(names)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], **{n: [v] for n, v in zip(names, found, strict=True)}})
 
     kind = dict(df.dtypes)[by]
-    return df.groupBy(by).applyInPandas(one, f"{by} {kind}, omega double, alpha double, beta double")
+    return df.groupBy(by).applyInPandas(one, f"{by} {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
 def abnormal_returns(returns: DataFrame, market: DataFrame, events: DataFrame, by: str, date: str, r: str, m: str, estimation: tuple[int, int] = (-10, -1), window: tuple[int, int] = (-1, 1)) -> DataFrame:

@@ -393,14 +393,13 @@ def boxcox(spark, sf):
 
 @query()
 def arima_errors(spark, sf):
-    """E15 by iterated Cochrane-Orcutt."""
-    fit, phi = E.arima_errors(_model(spark, sf), "y", ["x1", "x3"], "date", 2)
-    return spark.createDataFrame([*zip(fit.names, fit.beta.tolist(), strict=True), *((f"ar{i + 1}", float(p)) for i, p in enumerate(phi))], "term string, estimate double")
+    """E15 by exact maximum likelihood."""
+    return E.arima_errors_ml(_model(spark, sf), "y", ["x1", "x3"], "date", 2)
 
 
 @query()
 def garch(spark, sf):
-    """E22 for each event type's daily means."""
+    """E22 with Student's t errors for each event type's daily means."""
     ev = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("date")).agg(F.avg("value").alias("r"))
     return E.garch(ev, "event_type", "date", "r")
 

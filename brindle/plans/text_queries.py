@@ -311,6 +311,16 @@ def words_sql(text: str) -> str:
 KEYS_SQL = "[" + ", ".join(f"'{k}'" for k in KEYS) + "]"
 
 
+@query(SCORES_SQL + "SELECT dom.source, round_even(avg(nrc_net_sentiment), 6) AS mean_score, count(*) AS n, round_even(stddev_samp(nrc_net_sentiment), 6) AS std FROM dom JOIN documents d USING (doc_id) WHERE "
+       + " OR ".join(f"contains(lower(d.text), '{t.lower()}')" for t in X.POLICY_TERMS) + " GROUP BY dom.source")
+def policy_index(spark, sf):
+    """Mean, count and deviation of the net sentiment of tier 1, by source."""
+    docs = table(spark, sf, "documents").select("source", "text").filter(X.has_policy_context(F.col("text")))
+    scored = L.emotion_counts(docs, S.lexicon_of(spark, L.SYNTHETIC), "text").withColumn("score", F.col("nrc_net_sentiment").cast("double"))
+    out = A.summary(scored, "score", ["source"])
+    return out.select("source", F.bround("mean", 6).alias("mean_score"), "n", F.bround("std", 6).alias("std"))
+
+
 @query(f"""WITH s AS (SELECT doc_id, unnest({SENT_SQL}) AS sentence FROM documents), w AS (SELECT doc_id, sentence, {words_sql('sentence')} AS w FROM s)
 SELECT doc_id, sentence FROM w WHERE len(w) <= 100 AND (list_has_any(w, {KEYS_SQL}) OR list_has_any(list_transform(w, lambda t: regexp_replace(t, '(\\w{{3}})s$', '\\1')), {KEYS_SQL}))""")
 def keyword_sentences(spark, sf):

@@ -20,7 +20,7 @@ def suffix(path: str) -> str:
 
 
 def read_input(spark: SparkSession, path: str, schema=None, encoding: str = "UTF-8") -> DataFrame:
-    """csv, jsonl or parquet by the path's suffix; spreadsheets and anything else raise ValueError.
+    """csv, jsonl, parquet or xlsx (the first sheet) by the path's suffix; anything else raises ValueError.
 
     CSV text may span lines and double its quotes; a byte order mark before the first name goes. Without
     a schema CSV columns are strings, so no extra pass infers types.
@@ -34,6 +34,10 @@ def read_input(spark: SparkSession, path: str, schema=None, encoding: str = "UTF
         return reader.json(path)
     if kind == "parquet":
         return reader.parquet(path)
+    if kind == "xlsx":
+        from brindle.sources.sheets import read_sheet
+
+        return read_sheet(spark, path)
     raise ValueError(f"no reader for .{kind}: {path}")
 
 

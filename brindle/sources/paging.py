@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -38,11 +39,40 @@ def daily_rounds(days: DataFrame, queries: DataFrame, per_day: int = 100, page:
     return plan.withColumn("turn", turn).filter(F.col("turn") <= turns).select("day", "query", "turn")
 
 
+class Wait(Exception):
+    """Raised by a fetch that was refused: seconds is how long the service asks to wait, None if it does not say."""
+
+    def __init__(self, seconds: float | None = None):
+        super().__init__(seconds)
+        self.seconds = seconds
+
+
+def retrying(fetch: Callable, tries: int = 5, base: float = 2.0, sleep: Callable[[float], None] = time.sleep, login: Callable[[], None] | None = None) -> Callable:
+    """fetch, tried up to `tries` times: after the n-th failure it waits as long as Wait says, else base ** n seconds.
+
+    A PermissionError logs in again first, if a login is given. What the last try raises goes through.
+    """
+
+    def again(*args, **kwargs):
+        for n in range(1, tries + 1):
+            try:
+                return fetch(*args, **kwargs)
+            except (Wait, OSError) as e:
+                if n == tries:
+                    raise
+                if isinstance(e, PermissionError) and login:
+                    login()
+                asked = e.seconds if isinstance(e, Wait) else None
+                sleep(base**n if asked is None else asked)
+
+    return again
+
+
 class PagedSource(DataSource):
     """`paged`: reads a table in keyset pages through a fetch function, one partition a key.
 
     Options: fetch ("module:function", called with key, before and size, returning (id, time, text) rows,
-    newest first), keys (comma-separated), page, max_pages. A pull ends on an empty page.
+    newest first), keys (comma-separated), page, max_pages, tries (5; see retrying). A pull ends on an empty page.
     """
 
     @classmethod
@@ -60,6 +90,7 @@ class _PagedReader(DataSourceReader):
     def __init__(self, options):
         self.fetch, self.keys = options["fetch"], options["keys"].split(",")
         self.page, self.max_pages = int(options.get("page", 100)), int(options.get("max_pages", 10))
+        self.tries = int(options.get("tries", 5))
 
     def partitions(self):
         return [InputPartition(k) for k in self.keys]
@@ -68,7 +99,7 @@ class _PagedReader(DataSourceReader):
         import importlib
 
         module, _, function = self.fetch.partition(":")
-        fetch, before, seen = getattr(importlib.import_module(module), function), None, set()
+        fetch, before, seen = retrying(getattr(importlib.import_module(module), function), self.tries), None, set()
         for _ in range(self.max_pages):
             rows = fetch(partition.value, before, self.page)
             if not rows:

@@ -15,7 +15,7 @@ from brindle.functions import dates as T, text as X
 from brindle.operators import aggregate as A, dedup as D, filters as P, joins as J, lexicon as L, panel, stats as E, windows as W
 from brindle.sources import files as S, paging as G
 from brindle.streaming import streams as R
-from conftest import SF_SMALL
+from conftest import SF, SF_SMALL
 
 
 def texts(spark, rows):
@@ -136,7 +136,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
     assert S.read_input(spark, str(tmp_path / "x.jsonl")).count() == 2
     with pytest.raises(ValueError):
-        S.read_input(spark, "x.xlsx")
+        S.read_input(spark, "x.doc")
     (tmp_path / "bom.csv").write_bytes("﻿date,v\n1,é\n".encode())
     assert S.read_input(spark, str(tmp_path / "bom.csv")).columns == ["date", "v"]
     (tmp_path / "latin.csv").write_bytes("t\né\n".encode("latin-1"))
@@ -335,6 +335,49 @@ def test_unit_root_and_errors(spark):
     assert w > 0 and a >= 0 and b >= 0 and a + b < 1
 
 
+def test_regression_with_ar_errors_by_maximum_likelihood(spark):
+    rng, n = np.random.default_rng(11), 400
+    u, x, e = rng.normal(size=n), rng.normal(size=n), np.zeros(n)
+    for i in range(2, n):
+        e[i] = 0.5 * e[i - 1] - 0.3 * e[i - 2] + u[i]
+    y = 1 + 2 * x + e
+    beta, phi, sigma2, likelihood = E.ar_regression(y, x[:, None], 2)
+    assert np.allclose(beta, [1, 2], atol=0.15) and np.allclose(phi, [0.5, -0.3], atol=0.1) and abs(sigma2 - 1) < 0.15
+    # The likelihood is that of the whole joint normal distribution.
+    def brute(phi, beta, sigma2):
+        lags = np.zeros(n)
+        a = np.array([[1, -phi[0], -phi[1]], [-phi[0], 1 - phi[1], 0], [-phi[1], -phi[0], 1]])
+        lags[:3] = np.linalg.solve(a, [1, 0, 0])
+        for k in range(3, n):
+            lags[k] = phi[0] * lags[k - 1] + phi[1] * lags[k - 2]
+        v = sigma2 * lags[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+        r = y - beta[0] - beta[1] * x
+        return -0.5 * (n * math.log(2 * math.pi) + np.linalg.slogdet(v)[1] + r @ np.linalg.solve(v, r))
+
+    best = brute(phi, beta, sigma2)
+    assert abs(best - likelihood) < 1e-6
+    assert all(brute(phi + d, beta, sigma2) < best for d in ([0.02, 0], [-0.02, 0], [0, 0.02], [0, -0.02]))
+    df = spark.createDataFrame([("a", i, float(y[i]), float(x[i])) for i in range(n)] + [("b", i, 1.0, None) for i in range(9)], "k string, t int, y double, x double")
+    rows = E.arima_errors_ml(df, "y", ["x"], "t", 2, by="k").collect()
+    assert [(r.k, r.term) for r in rows] == [("a", t) for t in ("(Intercept)", "x", "ar1", "ar2", "sigma2", "log_likelihood")]
+    assert np.allclose([r.estimate for r in rows], [*beta, *phi, sigma2, likelihood])
+
+
+def test_garch_with_heavy_tails(spark):
+    rng, n, nu = np.random.default_rng(5), 3000, 5
+    h, r = 1.0, []
+    for z in rng.standard_t(nu, size=n) * math.sqrt((nu - 2) / nu):
+        r.append(math.sqrt(h) * z)
+        h = 0.1 + 0.1 * r[-1] ** 2 + 0.8 * h
+    w, a, b, found = E.garch_params(np.array(r), student=True)
+    assert abs(a - 0.1) < 0.06 and abs(b - 0.8) < 0.12 and 3.5 < found < 8 and 0.03 < w < 0.25
+    best = E.garch_likelihood(np.array(r), a, b, found)
+    assert best > E.garch_likelihood(np.array(r), a, b, None) and all(E.garch_likelihood(np.array(r), a + d, b - d, found) <= best + 1e-6 for d in (-0.01, 0.01))
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(r[:200])] + [("b", 0, 1.0)], "k string, t int, r double")
+    rows = {x.k: x for x in E.garch(df, "k", "t", "r").collect()}
+    assert rows["a"].nu > 2 and rows["b"].nu is None
+
+
 def test_aggregates(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None), ("a", 3.0)], "k string, v double")
     assert [tuple(r) for r in A.value_counts(df, "k").collect()] == [("a", 2), ("b", 1)]
@@ -356,3 +399,97 @@ def test_streams(spark, tmp_path):
     R.run_once(R.first_seen(stream(), "user_id"), check, R.month_sink(out))
     assert first < spark.read.parquet(out).count() == src.select("user_id").distinct().count()
     assert {r.month for r in R.missing_months(spark, out, "2023-12-01", "2024-02-01").collect()} == {"2023-12", "2024-02"}
+
+
+def workbook(path, sheets):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>" + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Target="worksheets/s{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>text</t></si><si><r><t>two </t></r><r><t>runs</t></r></si></sst>")
+        for i, rows in enumerate(sheets.values(), 1):
+            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>")
+
+
+def test_spreadsheets(spark, tmp_path):
+    from brindle.sources import sheets as H
+
+    first = '<row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>1.5</v></c></row><row/><row><c r="C4"><v>2</v></c><c r="D4"><v>9</v></c></row>'
+    for name in ("a", "b"):
+        workbook(f"{tmp_path}/{name}.xlsx", {"One": first, "Two": '<row><c t="s"><v>0</v></c></row><row><c><v>7</v></c></row>'})
+    df = S.read_input(spark, f"{tmp_path}/a.xlsx")
+    assert df.columns == ["text", "Unnamed: 1", "n"] and [tuple(r) for r in df.collect()] == [("two runs", None, "1.5"), (None, None, None), (None, None, "2")]
+    both = H.read_sheet(spark, f"{tmp_path}/*.xlsx", "Two")
+    assert both.columns == ["text"] and [r.text for r in both.collect()] == ["7", "7"]
+    with pytest.raises(KeyError):
+        H.read_sheet(spark, f"{tmp_path}/*.xlsx", "Three")
+
+
+def test_word_files(spark, tmp_path):
+    import zipfile
+
+    from brindle.sources import sheets as H
+
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(f"{tmp_path}/a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body><w:p><w:r><w:t>One </w:t></w:r><w:r><w:t>line</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Two</w:t></w:r></w:p></w:body></w:document>")
+    assert [r.text for r in H.read_documents(spark, f"{tmp_path}/*.docx").collect()] == ["One line\n\nTwo"]
+
+
+def test_pulls_are_tried_again():
+    from brindle.sources import paging as G
+
+    waits, logins, left = [], [], [G.Wait(7.0), PermissionError(), OSError()]
+
+    def fetch(x):
+        if left:
+            raise left.pop(0)
+        return x
+
+    assert G.retrying(fetch, sleep=waits.append, login=lambda: logins.append(1))(3) == 3
+    assert waits == [7.0, 4.0, 8.0] and logins == [1]
+    left[:] = [OSError()] * 5
+    with pytest.raises(OSError):
+        G.retrying(fetch, sleep=waits.append)(3)
+    assert len(waits) == 7
+    left[:] = [KeyError()]
+    with pytest.raises(KeyError):
+        G.retrying(fetch, sleep=waits.append)(3)
+
+
+def test_other_scripts_fold_to_latin_letters(spark):
+    assert apply(spark, X.normalize_unicode(fold=True), ["Привет, Москва", "Ελλάδα", "Straße Łódź", "日本"]) == ["Privet, Moskva", "Ellada", "Strasse Lodz", ""]
+
+
+@pytest.mark.parametrize("blocks", [1, 7, 256])
+def test_values_are_carried_over_blocks(spark, blocks):
+    rng = random.Random(blocks)
+    rows = [(rng.choice(["a", "a", "a", None]), rng.randint(0, 50), i, rng.choice([None, None, float(i)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v double")
+    got = {r.i: r.v for r in J.carried(df, "v", "t", ["i"], ["k"], blocks=blocks).collect()}
+    last: dict = {}
+    for k, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        last[k] = v if v is not None else last.get(k)
+        assert got[i] == last[k]
+    assert J.carried(df.limit(0), "v", "t", ["i"], ["k"]).count() == 0
+    alone = {r.i: r.v for r in J.carried(df, "v", "t", ["i"], blocks=blocks).collect()}
+    carry = None
+    for _, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        carry = v if v is not None else carry
+        assert alone[i] == carry
+
+
+def test_language_model(spark):
+    from brindle.operators import language as N
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = N.train(docs.filter(~held), "text", "lang")
+    found = docs.filter(held).select("lang", N.language(model)(F.col("text")).alias("p"))
+    assert found.agg(F.avg((F.col("lang") == F.col("p")).cast("double"))).first()[0] > 0.97
+    assert model.predict([None, "", "123 !!", "the house and the garden of the city"]) == ["und", "und", "und", "en"]
+    assert N.train(docs.limit(0), "text", "lang").predict(["abc"]) == ["und"]
+    one = model.predict(["der Hund und die Katze"] * 3 + ["x" * (N.CHUNK + 5), "le chat et la maison dans la ville"])
+    assert one[:3] == ["de"] * 3 and one[4] == "fr"
