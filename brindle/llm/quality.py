@@ -298,10 +298,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (x.index, x.value)]
                 yield pa.RecordBatch.from_arrays([b.column("h").slice(at, rows), *lists, pa.array(model.posteriors(votes(x)))], names=["h", "at", "value", "label"])
 
-    # The hash passes a share that holds the sample nearly surely, one row of each hash stays, and the smallest are taken.
-    share = min(1.0, (sample + 6 * sample**0.5 + 36) / total)
-    drawn = docs.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(text_col).alias("text")).filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
-    some = drawn.dropDuplicates(["h"]).orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(sample)
+    # The hash passes a share that holds the sample nearly surely, or a larger one where rows are repeated; of its hashes,
+    # which are not many more, the smallest are taken.
+    share, low, taken = min(1.0, (sample + 6 * sample**0.5 + 36) / total), F.pmod("h", F.lit(1 << 30)), []
+    hashed = docs.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(text_col).alias("text"))
+    while True:
+        drawn = hashed.filter(low < int(share * (1 << 30)))
+        taken = sorted((r[0] % (1 << 30), r[0]) for r in drawn.select("h").distinct().collect())[:sample]
+        if len(taken) >= sample // 2 or share >= 1:
+            break
+        share = min(1.0, 8 * share)
+    some = drawn.filter((low < taken[-1][0]) | ((low == taken[-1][0]) & (F.col("h") <= taken[-1][1]))).dropDuplicates(["h"])
     table = some.mapInArrow(describe, "h long, at array<int>, value array<float>, label double").toArrow().sort_by("h").combine_chunks()
     at, value = (table.column(c).combine_chunks() for c in ("at", "value"))
     size = np.diff(at.offsets.to_numpy())

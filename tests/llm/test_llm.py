@@ -513,6 +513,8 @@ def test_sample_is_bounded_by_count(spark, monkeypatch):
     quality.fit(docs, sample=100)
     quality.fit(docs, sample=100_000)
     assert sizes[0] <= 100 and sizes[1] == 501
+    quality.fit(documents(spark, ["one text of a few words"] * 5000).withColumn("doc_id", F.lit(1).cast("long")), sample=10)
+    assert sizes[2] == 1
 
 
 def test_quality_of_odd_rows(spark):
