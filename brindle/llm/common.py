@@ -123,6 +123,23 @@ def byte_chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         at = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of about `most` bytes of a text column; a longer text is one of its own."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        for at, rows in byte_chunks(b.column(column), most):
+            part = b.slice(at, rows)
+            more = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + more > most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+            held.append(part)
+            size += more
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 # One byte to one byte: A-Z to a-z, bytes of words as they are, all else to a blank.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20

@@ -24,14 +24,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, Window
 
-from .common import byte_chunks, read_table, shared_dir, small_batches, staged
+from .common import gathered, read_table, shared_dir, small_batches, staged
 
 END = 0
 #: Bytes of text that are encoded at a time, and pieces in one text that the library gets.
 CHUNK_BYTES = 8 << 20
 JOINED = 2_000
 #: Bytes of pieces and their ids that a worker keeps from one chunk to the next.
-KEPT_BYTES = 16 << 20
+KEPT_BYTES = 48 << 20
 #: Bytes of text for each file on average, at most.
 FILE_BYTES = 256 << 20
 # A blank before white space (by any library's list of it) or at the end.
@@ -170,17 +170,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         from pyspark import TaskContext
 
         encoder, file, before = TextEncoder.at(tokenizer_path), TaskContext.get().partitionId(), 0
-        for b in batches:
-            for at, rows in byte_chunks(b.column("text"), CHUNK_BYTES):
-                part = b.slice(at, rows)
-                ids, n = encoder.encode(part.column("text"), end_id)
-                ends = np.cumsum(n)
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.full(rows, file, np.int32)), pa.array(before + ends - n), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(ids))],
-                    names=["doc_id", "file", "before", "n", "ids"],
-                )
-                before += int(ends[-1])
+        for part in gathered(batches, "text", CHUNK_BYTES):
+            ids, n = encoder.encode(part.column("text"), end_id)
+            ends = np.cumsum(n)
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(np.full(len(n), file, np.int32)), pa.array(before + ends - n), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(ids))],
+                names=["doc_id", "file", "before", "n", "ids"],
+            )
+            before += int(ends[-1])
 
     return ordered.mapInArrow(encode, SCHEMA)
 

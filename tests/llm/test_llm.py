@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import ann, decontaminate, htmltext, langid, neardup, quality, queries, sentencepiece, shard, tokens_orc, warc
-from brindle.llm.common import byte_chunks, read_table, word_chunks
+from brindle.llm.common import byte_chunks, gathered, read_table, word_chunks
 from conftest import SF, SF_SMALL
 from oracle import same
 
@@ -789,6 +789,9 @@ def test_chunks_hold_every_row():
     texts = pa.array(["abc", None, "x" * 20, "", "yy", "z" * 8])
     assert list(byte_chunks(texts, 8)) == [(0, 2), (2, 1), (3, 2), (5, 1)]
     assert list(byte_chunks(texts.slice(0, 0), 8)) == []
+    batches = [pa.RecordBatch.from_arrays([texts, pa.array(range(6))], names=["t", "i"]), pa.RecordBatch.from_arrays([texts.slice(0, 0), pa.array([], pa.int64())], names=["t", "i"]), pa.RecordBatch.from_arrays([texts, pa.array(range(6, 12))], names=["t", "i"])]
+    assert [b.column("i").to_pylist() for b in gathered(iter(batches), "t", 12)] == [[0, 1], [2], [3, 4, 5], [6, 7], [8], [9, 10, 11]]
+    assert list(gathered(iter([]), "t", 12)) == []
 
 
 def test_very_long_text():
