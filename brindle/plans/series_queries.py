@@ -290,7 +290,7 @@ def _model_sql() -> str:
         more = ""
         if last == terms[-1]:
             fit = " + ".join(f"o{i} * (sum(y * o{i}) OVER () / sum(o{i} * o{i}) OVER ())" for i in range(4))
-            more = f", {fit} AS fitted, " + " + ".join(f"o{i} * o{i} / sum(o{i} * o{i}) OVER ()" for i in range(4)) + " AS h, count(*) OVER () AS n"
+            more = f", {fit} AS fitted, " + " + ".join(f"o{i} * o{i} / sum(o{i} * o{i}) OVER ()" for i in range(4)) + " AS h, count(*) OVER () AS n, o0 AS q0, o1 AS q1, o2 AS q2, o3 AS q3"
         ctes.append(f"{last}_r AS (SELECT * EXCLUDE (o0, o1, o2, o3), o3 AS r_{last}{more} FROM {at})")
         at = f"{last}_r"
     ctes.append(f"f AS (SELECT *, y - fitted AS e FROM {at})")
@@ -384,11 +384,14 @@ def influence(spark, sf):
     return _rounded(E.influence(d, E.ols(d, "y", X)).select("date", "fitted", "e", "h", "rstandard", "root_abs", "cooks", "dffits", "influential"))
 
 
-@query()
+@query(f"""WITH {MODEL}, p AS (SELECT i / 10.0::DOUBLE AS power FROM range(-20, 21) r(i)), s AS (SELECT CASE WHEN min(y) <= 0 THEN 1 - min(y) ELSE 0 END AS shift FROM f),
+z AS (SELECT power, n, q0, q1, q2, q3, ln(y + shift) AS l, CASE WHEN abs(power) < 1e-6 THEN ln(y + shift) ELSE (pow(y + shift, power) - 1) / power END AS z FROM f, p, s),
+g AS (SELECT power, any_value(n) AS n, sum(l) AS l, sum(z * z) - {" - ".join(f"sum(z * q{k}) * sum(z * q{k}) / sum(q{k} * q{k})" for k in range(4))} AS rss FROM z GROUP BY power)
+SELECT power + 0.0 AS power, round_even(-n / 2 * ln(rss / n) + (power - 1) * l, 4) + 0.0 AS log_likelihood FROM g""")
 def boxcox(spark, sf):
     """The profile over the grid."""
     _, _, profile = E.box_cox_power(_model(spark, sf), "y", X)
-    return spark.createDataFrame(profile, "power double, log_likelihood double")
+    return spark.createDataFrame(profile, "power double, log_likelihood double").select((F.col("power") + 0.0).alias("power"), (F.bround("log_likelihood", 4) + 0.0).alias("log_likelihood"))
 
 
 @query()
