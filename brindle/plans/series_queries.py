@@ -366,6 +366,55 @@ def diagnostics(spark, sf):
     return spark.createDataFrame([(a, float(b), c if c is None else float(c)) for a, b, c in out], "test string, statistic double, p_value double")
 
 
+def _chain(name: str, source: str, columns: list[str]) -> str:
+    """CTEs name_0, name_1, ... that add to a table what earlier columns leave of each column: g0, g1, ..."""
+    return ", ".join(
+        f"{name}_{k} AS (SELECT *, " + " - ".join([c, *(f"g{i} * (sum({c} * g{i}) OVER () / sum(g{i} * g{i}) OVER ())" for i in range(k))]) + f" AS g{k} FROM {name + '_' + str(k - 1) if k else source})"
+        for k, c in enumerate(columns)
+    )
+
+
+def _part(target: str, g: str) -> str:
+    """The sum of squares of the target that a column explains."""
+    return f"sum({target} * {g}) * sum({target} * {g}) / sum({g} * {g})"
+
+
+def _granger_sql(name: str, cause: str, effect: str) -> tuple[str, str]:
+    lagged = f"{name}_l AS (SELECT * FROM (SELECT one, {effect} AS t, lag({effect}) OVER (ORDER BY date) AS own, lag({cause}) OVER (ORDER BY date) AS other FROM m) WHERE own IS NOT NULL AND other IS NOT NULL)"
+    full = f"sum(t * t) - {_part('t', 'g0')} - {_part('t', 'g1')} - {_part('t', 'g2')}"
+    return f"{lagged}, {_chain(name, f'{name}_l', ['one', 'own', 'other'])}", f"SELECT '{name}', {_part('t', 'g2')} / (({full}) / (count(*) - 3)), 1, count(*) - 3 FROM {name}_2"
+
+
+GRANGER = [_granger_sql("granger_x1_y", "x1", "y"), _granger_sql("granger_y_x1", "y", "x1")]
+LAGS = ", ".join(f"coalesce(lag(e, {k}) OVER (ORDER BY date), 0) AS e{k}, lag(e * e, {k}) OVER (ORDER BY date) AS s{k}" for k in range(1, 5))
+BASIS = ["q0", "q1", "q2", "q3"]
+TESTS_SQL = f"""WITH {MODEL}, l AS (SELECT *, e * e AS s, {LAGS} FROM f), a AS (SELECT * FROM l WHERE s3 IS NOT NULL), {_chain('bg', 'l', [*BASIS, 'e1', 'e2', 'e3', 'e4'])}, {_chain('arch', 'a', ['one', 's1', 's2', 's3'])}, {GRANGER[0][0]}, {GRANGER[1][0]},
+d AS (SELECT date, e - avg(e) OVER () AS d FROM f), c AS (SELECT *, {", ".join(f"d * lag(d, {k}) OVER (ORDER BY date) AS p{k}" for k in range(1, 6))} FROM d),
+t(test, statistic, d1, d2) AS (SELECT 'breusch_pagan', count(*) * ({" + ".join(_part('s', q) for q in BASIS[1:])}) / (sum(s * s) - {_part('s', 'q0')}), 3, NULL FROM l
+UNION ALL SELECT 'score_test', count(*) * covar_pop(u, fitted) * covar_pop(u, fitted) / var_pop(fitted) / 2, 1, NULL FROM (SELECT s / avg(s) OVER () AS u, fitted FROM l)
+UNION ALL SELECT 'breusch_godfrey_1', count(*) * {_part('e', 'g4')} / sum(e * e), 1, NULL FROM bg_4
+UNION ALL SELECT 'breusch_godfrey_4', count(*) * ({" + ".join(_part('e', f'g{k}') for k in range(4, 8))}) / sum(e * e), 4, NULL FROM bg_7
+UNION ALL SELECT 'ljung_box', count(*) * (count(*) + 2) * ({" + ".join(f"pow(sum(p{k}) / sum(d * d), 2) / (count(*) - {k})" for k in range(1, 6))}), 5, NULL FROM c
+UNION ALL SELECT 'arch_lm', count(*) * ({" + ".join(_part('s', f'g{k}') for k in range(1, 4))}) / (sum(s * s) - {_part('s', 'g0')}), 3, NULL FROM arch_3
+UNION ALL {GRANGER[0][1]} UNION ALL {GRANGER[1][1]}),
+w AS (SELECT *, CASE WHEN d2 IS NULL THEN sqrt(statistic) ELSE asin(sqrt(d1 * statistic / (d1 * statistic + d2))) END / 2000 AS w,
+CASE WHEN d2 IS NULL THEN 2 / (pow(2, d1 / 2.0) * gamma(d1 / 2.0)) ELSE 2 * exp(lgamma((d1 + d2) / 2.0) - lgamma(d1 / 2.0) - lgamma(d2 / 2.0)) END AS front FROM t),
+p AS (SELECT test, any_value(statistic) AS statistic, 1 - any_value(front) * any_value(w) / 3 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+* CASE WHEN d2 IS NULL THEN pow(i * w, d1 - 1) * exp(-i * w * i * w / 2) ELSE pow(sin(i * w), d1 - 1) * pow(cos(i * w), d2 - 1) END) AS p_value FROM w, range(0, 2001) r(i) GROUP BY test)
+SELECT test, {s6('statistic')} AS statistic, {s6('p_value')} AS p_value FROM p"""
+
+
+@query(TESTS_SQL)
+def diagnostic_tests(spark, sf):
+    """E7, E9, E16 and E17 of one model: statistics and p values (in the SQL by Simpson's rule on the densities)."""
+    d = _model(spark, sf)
+    fit = E.ols(d, "y", X)
+    res = fit.residuals(d)
+    out = [("breusch_pagan", *E.breusch_pagan(d, fit)), ("score_test", *E.score_test(d, fit)), ("breusch_godfrey_1", *E.breusch_godfrey(d, fit, "date", 1)), ("breusch_godfrey_4", *E.breusch_godfrey(d, fit, "date", 4))]
+    out += [("ljung_box", *E.ljung_box(res, "e", "date", 5)), ("arch_lm", *E.arch_lm(res, "e", "date", 3)), ("granger_x1_y", *E.granger(d, "x1", "y", "date")), ("granger_y_x1", *E.granger(d, "y", "x1", "date"))]
+    return _rounded(spark.createDataFrame([(a, float(b), float(c)) for a, b, c in out], "test string, statistic double, p_value double"))
+
+
 VIF_SQL = " UNION ALL ".join(f"SELECT '{x}' AS term, {s6(f'sum(({x} - a{i}) * ({x} - a{i})) / sum(r_{x} * r_{x})')} AS vif FROM f, a" for i, x in enumerate(X))
 
 
