@@ -31,7 +31,7 @@ from .common import read_table, small_batches
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Characters that are segmented at a time.
 WINDOW = 1 << 18
 
@@ -166,7 +166,8 @@ class Unigram:
         begins = np.flatnonzero(fresh)
         ends, part = np.append(begins[1:], len(points)), np.cumsum(fresh) - 1
         offset = np.arange(len(points)) - begins[part]
-        order = np.argsort(offset[start], kind="stable")
+        # Sixteen bits are sorted by counting.
+        order = np.argsort(offset[start].astype(np.uint16) if offset.max() < 1 << 16 else offset[start], kind="stable")
         start, size, piece, score = start[order], size[order], piece[order], score[order]
         bound = np.searchsorted(offset[start], np.arange(int(offset.max()) + 2))
         # State k + part is the place after k characters; a part of n characters has n + 1 places.
