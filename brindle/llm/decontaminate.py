@@ -11,7 +11,6 @@ what is broadcast has a fixed bound however large the benchmark grows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -296,7 +295,3 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
-
-
-def items_digest(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
