@@ -145,7 +145,8 @@ def replace_emoticons(c: Column) -> Column:
         pieces = F.zip_with(F.split(x, pattern, -1), F.transform(found, lambda k: table[k]), lambda r, k: F.concat(r, F.coalesce(k, F.lit(""))))
         return F.array_join(pieces, "")
 
-    return only_if(pattern, replaced)(c)
+    # Every key is one of these signs and another one.
+    return only_if(r"[:;=<xX][-'()DPO/3]", replaced)(c)
 
 
 def negation_scope(c: Column, window: int = 3) -> Column:
@@ -240,9 +241,13 @@ def has_policy_context(c: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+_MISREAD = re.compile("[\u0080-ÿ€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
+_SYMBOL = re.compile("[\u2191-\U0010ffff\u200d]")
+
+
 def _mended(text: str) -> str:
     """UTF-8 that was read as Latin-1 or Windows-1252, read right; anything else stays."""
-    if not any("\u0080" <= c <= "ÿ" or c in "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ" for c in text):
+    if text.isascii() or not _MISREAD.search(text):
         return text
     for encoding in ("cp1252", "latin-1"):
         try:
@@ -252,15 +257,16 @@ def _mended(text: str) -> str:
     return text
 
 
+def _named(m: re.Match) -> str:
+    c = m[0]
+    if unicodedata.category(c) == "So":
+        return ":" + unicodedata.name(c, "symbol").lower().replace(" ", "_").replace("-", "_") + ":"
+    return "" if c in "\ufe0f\u200d" else c
+
+
 def _names(text: str) -> str:
-    """Emoji as :name:, with the Unicode character name."""
-    out = []
-    for c in text:
-        if ord(c) > 0x2190 and unicodedata.category(c) == "So":
-            out.append(":" + unicodedata.name(c, "symbol").lower().replace(" ", "_").replace("-", "_") + ":")
-        elif c not in "️‍":
-            out.append(c)
-    return "".join(out)
+    """Emoji as :name:, with the Unicode character name; joiners and variation selectors go."""
+    return text if text.isascii() else _SYMBOL.sub(_named, text)
 
 
 # Letters of two scripts in Latin ones.
@@ -287,6 +293,8 @@ def normalize_unicode(emoji: bool = False, fold: bool = False):
         def one(x):
             if x is None:
                 return None
+            if x.isascii():
+                return x
             x = unicodedata.normalize("NFKC", _mended(x))
             x = _names(x) if emoji else x
             return _fold(x) if fold else x

@@ -23,7 +23,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf}/{name}.parquet")
+    return S.spread(scan) if name == "documents" else scan
 
 
 # RE2 has no \w of Unicode, so the SQL spells the classes out.

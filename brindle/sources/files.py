@@ -41,6 +41,15 @@ def read_input(spark: SparkSession, path: str, schema=None, encoding: str = "UTF
     raise ValueError(f"no reader for .{kind}: {path}")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as it was read, dealt to as many partitions as there are cores if it comes in fewer.
+
+    A small file is one task's work otherwise; a large table comes in more partitions and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def write_output(df: DataFrame, path: str, kind: str = "csv", stem: str | None = None, suffix_: str = "_cleaned") -> str:
     """Write as {stem}_cleaned.{kind} below path; returns the name."""
     out = f"{path.rstrip('/')}/{stem}{suffix_}.{kind}" if stem else path
