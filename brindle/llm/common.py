@@ -16,14 +16,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from brindle.sources.files import spread
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, through Spark's own reader whatever the store."""
+    """One of the input tables, through Spark's own reader whatever the store; a small file of texts is dealt to all cores."""
     small_batches(spark)
     _workers_find_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in ("documents", "pages") else scan
 
 
 def _workers_find_package(spark: SparkSession) -> None:
