@@ -8,6 +8,7 @@ from .htmltext import op3_html_template
 from .langid import op10_langid_profiles
 from .neardup import op7_neardup_probminhash
 from .quality import op5_quality_weak
+from .repeats import op13_repeats_anchor
 from .sentencepiece import op8_sentencepiece_unigram
 from .shard import op1_shard_kk
 from .tokens_orc import op9_tokens_orc
@@ -57,6 +58,7 @@ def queries() -> dict:
         "op8_sentencepiece_unigram": op8_sentencepiece_unigram,
         "op9_tokens_orc": op9_tokens_orc,
         "op10_langid_profiles": op10_langid_profiles,
+        "op13_repeats_anchor": op13_repeats_anchor,
     }
 
 
