@@ -9,6 +9,7 @@ from .langid import op10_langid_profiles
 from .neardup import op7_neardup_probminhash
 from .quality import op5_quality_weak
 from .repeats import op13_repeats_anchor
+from .runs import op12_runs_lpf
 from .sentencepiece import op8_sentencepiece_unigram
 from .shard import op1_shard_kk
 from .tokens_orc import op9_tokens_orc
@@ -58,6 +59,7 @@ def queries() -> dict:
         "op8_sentencepiece_unigram": op8_sentencepiece_unigram,
         "op9_tokens_orc": op9_tokens_orc,
         "op10_langid_profiles": op10_langid_profiles,
+        "op12_runs_lpf": op12_runs_lpf,
         "op13_repeats_anchor": op13_repeats_anchor,
     }
 
