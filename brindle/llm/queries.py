@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op4_ann_lists
+from .conversations import op11_trie_peeling
 from .decontaminate import op2_decontaminate
 from .htmltext import op3_html_template
 from .langid import op10_langid_profiles
@@ -59,6 +60,7 @@ def queries() -> dict:
         "op8_sentencepiece_unigram": op8_sentencepiece_unigram,
         "op9_tokens_orc": op9_tokens_orc,
         "op10_langid_profiles": op10_langid_profiles,
+        "op11_trie_peeling": op11_trie_peeling,
         "op12_runs_lpf": op12_runs_lpf,
         "op13_repeats_anchor": op13_repeats_anchor,
     }
