@@ -67,8 +67,10 @@ class Chunk:
         blocks, block_codes = starts[own], code[own]
         code = np.sort(code | own.astype(_U))
         plain = code & ~_U(3)
-        first = np.flatnonzero(np.concatenate([[True], plain[1:] != plain[:-1]])) if len(plain) else np.zeros(0, int)
-        last = np.append(first[1:], len(plain)) - 1
+        new = np.ones(len(plain), bool)
+        new[1:] = plain[1:] != plain[:-1]
+        first = np.flatnonzero(new)
+        last = first + np.diff(np.append(first, len(plain))) - 1
         return code[last] | (last > first).astype(_U) * _U(2), blocks, block_codes
 
     def hits(self, probes, block_codes: np.ndarray, answers: pa.Table) -> np.ndarray:
