@@ -48,8 +48,14 @@ WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead toolbar share sharing social related recommended newsletter subscribe subscription signup login "
     "comment comments commentlist disqus respond replies pagination pager widget".split()
 )
-# A wrapper that only says that a part of the page exists is not that part.
-ABOUT = frozenset("has with no without".split())
+# Of WORDS, those of reader comments.
+REMARKS = frozenset("comment comments commentlist disqus respond replies".split())
+# A name ends with the word that says what it is, or with one of these after it.
+TAILS = frozenset("area articles bar block box buttons container form icons inline inner items links list menu panel posts section slot text unit wrapper".split())
+# A wrapper that only says that a part of the page exists, or how it is laid out, is not that part.
+ABOUT = frozenset("has with no without layout open enabled wrap".split())
+#: What an element says itself to be: nothing of this kind, boilerplate, reader comments, or a frame that is never main text.
+TEXT, BOILERPLATE, COMMENTS, FRAME = 0, 1, 2, 3
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",)}
 
@@ -61,40 +67,48 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "kind", "root", "parts", "chars", "linked", "hash", "events", "inside", "up", "in_line", "in_prose", "words", "holds_root", "holds_prose", "links", "block", "closer")
+    __slots__ = ("tag", "kind", "root", "parts", "chars", "linked", "hash", "events", "inside", "up", "in_line", "in_prose", "words", "holds_root", "holds_prose", "links", "block", "closer", "solid", "seen", "in_link", "under")
 
-    def __init__(self, tag: str, kind: bool, root: bool, inside: bool, events: int, up: Element | None = None):
+    def __init__(self, tag: str, kind: int, root: bool, inside: bool, events: int, up: Element | None = None):
         self.tag, self.kind, self.root, self.inside, self.events, self.up = tag, kind, root, inside, events, up
         self.in_line = up is not None and (up.in_line or up.tag in LINES)
         self.in_prose = up is not None and (up.in_prose or up.tag in PROSE)
         self.words = self.holds_root = self.holds_prose = False
+        self.under: bool | None = None
         self.links = 0
+        self.in_link = tag == "a" or (up is not None and up.in_link)
+        # Characters that are not in links, and those of them that stand in nothing else of a kind.
+        self.solid = self.seen = 0
         self.parts: list[bytes] = []
         self.chars = self.linked = 0
         self.hash = 0
 
 
-def own_kind(tag: str, attributes: str, in_root: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its own words, and whether it marks the main text."""
-    if tag in OWN_KIND or (tag == "header" and not in_root):
-        return True, False
+def named_kind(name: str) -> int:
+    """What one class or id says."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if not words or not ABOUT.isdisjoint(words):
+        return TEXT
+    found = WORDS.intersection(words if words[-1] in TAILS else words[-1:])
+    return COMMENTS if found & REMARKS else BOILERPLATE if found else TEXT
+
+
+def own_kind(tag: str, attributes: str, in_root: bool, in_line: bool) -> tuple[int, bool]:
+    """What an element says itself to be, and whether it may mark the main text."""
     main = tag in ("article", "main")
+    kind = FRAME if tag in ("nav", "footer") else BOILERPLATE if (tag in OWN_KIND and not (tag == "button" and in_line)) or (tag == "header" and not in_root) else TEXT
     if not attributes or tag in ("html", "body"):
-        return False, main
+        return kind, main
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True, False
+            return FRAME, False
         if name == "role":
-            if value.lower() in ROLES:
-                return True, False
+            kind = max(kind, FRAME if value.lower() in ROLES else TEXT)
             main = main or value.lower() == "main"
         elif name in ("class", "id"):
-            for token in value.split():
-                words = [w.lower() for w in WORD.findall(token)]
-                if not ABOUT.intersection(words[:1]) and not WORDS.isdisjoint(words):
-                    return True, False
-    return False, main
+            kind = max([kind, *map(named_kind, value.split())])
+    return kind, main and kind < COMMENTS
 
 
 class Scanner:
@@ -129,7 +143,7 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
 
     events: list[tuple] = []
     closed: list[Element] = []
-    root = Element("", False, False, False, 0)
+    root = Element("", TEXT, False, False, 0)
     root.block = root.closer = 0
     stack: list[Element] = [root]
     # The places in the stack of the open elements of each tag.
@@ -140,6 +154,9 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
         places[e.tag].pop()
         up = stack[-1]
         up.holds_root |= e.root or e.holds_root
+        up.solid += e.solid
+        if not e.kind:
+            up.seen += e.seen
         if e.chars:
             e.hash = xxhash.xxh3_64_intdigest(e.tag.encode("utf-8", "surrogatepass") + b"\0" + b"\0".join(e.parts)) - (1 << 63)
             up.parts.append(e.hash.to_bytes(8, "little", signed=True))
@@ -163,6 +180,9 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
             top = stack[-1]
             top.parts.append(solid.encode("utf-8", "surrogatepass"))
             top.chars += len(solid)
+            if not top.in_link:
+                top.solid += len(solid)
+                top.seen += len(solid)
             top.words = top.words or any(map(str.isalnum, solid))
 
     def innermost(tags) -> int:
@@ -222,8 +242,8 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
                 close_from(min((places[t][-1] for t in CLOSES[tag] if places.get(t) and places[t][-1] > innermost(BOUNDS[tag])), default=0), 0)
             events.append(("b",))
         in_root = stack[-1].inside
-        kind, main = own_kind(tag, attributes, in_root)
-        e = Element(tag, kind, main and not kind, in_root or (main and not kind), len(events), stack[-1])
+        kind, main = own_kind(tag, attributes, in_root, stack[-1].in_line or stack[-1].tag in LINES)
+        e = Element(tag, kind, main, in_root or main, len(events), stack[-1])
         # The innermost block but p, and block, at or below it in the stack.
         e.block = len(stack) if tag in BLOCK and tag != "p" else stack[-1].block
         e.closer = len(stack) if tag in BLOCK else stack[-1].closer
@@ -232,9 +252,43 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
         events.append(("o", e))
     while len(stack) > 1:
         close()
+    settle(closed, root.solid)
     return events, closed
 
 
+def settle(closed: list[Element], solid: int) -> None:
+    """Decide which marks are the article's, and take back what elements say of themselves where the article would go with them.
+
+    Of several marks that of most text is the article's; nothing that it stands in is boilerplate. Marks within other
+    boilerplate (teasers, comments) are none. On a page without marks, what holds more than half of all text outside of
+    links is no boilerplate by its name, but for comments and frames.
+    """
+    marks = [e for e in closed if e.root]
+    if marks:
+        e = max(marks, key=lambda e: (e.seen, -e.events))
+        while e is not None:
+            e.kind, e = TEXT, e.up
+        for e in sorted(marks, key=lambda e: e.events):
+            e.root = not (e.kind or _within_kind(e))
+    else:
+        for e in closed:
+            if e.kind == BOILERPLATE and 2 * e.solid > solid:
+                e.kind = TEXT
+
+
+def _within_kind(e: Element) -> bool:
+    """Whether something above an element is boilerplate; what is found is kept for the next one."""
+    path = []
+    up = e.up
+    while up is not None and up.under is None and not up.kind:
+        path.append(up)
+        up = up.up
+    found = up is not None and bool(up.kind or up.under)
+    for x in path:
+        x.under = found
+    return found
+
+
 def may_be_template(e: Element) -> bool:
     """Outside the article, blocks and what stands in a line without bare words; in it, only whole lists of links, neither in prose nor with prose."""
     if e.root or e.holds_root or e.tag in ("html", "body"):
@@ -260,8 +314,8 @@ def main_text(html: str | None, templates: frozenset[int] | set[int] = frozenset
     return "\n".join(_blocks(*parse(html), templates)) if html else ""
 
 
-def _collect(events: list[tuple], marked: bool, templates: Iterable[Element]) -> list[str]:
-    """The blocks outside templates and boilerplate, if marked only those within the article."""
+def _collect(events: list[tuple], marked: bool, templates: Iterable[Element], least: int = BOILERPLATE) -> list[str]:
+    """The blocks outside templates and boilerplate (of kinds from `least` on), if marked only those within the article."""
     gone = {id(e) for e in templates}
     blocks, now, out, inside = [], [], 0, 0
     for event in events:
@@ -274,10 +328,10 @@ def _collect(events: list[tuple], marked: bool, templates: Iterable[Element]) ->
                 blocks.append(" ".join("".join(now).split()))
                 now = []
         elif kind == "o":
-            out += id(event[1]) in gone or event[1].kind
+            out += id(event[1]) in gone or event[1].kind >= least
             inside += event[1].root
         else:
-            out -= id(event[1]) in gone or event[1].kind
+            out -= id(event[1]) in gone or event[1].kind >= least
             inside -= event[1].root
     blocks.append(" ".join("".join(now).split()))
     return [b for b in blocks if b]
@@ -289,7 +343,9 @@ def _blocks(events: list[tuple], closed: list[Element], templates: frozenset[int
     if any(e.root for e in closed):
         blocks = _collect(events, True, found) or (_collect(events, True, ()) if found else [])
     blocks = blocks or _collect(events, False, found)
-    return blocks or (_collect(events, False, [e for e in found if e.linked >= LINK_SHARE * e.chars]) if found else [])
+    blocks = blocks or (_collect(events, False, [e for e in found if e.linked >= LINK_SHARE * e.chars]) if found else [])
+    # A page with words outside of frames has a text.
+    return blocks or _collect(events, False, (), FRAME)
 
 
 def page_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
