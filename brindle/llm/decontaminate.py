@@ -4,14 +4,18 @@ The automaton of all items is built once on the driver and broadcast; documents
 by word. At each word it holds the longest suffix read so far that occurs in any item, so a match of
 `window` words or more covers every window that ends there, and the state tells which items hold it.
 
-Items whose words exceed `part_words` are dealt to several automata of at most that many words (plus
-one item); each automaton is a pass of its own over the documents and the passes' spans are merged, so
-what is broadcast has a fixed bound however large the benchmark grows.
+Once built, an automaton is flat arrays: the edges of all states in a row, those of a state by word. Items
+whose words exceed `part_words` are dealt to several automata of at most that many words (plus one item).
+Each is a pass of its own over the texts, which writes the spans of texts that it hits by the text's digest;
+the last pass meets them by a join. So what is broadcast has a fixed bound however large the benchmark grows.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -29,7 +33,8 @@ class ItemAutomaton:
 
     def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
-        self.next: list[dict[bytes, int]] = [{}]
+        self.words: dict[bytes, int] = {}
+        self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
         owners: list[set[str]] = [set()]
@@ -38,7 +43,7 @@ class ItemAutomaton:
             last = 0
             path = []
             for w in words:
-                last = self._extend(last, w, owners)
+                last = self._extend(last, self.words.setdefault(w, len(self.words)), owners)
                 path.append(last)
             # A clone made later takes over shorter strings only, so the prefix states keep the item.
             if len(words) >= window:
@@ -52,33 +57,54 @@ class ItemAutomaton:
             if self.length[self.link[s]] >= window:
                 owners[self.link[s]] |= owners[s]
         # The state of the last `window` words is the ancestor whose strings include that length.
-        self.owned: list[frozenset[str] | None] = [None] * len(self.link)
-        known: dict[frozenset[str], frozenset[str]] = {}
-        up = [0] * len(self.link)
+        self.owners: list[frozenset[str]] = [frozenset()]
+        owned, known = array("i", bytes(4 * len(self.link))), {self.owners[0]: 0}
+        up = array("i", bytes(4 * len(self.link)))
         for s in reversed(order):
             up[s] = s if self.length[self.link[s]] < window <= self.length[s] else up[self.link[s]] if self.length[s] >= window else 0
             if up[s] == s:
                 one = frozenset(owners[s])
-                self.owned[s] = known.setdefault(one, one)
+                if one not in known:
+                    known[one] = len(self.owners)
+                    self.owners.append(one)
+                owned[s] = known[one]
         for s in order:
             if self.length[s] >= window:
-                self.owned[s] = self.owned[up[s]]
+                owned[s] = owned[up[s]]
+        self.owned = owned
         # Whole short items end at a state or at one of its ancestors.
-        self.short: list[tuple[tuple[int, str], ...]] = [()] * len(self.link)
+        self.shorts: list[tuple[tuple[int, str], ...]] = [()]
+        self.short = array("i", bytes(4 * len(self.link)))
         for s in reversed(order):
-            own = tuple(short.get(s, ()))
-            above = self.short[self.link[s]] if self.link[s] > 0 else ()
-            self.short[s] = own + above if own else above
+            above = self.short[self.link[s]]
+            if s in short:
+                self.shorts.append(tuple(short[s]) + self.shorts[above])
+                above = len(self.shorts) - 1
+            self.short[s] = above
         self.has_short = bool(short)
-
-    def _new(self, length: int, link: int, nxt: dict, owners: list, owned: set) -> int:
+        self._flatten()
+
+    def _flatten(self) -> None:
+        """Edges of a state s: those from first[s] to first[s + 1], by word."""
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        self.first, self.word, self.target = array("i", [0]), array("i"), array("i")
+        self.root = array("i", (self.next[0][c] for c in range(len(self.words))))
+        for s, edges in enumerate(self.next):
+            for c in sorted(edges) if s else ():
+                self.word.append(c)
+                self.target.append(edges[c])
+            self.first.append(len(self.word))
+            self.next[s] = None
+        del self.next
+
+    def _new(self, length: int, link: int, nxt: dict[int, int], owners: list, owned: set) -> int:
         self.next.append(nxt)
         self.link.append(link)
         self.length.append(length)
         owners.append(owned)
         return len(self.link) - 1
 
-    def _split(self, p: int, q: int, w: bytes, owners: list) -> int:
+    def _split(self, p: int, q: int, w: int, owners: list) -> int:
         clone = self._new(self.length[p] + 1, self.link[q], dict(self.next[q]), owners, set())
         while p >= 0 and self.next[p].get(w) == q:
             self.next[p][w] = clone
@@ -86,7 +112,7 @@ class ItemAutomaton:
         self.link[q] = clone
         return clone
 
-    def _extend(self, last: int, w: bytes, owners: list) -> int:
+    def _extend(self, last: int, w: int, owners: list) -> int:
         q = self.next[last].get(w)
         if q is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, q, w, owners)
@@ -102,41 +128,40 @@ class ItemAutomaton:
 
     def scan(self, text: str | None) -> tuple[int, list[list[int]], set[str]]:
         """Number of words; disjoint ascending [first, last] word spans that are hit; items that occur."""
-        nxt, link, length, owned, short = self.next, self.link, self.length, self.owned, self.short
-        window, has_short = self.window, self.has_short
-        root = nxt[0]
+        link, length, first, word, target, root, owned, short = self.link, self.length, self.first, self.word, self.target, self.root, self.owned, self.short
+        code_of, window, has_short = self.words.get, self.window, self.has_short
         spans: list[list[int]] = []
-        found: set[frozenset[str]] = set()
+        found: set[int] = set()
         items: set[str] = set()
         state = size = at = 0
         for words in word_chunks(text):
             for i, w in enumerate(words, at):
-                if state:
-                    t = nxt[state].get(w)
-                    if t is None:
-                        while state and t is None:
-                            state = link[state]
-                            t = nxt[state].get(w)
-                        size = length[state]
-                        if t is None:
-                            continue
-                    state = t
-                    size += 1
+                c = code_of(w)
+                if c is None:
+                    state = size = 0
+                    continue
+                while state:
+                    low, high = first[state], first[state + 1]
+                    if high - low > 1:
+                        low = bisect_left(word, c, low, high)
+                    if low < high and word[low] == c:
+                        state = target[low]
+                        size += 1
+                        break
+                    state = link[state]
+                    size = length[state]
                 else:
-                    t = root.get(w)
-                    if t is None:
-                        continue
-                    state, size = t, 1
+                    state, size = root[c], 1
                 if size >= window:
                     _add(spans, i - size + 1, i)
                     found.add(owned[state])
                 if has_short:
-                    for n, item in short[state]:
+                    for n, item in self.shorts[short[state]]:
                         if n <= size:
                             _add(spans, i - n + 1, i)
                             items.add(item)
             at += len(words)
-        return at, spans, items.union(*found)
+        return at, spans, items.union(*map(self.owners.__getitem__, found))
 
 
 def _add(spans: list[list[int]], first: int, last: int) -> None:
@@ -184,11 +209,18 @@ def find_spans(
     docs = docs.drop("n_words", "spans", "items")
     # Without any item, an automaton of nothing matches nothing. One automaton is built and held at a time.
     now, more = next(parts, []), next(parts, None)
-    merge = False
+    earlier = []
+    key = F.unhex(F.md5(F.col(text_col).cast("binary")))
     while more is not None:
-        docs = staged(_scan(docs, sc.broadcast(ItemAutomaton(now, window)), text_col, True, merge), "spans")
-        now, more, merge = more, next(parts, None), True
-    df = _scan(docs, sc.broadcast(ItemAutomaton(now, window)), text_col, carry_text, merge, finish, schema)
+        hit = _scan(docs.select(key.alias("__key"), text_col), sc.broadcast(ItemAutomaton(now, window)), text_col, False, False).filter("size(spans) > 0")
+        earlier.append(staged(hit.dropDuplicates(["__key"]).select("__key", "spans", "items"), "spans"))
+        now, more = more, next(parts, None)
+    if earlier:
+        # One row a part.
+        hit = reduce(DataFrame.unionByName, earlier).groupBy("__key").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("spans", "items")))
+        none = {"spans": F.array().cast(_SPANS), "items": F.array().cast("array<string>")}
+        docs = docs.withColumn("__key", key).join(hit, "__key", "left").drop("__key").withColumns({x: F.coalesce(x, none[x]) for x in none})
+    df = _scan(docs, sc.broadcast(ItemAutomaton(now, window)), text_col, carry_text, bool(earlier), finish, schema)
     return df if carry_text or text_col not in df.columns else df.drop(text_col)
 
 

@@ -45,8 +45,9 @@ BLOCK_SHINGLES = 1 << 21
 #: Pairs whose estimate is this many standard errors below the threshold are left out: of pairs at the
 #: threshold 3 in a million, of nearer ones fewer.
 ERRORS = 4.5
-#: Words that a task remembers.
+#: Words that a task remembers, of so many bytes at most.
 REMEMBERED = 150_000
+LONGEST = 64
 #: Rows in a batch to Python that hold the shingles of a text or two.
 PAIRS = 250
 
@@ -68,7 +69,9 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            self[word] = value
         return value
 
     def of(self, text: str | None) -> np.ndarray:

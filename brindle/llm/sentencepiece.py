@@ -31,7 +31,9 @@ from .common import read_table, small_batches
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
+#: Parts that a worker remembers (twice as many for a time), of so many characters at most.
 REMEMBERED = 200_000
+LONGEST = 64
 #: Characters that are segmented at a time.
 WINDOW = 1 << 18
 
@@ -245,6 +247,8 @@ class Unigram:
     def _learn(self, new: set[str]) -> None:
         (known, old), todo = self.known, []
         for p in new:
+            if len(p) > LONGEST:
+                continue
             if p in old:
                 known[p] = old[p]
             elif not p or MARK in p:
@@ -292,7 +296,7 @@ class Unigram:
             else:
                 try:
                     out.append(b"".join(map(known.__getitem__, parts)))
-                except TypeError:  # a part remembered as None
+                except (TypeError, KeyError):  # a part remembered as None, or too long to be
                     out.append(self._whole(text))
         return out
 

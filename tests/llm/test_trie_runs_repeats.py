@@ -245,3 +245,46 @@ def test_repeats_odd_tables(spark):
     df = spark.createDataFrame([(1, long), (2, long[:1000] + " end"), (3, "0 1 2 3")], "doc_id long, text string")
     assert [x[:3] for x in found_repeats(df)] == [(1, 300_000, [[0, 276]]), (2, 279, [[0, 276]]), (3, 4, [])]
     assert rows_of(repeats.remove_repeats(df).filter("doc_id > 1")) == [(2, "27 end"), (3, "0 1 2 3")]
+
+
+# What workers hold
+
+
+def test_automaton_of_a_million_words_is_small():
+    import pickle
+    import subprocess
+    import sys
+
+    from brindle.llm.decontaminate import ItemAutomaton
+
+    rng = np.random.default_rng(1)
+    words = np.minimum(rng.zipf(1.3, 1_000_000), 300_000)
+    items = [(str(i), [b"w%d" % w for w in words[at : at + 200]]) for i, at in enumerate(range(0, len(words), 200))]
+    data = pickle.dumps(ItemAutomaton(items))
+    held = "import pickle, resource, sys; sys.path.insert(0, sys.argv[1]); import brindle.llm.decontaminate; m = lambda: int(open('/proc/self/statm').read().split()[1]) * 4096; a = m(); x = pickle.load(sys.stdin.buffer); print(m() - a)"
+    root = str(__import__("pathlib").Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", held, root], input=data, capture_output=True, check=True)
+    assert int(out.stdout) < 150e6, int(out.stdout)
+
+
+def test_long_words_are_not_remembered():
+    from brindle.llm.neardup import LONGEST, WordHashes
+
+    known = WordHashes()
+    first = known.of(f"{'x' * 10_000} short {'y' * LONGEST}")
+    assert len(known) == 2 and first.tolist() == known.of(f"{'x' * 10_000} short {'y' * LONGEST}").tolist()
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from brindle.llm.common import BATCH_BYTES, small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    small_batches(spark)
+    df = spark.range(0, 60, 1, 1).withColumn("t", F.repeat(F.lit("word "), 200_000))
+    got = df.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 60 and max(r["size"] for r in got) <= BATCH_BYTES + 1_100_000
