@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from brindle.functions import dates as T, numbers as M
-from brindle.operators import aggregate as A, joins as J, ml, stats as E, windows as W
+from brindle.operators import aggregate as A, joins as J, ml, stats as E, var as V, windows as W
 from brindle.sources import files as S, paging as G
 from brindle.streaming import streams as R
 
@@ -385,6 +385,11 @@ def _granger_sql(name: str, cause: str, effect: str) -> tuple[str, str]:
     return f"{lagged}, {_chain(name, f'{name}_l', ['one', 'own', 'other'])}", f"SELECT '{name}', {_part('t', 'g2')} / (({full}) / (count(*) - 3)), 1, count(*) - 3 FROM {name}_2"
 
 
+#: w and p (test, statistic, p_value) of t (test, statistic, d1, d2): F, or chi-squared where d2 is null; the densities by Simpson's rule.
+P_VALUES = """w AS (SELECT *, CASE WHEN d2 IS NULL THEN sqrt(statistic) ELSE asin(sqrt(d1 * statistic / (d1 * statistic + d2))) END / 2000 AS w,
+CASE WHEN d2 IS NULL THEN 2 / (pow(2, d1 / 2.0) * gamma(d1 / 2.0)) ELSE 2 * exp(lgamma((d1 + d2) / 2.0) - lgamma(d1 / 2.0) - lgamma(d2 / 2.0)) END AS front FROM t),
+p AS (SELECT test, any_value(statistic) AS statistic, 1 - any_value(front) * any_value(w) / 3 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+* CASE WHEN d2 IS NULL THEN pow(i * w, d1 - 1) * exp(-i * w * i * w / 2) ELSE pow(sin(i * w), d1 - 1) * pow(cos(i * w), d2 - 1) END) AS p_value FROM w, range(0, 2001) r(i) GROUP BY test)"""
 GRANGER = [_granger_sql("granger_x1_y", "x1", "y"), _granger_sql("granger_y_x1", "y", "x1")]
 LAGS = ", ".join(f"coalesce(lag(e, {k}) OVER (ORDER BY date), 0) AS e{k}, lag(e * e, {k}) OVER (ORDER BY date) AS s{k}" for k in range(1, 5))
 BASIS = ["q0", "q1", "q2", "q3"]
@@ -397,10 +402,7 @@ UNION ALL SELECT 'breusch_godfrey_4', count(*) * ({" + ".join(_part('e', f'g{k}'
 UNION ALL SELECT 'ljung_box', count(*) * (count(*) + 2) * ({" + ".join(f"pow(sum(p{k}) / sum(d * d), 2) / (count(*) - {k})" for k in range(1, 6))}), 5, NULL FROM c
 UNION ALL SELECT 'arch_lm', count(*) * ({" + ".join(_part('s', f'g{k}') for k in range(1, 4))}) / (sum(s * s) - {_part('s', 'g0')}), 3, NULL FROM arch_3
 UNION ALL {GRANGER[0][1]} UNION ALL {GRANGER[1][1]}),
-w AS (SELECT *, CASE WHEN d2 IS NULL THEN sqrt(statistic) ELSE asin(sqrt(d1 * statistic / (d1 * statistic + d2))) END / 2000 AS w,
-CASE WHEN d2 IS NULL THEN 2 / (pow(2, d1 / 2.0) * gamma(d1 / 2.0)) ELSE 2 * exp(lgamma((d1 + d2) / 2.0) - lgamma(d1 / 2.0) - lgamma(d2 / 2.0)) END AS front FROM t),
-p AS (SELECT test, any_value(statistic) AS statistic, 1 - any_value(front) * any_value(w) / 3 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
-* CASE WHEN d2 IS NULL THEN pow(i * w, d1 - 1) * exp(-i * w * i * w / 2) ELSE pow(sin(i * w), d1 - 1) * pow(cos(i * w), d2 - 1) END) AS p_value FROM w, range(0, 2001) r(i) GROUP BY test)
+{P_VALUES}
 SELECT test, {s6('statistic')} AS statistic, {s6('p_value')} AS p_value FROM p"""
 
 
@@ -575,3 +577,55 @@ def dimension_join(spark, sf):
     out = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return out.groupBy("n_name", "r_name").agg(F.count("*").alias("n"), F.bround(F.avg("c_acctbal"), 6).alias("mean_balance"))
 
+
+def _systems(spark, sf) -> DataFrame:
+    """emotion, date, x, y: each event type's daily mean beside the change of the mean of all."""
+    d = daily(spark, sf).withColumn("y", F.bround(F.col("value") - F.lag("value").over(Window.orderBy("date")), 6)).select("date", "y")
+    x = table(spark, sf, "events").groupBy(F.col("event_type").alias("emotion"), F.to_date("ts").alias("date")).agg(F.bround(F.avg("value"), 6).alias("x"))
+    return x.join(d, "date")
+
+
+VAR_LAGS = 3
+
+
+def _by_emotion(name: str, columns: list[str]) -> str:
+    """As _chain, within each emotion."""
+    over = "OVER (PARTITION BY emotion)"
+    return ", ".join(
+        f"{name}_{k} AS (SELECT *, " + " - ".join([c, *(f"g{i} * (sum({c} * g{i}) {over} / sum(g{i} * g{i}) {over})" for i in range(k))]) + f" AS g{k} FROM {name + '_' + str(k - 1) if k else 'l'})"
+        for k, c in enumerate(columns)
+    )
+
+
+def _left(s: str, t: str, parts: int) -> str:
+    """The sum of products of two columns that the first parts leave."""
+    return " - ".join([f"sum({s} * {t})", *(f"sum({s} * g{i}) * sum({t} * g{i}) / sum(g{i} * g{i})" for i in range(parts))])
+
+
+VAR_SQL = f"""{DAILY}, r AS (SELECT date, round_even(value - lag(value) OVER (ORDER BY date), 6) AS y FROM daily),
+s AS (SELECT event_type AS emotion, CAST(ts AS DATE) AS date, round_even(avg(value), 6) AS x FROM events GROUP BY ALL),
+z AS (SELECT emotion, 1.0::DOUBLE AS one, {", ".join(f"lag(x, {k}) OVER v AS a{k}, lag(y, {k}) OVER v AS b{k}" for k in range(VAR_LAGS + 1))} FROM s JOIN r USING (date) WINDOW v AS (PARTITION BY emotion ORDER BY date)),
+l AS (SELECT * FROM z WHERE {" AND ".join(f"a{k} IS NOT NULL AND b{k} IS NOT NULL" for k in range(VAR_LAGS + 1))}),
+{_by_emotion("both", ["one", *(f"{c}{k}" for k in range(1, VAR_LAGS + 1) for c in "ab")])}, {_by_emotion("a", ["one", *(f"a{k}" for k in range(1, VAR_LAGS + 1))])}, {_by_emotion("b", ["one", *(f"b{k}" for k in range(1, VAR_LAGS + 1))])},
+o AS ({" UNION ALL ".join(f"SELECT emotion, {k} AS lag, count(*) AS n, {_left('a0', 'a0', 2 * k + 1)} AS aa, {_left('b0', 'b0', 2 * k + 1)} AS bb, {_left('a0', 'b0', 2 * k + 1)} AS ab FROM both_{2 * VAR_LAGS} GROUP BY emotion" for k in range(1, VAR_LAGS + 1))}),
+c AS (SELECT *, ln((aa * bb - ab * ab) / (n * n)) + 4.0 * (2 * lag + 1) / n AS aic, ln((aa * bb - ab * ab) / (n * n)) + 4 * ln(ln(n)) * (2 * lag + 1) / n AS hq,
+ln((aa * bb - ab * ab) / (n * n)) + 2 * ln(n) * (2 * lag + 1) / n AS bic, pow((n + 2.0 * lag + 1) / (n - 2 * lag - 1), 2) * (aa * bb - ab * ab) / (n * n) AS fpe FROM o)"""
+
+
+@query(f"WITH {VAR_SQL} SELECT emotion, lag, n, {s6('aic')} AS aic, {s6('hq')} AS hq, {s6('bic')} AS bic, {s6('fpe')} AS fpe FROM c")
+def var_order(spark, sf):
+    """Criteria of the orders of a two-variable autoregression for every emotion."""
+    return _rounded(V.lag_criteria(_systems(spark, sf), ["x", "y"], "date", ["emotion"], VAR_LAGS))
+
+
+@query(f"""WITH {VAR_SQL}, k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY emotion ORDER BY aic, lag) = 1),
+own AS ({" UNION ALL ".join(f"SELECT emotion, '{'y' if t == 'a' else 'x'}' AS cause, {k} AS lag, {_left(f'{t}0', f'{t}0', k + 1)} AS rss FROM {t}_{VAR_LAGS} GROUP BY emotion" for t in "ab" for k in range(1, VAR_LAGS + 1))}),
+e AS (SELECT emotion, cause, lag, n, ((rss - CASE cause WHEN 'x' THEN bb ELSE aa END) / lag) / (CASE cause WHEN 'x' THEN bb ELSE aa END / (n - 2 * lag - 1)) AS f, lag AS d1, 2 * (n - 2 * lag - 1) AS d2, n * ab * ab / (aa * bb + ab * ab) AS instant FROM k JOIN own USING (emotion, lag)),
+t(test, statistic, d1, d2) AS (SELECT emotion || '>' || cause, f, d1, d2 FROM e UNION ALL SELECT emotion || '=' || cause, instant, 1, NULL FROM e),
+{P_VALUES},
+j AS (SELECT e.*, f.p_value, i.p_value AS instant_p FROM e JOIN p AS f ON f.test = emotion || '>' || cause JOIN p AS i ON i.test = emotion || '=' || cause),
+b AS (SELECT *, p_value * count(*) OVER (PARTITION BY cause) / count(*) OVER (PARTITION BY cause ORDER BY p_value) AS least FROM j)
+SELECT emotion, cause, lag, n, {s6('f')} AS f, d1, d2, {s6('p_value')} AS p_value, {s6('instant')} AS instant, {s6('instant_p')} AS instant_p, {s6('min(least) OVER (PARTITION BY cause ORDER BY p_value DESC)')} AS p_adjusted FROM b""")
+def var_causality(spark, sf):
+    """Whether emotion and return cause each other in an autoregression of the order that Akaike's criterion chooses, p values adjusted over all emotions."""
+    return _rounded(V.causality(_systems(spark, sf), ["x", "y"], "date", ["emotion"], VAR_LAGS))
