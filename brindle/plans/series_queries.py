@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from brindle.functions import dates as T, numbers as M
-from brindle.operators import aggregate as A, joins as J, ml, stats as E, var as V, windows as W
-from brindle.sources import files as S, paging as G
-from brindle.streaming import streams as R
+from brindle.operators import aggregate as A, joins as J, ml, stats as E, trees as TR, var as V, windows as W
+from brindle.sources import files as S, paging as G, polling as PO
+from brindle.streaming import streams as R, threads as TH
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -629,3 +629,49 @@ SELECT emotion, cause, lag, n, {s6('f')} AS f, d1, d2, {s6('p_value')} AS p_valu
 def var_causality(spark, sf):
     """Whether emotion and return cause each other in an autoregression of the order that Akaike's criterion chooses, p values adjusted over all emotions."""
     return _rounded(V.causality(_systems(spark, sf), ["x", "y"], "date", ["emotion"], VAR_LAGS))
+
+
+def _replies(spark, sf) -> DataFrame:
+    """id, parent of the turns: each answers the one before it."""
+    at = lambda turn: F.concat_ws(":", F.col("conv_id"), turn)
+    return table(spark, sf, "conversations").select(at(F.col("turn")).alias("id"), at(F.col("turn") - 1).alias("parent"))
+
+
+REPLIES_SQL = """RECURSIVE i AS (SELECT conv_id || ':' || turn AS id, conv_id || ':' || (turn - 1) AS parent FROM conversations),
+t AS (SELECT id, parent, id AS root, 0 AS depth, CAST(NULL AS VARCHAR) AS top FROM i WHERE parent NOT IN (SELECT id FROM i)
+UNION ALL SELECT i.id, i.parent, t.root, t.depth + 1, coalesce(t.top, i.id) FROM i JOIN t ON i.parent = t.id)"""
+
+
+@query(f"WITH {REPLIES_SQL} SELECT t.*, (SELECT count(*) FROM i WHERE i.parent = t.id) AS n_replies FROM t")
+def reply_tree(spark, sf):
+    """Depth, root and top level of every turn, each an answer to the one before."""
+    return TR.reply_tree(_replies(spark, sf))
+
+
+@query(f"WITH {REPLIES_SQL} SELECT root, count(*) AS n, count(*) FILTER (depth = 1) AS n_top, max(depth) AS depth FROM t GROUP BY root")
+def reply_threads(spark, sf):
+    """Size, top level and depth of every thread."""
+    return TR.threads(TR.reply_tree(_replies(spark, sf)))
+
+
+@query("SELECT event_type AS key, count(*) AS n, count(DISTINCT event_id) AS n_ids, min(epoch_us(ts)) / 1e6 AS first, max(epoch_us(ts)) / 1e6 AS last FROM events GROUP BY 1")
+def stream_polled(spark, sf):
+    """A service polled as a stream until nothing new is there, one partition an event type."""
+    PO.register(spark)
+    path = f"{sf}/events.parquet"
+    keys = sorted(r[0] for r in table(spark, sf, "events").select("event_type").distinct().collect())
+    here = "brindle.sources.polling"
+    stream = spark.readStream.format("polled").options(fetch=f"{here}:fetch_events", newest=f"{here}:newest_event", keys=",".join(keys), page="5000", service=path).load()
+    rows = R.stream_result(spark, stream, stream.schema, "append")
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"), F.min("time").alias("first"), F.max("time").alias("last"))
+
+
+@query("""WITH o AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR))),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR) ROWS UNBOUNDED PRECEDING) AS k FROM o),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, CAST(event_id AS VARCHAR)) AS n FROM s)
+SELECT CAST(user_id AS VARCHAR) AS submission, CAST(event_id AS VARCHAR) AS comment, epoch_us(ts) AS at_us, n, n = 1 AS is_first FROM n""")
+def stream_new_comments(spark, sf):
+    """Events as comments on users, looked at again; state ends after six hours without any."""
+    out = TH.new_comments(R.events_stream(spark, sf), "user_id", "event_id", "ts", "6 hours")
+    rows = R.stream_result(spark, out, out.schema, "append")
+    return rows.select("submission", "comment", F.unix_micros("ts").alias("at_us"), "n", "is_first")

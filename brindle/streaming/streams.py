@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from brindle.sources.shared import deleted, shared_path
+
 
 def events_stream(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
     """The event files as a stream; times become timestamps with a zone (UTC), which watermarks need."""
@@ -63,22 +65,14 @@ def missing_months(spark: SparkSession, path: str, first: str, last: str) -> Dat
 
 def stream_result(spark: SparkSession, stream: DataFrame, schema, mode: str) -> DataFrame:
     """The rows of a stream run to its end, from the files its batches wrote; in complete mode the last batch's."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
-    out, last = f"{base.rstrip('/')}/{uuid.uuid4().hex}-stream", []
+    out, last = f"{shared_path(spark)}-stream", []
 
     def sink(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
         last.append(batch)
 
     run_once(stream, f"{out}-checkpoint", sink, mode)
+    deleted(spark, f"{out}-checkpoint")
     if not last:
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema)
