@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from brindle.functions.stem import stem
 from brindle.functions.text import SCRIPTS, is_bot_post, tokens
 
+#: What bots say of themselves.
 BOT_MARKERS = ("i am a bot", "this action was performed automatically", "beep boop")
 #: Names of companies by ticker.
 COMPANIES = {
@@ -87,9 +89,15 @@ def keyword_sentence(words: Column, keywords: Sequence[str], most: int = 100) ->
 
     Stands in for a part-of-speech and lemma model: any word class counts, and only a final s is dropped.
     """
-    stem = F.transform(words, lambda t: F.regexp_replace(t, r"(?<=\w{3})s$", ""))
+    singular = F.transform(words, lambda t: F.regexp_replace(t, r"(?<=\w{3})s$", ""))
     keys = F.array(*[F.lit(k.lower()) for k in keywords])
-    return (F.size(words) <= most) & (F.arrays_overlap(words, keys) | F.arrays_overlap(stem, keys))
+    return (F.size(words) <= most) & (F.arrays_overlap(words, keys) | F.arrays_overlap(singular, keys))
+
+
+def stem_sentence(words: Column, keywords: Sequence[str], most: int = 100) -> Column:
+    """Whether a sentence of at most `most` tokens has a word of the same stem as a keyword."""
+    keys = F.transform(F.array(*[F.lit(k.lower()) for k in keywords]), stem)
+    return (F.size(words) <= most) & F.arrays_overlap(F.transform(words, stem), keys)
 
 
 def drop_unnamed(df: DataFrame) -> DataFrame:

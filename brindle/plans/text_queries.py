@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from brindle.functions import text as X
-from brindle.operators import aggregate as A, dedup as D, filters as P, language as N, lexicon as L
+from brindle.functions import stem as ST, text as X
+from brindle.operators import aggregate as A, dedup as D, filters as P, language as N, lexicon as L, segment as SG
 from brindle.sources import files as S, paging as G
 
 Q: dict = {}
@@ -489,3 +489,68 @@ def pack_terms(spark, sf):
     df = spark.range(1).select(F.array(*[F.lit(t) for t in TERMS]).alias("t"))
     return df.select(F.posexplode(X.pack_terms(F.col("t"), 42)).alias("pos", "q"))
 
+
+def _stem_sql(source: str) -> str:
+    """CTEs that add the stem of w to a table of words, as `stem`."""
+    ends = lambda x, suffix: f"regexp_extract({x}, '{ST.BEFORE}(?:{suffix})$', 1)"
+    like = lambda x, pattern: f"regexp_matches({x}, '{pattern}')"
+
+    def replaced(x: str, to: dict[str, str]) -> str:
+        any_of = f"{ST.BEFORE}({'|'.join(to)})$"
+        left, end = (f"regexp_extract({x}, '{any_of}', {k})" for k in (1, 2))
+        return f"CASE WHEN {end} <> '' AND {like(left, ST.M_1_UP)} THEN {left} || CASE {end} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in to.items()) + f" END ELSE {x} END"
+
+    ed, eed, four, ion = ends("x1", "ed|ing"), ends("x1", "eed"), "|".join(ST.STEP_4), "regexp_extract(x6, '^(.+?[st])ion$', 1)"
+    steps = [
+        r"regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiou])y', '\1Y', 'g')",
+        rf"regexp_replace(regexp_replace(x0, '{ST.BEFORE}(ss|i)es$', '\1\2'), '{ST.BEFORE}([^s])s$', '\1\2')",
+        f"CASE WHEN ends_with(x1, 'eed') THEN CASE WHEN {eed} <> '' AND {like(eed, ST.M_1_UP)} THEN x1[:-2] ELSE x1 END WHEN {ed} <> '' AND {like(ed, ST.SOME_VOWEL)} THEN {ed} || '+' ELSE x1 END",
+        f"CASE WHEN NOT ends_with(x2, '+') THEN x2 WHEN {like('x2', '(?:at|bl|iz)[+]$')} THEN x2[:-2] || 'e' WHEN length(x2) > 2 AND x2[-2] = x2[-3] AND NOT {like('x2[-2]', '[aeiouylsz]')} THEN x2[:-3] WHEN {like('x2[:-2]', ST.SHORT)} AND {like('x2[:-2]', ST.M_1)} THEN x2[:-2] || 'e' ELSE x2[:-2] END",
+        f"CASE WHEN {like(ends('x3', '[yY]'), ST.SOME_VOWEL)} THEN x3[:-2] || 'i' ELSE x3 END",
+        replaced("x4", ST.STEP_2), replaced("x5", ST.STEP_3),
+        f"CASE WHEN {ends('x6', four)} <> '' THEN CASE WHEN {like(ends('x6', four), ST.M_2_UP)} THEN {ends('x6', four)} ELSE x6 END WHEN {ion} <> '' AND {like(ion, ST.M_2_UP)} THEN {ion} ELSE x6 END",
+        f"CASE WHEN {ends('x7', 'e')} <> '' AND ({like(ends('x7', 'e'), ST.M_2_UP)} OR ({like(ends('x7', 'e'), ST.M_1)} AND NOT {like(ends('x7', 'e'), ST.SHORT)})) THEN x7[:-2] ELSE x7 END",
+        f"CASE WHEN ends_with(x8, 'll') AND {like('x8', ST.M_2_UP)} THEN x8[:-2] ELSE x8 END",
+    ]
+    chain = ", ".join(f"s{k} AS (SELECT *, {e} AS x{k} FROM {f's{k - 1}' if k else source})" for k, e in enumerate(steps))
+    return chain + ", stems AS (SELECT *, CASE WHEN regexp_matches(w, '^[a-z]{3,}$') THEN lower(x9) ELSE w END AS stem FROM s9)"
+
+
+@query(f"""WITH t AS (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}]+')) AS w FROM documents), u AS (SELECT w, count(*) AS n FROM t WHERE regexp_matches(w, '^[a-z]+$') GROUP BY w), {_stem_sql("u")}
+SELECT stem, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_words FROM stems GROUP BY stem""".replace("\\\\", "\\"))
+def stem_counts(spark, sf):
+    """stems of all documents' words of plain letters; each different word is stemmed once."""
+    words = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("w")).filter(F.col("w").rlike("^[a-z]+$"))
+    different = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return different.groupBy(ST.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_words"))
+
+
+BARE_SQL = r"regexp_replace({}, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.!?…]+$', '', 'g')"
+TYPE_SQL = r"CASE WHEN regexp_matches(regexp_replace({0}, '[.!?…]+$', ''), '^\p{{Nd}}[\p{{Nd}}.,]*$') THEN '##' ELSE lower(regexp_replace({0}, '[.!?…]+$', '')) END"
+SEGMENT_SQL = rf"""k AS (SELECT doc_id, list_transform(string_split(trim(regexp_replace(text, '{S_}+', ' ', 'g')), ' '), lambda t: {BARE_SQL.format('t')}) AS c FROM documents WHERE doc_id IS NOT NULL),
+t AS (SELECT doc_id, i, c[i + 1] AS core, c[i + 2] AS next, CASE WHEN i > 0 THEN c[i] END AS before, {TYPE_SQL.format('c[i + 1]')} AS type FROM (SELECT *, unnest(range(len(c))) AS i FROM k)),
+n AS (SELECT type, count(*) FILTER (regexp_matches(core, '[^.]\.$')) AS n_with, count(*) FILTER (NOT regexp_matches(core, '[^.]\.$')) AS n_without, count(*) FILTER (regexp_matches(core, '^\p{{Ll}}')) AS n_lower,
+count(*) FILTER (regexp_matches(core, '^\p{{Lu}}') AND before IS NOT NULL AND NOT regexp_matches(before, '[.!?…]+$')) AS n_inside FROM t WHERE type <> '' GROUP BY type),
+p AS (SELECT sum(n_with) / sum(n_with + n_without) AS p FROM n),
+l AS (SELECT *, length(replace(type, '.', '')) AS letters FROM n, p),
+m AS (SELECT *, CASE WHEN n_with > 0 AND regexp_matches(type, '\p{{L}}') THEN -2 * (n_with * ln(p) + n_without * ln(1 - p) - n_with * ln(0.99) - n_without * ln(0.01)) * exp(-letters) * (length(type) - letters + 1) * pow(letters, -n_without) ELSE 0.0 END AS score FROM l)"""
+
+
+@query(f"WITH {SEGMENT_SQL} SELECT type, n_with, n_without, round_even(score, 6) + 0.0 AS score FROM m WHERE score >= 0.3")
+def abbreviation_scores(spark, sf):
+    """the token types that the documents show to be abbreviations."""
+    counts = SG.type_counts(SG.token_rows(table(spark, sf, "documents"), "doc_id", "text"))
+    return SG.scored(counts).filter(F.col("score") >= SG.LEAST_SCORE).select("type", "n_with", "n_without", (F.bround("score", 6) + F.lit(0.0)).alias("score"))
+
+
+@query(rf"""WITH {SEGMENT_SQL}, e AS (SELECT doc_id, i, CASE WHEN regexp_matches(core, '[!?][.!?…]*$') THEN TRUE
+WHEN coalesce(a.score >= 0.3, FALSE) OR regexp_matches(core, '^\p{{L}}\.$') OR regexp_matches(core, '(?:\.\.|…)$') THEN regexp_matches(next, '^\p{{Lu}}') AND coalesce(f.n_lower > 0 AND f.n_inside = 0, FALSE)
+ELSE NOT regexp_matches(next, '^\p{{Ll}}') END AS ends FROM t LEFT JOIN m AS a USING (type) LEFT JOIN m AS f ON f.type = {TYPE_SQL.format('next')} WHERE regexp_matches(core, '[.!?…]+$') AND next IS NOT NULL),
+w AS (SELECT doc_id, i, x, coalesce(sum(CAST(e.ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k
+FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(text, '{S_}+', ' ', 'g')), ' ')) AS x, generate_subscripts(string_split(trim(regexp_replace(text, '{S_}+', ' ', 'g')), ' '), 1) - 1 AS i FROM documents) LEFT JOIN e USING (doc_id, i)),
+s AS (SELECT doc_id, k, string_agg(x, ' ' ORDER BY i) AS s FROM w GROUP BY doc_id, k)
+SELECT doc_id, coalesce(count(s) FILTER (s <> ''), 0) AS n, md5(coalesce(string_agg(s, chr(10) ORDER BY k) FILTER (s <> ''), '')) AS digest FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id""")
+def model_sentences(spark, sf):
+    """sentences by the learned model, how many and a digest of them."""
+    found = SG.model_sentences(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join("sentences", "\n")).alias("digest"))
