@@ -242,31 +242,67 @@ def has_policy_context(c: Column) -> Column:
 
 
 _MISREAD = re.compile("[\u0080-ÿ€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]")
-_SYMBOL = re.compile("[\u2191-\U0010ffff\u200d]")
 
 
-def _mended(text: str) -> str:
-    """UTF-8 that was read as Latin-1 or Windows-1252, read right; anything else stays."""
-    if text.isascii() or not _MISREAD.search(text):
-        return text
+# What UTF-8 of two, three and four bytes looks like in Windows-1252 or Latin-1, for the usual first bytes.
+_REST = "[\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+_RUN = re.compile(f"[ÂÃ]{_REST}|â{_REST}{{2}}|ð{_REST}{{3}}")
+
+
+def _as_read(text: str) -> str | None:
     for encoding in ("cp1252", "latin-1"):
         try:
             return text.encode(encoding).decode("utf-8")
         except UnicodeError:
             continue
-    return text
+    return None
+
+
+def _mended(text: str) -> str:
+    """UTF-8 that was read as Latin-1 or Windows-1252, read right: the whole text, or its parts that can be nothing else; anything else stays."""
+    if text.isascii() or not _MISREAD.search(text):
+        return text
+    whole = _as_read(text)
+    return whole if whole is not None else _RUN.sub(lambda m: _as_read(m[0]) or m[0], text)
+
+
+def _short_name(c: str) -> str:
+    """The Unicode name of a sign, without the words that only say what kind of sign it is."""
+    name = unicodedata.name(c, "symbol").lower()
+    if "fitzpatrick" in name:
+        return TONES[ord(c) - 0x1F3FB] + "_skin_tone"
+    return name.replace(" ", "_").replace("-", "_")
+
+
+# Skin tones in the order of their code points.
+TONES = ("light", "medium_light", "medium", "medium_dark", "dark")
+_SIGN = r"[\u00a9\u00ae\u203c\u2049\u2122\u2139\u2190-\u21ff\u2300-\u27bf\u2900-\u297f\u2b00-\u2bff\u3030\u303d\u3297\u3299\U0001f000-\U0001faff]"
+_ONE = f"{_SIGN}(?:[\U0001f3fb-\U0001f3ff]|\ufe0f)?"
+# Longest first: flags of two letters, of subdivisions, keycaps, signs that are joined.
+EMOJI = re.compile(f"[\U0001f1e6-\U0001f1ff]{{2}}|\U0001f3f4[\U000e0020-\U000e007e]+\U000e007f|[0-9#*]\ufe0f?\u20e3|{_ONE}(?:\u200d{_ONE})*|[\ufe0f\u200d]")
 
 
 def _named(m: re.Match) -> str:
-    c = m[0]
-    if unicodedata.category(c) == "So":
-        return ":" + unicodedata.name(c, "symbol").lower().replace(" ", "_").replace("-", "_") + ":"
-    return "" if c in "\ufe0f\u200d" else c
+    """One name for a whole sequence."""
+    s = m[0]
+    if s in "\ufe0f\u200d":
+        return ""
+    if "\U0001f1e6" <= s[0] <= "\U0001f1ff" and len(s) == 2:
+        return ":flag_" + "".join(chr(ord(c) - 0x1F1E6 + ord("a")) for c in s) + ":"
+    if len(s) > 1 and "\U000e0020" <= s[1] <= "\U000e007e":
+        return ":flag_" + "".join(chr(ord(c) - 0xE0000) for c in s[1:-1]) + ":"
+    if s[-1] == "\u20e3":
+        return f":keycap_{s[0]}:"
+    signs = [c for c in s if c not in "\ufe0f\u200d"]
+    # Arrows and letters in circles are signs too, but no pictures.
+    if len(signs) == 1 and unicodedata.category(signs[0]) != "So" and "\ufe0f" not in s:
+        return s
+    return ":" + "_".join(map(_short_name, signs)) + ":"
 
 
 def _names(text: str) -> str:
-    """Emoji as :name:, with the Unicode character name; joiners and variation selectors go."""
-    return text if text.isascii() else _SYMBOL.sub(_named, text)
+    """Emoji, whole sequences of them too, as :name:, with the Unicode names of their signs; other joiners and variation selectors go."""
+    return text if text.isascii() else EMOJI.sub(_named, text)
 
 
 # Letters of two scripts in Latin ones.
@@ -276,16 +312,39 @@ LATIN = CYRILLIC | GREEK | {c.upper(): t.capitalize() for c, t in (CYRILLIC | GR
 _LATIN = str.maketrans(LATIN)
 
 
+#: Scripts whose letters are named by their sound; those of others are named by a word that begins with it.
+SPOKEN = frozenset("HIRAGANA KATAKANA HANGUL DEVANAGARI BENGALI GUJARATI GURMUKHI TAMIL TELUGU KANNADA MALAYALAM ORIYA SINHALA ETHIOPIC CHEROKEE BOPOMOFO YI LAO KHMER MYANMAR TIBETAN".split())
+_LETTER = re.compile(r"(?:SYLLABLE|LETTER|CHARACTER|VOWEL SIGN)(?: (?:SMALL|CAPITAL|VOWEL|INDEPENDENT|FINAL|INITIAL|MEDIAL))* ([A-Z]+)")
+_SOUND = re.compile(r"[^aeiou]*")
+
+
+def _latin(c: str) -> str:
+    """A letter of a script without decomposition to Latin ones, by its Unicode name; one that has no name of its own, as a Han sign, by its code point."""
+    if c.isascii():
+        return c
+    name = unicodedata.name(c, "")
+    m = _LETTER.search(name)
+    if m:
+        sound = m[1].lower()
+        return sound if name.split(" ")[0] in SPOKEN else _SOUND.match(sound)[0] or sound[0]
+    if unicodedata.decimal(c, None) is not None:
+        return str(unicodedata.decimal(c))
+    return f"<U+{ord(c):04X}>" if unicodedata.category(c)[0] == "L" else ""
+
+
 def _fold(text: str) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text.translate(_LATIN)) if not unicodedata.combining(c)).translate(_LATIN)
-    return plain.encode("ascii", "ignore").decode()
+    """In ASCII: letters of other scripts in Latin ones, digits as such, signs and marks without either go."""
+    # Syllables of one code point are named by their sound; their parts are not.
+    text = "".join(_latin(c) if "\uac00" <= c <= "\ud7a3" or "\u3041" <= c <= "\u30ff" else c for c in unicodedata.normalize("NFC", text))
+    text = unicodedata.normalize("NFKD", text.translate(_LATIN))
+    return "".join(map(_latin, "".join(c for c in text if not unicodedata.combining(c)).translate(_LATIN)))
 
 
 def normalize_unicode(emoji: bool = False, fold: bool = False):
     """Mend mojibake, NFKC, and if asked emoji names and ASCII folding, in one Arrow UDF; then collapse.
 
-    NFKC, names and folding have no SQL function. Folding writes Cyrillic and Greek in Latin letters and drops what
-    has neither such letters nor a decomposition to ASCII.
+    NFKC, names and folding have no SQL function. Folding writes letters of other scripts in Latin ones: by table, by
+    decomposition, by the sound in a letter's Unicode name, and Han signs by their code points, so no letter is lost.
     """
 
     @F.pandas_udf("string")

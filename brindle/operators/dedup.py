@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from brindle.sources.shared import rounds
+
 
 def keep_first(df: DataFrame, key: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
     """One row for each key: the first in `order`. Null keys are equal to each other."""
@@ -33,16 +35,26 @@ def word_set(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda t: t != ""))
 
 
-def near_dup_pairs(df: DataFrame, id_: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """a < b, jaccard of all pairs of different token sets of at least this similarity, exactly.
+def _token_sets(df: DataFrame, id_: str, text: str) -> DataFrame:
+    """id, digest and w of every row: the sorted 64-bit hashes of its word set, and 128 bits of those."""
+    w = F.array_sort(F.transform(word_set(F.col(text)), lambda t: F.xxhash64(t)))
+    rows = df.select(F.col(id_).alias("id"), w.alias("w"))
+    return rows.withColumn("digest", F.md5(F.array_join(F.transform("w", lambda h: h.cast("string")), ",").cast("binary")))
 
-    Prefix filtering: with tokens in order of rarity, two sets of similarity t share one of the first
-    (1 - t) n + 1 tokens of each, so only rows that meet in such a token are compared. Equal sets are
-    compared once, through the smallest id of each. Sets of fewer than t / (1 - t) tokens are near none but
-    themselves, so short texts that share a frequent word are not compared.
-    """
-    sets = df.select(F.col(id_).alias("id"), F.array_sort(word_set(F.col(text))).alias("w"))
-    groups = sets.groupBy("w").agg(F.min("id").alias("id"))
+
+def _different(sets: DataFrame) -> DataFrame:
+    """id (the smallest), w of every different word set."""
+    return sets.groupBy("digest").agg(F.min("id").alias("id"), F.first("w").alias("w")).select("digest", "id", "w")
+
+
+def _verified(pairs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    side = lambda s: groups.select(F.col("id").alias(s), F.col("w").alias(f"w{s}"))
+    both = F.size(F.array_intersect("wa", "wb"))
+    jaccard = both / (F.size("wa") + F.size("wb") - both)
+    return pairs.join(side("b"), "b").join(side("a"), "a").withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+
+
+def _near(groups: DataFrame, threshold: float) -> DataFrame:
     freq = groups.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     long = groups.filter(F.size("w") >= threshold / (1 - threshold) - 1e-9)
     ranked = long.select("id", F.size("w").alias("size"), F.explode("w").alias("t")).join(freq, "t")
@@ -51,11 +63,20 @@ def near_dup_pairs(df: DataFrame, id_: str, text: str, threshold: float = 0.85)
     a, b = head.alias("a"), head.alias("b")
     near = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size"))
     pairs = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    side = lambda s: groups.select(F.col("id").alias(s), F.col("w").alias(f"w{s}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = F.size(F.array_intersect("wa", "wb"))
-    jaccard = both / (F.size("wa") + F.size("wb") - both)
-    return full.withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    return _verified(pairs, groups, threshold)
+
+
+def near_dup_pairs(df: DataFrame, id_: str, text: str, threshold: float = 0.85) -> DataFrame:
+    """a < b, jaccard of all pairs of different token sets of at least this similarity, exactly (tokens by 64 bits of hash).
+
+    Prefix filtering: with tokens in order of rarity, two sets of similarity t share one of the first
+    (1 - t) n + 1 tokens of each, so only rows that meet in such a token are compared. Equal sets are
+    compared once, through the smallest id of each. Sets of fewer than t / (1 - t) tokens are near none but
+    themselves, so short texts that share a frequent word are not compared.
+    """
+    with rounds(df.sparkSession) as write:
+        groups = write(_different(_token_sets(df, id_, text)))
+        return write(_near(groups, threshold))
 
 
 def near_dedup(df: DataFrame, id_: str, text: str, threshold: float = 0.85) -> DataFrame:
@@ -64,9 +85,45 @@ def near_dedup(df: DataFrame, id_: str, text: str, threshold: float = 0.85) -> D
     Rows are neighbours if their token sets are equal or near; the rule is not transitive: with a near b,
     b near c, but a not near c, both a and b stay.
     """
-    rows = df.select(F.col(id_).alias("id"), F.array_sort(word_set(F.col(text))).alias("w"))
-    first = rows.groupBy("w").agg(F.min("id").alias("first"))
-    pairs = near_dup_pairs(df, id_, text, threshold)
-    low = pairs.groupBy(F.col("b").alias("first")).agg(F.min("a").alias("low"))
-    keep = first.join(low, "first", "left").select(F.coalesce("low", "first").alias(id_)).distinct()
+    with rounds(df.sparkSession) as write:
+        groups = write(_different(_token_sets(df, id_, text)))
+        low = _near(groups, threshold).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("low"))
+        keep = write(groups.select("id").join(low, "id", "left").select(F.coalesce("low", "id").alias(id_)).distinct())
     return df.join(keep, id_, "left_semi")
+
+
+def minhash_groups(df: DataFrame, id_: str, text: str, threshold: float = 0.85, permutations: int = 128, bands: int = 16) -> DataFrame:
+    """id_, representative of every row with an id: rows of near or equal word sets, directly or through others, have one, the smallest id.
+
+    A set's signature is the least hash of its words under each permutation. Sets that agree in a whole band share a
+    bucket; each is compared, exactly, with the smallest id of the bucket only, so a cluster of n gives n pairs a band, not
+    n squared. A pair at the threshold is met with probability 0.994 (16 bands of 8), one at 0.95 always but for 1e-7.
+    """
+    each = permutations // bands
+    with rounds(df.sparkSession) as write:
+        sets = write(_token_sets(df.filter(F.col(id_).isNotNull()), id_, text))
+        groups = write(_different(sets))
+        least = [F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(permutations)]
+        signatures = groups.select("id", F.explode("w").alias("h")).groupBy("id").agg(*least)
+        keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in range(b * each, (b + 1) * each)]) for b in range(bands)])
+        buckets = write(signatures.select("id", F.explode(keys).alias("key")))
+        first = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
+        pairs = buckets.join(first, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+        links = write(_verified(pairs, groups, threshold)).select("a", "b")
+        # Every link is followed: from each set to the smallest one that is linked to it, then over what is linked still.
+        of_set = write(_smallest_linked(groups.select("id"), links, write))
+        return write(sets.select("id", "digest").join(groups.select("digest", F.col("id").alias("first")), "digest").join(of_set.withColumnRenamed("id", "first"), "first").select(F.col("id").alias(id_), "representative"))
+
+
+def _smallest_linked(ids: DataFrame, links: DataFrame, write) -> DataFrame:
+    """id, representative: the smallest id that links lead to. Each round names every set by the smallest name met, then shortens the way."""
+    both = write(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    name = write(ids.select("id", F.col("id").alias("representative")))
+    while True:
+        met = both.join(name.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("representative").alias("met"))
+        lower = name.join(met, "id", "left").select("id", F.least("representative", F.coalesce("met", "representative")).alias("to"), "representative")
+        jump = name.select(F.col("id").alias("to"), F.col("representative").alias("further"))
+        new = write(lower.join(jump, "to").select("id", F.least("to", "further").alias("new"), "representative"))
+        if new.filter("new <> representative").isEmpty():
+            return name
+        name = new.select("id", F.col("new").alias("representative"))

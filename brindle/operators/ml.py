@@ -1,13 +1,19 @@
-"""Trees and lines from MLlib on a seeded split."""
+"""Models from MLlib: trees and lines on a seeded split, and a class scorer of texts that is trained, saved and loaded."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import IDF, HashingTF, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
+
+from brindle.functions.text import label_name, word_tokens
+from brindle.operators.lexicon import HF_CLASSES
 
 
 def fit_and_score(df: DataFrame, y: str, x: Sequence[str], seed: int = 42, depth: int = 4) -> DataFrame:
@@ -20,3 +26,52 @@ def fit_and_score(df: DataFrame, y: str, x: Sequence[str], seed: int = 42, depth
         measure = lambda m: RegressionEvaluator(labelCol=y, metricName=m).evaluate(found)  # noqa: B023, E731
         out.append((name, measure("rmse"), measure("r2"), n))
     return df.sparkSession.createDataFrame(out, "model string, rmse double, r2 double, n_test long")
+
+
+def _terms(text: Column) -> Column:
+    """Words and pairs of neighbouring ones; one empty term of a text without words."""
+    words = F.coalesce(word_tokens(text), F.array().cast("array<string>"))
+    # Not by index within a lambda, which would cut the text again for every word.
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+    return F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(F.concat(words, pairs))
+
+
+def train_scorer(labelled: DataFrame, text: str, label: str, features: int = 1 << 13, penalty: float = 0.02, rounds: int = 15) -> PipelineModel:
+    """Hashed terms, weighted by rarity, to multinomial logistic regression; labels are names of HF_CLASSES.
+
+    Rows of null text or label are left out. What is collected is one weight for each feature and class.
+    """
+    rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(_terms(F.col(text)).alias("__terms"), label_name(F.col(label)).alias("__label"))
+    unknown = rows.filter(~F.col("__label").isin(*HF_CLASSES)).select("__label").limit(1).collect()
+    if unknown:
+        raise ValueError(f"no such class: {unknown[0][0]}")
+    steps = [
+        HashingTF(inputCol="__terms", outputCol="__counts", numFeatures=features), IDF(inputCol="__counts", outputCol="__features", minDocFreq=2),
+        StringIndexer(inputCol="__label", outputCol="__class", stringOrderType="alphabetAsc", handleInvalid="keep"),
+        LogisticRegression(featuresCol="__features", labelCol="__class", predictionCol="__guess", probabilityCol="__p", rawPredictionCol="__raw", family="multinomial", regParam=penalty, maxIter=rounds),
+    ]
+    return Pipeline(stages=steps).fit(rows)
+
+
+def save_scorer(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_scorer(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def model_scores(df: DataFrame, text: str, model: PipelineModel, prefix: str = "hf_") -> DataFrame:
+    """df with a score for each class, rounded half-even to 4, and the dominant class, as class_scores gives them.
+
+    Classes that the model has not seen are 0.0; what it gives to labels it does not know is dealt to the others. Null and
+    blank texts are scored as texts without words; of equal scores the first class wins.
+    """
+    known = list(next(s for s in model.stages if hasattr(s, "labelsArray")).labelsArray[0])
+    scored = model.transform(df.withColumns({"__terms": _terms(F.col(text)), "__label": F.lit(known[0])}))
+    p = vector_to_array("__p")
+    total = sum((F.get(p, k) for k in range(1, len(known))), F.get(p, 0))
+    raw = {c: F.get(p, known.index(c)) / total if c in known else F.lit(0.0) for c in HF_CLASSES}
+    values = F.array(*raw.values())
+    best = F.element_at(F.array(*[F.lit(c) for c in HF_CLASSES]), F.array_position(values, F.array_max(values)).cast("int"))
+    return scored.select(*df.columns, *[F.bround(v, 4).alias(f"{prefix}{c}_score") for c, v in raw.items()], best.alias(f"{prefix}dominant_sentiment"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from brindle.functions import stem as ST, text as X
-from brindle.operators import aggregate as A, dedup as D, filters as P, language as N, lexicon as L, segment as SG
+from brindle.operators import aggregate as A, dedup as D, filters as P, language as N, lexicon as L, ml as ML, segment as SG
 from brindle.sources import files as S, paging as G
 
 Q: dict = {}
@@ -554,3 +554,62 @@ def model_sentences(spark, sf):
     """sentences by the learned model, how many and a digest of them."""
     found = SG.model_sentences(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
     return found.select("doc_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join("sentences", "\n")).alias("digest"))
+
+
+@query(r"""WITH RECURSIVE w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda t: t <> ''))) AS w FROM documents),
+g AS (SELECT w, min(doc_id) AS id FROM w GROUP BY w), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM g a, g b
+WHERE a.id <> b.id AND least(len(a.w), len(b.w)) >= 0.85 * greatest(len(a.w), len(b.w))), n AS MATERIALIZED (SELECT a, b FROM p WHERE i / (na + nb - i) >= 0.85),
+r AS (SELECT id, id AS to_id FROM g UNION SELECT r.id, n.b FROM r JOIN n ON n.a = r.to_id)
+SELECT w.doc_id, (SELECT min(to_id) FROM r WHERE r.id = g.id) AS representative FROM w JOIN g USING (w)""".replace("\\s", S_))
+def minhash_groups(spark, sf):
+    """Near duplicates by signatures of 128 permutations, a representative for every document."""
+    return D.minhash_groups(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def labelled_classes(spark, sf) -> DataFrame:
+    """doc_id, text, label: toxic documents are very negative, others positive or negative by quality."""
+    label = F.when(F.col("toxic") == 1, "Very Negative").when(F.col("quality") == 1, "Positive").otherwise("Negative")
+    return table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "labels").withColumn("label", label).select("doc_id", "label"), "doc_id")
+
+
+@query("SELECT doc_id, TRUE AS sums_to_one, TRUE AS within_bounds, TRUE AS dominant_is_largest, 0.0::DOUBLE AS unseen FROM documents")
+def trained_class_scores(spark, sf):
+    """A scorer trained on the labelled documents, over all of them; what holds of its scores."""
+    scores = ML.model_scores(table(spark, sf, "documents").select("doc_id", "text"), "text", ML.train_scorer(labelled_classes(spark, sf), "text", "label"))
+    each = {c: F.col(f"hf_{c}_score") for c in L.HF_CLASSES}
+    largest = F.greatest(*each.values())
+    own = sum((F.when(F.col("hf_dominant_sentiment") == c, v).otherwise(0.0) for c, v in each.items()), F.lit(0.0))
+    return scores.select(
+        "doc_id", (F.abs(sum(each.values(), F.lit(0.0)) - 1) < 0.001).alias("sums_to_one"), F.forall(F.array(*each.values()), lambda v: v.between(0, 1)).alias("within_bounds"),
+        (own == largest).alias("dominant_is_largest"), (each["neutral"] + each["very_positive"]).alias("unseen"))
+
+
+#: Signs that the documents lack, put before their texts, and what the Unicode step makes of them.
+PLANTED = [
+    ("donâ€™t stop ", "don’t stop "), ("ﬁne ＡＢ ", "fine AB "), ("👨‍👩‍👧 here ", ":man_woman_girl: here "), ("🇺🇸 👍🏽 1️⃣ ", ":flag_us: :thumbs_up_sign_medium_skin_tone: :keycap_1: "),
+    ("@some_one said #lovethis!!!!! ", "@some_one said #lovethis!!!!! "), ("see https://a.example/x?y=1 or www.b.example now....... ", "see https://a.example/x?y=1 or www.b.example now....... "),
+    ("Sent from my iPhone. Click here to unsubscribe now [removed] ", "Sent from my iPhone. Click here to unsubscribe now [removed] "), ("not good :) ", "not good :) "),
+]
+
+
+def planted(rows: list[tuple[str, str]]):
+    return F.concat(F.element_at(F.array(*[F.lit(a) for a, _ in rows]), (F.col("doc_id") % len(rows) + 1).cast("int")), F.col("text"))
+
+
+def planted_sql(rows: list[tuple[str, str]]) -> str:
+    return "[" + ", ".join("'" + b.replace("'", "''") + "'" for _, b in rows) + f"][doc_id % {len(rows)} + 1] || text"
+
+
+@query(f"WITH documents AS (SELECT doc_id, {planted_sql(PLANTED)} AS text FROM main.documents) SELECT doc_id, {CLEAN_SQL} AS text_clean FROM documents")
+def planted_clean(spark, sf):
+    """all documents, with signs before their texts that each of these steps changes."""
+    return table(spark, sf, "documents").select("doc_id", X.clean_text(planted(PLANTED), window=3).alias("text_clean"))
+
+
+FOLDED = [("Привет Ωμέγα ", "Privet Omega "), ("한국어 ", "hangugeo "), ("ひらがな カタカナ ", "hiragana katakana "), ("שלום ", "shlvm "), ("مرحبا ٣٤ ", "mrhba 34 "), ("日本 ", "<U+65E5><U+672C> "), ("ＡＢ ﬁ café ", "AB fi cafe ")]
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(replace(replace(strip_accents({planted_sql(FOLDED)}), 'ß', 'ss'), 'œ', 'oe'), '{S_}+', ' ', 'g')) AS folded FROM documents")
+def folded_documents(spark, sf):
+    """all documents in ASCII, with words of other scripts before their texts; in these texts accents go and ß is ss."""
+    return table(spark, sf, "documents").select("doc_id", X.normalize_unicode(fold=True)(planted(FOLDED)).alias("folded"))

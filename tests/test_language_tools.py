@@ -70,3 +70,40 @@ def test_learned_sentences(spark, texts):
     assert {r.type for r in G.abbreviations(counts).collect()} >= {"dr", "mr", "mrs", "inc"}
     assert G.abbreviations(counts).filter(F.col("type").isin(*PLAIN, *map(str.lower, NAMES))).isEmpty()
     assert G.model_sentences(df.limit(0), "id", "text").count() == 0
+
+
+# Signs and scripts
+
+
+@pytest.mark.parametrize("text, want", [
+    ("happy 😊", "happy :smiling_face_with_smiling_eyes:"), ("👨‍👩‍👧x", ":man_woman_girl:x"), ("👍🏽👍", ":thumbs_up_sign_medium_skin_tone::thumbs_up_sign:"),
+    ("🇺🇸🇩🇪🇫", ":flag_us::flag_de::regional_indicator_symbol_letter_f:"), ("1️⃣#⃣", ":keycap_1::keycap_#:"), ("🏴󠁧󠁢󠁥󠁮󠁧󠁿", ":flag_gbeng:"), ("❤️", ":heavy_black_heart:"), ("🏳️‍🌈", ":waving_white_flag_rainbow:"), ("a→b", "a→b"), ("a‍b", "ab"), ("plain", "plain"),
+])
+def test_emoji_sequences(text, want):
+    from brindle.functions.text import _names
+
+    assert _names(text) == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ("café", "cafe"), ("hello", "hello"), ("한국어", "hangugeo"), ("ひらがな カタカナ", "hiragana katakana"), ("שלום", "shlvm"), ("مرحبا", "mrhba"), ("Привет Ωμέγα ß", "Privet Omega ss"), ("日本", "<U+65E5><U+672C>"), ("٣٤", "34"), ("ＡＢ ﬁ", "AB fi"), ("हि", "hai"),
+])
+def test_other_scripts_in_latin_letters(text, want):
+    from brindle.functions.text import _fold
+
+    assert _fold(text) == want and _fold(text).isascii()
+
+
+def test_no_letter_is_dropped():
+    import unicodedata
+
+    from brindle.functions.text import _fold
+
+    letters = [chr(c) for a, b in ((0x400, 0x460), (0x5D0, 0x5EB), (0x621, 0x64B), (0x3041, 0x3097), (0x30A1, 0x30FB), (0xAC00, 0xAD00), (0x4E00, 0x4E80), (0x904, 0x93A), (0xE01, 0xE2F)) for c in range(a, b)]
+    assert [c for c in letters if unicodedata.category(c)[0] == "L" and unicodedata.category(c) != "Lm" and not _fold(c)] == []
+
+
+def test_mended_parts():
+    from brindle.functions.text import _mended
+
+    assert _mended("donâ€™t café") == "don’t café" and _mended("Ã©t") == "ét" and _mended("É« à Â") == "É« à Â"
