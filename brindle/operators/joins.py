@@ -6,39 +6,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from brindle.sources.shared import rounds
 
-#: Blocks of the order that carrying a value forward is done in.
-BLOCKS = 256
+#: Rows of a block of the order, within which a value is carried forward by one task.
+BLOCK_ROWS = 200_000
 
 
-def _number(df: DataFrame, on: str) -> Column:
-    """An ordered column as a number, in its order."""
-    kind = dict(df.dtypes)[on]
-    if kind == "date":
-        return F.unix_date(on).cast("double")
-    return F.unix_micros(F.col(on).cast("timestamp")).cast("double") if kind.startswith("timestamp") else F.col(on).cast("double")
-
-
-def carried(df: DataFrame, value: str, on: str, then: Sequence[str] = (), by: Sequence[str] = (), blocks: int = BLOCKS) -> DataFrame:
+def carried(df: DataFrame, value: str, on: str, then: Sequence[str] = (), by: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """df with `value` replaced by its last non-null value up to the row, within `by`, in the order of `on` (date, time or number) and `then`.
 
-    The span of `on` is cut into blocks of equal length; within a block a window carries on, and what earlier
-    blocks end with is carried from block to block. So one key, or a table without one, is spread over many tasks.
+    A table of more than block_rows rows is dealt by range of `on` and `then` to blocks of about equal numbers of rows, as a
+    sample has it, and written; within a block a window carries on, and what earlier blocks end with is carried from block
+    to block. So one key, or a table without one, is spread over many tasks, however its times are spread.
     """
-    x = _number(df, on)
-    low, high = df.agg(F.min(x), F.max(x)).first()
-    width = ((high - low) / blocks or 1.0) if low is not None else 1.0
-    block = F.coalesce(F.floor((x - F.lit(low or 0.0)) / width), F.lit(-1)).cast("int")
-    rows = df.withColumn("__b", block)
-    inner = Window.partitionBy(*by, "__b").orderBy(on, *then).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = [F.col(on), *map(F.col, then)]
+    last = lambda *more: F.last(value, ignorenulls=True).over(Window.partitionBy(*by, *more).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = -(-df.count() // block_rows)
+    if blocks <= 1:
+        return df.withColumn(value, last())
+    with rounds(df.sparkSession) as write:
+        rows = write(df.repartitionByRange(blocks, *order).withColumn("__b", F.spark_partition_id()))
     earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(*by, "__b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(on, *then))).alias("__end"))
+    ends = rows.groupBy(*by, "__b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__end"))
     before = ends.withColumn("__before", F.last("__end", ignorenulls=True).over(earlier)).filter("__before IS NOT NULL")
     before = before.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__b").alias("__block"), "__before")
     same = F.col("__b") == F.col("__block")
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
-    out = rows.withColumn(value, F.last(value, ignorenulls=True).over(inner)).join(before, same, "left")
+    out = rows.withColumn(value, last("__b")).join(before, same, "left")
     return out.withColumn(value, F.coalesce(value, "__before")).select(*df.columns)
 
 

@@ -19,13 +19,6 @@ SYNTHETIC = {
 #: Words of a lexicon that go into the row expression at most.
 MOST_WORDS = 30_000
 HF_CLASSES = ("very_negative", "negative", "neutral", "positive", "very_positive")
-#: Frequent words by language.
-LANGUAGE_WORDS = {
-    "en": "the of and to in is that for it with as was on are by this be".split(),
-    "fr": "le la les de des du et un une en est que qui dans pour par sur pas au".split(),
-    "de": "der die das und ist nicht mit ein eine von zu den im auf sich auch für".split(),
-    "es": "el la los las de que y en un una es se por con para del no al".split(),
-}
 
 
 def emotion_counts(df: DataFrame, lexicon: DataFrame, text: str, prefix: str = "nrc_", most_words: int = MOST_WORDS) -> DataFrame:
@@ -60,16 +53,6 @@ def dominant(columns, names) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position(values, F.array_max(values)).cast("int"))
 
 
-def stopword_language(text: Column) -> Column:
-    """The language with most frequent words in the text; ties to the first name, `und` if there is none."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\s]", " "), r"(?U)\s+"), lambda t: t != "")
-    names = sorted(LANGUAGE_WORDS)
-    known = lambda k: lambda t: t.isin(*LANGUAGE_WORDS[k])
-    hits = F.array(*[F.size(F.filter(words, known(k))) for k in names])
-    best = F.array_max(hits)
-    return F.when(best <= 0, "und").otherwise(F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position(hits, best).cast("int")))
-
-
 def class_scores(df: DataFrame, text: str, scorer: Callable[[list[str]], list[dict[str, float]]], batch: int = 32, prefix: str = "hf_") -> DataFrame:
     """df with a score for each class, rounded half-even to 4, and the dominant class.
 
@@ -112,4 +95,4 @@ def class_scores(df: DataFrame, text: str, scorer: Callable[[list[str]], list[di
     return out.select(*df.columns, *[F.bround(F.col("__s")[n], 4).alias(n) for n in names], F.col("__s")[f"{prefix}dominant_sentiment"].alias(f"{prefix}dominant_sentiment"))
 
 
-__all__ = ["EMOTIONS", "HF_CLASSES", "LANGUAGE_WORDS", "SYNTHETIC", "class_scores", "dominant", "emotion_counts", "label_name", "stopword_language"]
+__all__ = ["EMOTIONS", "HF_CLASSES", "SYNTHETIC", "class_scores", "dominant", "emotion_counts", "label_name"]

@@ -350,35 +350,6 @@ def adjust_p(values: Sequence[float], how: str = "BH") -> list[float]:
     return out
 
 
-def arima_errors(df: DataFrame, y: str, x: Sequence[str], order: str, p: int = 2, rounds: int = 50) -> tuple[Fit, np.ndarray]:
-    """Regression with AR(p) errors by iterated Cochrane-Orcutt, conditional on the first p rows.
-
-    An approximation to full maximum likelihood. One series; what is collected per round is sums only.
-    """
-    w = Window.partitionBy().orderBy(order)
-    rows = complete(df, [y, *x]).select(order, y, *x)
-    for c in (y, *x):
-        rows = rows.withColumns({f"{c}__{l}": F.lag(c, l).over(w) for l in range(1, p + 1)})
-    rows = complete(rows, [f"{y}__{l}" for l in range(1, p + 1)]).cache()
-    fit, phi = ols(rows, y, x), np.zeros(p)
-    try:
-        for _ in range(rounds):
-            beta = dict(zip(fit.names, fit.beta, strict=True))
-            noise = lambda s: F.col(y + s) - F.lit(float(beta["(Intercept)"])) - sum((F.lit(float(beta.get(c, 0.0))) * F.col(c + s) for c in x), F.lit(0.0))  # noqa: B023, E731
-            ar = cross_products(rows, [noise(s) for s in ("", *(f"__{l}" for l in range(1, p + 1)))])
-            new = np.linalg.solve(ar[1:, 1:], ar[1:, 0])
-            quasi = {c: F.col(c) - sum((F.lit(float(new[l - 1])) * F.col(f"{c}__{l}") for l in range(1, p + 1)), F.lit(0.0)) for c in (y, *x)}
-            again = ols(rows.select(*[v.alias(c) for c, v in quasi.items()]), y, x)
-            again.beta[0] /= 1 - new.sum()
-            done = np.abs(new - phi).max() < 1e-8
-            fit, phi = again, new
-            if done:
-                break
-    finally:
-        rows.unpersist()
-    return fit, phi
-
-
 def minimise(f: Callable[[np.ndarray], float], start: Sequence[float], step: float = 0.1, rounds: int = 2000, close: float = 1e-10) -> np.ndarray:
     """Nelder and Mead's simplex from `start`; infinite values are walls."""
     n = len(start)

@@ -22,6 +22,21 @@ def query(sql: str | None = None):
 
     return add
 
+#: Operators on rows that are typed in: tests run them, they are no queries.
+EXAMPLES: dict = {}
+EXAMPLES_SQL: dict[str, str] = {}
+
+
+def example(sql: str | None = None):
+    def add(f):
+        EXAMPLES[f.__name__] = f
+        if sql:
+            EXAMPLES_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -447,8 +462,9 @@ def boxcox(spark, sf):
 
 @query()
 def arima_errors(spark, sf):
-    """E15 by exact maximum likelihood."""
-    return E.arima_errors_ml(_model(spark, sf), "y", ["x1", "x3"], "date", 2)
+    """E15 by exact maximum likelihood, for each event type's daily means on their numbers of events; one series a group."""
+    ev = table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("date")).agg(F.avg("value").alias("y"), F.count("*").cast("double").alias("n"))
+    return E.arima_errors_ml(ev, "y", ["n"], "date", 2, by="event_type")
 
 
 @query()
@@ -487,7 +503,7 @@ def sessions(spark, sf):
     return ev.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("""WITH d AS (SELECT CAST(x AS DATE) AS day FROM generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) t(x)), q AS (SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c')) t(ord, query)),
+@example("""WITH d AS (SELECT CAST(x AS DATE) AS day FROM generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) t(x)), q AS (SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c')) t(ord, query)),
 t AS (SELECT unnest(range(1, 5)) AS turn) SELECT day, query, CAST(turn AS INTEGER) AS turn FROM d, q, t WHERE (turn - 1) % 3 + 1 = ord""")
 def daily_rounds(spark, sf):
     """Four pulls a day deal out three queries in turn."""
@@ -557,7 +573,7 @@ def shorthand_times(spark, sf):
     return spark.createDataFrame(list(enumerate(AGO)), "id int, s string").select("id", T.ago_seconds(F.col("s"), 1_700_000_000).cast("int").alias("epoch"))
 
 
-@query("""SELECT CAST(d AS DATE) AS month, CAST(epoch(d) AS BIGINT) AS start, CAST(epoch(d + INTERVAL 1 MONTH) AS BIGINT) AS stop FROM generate_series(TIMESTAMP '2023-11-01', TIMESTAMP '2024-03-01', INTERVAL 1 MONTH) t(d)""")
+@example("""SELECT CAST(d AS DATE) AS month, CAST(epoch(d) AS BIGINT) AS start, CAST(epoch(d + INTERVAL 1 MONTH) AS BIGINT) AS stop FROM generate_series(TIMESTAMP '2023-11-01', TIMESTAMP '2024-03-01', INTERVAL 1 MONTH) t(d)""")
 def month_bounds(spark, sf):
     """T4, T5."""
     a, b = T.month_bounds(F.col("month"))

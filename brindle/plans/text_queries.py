@@ -21,6 +21,21 @@ def query(sql: str | None = None):
 
     return add
 
+#: Operators on rows that are typed in: tests run them, they are no queries.
+EXAMPLES: dict = {}
+EXAMPLES_SQL: dict[str, str] = {}
+
+
+def example(sql: str | None = None):
+    def add(f):
+        EXAMPLES[f.__name__] = f
+        if sql:
+            EXAMPLES_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     scan = spark.read.parquet(f"{sf}/{name}.parquet")
@@ -71,17 +86,17 @@ FACES = [":) hi", "sad :'( and :(", ":)D", "xD XD :-P", "<3 you :/ or :-O", "non
 NEGATED = ["this is not very good at all", "never say never again my friend", "I don't like it", "good not", "no, really no way out", "plain text here"]
 
 
-@query("SELECT * FROM (VALUES (0, 'Love This film'), (1, 'Make America Great Again'), (2, 'USA today'), (3, 'camelCase stays, split This not'), (4, 'no tag'), (5, 'a B2C')) t(id, text)")
+@example("SELECT * FROM (VALUES (0, 'Love This film'), (1, 'Make America Great Again'), (2, 'USA today'), (3, 'camelCase stays, split This not'), (4, 'no tag'), (5, 'a B2C')) t(id, text)")
 def hashtag_camelcase(spark, sf):
     return literals(spark, TAGS).select("id", X.split_hashtags(F.col("text")).alias("text"))
 
 
-@query(f"SELECT id, {_re(_re(_re('text', '!{4,}', '!!!'), r'\?{4,}', '???'), r'\.{4,}', '...')} AS text FROM {values(PUNCT)}")
+@example(f"SELECT id, {_re(_re(_re('text', '!{4,}', '!!!'), r'\?{4,}', '???'), r'\.{4,}', '...')} AS text FROM {values(PUNCT)}")
 def punct_compress(spark, sf):
     return literals(spark, PUNCT).select("id", X.compress_punctuation(F.col("text")).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a <NUM> b <NUM> c'), (1, 'x1 1x <NUM>'), (2, '<NUM>-<NUM>-<NUM>'), (3, 'no'), (4, '<NUM>.<NUM>')) t(id, text)")
+@example("SELECT * FROM (VALUES (0, 'a <NUM> b <NUM> c'), (1, 'x1 1x <NUM>'), (2, '<NUM>-<NUM>-<NUM>'), (3, 'no'), (4, '<NUM>.<NUM>')) t(id, text)")
 def number_mask(spark, sf):
     return literals(spark, NUMBERS).select("id", X.mask_numbers(F.col("text")).alias("text"))
 
@@ -96,18 +111,18 @@ def number_mask_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.mask_numbers(F.col("text")).alias("text"))
 
 
-@query(f"SELECT id, regexp_matches(lower(text), 'i am a bot|i''m a bot|this action was performed automatically|beep boop') AS bot FROM {values(BOTS)}")
+@example(f"SELECT id, regexp_matches(lower(text), 'i am a bot|i''m a bot|this action was performed automatically|beep boop') AS bot FROM {values(BOTS)}")
 def bot_flags(spark, sf):
     return literals(spark, BOTS).select("id", X.is_bot_post(F.col("text")).alias("bot"))
 
 
-@query("""SELECT * FROM (VALUES (0, ':smile: hi'), (1, 'sad :cry: and :sad:'), (2, ':smile:D'), (3, ':laughing: :laughing: :tongue:'), (4, ':heart: you :unsure: or :surprise:'), (5, 'none'),
+@example("""SELECT * FROM (VALUES (0, ':smile: hi'), (1, 'sad :cry: and :sad:'), (2, ':smile:D'), (3, ':laughing: :laughing: :tongue:'), (4, ':heart: you :unsure: or :surprise:'), (5, 'none'),
 (6, ':sad: :smile: :wink: :wink: :grin: :grin: :sad: :unsure: :surprise: :tongue: :cry: :smile:')) t(id, text)""")
 def emoticons(spark, sf):
     return literals(spark, FACES).select("id", X.replace_emoticons(F.col("text")).alias("text"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'this is not_very_good_at all'), (1, 'never_say_never_again my friend'), (2, 'I don''t_like_it'), (3, 'good not'), (4, 'no,_really_no_way out'), (5, 'plain text here')) t(id, text)""")
+@example("""SELECT * FROM (VALUES (0, 'this is not_very_good_at all'), (1, 'never_say_never_again my friend'), (2, 'I don''t_like_it'), (3, 'good not'), (4, 'no,_really_no_way out'), (5, 'plain text here')) t(id, text)""")
 def negation_scope(spark, sf):
     return literals(spark, NEGATED).select("id", X.negation_scope(F.col("text")).alias("text"))
 
@@ -205,11 +220,11 @@ def exact_dedup(spark, sf):
 SELECT count(*) AS rows_in, count(*) FILTER (WHERE bot) AS removed_bots, count(*) FILTER (WHERE NOT bot AND dup) AS removed_duplicates,
 count(*) FILTER (WHERE NOT bot AND NOT dup AND short) AS removed_short, count(*) FILTER (WHERE NOT bot AND NOT dup AND NOT short) AS rows_out FROM f""")
 def removal_report(spark, sf):
-    from pyspark.sql import Window
-
-    docs = table(spark, sf, "documents")
-    nth = F.row_number().over(Window.partitionBy(F.coalesce("text", F.lit("nan"))).orderBy("doc_id"))
-    df = docs.select((nth > 1).alias("dup"), X.is_bot_post(F.col("text")).alias("bot"), (F.coalesce(F.size(X.tokens(F.col("text"))), F.lit(0)) < 2).alias("short"))
+    """A11. Copies are told by the digest of their text: a sum of ids by digest comes first, so no text is sorted or held."""
+    text = F.md5(F.coalesce("text", F.lit("nan")).cast("binary"))
+    docs = table(spark, sf, "documents").select("doc_id", text.alias("digest"), X.is_bot_post(F.col("text")).alias("bot"), (F.coalesce(F.size(X.tokens(F.col("text"))), F.lit(0)) < 2).alias("short"))
+    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    df = docs.join(first, "digest").select((F.col("doc_id") > F.col("first")).alias("dup"), "bot", "short")
     return A.removal_report(df, [("bots", F.col("bot")), ("duplicates", F.col("dup")), ("short", F.col("short"))])
 
 
@@ -333,7 +348,7 @@ def keyword_sentences(spark, sf):
 COMPANY = ["NVIDIA and AMD are competing in the AI chip market.", "Intel is building a new fab in Ohio.", "TSMC is at the center of geopolitical tension.", "New sanctions on China.", "ASML lithography machines are restricted."]
 
 
-@query("SELECT * FROM (VALUES (0, 'NVDA,AMD'), (1, 'Intel'), (2, 'TSMC'), (3, 'Other'), (4, 'ASML')) t(id, companies)")
+@example("SELECT * FROM (VALUES (0, 'NVDA,AMD'), (1, 'Intel'), (2, 'TSMC'), (3, 'Other'), (4, 'ASML')) t(id, companies)")
 def company_detection(spark, sf):
     return literals(spark, COMPANY).select("id", F.concat_ws(",", P.companies(F.col("text"))).alias("companies"))
 
@@ -483,7 +498,7 @@ def value_map(spark, sf):
 TERMS = ["tesla", "elon musk", "electric vehicle", "gigafactory", "battery day", "model three production numbers", "autopilot", "cybertruck delivery event"]
 
 
-@query("""SELECT * FROM (VALUES (0, 'tesla OR elon musk OR electric vehicle'), (1, 'gigafactory OR battery day'), (2, 'model three production numbers'), (3, 'autopilot OR cybertruck delivery event')) t(pos, q)""")
+@example("""SELECT * FROM (VALUES (0, 'tesla OR elon musk OR electric vehicle'), (1, 'gigafactory OR battery day'), (2, 'model three production numbers'), (3, 'autopilot OR cybertruck delivery event')) t(pos, q)""")
 def pack_terms(spark, sf):
     """F25 with a limit of 42 characters."""
     df = spark.range(1).select(F.array(*[F.lit(t) for t in TERMS]).alias("t"))

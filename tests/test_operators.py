@@ -62,13 +62,6 @@ def test_tokens(spark):
     assert apply(spark, X.sentences, ["A b. C d!  E?", None, "no end"]) == [["A b.", "C d!", "E?"], None, ["no end"]]
 
 
-def test_language(spark):
-    rows = ["the cat is in the house", "le chat est dans la maison", "der Hund ist nicht hier", "el perro no es de la casa", "", "123"]
-    assert apply(spark, L.stopword_language, rows) == ["en", "fr", "de", "es", "und", "und"]
-    df = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    assert df.agg(F.avg((L.stopword_language(F.col("text")) == F.col("lang")).cast("double"))).first()[0] > 0.8
-
-
 def test_dominant_emotion_rules(spark):
     lex = S.lexicon_of(spark, {"a": ["joy"], "b": ["trust"], "p": ["positive"]})
     df = texts(spark, ["x", "a b", "p p a", None])
@@ -327,8 +320,6 @@ def test_unit_root_and_errors(spark):
     df = spark.createDataFrame([(i, float(noise[i]), float(walk[i]), float(x[i]), float(1 + 2 * x[i] + e[i])) for i in range(120)], "t int, a double, w double, x double, y double")
     assert E.adf(df, "a", "t")[1] == 0.01 and E.adf(df, "w", "t")[1] > 0.05
     assert [c for c in E.difference_if_needed(df, ["a", "w"], "t").columns if c.startswith("d_")] == ["d_w"]
-    fit, phi = E.arima_errors(df, "y", ["x"], "t", 1)
-    assert abs(fit.beta[1] - 2) < 0.1 and abs(phi[0] - 0.6) < 0.2
     power, shift, _ = E.box_cox_power(df.withColumn("z", F.exp("y")), "z", ["x"])
     assert abs(power) < 0.25 and shift == 0
     w, a, b = E.garch_params(noise)
@@ -460,7 +451,7 @@ def test_pulls_are_tried_again():
 
 
 def test_other_scripts_fold_to_latin_letters(spark):
-    assert apply(spark, X.normalize_unicode(fold=True), ["Привет, Москва", "Ελλάδα", "Straße Łódź", "日本"]) == ["Privet, Moskva", "Ellada", "Strasse Lodz", ""]
+    assert apply(spark, X.normalize_unicode(fold=True), ["Привет, Москва", "Ελλάδα", "Straße Łódź", "日本"]) == ["Privet, Moskva", "Ellada", "Strasse Lodz", "<U+65E5><U+672C>"]
 
 
 @pytest.mark.parametrize("blocks", [1, 7, 256])
@@ -468,13 +459,13 @@ def test_values_are_carried_over_blocks(spark, blocks):
     rng = random.Random(blocks)
     rows = [(rng.choice(["a", "a", "a", None]), rng.randint(0, 50), i, rng.choice([None, None, float(i)])) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, t int, i int, v double")
-    got = {r.i: r.v for r in J.carried(df, "v", "t", ["i"], ["k"], blocks=blocks).collect()}
+    got = {r.i: r.v for r in J.carried(df, "v", "t", ["i"], ["k"], block_rows=-(-len(rows) // blocks)).collect()}
     last: dict = {}
     for k, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
         last[k] = v if v is not None else last.get(k)
         assert got[i] == last[k]
     assert J.carried(df.limit(0), "v", "t", ["i"], ["k"]).count() == 0
-    alone = {r.i: r.v for r in J.carried(df, "v", "t", ["i"], blocks=blocks).collect()}
+    alone = {r.i: r.v for r in J.carried(df, "v", "t", ["i"], block_rows=-(-len(rows) // blocks)).collect()}
     carry = None
     for _, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
         carry = v if v is not None else carry
@@ -493,3 +484,24 @@ def test_language_model(spark):
     assert N.train(docs.limit(0), "text", "lang").predict(["abc"]) == ["und"]
     one = model.predict(["der Hund und die Katze"] * 3 + ["x" * (N.CHUNK + 5), "le chat et la maison dans la ville"])
     assert one[:3] == ["de"] * 3 and one[4] == "fr"
+
+
+def test_values_are_carried_over_even_blocks(spark):
+    """One time far from all others leaves the blocks even, and they carry as one window does."""
+    rng = np.random.default_rng(8)
+    rows = [(int(t), None if rng.random() < 0.7 else float(i), "a" if rng.random() < 0.6 else None) for i, t in enumerate(rng.integers(0, 10_000, 5_000))]
+    df = spark.createDataFrame([*rows, (10**15, None, "a"), (None, 1.0, "a")], "t long, v double, k string").withColumn("id", F.monotonically_increasing_id())
+    for by in ((), ("k",)):
+        want = sorted(map(tuple, J.carried(df, "v", "t", ["id"], by).collect()), key=str)
+        got = J.carried(df, "v", "t", ["id"], by, block_rows=250)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+    blocks = df.repartitionByRange(21, "t", "id").groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.avg("count")).first()
+    assert blocks[0] <= 3 * blocks[1]
+
+
+def test_quartiles_of_large_groups(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(1001)] + [("b", 1.0), ("b", 2.0), ("c", None), (None, 4.0)], "g string, v double")
+    got = {r.g: tuple(r)[1:] for r in A.quartiles(df, "g", "v", exact_rows=100).collect()}
+    assert got["b"] == (1.25, 1.5, 1.75, 2) and got[None] == (4.0, 4.0, 4.0, 1) and got["c"] == (None, None, None, 0)
+    assert got["a"][3] is None and all(abs(x - y) <= 1 for x, y in zip(got["a"][:3], (250, 500, 750), strict=True))
+    assert {r.g: r.n_exact for r in A.quartiles(df, "g", "v").collect()} == {"a": 1001, "b": 2, "c": 0, None: 1}
