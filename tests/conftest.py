@@ -7,6 +7,8 @@ import pytest
 ROOT = str(Path(__file__).resolve().parents[1])
 for p in (ROOT, str(Path(__file__).parent)):
     sys.path.insert(0, p)
+# Matrices are small here, and threads of numpy beside those of Spark have been seen to wait for each other.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, str(Path(__file__).parent), os.environ.get("PYTHONPATH", "")])
 
 SF = "/root/testdata/sf0.01"
