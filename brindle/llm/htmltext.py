@@ -67,14 +67,13 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    __slots__ = ("tag", "kind", "root", "parts", "chars", "linked", "hash", "events", "inside", "up", "in_line", "in_prose", "words", "holds_root", "holds_prose", "links", "block", "closer", "solid", "seen", "in_link", "under")
+    __slots__ = ("tag", "kind", "root", "parts", "chars", "linked", "hash", "events", "inside", "up", "in_line", "in_prose", "words", "holds_root", "holds_prose", "links", "block", "closer", "solid", "seen", "in_link")
 
     def __init__(self, tag: str, kind: int, root: bool, inside: bool, events: int, up: Element | None = None):
         self.tag, self.kind, self.root, self.inside, self.events, self.up = tag, kind, root, inside, events, up
         self.in_line = up is not None and (up.in_line or up.tag in LINES)
         self.in_prose = up is not None and (up.in_prose or up.tag in PROSE)
         self.words = self.holds_root = self.holds_prose = False
-        self.under: bool | None = None
         self.links = 0
         self.in_link = tag == "a" or (up is not None and up.in_link)
         # Characters that are not in links, and those of them that stand in nothing else of a kind.
@@ -154,10 +153,10 @@ def parse(html: str) -> tuple[list[tuple], list[Element]]:
         places[e.tag].pop()
         up = stack[-1]
         up.holds_root |= e.root or e.holds_root
-        up.solid += e.solid
-        if not e.kind:
-            up.seen += e.seen
         if e.chars:
+            up.solid += e.solid
+            if not e.kind:
+                up.seen += e.seen
             e.hash = xxhash.xxh3_64_intdigest(e.tag.encode("utf-8", "surrogatepass") + b"\0" + b"\0".join(e.parts)) - (1 << 63)
             up.parts.append(e.hash.to_bytes(8, "little", signed=True))
             up.chars += e.chars
@@ -268,24 +267,24 @@ def settle(closed: list[Element], solid: int) -> None:
         e = max(marks, key=lambda e: (e.seen, -e.events))
         while e is not None:
             e.kind, e = TEXT, e.up
+        known: dict[int, bool] = {}
         for e in sorted(marks, key=lambda e: e.events):
-            e.root = not (e.kind or _within_kind(e))
+            e.root = not (e.kind or _within_kind(e, known))
     else:
         for e in closed:
             if e.kind == BOILERPLATE and 2 * e.solid > solid:
                 e.kind = TEXT
 
 
-def _within_kind(e: Element) -> bool:
+def _within_kind(e: Element, known: dict[int, bool]) -> bool:
     """Whether something above an element is boilerplate; what is found is kept for the next one."""
     path = []
     up = e.up
-    while up is not None and up.under is None and not up.kind:
-        path.append(up)
+    while up is not None and id(up) not in known and not up.kind:
+        path.append(id(up))
         up = up.up
-    found = up is not None and bool(up.kind or up.under)
-    for x in path:
-        x.under = found
+    found = up is not None and (bool(up.kind) or known[id(up)])
+    known.update(dict.fromkeys(path, found))
     return found
 
 
@@ -345,7 +344,7 @@ def _blocks(events: list[tuple], closed: list[Element], templates: frozenset[int
     blocks = blocks or _collect(events, False, found)
     blocks = blocks or (_collect(events, False, [e for e in found if e.linked >= LINK_SHARE * e.chars]) if found else [])
     # A page with words outside of frames has a text.
-    return blocks or _collect(events, False, (), FRAME)
+    return blocks or (_collect(events, False, (), FRAME) if any(BOILERPLATE <= e.kind < FRAME for e in closed) else [])
 
 
 def page_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
