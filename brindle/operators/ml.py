@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brindle.functions.text import label_name, word_tokens
+from brindle.functions.text import label_name, tokens, word_tokens
 from brindle.operators.lexicon import HF_CLASSES
 
 
@@ -29,14 +29,15 @@ def fit_and_score(df: DataFrame, y: str, x: Sequence[str], seed: int = 42, depth
 
 
 def _terms(text: Column) -> Column:
-    """Words and pairs of neighbouring ones; one empty term of a text without words."""
+    """Words, and the shapes of tokens that are none (letters as a, digits as 0), each once; one empty term of a text without any."""
     words = F.coalesce(word_tokens(text), F.array().cast("array<string>"))
-    # Not by index within a lambda, which would cut the text again for every word.
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
-    return F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(F.concat(words, pairs))
+    odd = F.filter(F.coalesce(tokens(text), F.array().cast("array<string>")), lambda t: ~t.rlike(r"^\p{L}+[.,;:!?]?$"))
+    shapes = F.transform(odd, lambda t: F.concat(F.lit("#"), F.regexp_replace(F.regexp_replace(F.substring(t, 1, 12), r"\p{L}+", "a"), r"\p{Nd}+", "0")))
+    found = F.array_distinct(F.concat(words, shapes))
+    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
 
 
-def train_scorer(labelled: DataFrame, text: str, label: str, features: int = 1 << 13, penalty: float = 0.02, rounds: int = 15) -> PipelineModel:
+def train_scorer(labelled: DataFrame, text: str, label: str, features: int = 1 << 13, penalty: float = 0.3, rounds: int = 15) -> PipelineModel:
     """Hashed terms, weighted by rarity, to multinomial logistic regression; labels are names of HF_CLASSES.
 
     Rows of null text or label are left out. What is collected is one weight for each feature and class.
