@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
@@ -37,7 +38,7 @@ def word_set(c: Column) -> Column:
 
 def _token_sets(df: DataFrame, id_: str, text: str) -> DataFrame:
     """id, digest and w of every row: the sorted 64-bit hashes of its word set, and 128 bits of those."""
-    w = F.array_sort(F.transform(word_set(F.col(text)), lambda t: F.xxhash64(t)))
+    w = F.sort_array(F.transform(word_set(F.col(text)), lambda t: F.xxhash64(t)))
     rows = df.select(F.col(id_).alias("id"), w.alias("w"))
     return rows.withColumn("digest", F.md5(F.array_join(F.transform("w", lambda h: h.cast("string")), ",").cast("binary")))
 
@@ -54,15 +55,34 @@ def _verified(pairs: DataFrame, groups: DataFrame, threshold: float) -> DataFram
     return pairs.join(side("b"), "b").join(side("a"), "a").withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
-def _near(groups: DataFrame, threshold: float) -> DataFrame:
-    freq = groups.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+#: Slots that tokens are counted in for the order of a prefix filter; what the driver gets is this many counts, whatever the input.
+RARITY_SLOTS = 1 << 16
+
+
+def _rarest_first(groups: DataFrame) -> Column:
+    """w in one order for all rows: by the size class of the count of a token's slot, then by token; frequent tokens come last.
+
+    Any common order gives exact results; only how many rows meet follows from it. Counts by slot are summed before the
+    shuffle and are sent as one sign a slot (half powers of two), so that the tokens themselves are neither shuffled nor joined.
+    """
+    slot = lambda t: F.pmod(t, F.lit(RARITY_SLOTS)).cast("int")
+    counts = [0] * RARITY_SLOTS
+    for at, n in groups.select(F.explode("w").alias("t")).groupBy(slot(F.col("t"))).count().collect():
+        counts[at] = n
+    signs = F.split(F.lit("".join(chr(48 + int(2 * math.log2(1 + n))) for n in counts)), "")
+    return F.transform(F.sort_array(F.transform("w", lambda t: F.struct(F.get(signs, slot(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
+
+
+def _near(groups: DataFrame, threshold: float, write) -> DataFrame:
     long = groups.filter(F.size("w") >= threshold / (1 - threshold) - 1e-9)
-    ranked = long.select("id", F.size("w").alias("size"), F.explode("w").alias("t")).join(freq, "t")
-    at = F.row_number().over(Window.partitionBy("id").orderBy("n", "t"))
-    head = ranked.withColumn("at", at).filter(F.col("at") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 1).filter("n > 1").select("t", "id", "size")
+    prefix = F.slice(_rarest_first(groups), 1, (F.size("w") - F.ceil(F.lit(threshold) * F.size("w")) + 1).cast("int"))
+    head = write(long.select("id", F.size("w").alias("size"), F.posexplode(prefix).alias("at", "t")))
     a, b = head.alias("a"), head.alias("b")
     near = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size"))
-    pairs = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    # From the first common token on, what is left of the shorter rest is the most that the two can share.
+    most = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    enough = most >= F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - 1e-9
+    pairs = a.join(b, near & enough).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     return _verified(pairs, groups, threshold)
 
 
@@ -70,13 +90,13 @@ def near_dup_pairs(df: DataFrame, id_: str, text: str, threshold: float = 0.85)
     """a < b, jaccard of all pairs of different token sets of at least this similarity, exactly (tokens by 64 bits of hash).
 
     Prefix filtering: with tokens in order of rarity, two sets of similarity t share one of the first
-    (1 - t) n + 1 tokens of each, so only rows that meet in such a token are compared. Equal sets are
+    (1 - t) n + 1 tokens of each, so only rows that meet in such a token, with enough tokens left, are compared. Equal sets are
     compared once, through the smallest id of each. Sets of fewer than t / (1 - t) tokens are near none but
     themselves, so short texts that share a frequent word are not compared.
     """
     with rounds(df.sparkSession) as write:
         groups = write(_different(_token_sets(df, id_, text)))
-        return write(_near(groups, threshold))
+        return write(_near(groups, threshold, write))
 
 
 def near_dedup(df: DataFrame, id_: str, text: str, threshold: float = 0.85) -> DataFrame:
@@ -87,7 +107,7 @@ def near_dedup(df: DataFrame, id_: str, text: str, threshold: float = 0.85) -> D
     """
     with rounds(df.sparkSession) as write:
         groups = write(_different(_token_sets(df, id_, text)))
-        low = _near(groups, threshold).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("low"))
+        low = _near(groups, threshold, write).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("low"))
         keep = write(groups.select("id").join(low, "id", "left").select(F.coalesce("low", "id").alias(id_)).distinct())
     return df.join(keep, id_, "left_semi")
 

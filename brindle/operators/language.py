@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-#: Numbers that a triple is hashed to, and labelled rows a language is learned from at most (about; drawn by a hash of the text).
+#: Numbers that a triple is hashed to, and different labelled texts a language is learned from at most (about; drawn by a hash of the text).
 SLOTS = 1 << 15
 SAMPLE = 2_000
 UNDETERMINED = "und"
@@ -46,25 +46,37 @@ class LanguageModel:
         self.names = names
         self.table = np.log((counts + 0.1) / (counts.sum(1, keepdims=True) + 0.1 * SLOTS)) if names else np.zeros((0, SLOTS))
 
-    def predict(self, texts: list[str | None]) -> list[str]:
-        """The likeliest language of each text, the first of equal ones; `und` without a letter or a language."""
-        out = [UNDETERMINED] * len(texts)
+    def scored(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The likeliest language of each text, the first of equal ones, and how sure that is; `und` and 0 without a letter or a language.
+
+        Sureness is the language's share of the likelihood of all languages and of none of them, which gives every slot
+        the same chance. So a few letters that all languages have are not sure, nor is a text in a language that was not learned.
+        """
+        out, sure = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         for begin, text, slot in _triples(texts) if self.names else ():
             n = int(text[-1]) + 1 if len(text) else 0
             scores = np.stack([np.bincount(text, row[slot], n) for row in self.table])
+            none = np.bincount(text, minlength=n) * -np.log(SLOTS)
+            best = np.argmax(scores, axis=0)
+            top = scores[best, np.arange(n)]
+            share = 1 / (np.exp(np.minimum(scores - top, 0)).sum(axis=0) + np.exp(np.minimum(none - top, 700)))
             for i in np.unique(text):
-                out[begin + i] = self.names[int(np.argmax(scores[:, i]))]
-        return out
+                out[begin + i], sure[begin + i] = self.names[int(best[i])], float(share[i])
+        return out, sure
+
+    def predict(self, texts: list[str | None]) -> list[str]:
+        """The likeliest language of each text, however unsure."""
+        return self.scored(texts)[0]
 
 
 def train(df: DataFrame, text: str, lang: str, sample: int = SAMPLE) -> LanguageModel:
-    """The model of the non-null languages of df. What the driver gets is SLOTS numbers a language."""
+    """The model of the non-null languages of df, each text of a language counted once. What the driver gets is SLOTS numbers a language."""
     rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.approx_count_distinct(F.xxhash64(text), 0.01)).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((0, SLOTS)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
-    drawn = rows.filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    drawn = rows.filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20)).select(F.col(lang).alias("lang"), F.col(text).alias("text")).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -95,3 +107,47 @@ def language(model: LanguageModel):
         return predict(c)
 
     return of
+
+
+def sure_language(model: LanguageModel, least: float = 0.9):
+    """A function that gives (lang, sure) of a text column; `und` if the model is less sure than `least`."""
+
+    @F.pandas_udf("lang string, sure double")
+    def predict(s: pd.Series) -> pd.DataFrame:
+        lang, sure = model.scored([x if isinstance(x, str) else None for x in s])
+        return pd.DataFrame({"lang": [a if p >= least else UNDETERMINED for a, p in zip(lang, sure, strict=True)], "sure": sure})
+
+    def of(c: Column) -> Column:
+        return predict(c)
+
+    return of
+
+
+#: Scripts that tell a language by themselves, the first of those in equal numbers; kana tell Japanese though Han signs stand between them.
+SCRIPT_LANGUAGES = {
+    "el": r"[\x{0370}-\x{03ff}]", "he": r"[\x{0590}-\x{05ff}]", "th": r"[\x{0e00}-\x{0e7f}]", "ko": r"[\x{1100}-\x{11ff}\x{ac00}-\x{d7a3}]",
+    "ka": r"[\x{10a0}-\x{10ff}]", "hy": r"[\x{0530}-\x{058f}]", "ja": r"[\x{3040}-\x{30ff}]",
+}
+HAN = r"[\x{4e00}-\x{9fff}]"
+
+
+def script_language(c: Column) -> Column:
+    """The language whose own script writes over half of the letters of a text, Han signs counted with kana if there are any; else `und`."""
+    letters = F.regexp_count(c, F.lit(r"\p{L}"))
+    out = F.lit(UNDETERMINED)
+    for lang, signs in reversed(SCRIPT_LANGUAGES.items()):
+        own = F.regexp_count(c, F.lit(signs))
+        if lang == "ja":
+            own = F.when(own > 0, own + F.regexp_count(c, F.lit(HAN))).otherwise(0)
+        out = F.when(own * 2 > letters, F.lit(lang)).otherwise(out)
+    return F.coalesce(out, F.lit(UNDETERMINED))
+
+
+def language_chain(df: DataFrame, text: str, detectors: Sequence[Callable[[Column], Column]], name: str = "lang_pred") -> DataFrame:
+    """Adds the answer of the first detector that gives one; a detector is a function of the text column, and null or `und` is no answer.
+
+    The script is the cheaper detector and goes first: `[script_language, lambda c: sure_language(model)(c)["lang"]]`.
+    Missing texts and texts without a letter are `und`.
+    """
+    answers = [F.nullif(d(F.col(text)), F.lit(UNDETERMINED)) for d in detectors]
+    return df.withColumn(name, F.coalesce(*answers, F.lit(UNDETERMINED)))

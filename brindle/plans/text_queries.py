@@ -393,6 +393,42 @@ def lang_detect(spark, sf):
     return docs.select("doc_id", "lang", N.language(model)(F.col("text")).alias("lang_pred"))
 
 
+#: Letters of other scripts in place of a-z, for documents by number.
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+SCRIPT_LETTERS = [LATIN, "αβγδεζηθικλμνξοπρστυφχψωάέ", "אבגדהוזחטיכלמנסעפצקרשתםןףץ", "กขคงจฉชซญดตถทธนบปผฝพฟภมยรล", "가나다라마바사아자차카타파하거너더러머버서어저처커터", "かきくけこさしすせそたちつて日本語人大山川水火木金", LATIN]
+
+
+def rewritten(c):
+    """Lower-cased texts, in the letters of another script for five of seven documents."""
+    return F.element_at(F.array(*[F.translate(F.lower(c), LATIN, x) for x in SCRIPT_LETTERS]), (F.col("doc_id") % len(SCRIPT_LETTERS) + 1).cast("int"))
+
+
+REWRITTEN_SQL = "[" + ", ".join(f"translate(lower(text), '{LATIN}', '{x}')" for x in SCRIPT_LETTERS) + f"][doc_id % {len(SCRIPT_LETTERS)} + 1]"
+_signs = lambda p: f"len(regexp_extract_all(t, '{p}'))"
+SCRIPT_SQL = "".join(
+    f"WHEN {_signs(p) if k != 'ja' else f'(CASE WHEN {_signs(p)} > 0 THEN {_signs(p)} + {_signs(N.HAN)} ELSE 0 END)'} * 2 > {_signs(chr(92) + 'p{L}')} THEN '{k}' " for k, p in N.SCRIPT_LANGUAGES.items())
+
+
+@query(f"SELECT doc_id, CASE {SCRIPT_SQL}ELSE 'und' END AS lang_pred FROM (SELECT doc_id, {REWRITTEN_SQL} AS t FROM documents)")
+def script_languages(spark, sf):
+    """Languages that their script tells, on all documents, most of them rewritten in other letters."""
+    return table(spark, sf, "documents").select("doc_id", N.script_language(rewritten(F.col("text"))).alias("lang_pred"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, CASE {SCRIPT_SQL}ELSE 'und' END AS script FROM (SELECT doc_id, lang, {REWRITTEN_SQL} AS t FROM documents))
+SELECT CASE WHEN script <> 'und' THEN script ELSE lang END AS lang, script <> 'und' AS by_script, count(*) AS n, TRUE AS found FROM d GROUP BY ALL""")
+def language_by_chain(spark, sf):
+    """The script, then the model where it is sure, on the rewritten documents; found: at least 98 of 100 are named as they are, none otherwise by script."""
+    docs = table(spark, sf, "documents")
+    model = N.train(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0), "text", "lang")
+    rows = docs.select("doc_id", "lang", rewritten(F.col("text")).alias("t")).withColumn("script", N.script_language(F.col("t")))
+    named = N.language_chain(rows, "t", [lambda c: F.col("script"), lambda c: N.sure_language(model)(c)["lang"]])
+    by_script = F.col("script") != N.UNDETERMINED
+    true = F.when(by_script, F.col("script")).otherwise(F.col("lang"))
+    right = F.avg((F.col("lang_pred") == true).cast("double"))
+    return named.groupBy(true.alias("lang"), by_script.alias("by_script")).agg(F.count("*").alias("n"), right.alias("right")).select("lang", "by_script", "n", (F.col("right") >= F.when(F.col("by_script"), 1.0).otherwise(0.98)).alias("found"))
+
+
 def emoticons_sql(text: str) -> str:
     """Keys between marks in one pass, longest first, then each mark's key by its name."""
     keys = sorted(X.EMOTICONS, key=len, reverse=True)

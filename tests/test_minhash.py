@@ -47,3 +47,17 @@ def test_a_large_cluster_gives_few_pairs(spark, monkeypatch):
     base = [f"w{k}" for k in range(150)]
     df = spark.createDataFrame([(i, " ".join([*base, f"x{i}"])) for i in range(300)], "id int, body string")
     assert {r.representative for r in D.minhash_groups(df, "id", "body").collect()} == {0} and seen[0] < 16 * 300
+
+
+def test_exact_pairs_against_all_pairs(spark):
+    rng, rows = random.Random(8), ["", None, "one two", "two ONE"]
+    for _ in range(30):  # few words, so that frequent ones stand in prefixes, too
+        base = [f"t{int(rng.paretovariate(0.6)) % 400}" for _ in range(rng.choice([8, 40, 90]))]
+        rows += [" ".join(w if rng.random() > 0.05 else f"u{rng.randrange(50)}" for w in base) for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, body string").withColumns({x: F.lit(1) for x in ("w", "t", "at", "size")})
+    first = {}
+    for i, t in enumerate(rows):
+        first.setdefault(frozenset((t or "").lower().split()), i)
+    for threshold in (0.6, 0.85):
+        want = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and a and b and len(a & b) >= threshold * len(a | b)}
+        assert {(r.a, r.b) for r in D.near_dup_pairs(df, "id", "body", threshold).collect()} == want and len(want) > 10
