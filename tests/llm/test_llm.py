@@ -1001,3 +1001,12 @@ def test_pipeline_stages(spark):
     for r in rows:
         assert r.text == first[r.doc_id] or brute_spans(first[r.doc_id], bench)[1]
     assert corpus_pipeline.run(spark, SF_SMALL).count() == len(rows)
+
+
+def test_pipeline_leaves_its_last_table_only(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"{tmp_path.as_uri()}/{uuid.uuid4().hex}")
+    assert corpus_pipeline.run(spark, SF_SMALL).count() > 0
+    left = [p.name.split("-")[-1] for p in tmp_path.iterdir()]
+    assert "tokens" in left and not {name for name, _ in corpus_pipeline.STAGES[:-1]} & set(left), left
