@@ -1004,7 +1004,10 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_leaves_its_last_table_only(spark, monkeypatch, tmp_path):
+    import uuid
+
     import corpus_pipeline
+    from brindle.llm import common
 
     monkeypatch.setattr(common, "shared_dir", lambda spark: f"{tmp_path.as_uri()}/{uuid.uuid4().hex}")
     assert corpus_pipeline.run(spark, SF_SMALL).count() > 0
