@@ -8,9 +8,10 @@ each side, which gives the 35-word windows that hold it; those are dealt to buck
 that occur twice are kept. Kept windows that touch are one maximal repeat, however long.
 
 No pairs are made. A chunk of documents sends each hash once, with a sign if it has it several times, so a passage in
-every document costs a row a chunk. A bucket answers with one bit for each hash of a chunk, in the order they came;
-the chunk, which makes the same hashes again from its texts, knows which they were. The texts are shuffled once: the
-three passes over a chunk read the same exchange.
+every document costs a row a chunk. A bucket answers with one bit for each hash of a chunk, in the order they came,
+which is ascending; the chunk, which makes the same hashes again from its texts, knows which they were. The texts are
+shuffled once: the three passes over a chunk read the same exchange, but its rows may come in another order each time,
+so nothing that one pass tells another goes by their place.
 """
 
 from __future__ import annotations
@@ -199,8 +200,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hits = c.hits(codes, block_codes, answers)
         _, low, high, _ = c.extended(blocks[hits])
         asked = _rows(chunk, c.bucket(low), low.astype("<u8"), high.astype("<u4"))
-        # Which blocks were hits is told to the last pass.
-        told = {"chunk": [chunk], "bucket": [-1 - chunk % buckets], "low": [_packed(hits)], "high": [b""]}
+        # Which of the distinct codes of blocks were hits is told to the last pass.
+        _, at = np.unique(block_codes, return_index=True)
+        told = {"chunk": [chunk], "bucket": [-1 - chunk % buckets], "low": [_packed(hits[at])], "high": [b""]}
         return pa.table({k: asked[k] + told[k] for k in asked}, _PA_ASKS)
 
     def cut(t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -208,8 +210,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         gone = np.zeros(len(c.words), bool)
         if len(answers) > 1:
             said = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True))
-            blocks = np.flatnonzero((c.left >= c.block) & (c.place % c.block == 0))
-            at, low, _, place = c.extended(blocks[_unpacked(said.pop(min(said)), len(blocks))])
+            _, blocks, block_codes = c.probes()
+            distinct, of_block = np.unique(block_codes, return_inverse=True)
+            at, low, _, place = c.extended(blocks[_unpacked(said.pop(min(said)), len(distinct))[of_block]])
             repeated, of = np.zeros(len(low), bool), c.bucket(low)
             for bucket, bits in said.items():
                 x, y = np.searchsorted(of, [bucket, bucket + 1])

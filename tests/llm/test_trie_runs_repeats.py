@@ -247,6 +247,37 @@ def test_repeats_odd_tables(spark):
     assert rows_of(repeats.remove_repeats(df).filter("doc_id > 1")) == [(2, "27 end"), (3, "0 1 2 3")]
 
 
+def test_repeats_on_several_executors():
+    """Rows of a chunk come in another order in each pass, as blocks of a shuffle are fetched in any order."""
+    import subprocess
+    import sys
+    import tempfile
+
+    root = str(__import__("pathlib").Path(__file__).resolve().parents[2])
+    code = """
+import random, sys
+sys.path[:0] = [sys.argv[1], sys.argv[1] + "/tests", sys.argv[1] + "/tests/llm"]
+from pyspark.sql import SparkSession
+from brindle.llm import repeats
+from test_trie_runs_repeats import brute_repeats, found_repeats
+conf = {"spark.ui.enabled": "false", "spark.executor.memory": "700m", "spark.sql.shuffle.partitions": "8", "spark.checkpoint.dir": "file://" + sys.argv[2]}
+b = SparkSession.builder.master("local-cluster[3,1,1024]")
+for k, v in conf.items():
+    b = b.config(k, v)
+spark = b.getOrCreate()
+repeats.CHUNK_BYTES, repeats.BUCKET_BYTES = 30_000, 50_000
+rng = random.Random(5)
+word = lambda: f"w{rng.randrange(3000)}"
+shared = [[word() for _ in range(n)] for n in (34, 35, 60)]
+rows = [(i, " ".join([word() for _ in range(rng.randrange(60))] + rng.choice(shared) * (i % 3 == 0) + [word() for _ in range(60)])) for i in range(1000)]
+assert found_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(30)) == brute_repeats(rows, 35)
+"""
+    with tempfile.TemporaryDirectory() as folder:
+        env = __import__("os").environ | {"PYTHONPATH": root}
+        out = subprocess.run([sys.executable, "-c", code, root, folder], capture_output=True, text=True, timeout=300, env=env)
+    assert out.returncode == 0, out.stderr[-2000:]
+
+
 # What workers hold
 
 
