@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from brindle.sources.shared import rounds
@@ -43,13 +45,32 @@ def _token_sets(df: DataFrame, id_: str, text: str) -> DataFrame:
     return rows.withColumn("digest", F.md5(F.array_join(F.transform("w", lambda h: h.cast("string")), ",").cast("binary")))
 
 
-def _different(sets: DataFrame) -> DataFrame:
-    """id (the smallest), w of every different word set."""
-    return sets.groupBy("digest").agg(F.min("id").alias("id"), F.first("w").alias("w")).select("digest", "id", "w")
+#: Words of 64 bits in the sketch of a token set.
+SKETCH = 16
 
 
-def _verified(pairs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    side = lambda s: groups.select(F.col("id").alias(s), F.col("w").alias(f"w{s}"))
+def _sketched(sets: DataFrame) -> DataFrame:
+    """id, digest and s of every row: for each of 1,024 slots whether an odd number of its tokens fall there.
+
+    Two sets differ in at least as many tokens as their sketches do in slots, so a pair can be ruled out without its sets.
+    """
+    word = lambda k: F.bit_xor(F.when(F.shiftrightunsigned("t", 6).bitwiseAND(F.lit(SKETCH - 1)) == k, F.expr("shiftleft(1L, cast(t & 63 AS int))")).otherwise(F.lit(0).cast("long")))
+    of = sets.select("id", "digest", F.explode("w").alias("t")).groupBy("id", "digest").agg(*[word(k).alias(f"s{k}") for k in range(SKETCH)])
+    return of.select("id", "digest", F.array(*[f"s{k}" for k in range(SKETCH)]).alias("s"))
+
+
+def _held(pairs: DataFrame, groups: DataFrame, sets: DataFrame, write) -> DataFrame:
+    """id, w of the different sets that are in a pair; the token sets of all other rows stay where they are.
+
+    groups has id and digest of the different sets, sets holds the sets themselves, which may repeat.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    met = write(groups.select("id", "digest").join(ids, "id", "left_semi"))
+    return write(sets.join(met, ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.first("w").alias("w")))
+
+
+def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    side = lambda s: held.select(F.col("id").alias(s), F.col("w").alias(f"w{s}"))
     both = F.size(F.array_intersect("wa", "wb"))
     jaccard = both / (F.size("wa") + F.size("wb") - both)
     return pairs.join(side("b"), "b").join(side("a"), "a").withColumn("jaccard", jaccard).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
@@ -59,7 +80,7 @@ def _verified(pairs: DataFrame, groups: DataFrame, threshold: float) -> DataFram
 RARITY_SLOTS = 1 << 16
 
 
-def _rarest_first(groups: DataFrame) -> Column:
+def _rarest_first(sets: DataFrame) -> Column:
     """w in one order for all rows: by the size class of the count of a token's slot, then by token; frequent tokens come last.
 
     Any common order gives exact results; only how many rows meet follows from it. Counts by slot are summed before the
@@ -67,36 +88,48 @@ def _rarest_first(groups: DataFrame) -> Column:
     """
     slot = lambda t: F.pmod(t, F.lit(RARITY_SLOTS)).cast("int")
     counts = [0] * RARITY_SLOTS
-    for at, n in groups.select(F.explode("w").alias("t")).groupBy(slot(F.col("t"))).count().collect():
+    for at, n in sets.select(F.explode("w").alias("t")).groupBy(slot(F.col("t"))).count().collect():
         counts[at] = n
     signs = F.split(F.lit("".join(chr(48 + int(2 * math.log2(1 + n))) for n in counts)), "")
     return F.transform(F.sort_array(F.transform("w", lambda t: F.struct(F.get(signs, slot(t)).alias("n"), t.alias("t")))), lambda x: x["t"])
 
 
-def _near(groups: DataFrame, threshold: float, write) -> DataFrame:
-    long = groups.filter(F.size("w") >= threshold / (1 - threshold) - 1e-9)
-    prefix = F.slice(_rarest_first(groups), 1, (F.size("w") - F.ceil(F.lit(threshold) * F.size("w")) + 1).cast("int"))
-    head = write(long.select("id", F.size("w").alias("size"), F.posexplode(prefix).alias("at", "t")))
+def _near(df: DataFrame, id_: str, text: str, threshold: float, write) -> tuple[DataFrame, DataFrame]:
+    """id and digest of the different sets, the smallest id of each; a, b and jaccard of those that are near.
+
+    Of a set only its prefix and, for those that meet, a sketch are shuffled; the sets themselves only of pairs that the sketches leave open.
+    """
+    sets = write(_token_sets(df, id_, text))
+    size = F.size("w")
+    prefix = F.slice(_rarest_first(sets), 1, (size - F.ceil(F.lit(threshold) * size) + 1).cast("int"))
+    prefix = F.when(size >= threshold / (1 - threshold) - 1e-9, prefix).otherwise(F.array().cast("array<long>"))
+    groups = write(sets.select("id", "digest", size.alias("size"), prefix.alias("head")).groupBy("digest").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("head").alias("head")))
+    head = write(groups.select("id", "size", F.posexplode("head").alias("at", "t")))
     a, b = head.alias("a"), head.alias("b")
     near = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.size", "b.size") >= threshold * F.greatest("a.size", "b.size"))
     # From the first common token on, what is left of the shorter rest is the most that the two can share.
     most = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
     enough = most >= F.lit(threshold / (1 + threshold)) * (F.col("a.size") + F.col("b.size")) - 1e-9
-    pairs = a.join(b, near & enough).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    return _verified(pairs, groups, threshold)
+    met = write(a.join(b, near & enough).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (F.col("a.size") + F.col("b.size")).alias("size")).distinct())
+    own = write(_sketched(sets).join(groups.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "s"))
+    side = lambda x: own.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    # At the threshold, sets differ in at most (1 - t) / (1 + t) of their tokens.
+    close = apart <= F.lit((1 - threshold) / (1 + threshold)) * F.col("size") + 1e-9
+    pairs = write(met.join(side("b"), "b").join(side("a"), "a").filter(close).select("a", "b"))
+    return groups.select("id", "digest"), _verified(pairs, _held(pairs, groups, sets, write), threshold)
 
 
 def near_dup_pairs(df: DataFrame, id_: str, text: str, threshold: float = 0.85) -> DataFrame:
     """a < b, jaccard of all pairs of different token sets of at least this similarity, exactly (tokens by 64 bits of hash).
 
     Prefix filtering: with tokens in order of rarity, two sets of similarity t share one of the first
-    (1 - t) n + 1 tokens of each, so only rows that meet in such a token, with enough tokens left, are compared. Equal sets are
-    compared once, through the smallest id of each. Sets of fewer than t / (1 - t) tokens are near none but
+    (1 - t) n + 1 tokens of each, so only rows that meet in such a token, with enough tokens left and sketches that are close
+    enough, are compared. Equal sets are compared once, through the smallest id of each. Sets of fewer than t / (1 - t) tokens are near none but
     themselves, so short texts that share a frequent word are not compared.
     """
     with rounds(df.sparkSession) as write:
-        groups = write(_different(_token_sets(df, id_, text)))
-        return write(_near(groups, threshold, write))
+        return write(_near(df, id_, text, threshold, write)[1])
 
 
 def near_dedup(df: DataFrame, id_: str, text: str, threshold: float = 0.85) -> DataFrame:
@@ -106,12 +139,41 @@ def near_dedup(df: DataFrame, id_: str, text: str, threshold: float = 0.85) -> D
     b near c, but a not near c, both a and b stay.
     """
     with rounds(df.sparkSession) as write:
-        groups = write(_different(_token_sets(df, id_, text)))
-        low = _near(groups, threshold, write).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("low"))
+        groups, near = _near(df, id_, text, threshold, write)
+        low = near.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("low"))
         keep = write(groups.select("id").join(low, "id", "left").select(F.coalesce("low", "id").alias(id_)).distinct())
     return df.join(keep, id_, "left_semi")
 
 
+def _band_keys(permutations: int, bands: int):
+    """A function of an array of 64-bit hashes: for each band a hash of its least values under random affine permutations; null for an empty array."""
+    rng = np.random.default_rng(7)
+    odd, plus = (rng.integers(0, 1 << 63, permutations, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, permutations, np.uint64))
+    fold = rng.integers(0, 1 << 63, permutations // bands, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    @F.pandas_udf("array<long>")
+    def keys(sets: pd.Series) -> pd.Series:
+        sizes = np.array([len(x) for x in sets], np.int64)
+        full = np.flatnonzero(sizes)
+        h = np.concatenate([np.asarray(sets.iloc[i], np.int64) for i in full]).view(np.uint64) if len(full) else np.zeros(0, np.uint64)
+        first = np.concatenate([[0], np.cumsum(sizes[full])[:-1]]).astype(np.int64)
+        out = pd.Series([None] * len(sets), dtype=object)
+        if not len(full):
+            return out
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        found = np.zeros((bands, len(full)), np.uint64)
+        for k in range(permutations):
+            x = h * odd[k] + plus[k]
+            x ^= x >> np.uint64(32)
+            least = np.minimum.reduceat(x, first)
+            found[k // (permutations // bands)] += least * fold[k % (permutations // bands)]
+        for i, row in zip(full, np.ascontiguousarray(found.T).view(np.int64), strict=True):
+            out.iloc[i] = row
+        return out
+
+    return keys
+
+
 def minhash_groups(df: DataFrame, id_: str, text: str, threshold: float = 0.85, permutations: int = 128, bands: int = 16) -> DataFrame:
     """id_, representative of every row with an id: rows of near or equal word sets, directly or through others, have one, the smallest id.
 
@@ -119,17 +181,15 @@ def minhash_groups(df: DataFrame, id_: str, text: str, threshold: float = 0.85,
     bucket; each is compared, exactly, with the smallest id of the bucket only, so a cluster of n gives n pairs a band, not
     n squared. A pair at the threshold is met with probability 0.994 (16 bands of 8), one at 0.95 always but for 1e-7.
     """
-    each = permutations // bands
     with rounds(df.sparkSession) as write:
         sets = write(_token_sets(df.filter(F.col(id_).isNotNull()), id_, text))
-        groups = write(_different(sets))
-        least = [F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(permutations)]
-        signatures = groups.select("id", F.explode("w").alias("h")).groupBy("id").agg(*least)
-        keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{k}" for k in range(b * each, (b + 1) * each)]) for b in range(bands)])
-        buckets = write(signatures.select("id", F.explode(keys).alias("key")))
+        keyed = sets.select("id", "digest", F.transform(_band_keys(permutations, bands)(F.col("w")), lambda k, b: F.xxhash64(b, k)).alias("keys"))
+        groups = write(keyed.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
+        buckets = write(groups.select("id", F.explode("keys").alias("key")))
         first = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
         pairs = buckets.join(first, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-        links = write(_verified(pairs, groups, threshold)).select("a", "b")
+        pairs = write(pairs)
+        links = write(_verified(pairs, _held(pairs, groups, sets, write), threshold)).select("a", "b")
         # Every link is followed: from each set to the smallest one that is linked to it, then over what is linked still.
         of_set = write(_smallest_linked(groups.select("id"), links, write))
         return write(sets.select("id", "digest").join(groups.select("digest", F.col("id").alias("first")), "digest").join(of_set.withColumnRenamed("id", "first"), "first").select(F.col("id").alias(id_), "representative"))

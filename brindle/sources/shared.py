@@ -10,6 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Hashes of tokens repeat beyond the 1 MB that a dictionary of Parquet is held to by default.
+DICTIONARY_BYTES = 8 << 20
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new name below spark.checkpoint.dir; where that is not set, below a temporary folder if all runs on this machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,7 +37,7 @@ def rounds(spark: SparkSession) -> Iterator:
 
     def write(df: DataFrame) -> DataFrame:
         paths.append(shared_path(spark))
-        df.write.parquet(paths[-1])
+        df.write.options(**{"compression": "zstd", "parquet.dictionary.page.size": str(DICTIONARY_BYTES)}).parquet(paths[-1])
         return spark.read.schema(df.schema).parquet(paths[-1])
 
     yield write

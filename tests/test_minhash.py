@@ -61,3 +61,14 @@ def test_exact_pairs_against_all_pairs(spark):
     for threshold in (0.6, 0.85):
         want = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and a and b and len(a & b) >= threshold * len(a | b)}
         assert {(r.a, r.b) for r in D.near_dup_pairs(df, "id", "body", threshold).collect()} == want and len(want) > 10
+
+
+def test_sets_are_compared_only_where_sketches_are_close(spark, monkeypatch):
+    seen = []
+    verify = D._verified
+    monkeypatch.setattr(D, "_verified", lambda pairs, sets, t: seen.append(pairs.count()) or verify(pairs, sets, t))
+    # All rows share half of their words, which are the rarest, so that all meet; two of them are near.
+    texts = [" ".join([*(f"s{k}" for k in range(60)), *(f"f{k}" for k in range(300) if (k * 7919 + i * 104729) % 5 == 0)]) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[3] + " more"])), "id int, body string")
+    near = D.near_dup_pairs(df, "id", "body").count()
+    assert near >= 1 and seen == [near]
