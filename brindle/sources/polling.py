@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -106,12 +107,21 @@ def newest_event(key: str, path: str) -> float | None:
     return float(times.max()) if len(times) else None
 
 
-def fetch_events(key: str, after: float | None, upto: float, skip: int, size: int, path: str) -> list[tuple]:
+@lru_cache(maxsize=1)
+def _window(key: str, after: float | None, upto: float, path: str):
+    """The ids, times and props of a window in their order; it is read and sorted once for all of its pages, as its rows don't change."""
     import numpy as np
 
     rows, times = _seconds(key, path, ["event_id", "ts", "props"])
-    at = np.flatnonzero((times <= upto) & (times > (-np.inf if after is None else after)))
     ids = rows.column("event_id").to_numpy()
-    at = at[np.lexsort((ids[at], times[at]))][skip : skip + size]
-    props = rows.column("props").take(at).to_pylist()
-    return list(zip(ids[at].tolist(), times[at].tolist(), props, strict=True))
+    at = np.flatnonzero((times <= upto) & (times > (-np.inf if after is None else after)))
+    at = at[np.lexsort((ids[at], times[at]))]
+    return ids[at], times[at], rows.column("props").combine_chunks().cast("large_string").take(at)
+
+
+def fetch_events(key: str, after: float | None, upto: float, skip: int, size: int, path: str) -> list[tuple]:
+    page = slice(skip, skip + size)
+    ids, times, props = _window(key, after, upto, path)
+    if len(ids) <= skip + size:
+        _window.cache_clear()  # a worker that lives on does not hold the window
+    return list(zip(ids[page].tolist(), times[page].tolist(), props[page].to_pylist(), strict=True))

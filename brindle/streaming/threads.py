@@ -32,16 +32,20 @@ class ThreadProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(rows)).sort_values(["at", "comment"])
         n, last = self.thread.get() if self.thread.exists() else (0, None)
-        out = []
+        # Comments of this batch are kept here until it ends; those whose thread ends within it never reach the store.
+        out, kept, stored = [], {}, n > 0
         for comment, at in zip(rows["comment"].tolist(), rows["at"].tolist(), strict=True):
             if last is not None and at - last > self.keep:
-                self._end()
-                n = 0
-            if n and self.seen.containsKey((comment,)):
+                if stored:
+                    self._end()
+                n, kept, stored = 0, {}, False
+            if comment in kept or (stored and self.seen.containsKey((comment,))):
                 continue
             n, last = n + 1, at if n == 0 else max(at, last)
-            self.seen.updateValue((comment,), (at,))
+            kept[comment] = at
             out.append((key[0], comment, at, n, n == 1))
+        for comment, at in kept.items():
+            self.seen.updateValue((comment,), (at,))
         if out:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)

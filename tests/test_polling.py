@@ -165,3 +165,48 @@ def test_watcher_stops_when_complete(spark, tmp_path):
     finally:
         spark.streams.removeListener(progress)
     assert complete() and sum(r["rows"] for r in progress.rows) == 4 and len({r["batch"] for r in progress.rows if r["rows"]}) == 4
+
+
+def test_a_window_is_read_once_for_all_of_its_pages(spark, tmp_path, monkeypatch):
+    rows = [(i, "a" if i % 3 else "b", datetime(2024, 1, 1) + timedelta(minutes=i % 50), f"p{i}") for i in range(100)]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp_ntz, props string").coalesce(1).write.parquet(path)
+    reads, read = [], polling._seconds
+    monkeypatch.setattr(polling, "_seconds", lambda *a: reads.append(a) or read(*a))
+    got = [polling.fetch_events("a", None, float("inf"), at, 10, path) for at in range(0, 80, 10)]
+    assert [len(p) for p in got] == [10] * 6 + [6, 0]
+    want = sorted(((r[2] - datetime(1970, 1, 1)).total_seconds(), r[0], r[3]) for r in rows if r[1] == "a")
+    assert [(t, i, p) for i, t, p in sum(got, [])] == want and len(reads) <= 2
+
+
+def test_comments_of_ended_threads_are_not_stored():
+    import pandas as pd
+
+    class Store(dict):
+        puts = 0
+
+        def exists(self):
+            return "v" in self
+
+        def get(self):
+            return self["v"]
+
+        def update(self, v):
+            self["v"] = v
+
+        def updateValue(self, k, v):
+            Store.puts += 1
+            self[k] = v
+
+        def containsKey(self, k):
+            return k in self
+
+    class Handle:
+        getMapState = getValueState = lambda self, *_: Store()
+        listTimers, deleteTimer, registerTimer = (lambda self: []), (lambda self, t: None), (lambda self, t: None)
+
+    p = threads.ThreadProcessor(10)
+    p.init(Handle())
+    rows = pd.DataFrame({"comment": [f"c{i // 2}" for i in range(200)], "at": [100 * (i // 2) for i in range(200)]})
+    (first,), (again,) = list(p.handleInputRows(("s",), iter([rows]), None)), list(p.handleInputRows(("s",), iter([rows.tail(1)]), None))
+    assert len(first) == 100 and first["is_first"].all() and not len(again) and Store.puts == 1
