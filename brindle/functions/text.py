@@ -186,10 +186,11 @@ def word_tokens(c: Column) -> Column:
     """Lower-case tokens of letters only: edge punctuation goes, n't splits off, mixed tokens drop.
 
     A stand-in for a trained word tokenizer; tokens with inner hyphens, slashes or dots are dropped whole.
+    One pass finds the tokens: nothing is done token by token.
     """
-    flat = F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)\bcannot\b", "can not"), r"n't(?![\p{L}])|'(?:s|re|ve|ll|d|m)(?![\p{L}])", " ")
-    bare = F.transform(tokens(flat), lambda t: F.regexp_replace(t, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.filter(bare, lambda t: t.rlike(r"^\p{L}+$"))
+    whole = only_if("cannot", lambda x: F.regexp_replace(x, r"(?U)\bcannot\b", "can not"))(F.lower(c))
+    flat = only_if("'", lambda x: F.regexp_replace(x, r"n't(?![\p{L}])|'(?:s|re|ve|ll|d|m)(?![\p{L}])", " "))(whole)
+    return F.regexp_extract_all(flat, F.lit(r"(?U)(?<!\S)[^\p{L}\p{N}\s]*+(\p{L}++)[^\p{L}\p{N}\s]*+(?!\S)"), 1)
 
 
 def sentences(c: Column) -> Column:

@@ -12,8 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from brindle.functions.text import label_name, tokens, word_tokens
+from brindle.functions.text import label_name, once, word_tokens
 from brindle.operators.lexicon import HF_CLASSES
+from brindle.sources.shared import passing
 
 
 def fit_and_score(df: DataFrame, y: str, x: Sequence[str], seed: int = 42, depth: int = 4) -> DataFrame:
@@ -31,27 +32,29 @@ def fit_and_score(df: DataFrame, y: str, x: Sequence[str], seed: int = 42, depth
 def _terms(text: Column) -> Column:
     """Words, and the shapes of tokens that are none (letters as a, digits as 0), each once; one empty term of a text without any."""
     words = F.coalesce(word_tokens(text), F.array().cast("array<string>"))
-    odd = F.filter(F.coalesce(tokens(text), F.array().cast("array<string>")), lambda t: ~t.rlike(r"^\p{L}+[.,;:!?]?$"))
+    odd = F.coalesce(F.regexp_extract_all(text, F.lit(r"(?U)(?<!\S)(?!\p{L}++[.,;:!?]?+(?!\S))\S++"), 0), F.array().cast("array<string>"))
     shapes = F.transform(odd, lambda t: F.concat(F.lit("#"), F.regexp_replace(F.regexp_replace(F.substring(t, 1, 12), r"\p{L}+", "a"), r"\p{Nd}+", "0")))
-    found = F.array_distinct(F.concat(words, shapes))
-    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
+    return once(F.array_distinct(F.concat(words, shapes)), lambda found: F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found))
 
 
 def train_scorer(labelled: DataFrame, text: str, label: str, features: int = 1 << 13, penalty: float = 0.3, rounds: int = 15) -> PipelineModel:
     """Hashed terms, weighted by rarity, to multinomial logistic regression; labels are names of HF_CLASSES.
 
-    Rows of null text or label are left out. What is collected is one weight for each feature and class.
+    Rows of null text or label are left out. What is collected is one weight for each feature and class. The terms are
+    written to the shared folder once, as every step of the fit reads them again.
     """
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(_terms(F.col(text)).alias("__terms"), label_name(F.col(label)).alias("__label"))
-    unknown = rows.filter(~F.col("__label").isin(*HF_CLASSES)).select("__label").limit(1).collect()
-    if unknown:
-        raise ValueError(f"no such class: {unknown[0][0]}")
+    found = labelled.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(_terms(F.col(text)).alias("__terms"), label_name(F.col(label)).alias("__label"))
     steps = [
         HashingTF(inputCol="__terms", outputCol="__counts", numFeatures=features), IDF(inputCol="__counts", outputCol="__features", minDocFreq=2),
         StringIndexer(inputCol="__label", outputCol="__class", stringOrderType="alphabetAsc", handleInvalid="keep"),
         LogisticRegression(featuresCol="__features", labelCol="__class", predictionCol="__guess", probabilityCol="__p", rawPredictionCol="__raw", family="multinomial", regParam=penalty, maxIter=rounds),
     ]
-    return Pipeline(stages=steps).fit(rows)
+    with passing(labelled.sparkSession) as write:
+        rows = write(found)
+        unknown = rows.filter(~F.col("__label").isin(*HF_CLASSES)).select("__label").limit(1).collect()
+        if unknown:
+            raise ValueError(f"no such class: {unknown[0][0]}")
+        return Pipeline(stages=steps).fit(rows)
 
 
 def save_scorer(model: PipelineModel, path: str) -> None:
@@ -69,8 +72,9 @@ def model_scores(df: DataFrame, text: str, model: PipelineModel, prefix: str = "
     blank texts are scored as texts without words; of equal scores the first class wins.
     """
     known = list(next(s for s in model.stages if hasattr(s, "labelsArray")).labelsArray[0])
-    scored = model.transform(df.withColumns({"__terms": _terms(F.col(text)), "__label": F.lit(known[0])}))
-    p = vector_to_array("__p")
+    # The array is a column of its own: it is used many times.
+    scored = model.transform(df.withColumns({"__terms": _terms(F.col(text)), "__label": F.lit(known[0])})).withColumn("__a", vector_to_array("__p"))
+    p = F.col("__a")
     total = sum((F.get(p, k) for k in range(1, len(known))), F.get(p, 0))
     raw = {c: F.get(p, known.index(c)) / total if c in known else F.lit(0.0) for c in HF_CLASSES}
     values = F.array(*raw.values())

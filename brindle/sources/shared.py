@@ -30,6 +30,23 @@ def deleted(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator:
+    """A function that writes a table to the shared folder and reads it back; all of them are deleted at the end, or by an error."""
+    paths: list[str] = []
+
+    def write(df: DataFrame) -> DataFrame:
+        paths.append(shared_path(spark))
+        df.write.option("compression", "zstd").parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    try:
+        yield write
+    finally:
+        for path in paths:
+            deleted(spark, path)
+
+
 @contextmanager
 def rounds(spark: SparkSession) -> Iterator:
     """A function that writes a table to the shared folder and reads it back, which ends its lineage; the last one stays, earlier ones are deleted at the end."""

@@ -44,3 +44,23 @@ def test_odd_texts(spark, model):
     assert ml.model_scores(df.limit(0), "text", model).count() == 0
     with pytest.raises(ValueError, match="no such class"):
         ml.train_scorer(spark.createDataFrame([("a", "glad")], "text string, label string"), "text", "label")
+
+
+def test_terms_and_labels_are_read_once(spark):
+    """Every step of the fit reads the written terms: a text is computed for its terms and for the test on null, no more."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t
+
+    rows = [(f"good day {i}", "Positive") if i % 2 else (f"bad night {i}", "Negative") for i in range(40)]
+    ml.train_scorer(spark.createDataFrame(rows, "text string, label string").select(counted("text").alias("text"), "label"), "text", "label")
+    assert 40 <= seen.value <= 80
+
+
+def test_terms_of_odd_tokens(spark):
+    cases = {"x😀abc 😀abc": ["abc", "#a😀a", "#😀a"], "Don't (go) cannot a-b é.": ["do", "go", "can", "not", "é", "#a'a", "#(a)", "#a-a"], "12,5 a1!": ["#0,0", "#a0!"], "": [""]}
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "id int, t string").select("id", ml._terms(F.col("t")).alias("terms")).orderBy("id").collect()
+    assert [r.terms for r in got] == list(cases.values())
