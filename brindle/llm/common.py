@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from brindle.sources.files import spread
+from brindle.sources.shared import BATCH_BYTES, ROWS, small_batches  # noqa: F401
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -89,32 +90,15 @@ def staged(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of texts, and bytes, in a batch to Python; a row of more bytes is one of its own.
-TEXT_ROWS = 1_000
-BATCH_BYTES = 16 << 20
-_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """From now on the session sends at most TEXT_ROWS rows and BATCH_BYTES in a batch to Python: a batch is in memory twice.
-
-    It stays so, as what is planned here is executed later.
-    """
-    if not 0 < int(spark.conf.get(_ROWS)) <= TEXT_ROWS:
-        spark.conf.set(_ROWS, str(TEXT_ROWS))
-    if spark.conf.get(_BYTES) == "67108864b":  # not chosen by the user
-        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """What is executed within sends at most `rows` rows in a batch to Python: for rows that may be large."""
-    before = spark.conf.get(_ROWS)
-    spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    before = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(_ROWS, before)
+        spark.conf.set(ROWS, before)
 
 
 def utf8_size(text: Column) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 SLOTS = 1 << 15
 SAMPLE = 2_000
 UNDETERMINED = "und"
-CHUNK = 1 << 21
+#: Characters that are looked at together; each takes some 70 bytes on the way.
+CHUNK = 1 << 18
 
 
 @cache
@@ -147,7 +148,11 @@ def language_chain(df: DataFrame, text: str, detectors: Sequence[Callable[[Colum
     """Adds the answer of the first detector that gives one; a detector is a function of the text column, and null or `und` is no answer.
 
     The script is the cheaper detector and goes first: `[script_language, lambda c: sure_language(model)(c)["lang"]]`.
-    Missing texts and texts without a letter are `und`.
+    Missing texts and texts without a letter are `und`. A detector gets null in place of a text that has its answer, so
+    texts go to Python only if the detectors before it leave them open.
     """
-    answers = [F.nullif(d(F.col(text)), F.lit(UNDETERMINED)) for d in detectors]
-    return df.withColumn(name, F.coalesce(*answers, F.lit(UNDETERMINED)))
+    answer = F.lit(None).cast("string")
+    for d in detectors:
+        rest = F.when(answer.isNull(), F.col(text))
+        answer = F.coalesce(answer, F.nullif(d(rest), F.lit(UNDETERMINED)))
+    return df.withColumn(name, F.coalesce(answer, F.lit(UNDETERMINED)))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from brindle.functions import stem as ST, text as X
 from brindle.operators import aggregate as A, dedup as D, filters as P, language as N, lexicon as L, ml as ML, segment as SG
 from brindle.sources import files as S, paging as G
+from brindle.sources.shared import small_batches
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -38,6 +39,7 @@ def example(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    small_batches(spark)
     scan = spark.read.parquet(f"{sf}/{name}.parquet")
     return S.spread(scan) if name == "documents" else scan
 

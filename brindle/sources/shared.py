@@ -60,3 +60,20 @@ def rounds(spark: SparkSession) -> Iterator:
     yield write
     for path in paths[:-1]:
         deleted(spark, path)
+
+
+#: Rows of texts, and bytes, in a batch to Python; a row of more bytes is one of its own.
+TEXT_ROWS = 1_000
+BATCH_BYTES = 16 << 20
+ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends at most TEXT_ROWS rows and BATCH_BYTES in a batch to Python: a batch is in memory twice.
+
+    It stays so, as what is planned here is executed later.
+    """
+    if not 0 < int(spark.conf.get(ROWS)) <= TEXT_ROWS:
+        spark.conf.set(ROWS, str(TEXT_ROWS))
+    if spark.conf.get(_BYTES) == "67108864b":  # not chosen by the user
+        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")

@@ -43,3 +43,28 @@ def test_script_and_chain(spark):
     assert {r.id: r.lang_pred for r in got.collect()} == dict(enumerate(w for _, w in cases))
     assert got.columns == [*df.columns, "lang_pred"]
     assert N.language_chain(df.limit(0), "body", [N.script_language]).count() == 0
+
+
+def test_answered_texts_do_not_go_to_python(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def late(t):
+        if t is not None:
+            seen.add(1)
+        return "late"
+
+    df = spark.createDataFrame([(i, "καλημέρα" if i % 4 else "good day") for i in range(40)], "id int, t string")
+    got = N.language_chain(df, "t", [N.script_language, late]).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in got} == {"el": 30, "late": 10} and seen.value == 10
+
+
+def test_batches_and_chunks_are_small(spark):
+    from brindle.plans.text_queries import table
+    from conftest import SF_SMALL
+
+    own = spark.newSession()
+    table(own, SF_SMALL, "documents")
+    assert int(own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000 and own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{16 << 20}b"
+    sizes = [len(slot) for _, _, slot in N._triples(["a few words " * 1_000] * 200)]
+    assert len(sizes) > 8 and max(sizes) < 300_000
