@@ -10,6 +10,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from brindle.functions.text import once
+
 #: Numbers that a triple is hashed to, and different labelled texts a language is learned from at most (about; drawn by a hash of the text).
 SLOTS = 1 << 15
 SAMPLE = 2_000
@@ -132,16 +134,33 @@ SCRIPT_LANGUAGES = {
 HAN = r"[\x{4e00}-\x{9fff}]"
 
 
+def _count(c: Column, others: str) -> Column:
+    """Code points of a text without runs of the others; no array of matches is made."""
+    return F.length(F.regexp_replace(c, others, ""))
+
+
+def _script_of(c: Column) -> Column:
+    letters = _count(c, r"\P{L}+")
+
+    def of(beyond: Column, letters: Column) -> Column:
+        out = F.lit(UNDETERMINED)
+        for lang, signs in reversed(SCRIPT_LANGUAGES.items()):
+            own = _count(beyond, f"[^{signs[1:-1]}]+")
+            if lang == "ja":
+                own = F.when(own > 0, own + _count(beyond, f"[^{HAN[1:-1]}]+")).otherwise(0)
+            out = F.when(own * 2 > letters, F.lit(lang)).otherwise(out)
+        # Signs of no script here: most texts are done after two passes.
+        return F.when(F.length(beyond) * 2 > letters, out).otherwise(F.lit(UNDETERMINED))
+
+    return once(F.struct(F.regexp_replace(c, r"[\x00-\x7f]+", "").alias("beyond"), letters.alias("letters")), lambda x: of(x["beyond"], x["letters"]))
+
+
 def script_language(c: Column) -> Column:
-    """The language whose own script writes over half of the letters of a text, Han signs counted with kana if there are any; else `und`."""
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    out = F.lit(UNDETERMINED)
-    for lang, signs in reversed(SCRIPT_LANGUAGES.items()):
-        own = F.regexp_count(c, F.lit(signs))
-        if lang == "ja":
-            own = F.when(own > 0, own + F.regexp_count(c, F.lit(HAN))).otherwise(0)
-        out = F.when(own * 2 > letters, F.lit(lang)).otherwise(out)
-    return F.coalesce(out, F.lit(UNDETERMINED))
+    """The language whose own script writes over half of the letters of a text, Han signs counted with kana if there are any; else `und`.
+
+    The text is computed once, and so are its letters and its signs beyond ASCII, in which alone scripts are looked for.
+    """
+    return F.coalesce(once(c, _script_of), F.lit(UNDETERMINED))
 
 
 def language_chain(df: DataFrame, text: str, detectors: Sequence[Callable[[Column], Column]], name: str = "lang_pred") -> DataFrame:

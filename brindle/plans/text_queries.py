@@ -402,7 +402,11 @@ SCRIPT_LETTERS = [LATIN, "αβγδεζηθικλμνξοπρστυφχψωάέ",
 
 def rewritten(c):
     """Lower-cased texts, in the letters of another script for five of seven documents."""
-    return F.element_at(F.array(*[F.translate(F.lower(c), LATIN, x) for x in SCRIPT_LETTERS]), (F.col("doc_id") % len(SCRIPT_LETTERS) + 1).cast("int"))
+    at, out = F.col("doc_id") % len(SCRIPT_LETTERS), F.lit(None).cast("string")
+    # Only the letters of a document's own number are looked up; Latin ones stay as they are.
+    for k, x in enumerate(SCRIPT_LETTERS):
+        out = F.when(at == k, F.lower(c) if x == LATIN else F.translate(F.lower(c), LATIN, x)).otherwise(out)
+    return out
 
 
 REWRITTEN_SQL = "[" + ", ".join(f"translate(lower(text), '{LATIN}', '{x}')" for x in SCRIPT_LETTERS) + f"][doc_id % {len(SCRIPT_LETTERS)} + 1]"

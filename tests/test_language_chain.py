@@ -68,3 +68,27 @@ def test_batches_and_chunks_are_small(spark):
     assert int(own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1_000 and own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{16 << 20}b"
     sizes = [len(slot) for _, _, slot in N._triples(["a few words " * 1_000] * 200)]
     assert len(sizes) > 8 and max(sizes) < 300_000
+
+
+def test_scripts_are_counted_without_arrays_of_matches(spark):
+    import random
+    import re
+    import unicodedata
+
+    rng = random.Random(5)
+    signs = ["a", "é", "α", "Ω", ";", "א", "ְ", "ก", "่", "가", "ᄀ", "ა", "ա", "か", "ー", "日", "1", "😀", "𝒳", " ", "\n", "."]
+    texts = ["".join(rng.choice(rng.sample(signs, 3)) for _ in range(rng.randint(0, 12))) for _ in range(3_000)] + [None]
+
+    def plain(t):
+        t = t or ""
+        letters = sum(unicodedata.category(x)[0] == "L" for x in t)
+        for lang, p in N.SCRIPT_LANGUAGES.items():
+            count = lambda q: len(re.findall(re.sub(r"\\x\{(\w+)\}", r"\\u\1", q), t))  # noqa: B023, E731
+            own = count(p) + (count(N.HAN) if lang == "ja" and count(p) else 0)
+            if own * 2 > letters:
+                return lang
+        return "und"
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", N.script_language(F.col("t")).alias("lang"))
+    assert [r.lang for r in df.orderBy("id").collect()] == [plain(t) for t in texts]
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
