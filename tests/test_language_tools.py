@@ -107,3 +107,53 @@ def test_mended_parts():
     from brindle.functions.text import _mended
 
     assert _mended("donâ€™t café") == "don’t café" and _mended("Ã©t") == "ét" and _mended("É« à Â") == "É« à Â"
+
+
+def plain_counts(rows):
+    """The counts token by token, as they are defined."""
+    import re
+    from collections import Counter
+
+    alnum, out = lambda ch: ch.isalpha() or ch.isdigit(), {}
+
+    def core(t):
+        while t and not alnum(t[0]):
+            t = t[1:]
+        while t and not alnum(t[-1]) and t[-1] not in ".!?…":
+            t = t[:-1]
+        return t
+
+    for id_, text in rows:
+        cores = [core(t) for t in (text or "").split()] if id_ is not None else []
+        for k, c in enumerate(cores):
+            kind = re.sub("[.!?…]+$", "", c).lower()
+            kind = "##" if re.fullmatch(r"\d[\d.,]*", kind) else kind
+            if kind:
+                n = out.setdefault(kind, Counter())
+                n["n_with" if re.search(r"[^.]\.$", c) else "n_without"] += 1
+                n["n_lower"] += c[0].islower()
+                n["n_inside"] += c[0].isupper() and k > 0 and not re.search("[.!?…]$", cores[k - 1])
+    return {k: tuple(n[x] for x in ("n_with", "n_without", "n_lower", "n_inside")) for k, n in out.items()}
+
+
+def test_counts_of_odd_tokens(spark):
+    """Against a plain count; different tokens are looked at once, not each time they occur."""
+    rng = random.Random(3)
+    signs = ["Dr.", "dr.", "The", "the", "...", "!", "(No.)", "no", "“Yes!”", "e.g.", "3.5", "3,5.", "a…", ".net", "-", "x!?", "Hm..", "–", "A.", '".', "U.S.", "end?)", "\n", " "]
+    rows = [(i, rng.choice(["", " "]) + rng.choice([" ", "  ", "\t"]).join(rng.choice(signs) for _ in range(rng.randint(0, 12)))) for i in range(2_000)] + [(None, "Left out."), (9_000, None), (9_001, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = G.learned_counts(df, "id", "text").collect()
+    assert {r.type: (r.n_with, r.n_without, r.n_lower, r.n_inside) for r in got} == plain_counts(rows)
+
+
+def test_types_are_told_of_different_tokens_only(spark):
+    df = spark.createDataFrame([(i, "The men were glad. They went home then.") for i in range(500)], "id int, text string")
+    plan = G.type_counts(G.token_rows(df, "id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    # From the top: sums by type, the tokens' types, sums by token, the texts.
+    assert plan.index("Aggregate [type") < plan.index("p{L}\\p{N}.!?…]+$") < plan.index("Aggregate [word") < plan.index("LogicalRDD")
+
+
+def test_a_text_of_many_sentences(spark):
+    text = " ".join(f"We saw the number {i} then!" for i in range(40_000))
+    found = G.model_sentences(spark.createDataFrame([(0, text)], "id int, text string"), "id", "text").select(F.size("sentences"), F.element_at("sentences", -1)).first()
+    assert tuple(found) == (40_000, "We saw the number 39999 then!")
