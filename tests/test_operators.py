@@ -505,3 +505,31 @@ def test_quartiles_of_large_groups(spark):
     assert got["b"] == (1.25, 1.5, 1.75, 2) and got[None] == (4.0, 4.0, 4.0, 1) and got["c"] == (None, None, None, 0)
     assert got["a"][3] is None and all(abs(x - y) <= 1 for x, y in zip(got["a"][:3], (250, 500, 750), strict=True))
     assert {r.g: r.n_exact for r in A.quartiles(df, "g", "v").collect()} == {"a": 1001, "b": 2, "c": 0, None: 1}
+
+
+def test_models_on_the_split_of_random_split_from_one_reading(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+
+    from brindle.operators import ml
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = spark.range(0, 1000, numPartitions=3).select(F.when(F.col("id") % 50 != 0, F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"), (F.sin("id") + F.col("id") % 7).alias("y"))
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features", handleInvalid="skip").transform(df.na.drop(subset=["y", "a", "b"])).select("features", "y")
+    train, test = rows.randomSplit([0.8, 0.2], seed=42)
+    want = []
+    for name, model in (("tree", DecisionTreeRegressor(labelCol="y", maxDepth=4, seed=42)), ("line", LinearRegression(labelCol="y", solver="normal"))):
+        found = model.fit(train).transform(test)
+        want.append((name, *[RegressionEvaluator(labelCol="y", metricName=m).evaluate(found) for m in ("rmse", "r2")], test.count()))
+    got = ml.fit_and_score(df.withColumn("y", counted("y")), "y", ["a", "b"]).collect()
+    for g, w in zip(got, want, strict=True):
+        assert (g.model, g.n_test) == (w[0], w[3]) and (g.rmse, g.r2) == (pytest.approx(w[1], rel=1e-9), pytest.approx(w[2], rel=1e-9))
+    # Once for the test on null and once for the rows.
+    assert seen.value <= 2 * 1000
