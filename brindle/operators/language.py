@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from brindle.functions.text import once
+from brindle.sources.shared import passing
 
-#: Numbers that a triple is hashed to, and different labelled texts a language is learned from at most (about; drawn by a hash of the text).
+#: Numbers that a triple is hashed to.
 SLOTS = 1 << 15
-SAMPLE = 2_000
 UNDETERMINED = "und"
 #: Characters that are looked at together; each takes some 70 bytes on the way.
 CHUNK = 1 << 18
@@ -72,14 +72,12 @@ class LanguageModel:
         return self.scored(texts)[0]
 
 
-def train(df: DataFrame, text: str, lang: str, sample: int = SAMPLE) -> LanguageModel:
-    """The model of the non-null languages of df, each text of a language counted once. What the driver gets is SLOTS numbers a language."""
-    rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.approx_count_distinct(F.xxhash64(text), 0.01)).collect()}
-    if not sizes:
+def train(df: DataFrame, text: str, lang: str) -> LanguageModel:
+    """The model of the non-null languages of df, from all labelled texts, each text of a language counted once. What the driver gets is SLOTS numbers a language."""
+    rows = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    if not names:
         return LanguageModel([], np.zeros((0, SLOTS)))
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))])
-    drawn = rows.filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20)).select(F.col(lang).alias("lang"), F.col(text).alias("text")).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -93,9 +91,15 @@ def train(df: DataFrame, text: str, lang: str, sample: int = SAMPLE) -> Language
             at = np.flatnonzero(mine)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at), pa.array(mine[at])], names=["lang", "slot", "n"])
 
-    names, counts = sorted(sizes), np.zeros((len(sizes), SLOTS))
-    for k, slot, n in drawn.mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n")).collect():
-        counts[names.index(k), slot] = n
+    counts = np.zeros((len(names), SLOTS))
+    with passing(df.sparkSession) as write:
+        # Only texts that occur more than once are shuffled to be told apart; the others are counted where they are read.
+        named = rows.withColumn("digest", F.md5(F.col("text").cast("binary")))
+        copied = write(named.groupBy("lang", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("lang", "digest"))
+        alone = named.join(copied, ["lang", "digest"], "left_anti").select("lang", "text")
+        copies = named.join(copied, ["lang", "digest"], "left_semi").select("lang", "text").distinct()
+        for k, slot, n in alone.unionByName(copies).mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n")).collect():
+            counts[names.index(k), slot] = n
     return LanguageModel(names, counts)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.operators import language as N
@@ -32,6 +33,17 @@ def test_repeated_texts_count_once(spark):
     assert (once.table == again.table).all()
 
 
+def test_all_labelled_texts_are_learned_from(spark):
+    rows = spark.range(6_000).select(F.concat(F.lit("same words "), F.col("id").cast("string")).alias("body"), F.lit("en").alias("lang"))
+    rows = rows.unionByName(rows.limit(100)).unionByName(spark.createDataFrame([("12 34", "no letters")], "body string, lang string"))
+    model, alike = N.train(rows, "body", "lang"), N.train(rows.limit(1), "body", "lang")
+    counts = np.zeros((2, N.SLOTS))
+    for _, _, slot in N._triples(["same words "] * 6_000):
+        counts[0] += np.bincount(slot, minlength=N.SLOTS)
+    assert model.names == ["en", "no letters"] and alike.names == ["en"]
+    assert (model.table == N.LanguageModel(model.names, counts).table).all()
+
+
 def test_script_and_chain(spark):
     cases = [
         ("ησυχη θαλασσα", "el"), ("שקט בים", "he"), ("ทะเล", "th"), ("바다", "ko"), ("日本の海", "ja"), ("海", "und"), ("ზღვა", "ka"), ("ծով", "hy"),
