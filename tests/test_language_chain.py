@@ -57,6 +57,18 @@ def test_script_and_chain(spark):
     assert N.language_chain(df.limit(0), "body", [N.script_language]).count() == 0
 
 
+def test_a_chain_knows_what_few_of_many_texts_teach(spark):
+    rows = [(f"{i} {ENGLISH[i % 3]}", "en") for i in range(4_000)] + [("zyx wvu zyx wvu", "en")]
+    model = N.train(spark.createDataFrame([*rows, *((t, "de") for t in GERMAN)], "body string, lang string"), "body", "lang")
+    plain = np.zeros(N.SLOTS)
+    for _, _, slot in N._triples([t for t, _ in rows]):
+        plain += np.bincount(slot, minlength=N.SLOTS)
+    en = model.names.index("en")
+    assert (model.table[en] == N.LanguageModel(["en"], plain[None]).table[0]).all()
+    df = spark.createDataFrame([("zyx wvu zyx",)], "body string")
+    assert N.language_chain(df, "body", [N.script_language, lambda c: N.sure_language(model)(c)["lang"]]).first().lang_pred == "en"
+
+
 def test_answered_texts_do_not_go_to_python(spark):
     seen = spark.sparkContext.accumulator(0)
 
