@@ -72,3 +72,40 @@ def test_sets_are_compared_only_where_sketches_are_close(spark, monkeypatch):
     texts = [" ".join([*common, *rng.sample([f"f{k}" for k in range(1000)], 540)]) for rng in map(random.Random, range(60))]
     df = spark.createDataFrame(list(enumerate([*texts, texts[3] + " more"])), "id int, body string")
     assert D.near_dup_pairs(df, "id", "body").count() == 1 and seen == [1]
+
+
+def test_sets_are_sent_with_blocks_and_not_with_pairs(spark, monkeypatch):
+    """All pairs of a cluster are found, in blocks that are smaller than it, though hardly more than one a set is compared on its own."""
+    seen = []
+    verify = D._verified
+    monkeypatch.setattr(D, "_verified", lambda pairs, sets, t: seen.append(pairs.count()) or verify(pairs, sets, t))
+    monkeypatch.setattr(D, "BLOCK", 40)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join([*base, *(f"x{i}_{k}" for k in range(i % 3 * 9))]) for i in range(150)]
+    df = spark.createDataFrame([(f"d{i:03}", t) for i, t in enumerate(texts)], "id string, body string")
+    sets = [frozenset(t.split()) for t in texts]
+    first = {}
+    for i, w in enumerate(sets):
+        first.setdefault(w, i)
+    want = {(f"d{i:03}", f"d{j:03}", len(a & b) / len(a | b)) for a, i in first.items() for b, j in first.items() if i < j and len(a & b) >= 0.85 * len(a | b)}
+    assert {(r.a, r.b, r.jaccard) for r in D.near_dup_pairs(df, "id", "body").collect()} == want
+    assert len(want) > 1000 and sum(seen) < 300
+
+
+def test_large_sets_are_met_in_their_parts(spark, monkeypatch):
+    """Sets of several classes of size on both sides of the threshold, some with parts that are short or empty."""
+    monkeypatch.setattr(D, "PART", 16)
+    monkeypatch.setattr(D, "_stars", lambda buckets: buckets.select(buckets.id.alias("a"), buckets.id.alias("b")).limit(0))  # no cells: all pairs are met across
+    rng, rows = random.Random(4), []
+    for n in [7, 12, 15, 16, 17, 18, 30, 33, 37, 62, 66, 120, 250, 500] * 3:
+        base = [f"t{rng.randrange(900)}" for _ in range(n)]
+        for share in (0, 0.02, 0.07, 0.085, 0.16):
+            rows.append(" ".join(w if rng.random() >= share else f"u{rng.randrange(10**6)}" for w in base))
+        rows += [" ".join(base[: int(n * 0.85) + 1]), " ".join(base[: int(n * 0.86)] + ["more"])]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, body string")
+    first = {}
+    for i, t in enumerate(rows):
+        first.setdefault(frozenset(t.split()), i)
+    for threshold in (0.5, 0.85):
+        want = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and len(a & b) >= threshold * len(a | b)}
+        assert {(r.a, r.b) for r in D.near_dup_pairs(df, "id", "body", threshold).collect()} == want and len(want) > 100
