@@ -345,7 +345,8 @@ def minhash_groups(df: DataFrame, id_: str, text: str, threshold: float = 0.85,
 
     A set's signature is the least hash of its words under each permutation. Sets that agree in a whole band share a
     bucket; each is compared, exactly, with the smallest id of the bucket only, so a cluster of n gives n pairs a band, not
-    n squared. A pair at the threshold is met with probability 0.994 (16 bands of 8), one at 0.95 always but for 1e-7.
+    n squared. A pair at the threshold shares a band with probability 0.994 (16 bands of 8). Links that this leaves out are found
+    exactly, by the prefix filter, between the sets that are not connected yet.
     """
     with rounds(df.sparkSession) as write:
         sets = write(_token_sets(df.filter(F.col(id_).isNotNull()), id_, text))
@@ -355,6 +356,11 @@ def minhash_groups(df: DataFrame, id_: str, text: str, threshold: float = 0.85,
         links = write(_verified(pairs, _held(pairs, groups, sets, write), threshold).select("a", "b"))
         # Every link is followed: from each set to the smallest one that is linked to it, then over what is linked still.
         of_set = write(_smallest_linked(groups.select("id"), links, write))
+        own = write(_heads(sets, threshold)).filter(F.size("parts") > 0)
+        across = _across(own, of_set, threshold, write)
+        if not across.isEmpty():
+            more = write(_verified(across, _held(across, groups, sets, write), threshold).select("a", "b"))
+            of_set = write(_smallest_linked(groups.select("id"), links.unionByName(more), write))
         return write(sets.select("id", "digest").join(groups.select("digest", F.col("id").alias("first")), "digest").join(of_set.withColumnRenamed("id", "first"), "first").select(F.col("id").alias(id_), "representative"))
 
 

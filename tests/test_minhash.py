@@ -109,3 +109,27 @@ def test_large_sets_are_met_in_their_parts(spark, monkeypatch):
     for threshold in (0.5, 0.85):
         want = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and len(a & b) >= threshold * len(a | b)}
         assert {(r.a, r.b) for r in D.near_dup_pairs(df, "id", "body", threshold).collect()} == want and len(want) > 100
+
+
+def test_links_that_no_band_shares_are_found(spark):
+    """With two bands of 64 permutations hardly any near pair shares one; groups are those of all pairs all the same."""
+    rng, rows = random.Random(6), []
+    for _ in range(20):
+        base = [f"t{rng.randrange(3000)}" for _ in range(rng.choice([12, 60, 200]))]
+        for _ in range(4):
+            words = list(base)
+            for _ in range(len(base) // 14):
+                words[rng.randrange(len(words))] = f"u{rng.randrange(10**6)}"
+            rows.append(" ".join(words))
+    sets = [frozenset(t.split()) for t in rows]
+    name = list(range(len(rows)))
+    while True:
+        before = list(name)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) >= 0.85 * len(a | b):
+                    name[i] = name[j] = min(name[i], name[j])
+        if before == name:
+            break
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, body string")
+    assert {r.id: r.representative for r in D.minhash_groups(df, "id", "body", bands=2).collect()} == dict(enumerate(name)) and len(set(name)) < 60
