@@ -209,7 +209,9 @@ def _across(own: DataFrame, cells: DataFrame, threshold: float, write) -> DataFr
     The sketch of a part goes with every token of its head, so that pairs are ruled out where they meet and hardly any is shuffled.
     """
     folded = [f"f{i}" for i in range(FOLDED)]
-    rows = own.join(cells, "id", "left").select("id", "size", F.coalesce("representative", "id").alias("cell"), F.explode("parts").alias("part"))
+    # Written, so that both sides of the join below are one plain scan and share its shuffle.
+    placed = write(own.join(cells, "id", "left").select("id", "size", F.coalesce("representative", "id").alias("cell"), "parts"))
+    rows = placed.select("id", "size", "cell", F.explode("parts").alias("part"))
     head = rows.select("id", "size", "cell", "part.k", *[f"part.{f}" for f in folded], F.posexplode("part.head").alias("at", "t"))
     a, b = head.alias("a"), head.alias("b")
     near = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.cell") != F.col("b.cell")) & (F.col("a.k") == F.col("b.k"))
